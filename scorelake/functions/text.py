@@ -99,7 +99,7 @@ def ascii_json(c: Column) -> Column:
 
 
 def _hidden(body: Column) -> Column:
-    """Write control characters and blanks other than the space as \xNN or \uNNNN."""
+    """Spell out control characters and blanks other than the space with their hex codes."""
 
     def show(ch: Column) -> Column:
         code = F.ascii(ch)

@@ -40,12 +40,17 @@ def build_assertions(cases: DataFrame) -> DataFrame:
     )
 
 
-def check_assertions(cases: DataFrame) -> DataFrame:
-    """Add ``checks``: one boolean per assertion against ``answer``; null where only a judge can tell."""
+def check_assertions(cases: DataFrame, rubric: str | None = None) -> DataFrame:
+    """Add ``checks``: one boolean per assertion against ``answer``.
+
+    ``rubric`` names a column with the judge's verdict; without one, rubric assertions stay null.
+    """
+    verdict = F.col(rubric) if rubric else F.lit(None).cast("boolean")
     return cases.withColumn(
         "checks",
         F.transform(
-            "assertions", lambda a: F.when(a["type"] == "icontains", icontains(F.col("answer"), a["value"]))
+            "assertions",
+            lambda a: F.when(a["type"] == "icontains", icontains(F.col("answer"), a["value"])).otherwise(verdict),
         ),
     )
 

@@ -111,11 +111,11 @@ def gate_runs(
     return apply_gates(joined.withColumn("regressions", F.coalesce(F.col("regressions"), F.lit(0).cast("long"))))
 
 
-def sweep_gate(runs: DataFrame, compare: bool) -> DataFrame:
-    """One row: do all datasets pass? A run with an error fails.
+def sweep_gate(runs: DataFrame, compare: bool, keys: Sequence[str] = ()) -> DataFrame:
+    """Do all datasets pass? One row, or one per sweep when ``keys`` name several. A run with an error fails.
 
     With ``compare`` only a failed verdict counts (no baseline is no failure), without it any rate below one.
     """
     judged = F.coalesce(F.col("gate_passed"), F.lit(True)) if compare else F.col("pass_rate") >= 1.0
     no_error = F.col("error").isNull() if "error" in runs.columns else F.lit(True)
-    return runs.agg(F.coalesce(F.bool_and(judged & no_error), F.lit(True)).alias("all_passed"))
+    return runs.groupBy(*keys).agg(F.coalesce(F.bool_and(judged & no_error), F.lit(True)).alias("all_passed"))

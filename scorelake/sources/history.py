@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,13 +26,14 @@ def _overwrite(df: DataFrame, path: str, *partitions: str) -> None:
     ).parquet(path)
 
 
-def _existing(spark: SparkSession, path: str, ddl: str | None = None) -> DataFrame | None:
+def _existing(spark: SparkSession, path: str) -> DataFrame | None:
     """The table at a path, or None before its first write."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-        return None
-    reader = spark.read if ddl is None else spark.read.schema(ddl)
-    return reader.parquet(path)
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as exc:
+        if exc.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def history_runs(summary: DataFrame, run_type: str, providers: Column, ran_at: Column) -> DataFrame:
