@@ -29,13 +29,6 @@ def json_map_text(json_map: Column) -> Column:
     return _object_text(F.map_entries(json_map), lambda v: F.coalesce(v, F.lit("null")))
 
 
-@F.pandas_udf("string")
-def _canonical(texts: pd.Series) -> pd.Series:
-    return texts.map(
-        lambda t: None if t is None else json.dumps(json.loads(t), sort_keys=True, ensure_ascii=False)
-    )
-
-
 def canonical_json(text: Column) -> Column:
     """Sorted JSON text of an object given as JSON.
 
@@ -44,8 +37,15 @@ def canonical_json(text: Column) -> Column:
     """
     plain = vars_json(F.from_json(text, "map<string,string>"))
     compact = F.to_json(F.try_parse_json(text))
+
+    @F.pandas_udf("string")
+    def sort_keys(texts: pd.Series) -> pd.Series:
+        return texts.map(
+            lambda t: None if t is None else json.dumps(json.loads(t), sort_keys=True, ensure_ascii=False)
+        )
+
     is_plain = F.coalesce(compact == F.to_json(F.try_parse_json(plain)), F.lit(False))
-    return F.when(is_plain, plain).otherwise(_canonical(F.when(~is_plain, text)))
+    return F.when(is_plain, plain).otherwise(sort_keys(F.when(~is_plain, text)))
 
 
 def short_hash(canonical_text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -10,6 +10,10 @@ from scorelake.operators.documents import is_html, page_links, url_prefix
 from scorelake.session import materialize
 
 
+def _site(url: Column) -> Column:
+    return F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+
+
 def crawl(pages: DataFrame, seeds: DataFrame, max_pages: int = 20) -> DataFrame:
     """Pages each seed reaches, in crawl order: ``seed``, ``url``, ``level`` and ``position``.
 
@@ -17,47 +21,48 @@ def crawl(pages: DataFrame, seeds: DataFrame, max_pages: int = 20) -> DataFrame:
     nowhere and do not count, and a crawl ends at ``max_pages``. All seeds advance together, one level per round; a
     level that adds nothing ends the loop.
 
-    The page table is read once: pages below a seed's prefix are kept with their links. A round then works on at most
-    ``max_pages`` pages per seed, checkpointed in the shared folder, and ranks only what these link to. Ranking needs
-    the first ``max_pages`` candidates of a seed, which Spark limits on each task ahead of the shuffle.
+    The page table is read once: pages below the directory of some seed are kept with their links, one row per url.
+    A round then works on at most ``max_pages`` pages per seed and ranks only what these link to; the rank filter limits
+    the candidates of a seed on each task ahead of the shuffle. What was reached is checkpointed in the shared folder
+    after every round, so the plan does not grow with the depth.
     """
     starts = seeds.select(F.col("url").alias("seed")).distinct().withColumn("prefix", url_prefix(F.col("seed")))
-    site = F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    origins = starts.withColumn("site", F.regexp_extract("seed", r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1))
-    links = F.when(is_html(F.col("html")), page_links(F.col("html"), F.col("url"))).otherwise(
-        F.array().cast("array<string>")
-    )
-    near = pages.withColumn("site", site).join(origins, "site").filter(
-        F.startswith("url", F.col("prefix")) | (F.col("url") == F.col("seed"))
-    )
+    areas = starts.select(_site(F.col("seed")).alias("site"), "prefix").distinct()
+    located = pages.withColumn("site", _site(F.col("url")))
+    # The slash lets in a seed without a path, which its own directory would not contain.
+    inside = F.startswith(F.concat(located["url"], F.lit("/")), areas["prefix"])
+    near = located.join(areas, (located["site"] == areas["site"]) & inside, "left_semi")
+    links = F.when(is_html(F.col("html")), page_links(F.col("html"), F.col("url")))
     known = materialize(
-        near.select("seed", "prefix", "url", links.alias("_links")).select(
-            "seed", "url", F.filter("_links", lambda u: F.startswith(u, F.col("prefix"))).alias("links")
-        )
+        near.select("url", F.coalesce(links, F.array().cast("array<string>")).alias("links"))
+        .groupBy("url")
+        .agg(F.min("links").alias("links"))
     )
-    level = known.filter(F.col("url") == F.col("seed")).select(
-        "seed", "url", F.lit(0).alias("level"), F.lit(0).alias("position"), "links"
+    reached = materialize(
+        starts.join(known, starts["seed"] == known["url"]).select(
+            "seed", "prefix", "url", F.lit(0).alias("level"), F.lit(0).alias("position"), "links"
+        )
     )
-    level = materialize(level)
-    reached = level
     for depth in range(1, max_pages):
         found = (
-            level.select("seed", F.col("position").alias("_from"), F.posexplode("links").alias("_ord", "url"))
-            .groupBy("seed", "url")
-            .agg(F.min(F.struct("_from", "_ord")).alias("_rank"))
+            reached.filter(F.col("level") == depth - 1)
+            .select("seed", "prefix", F.col("position").alias("_from"), F.posexplode("links").alias("_ord", "url"))
+            .filter(F.startswith("url", F.col("prefix")))
+            .groupBy("seed", "prefix", "url")
+            .agg(F.min(F.col("_from").cast("long") * F.lit(2**32) + F.col("_ord")).alias("_rank"))
         )
-        fresh = found.join(reached.select("seed", "url"), ["seed", "url"], "left_anti").join(known, ["seed", "url"])
+        fresh = found.join(reached.select("seed", "url"), ["seed", "url"], "left_anti").join(known, "url")
         used = reached.groupBy("seed").agg(F.count("*").cast("int").alias("_used"))
         ranked = fresh.withColumn("_n", F.row_number().over(W.partitionBy("seed").orderBy("_rank"))).filter(
             F.col("_n") <= max_pages
         )
-        level = materialize(
+        level = (
             ranked.join(used, "seed")
             .withColumn("position", F.col("_used") + F.col("_n") - 1)
             .filter(F.col("position") < max_pages)
-            .select("seed", "url", F.lit(depth).alias("level"), "position", "links")
+            .select("seed", "prefix", "url", F.lit(depth).alias("level"), "position", "links")
         )
-        if level.isEmpty():
+        reached = materialize(reached.unionByName(level))
+        if reached.filter(F.col("level") == depth).isEmpty():
             break
-        reached = reached.unionByName(level)
-    return reached.drop("links")
+    return reached.drop("links", "prefix")

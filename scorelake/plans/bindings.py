@@ -199,7 +199,7 @@ checked as (
          list_filter(must_not_call, lambda t: list_contains(calls, t)) forbidden,
          list_filter(must_call_with, lambda r: len(list_filter(zipped, lambda z: z[1] = r.tool
              and (r.len is null or z[2] = r.len))) = 0) unmet,
-         case when exp_answer is null then 1.0
+         case when exp_answer is null then 1.0::double
               when exp_match = 'exact' then case when trim(coalesce(final_answer, ''), chr(32) || chr(10)) =
                    trim(exp_answer, chr(32) || chr(10)) then 1.0 else 0.0 end
               when exp_match = 'regex' then case when regexp_matches(coalesce(final_answer, ''), exp_answer)
