@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scorelake.functions.text import fixed, percent, py_round
@@ -31,6 +32,45 @@ def find_regressions(
     )
 
 
+def flag_regressions(
+    current: DataFrame, baseline: DataFrame, on: Sequence[str] = ("dataset", "key")
+) -> DataFrame:
+    """All current cases with ``regressed`` and ``baseline_score``.
+
+    Summaries count the flag in the pass that computes everything else, so the cases are read and folded once.
+    """
+    joined = current.join(baseline.select(*on, "baseline_passed", "baseline_score"), list(on), "left")
+    return joined.withColumn("regressed", ~F.col("passed") & F.coalesce("baseline_passed", F.lit(False)))
+
+
+def flag_against_previous(
+    cases: DataFrame, run_no: str = "run_no", on: Sequence[str] = ("dataset", "key")
+) -> DataFrame:
+    """The same flag when each run is the baseline of the next one, as in compare-then-update on every run.
+
+    ``run_no`` numbers the runs of a dataset without gaps; after a missing run there is no baseline. Cases must be
+    folded: a key then has one row per run, and the window sees at most as many rows as there are runs. One scan and
+    one shuffle replace a self-join.
+    """
+    before = W.partitionBy(*on).orderBy(run_no)
+    last = F.lag(F.struct(F.col(run_no).alias("no"), F.col("passed").alias("passed"), F.col("score").alias("score")))
+    staged = cases.withColumn("_last", last.over(before))
+    known = F.col("_last.no") == F.col(run_no) - 1
+    return staged.withColumns(
+        {
+            "baseline_score": F.when(known, F.col("_last.score")),
+            "regressed": ~F.col("passed") & F.coalesce(known & F.col("_last.passed"), F.lit(False)),
+        }
+    ).drop("_last")
+
+
+def previous_rates(summary: DataFrame, run_no: str = "run_no", by: Sequence[str] = ("dataset",)) -> DataFrame:
+    """Add ``baseline_pass_rate``, the stored rate of the run before."""
+    before = W.partitionBy(*by).orderBy(run_no)
+    known = F.lag(run_no).over(before) == F.col(run_no) - 1
+    return summary.withColumn("baseline_pass_rate", F.when(known, py_round(F.lag("pass_rate").over(before), 4)))
+
+
 def _reason(condition: Column, text: Column) -> Column:
     return F.when(F.coalesce(condition, F.lit(False)), text)
 
@@ -97,18 +137,14 @@ def apply_gates(runs: DataFrame) -> DataFrame:
     )
 
 
-def gate_runs(
-    summary: DataFrame, regressions: DataFrame, baseline_rates: DataFrame, keys: Sequence[str] = ("run_id", "dataset")
-) -> DataFrame:
-    """Join run summaries with regression counts and stored baseline rates, then gate them.
+def gate_runs(summary: DataFrame, baseline_rates: DataFrame, on: Sequence[str] = ("dataset",)) -> DataFrame:
+    """Gate run summaries against the stored rates of their baselines.
 
-    ``summary`` carries a ``thresholds`` struct; ``baseline_rates`` has the keys and an unrounded ``pass_rate``. The
-    stored rate is rounded to four digits before it is compared.
+    ``summary`` carries ``thresholds`` and a ``regressions`` count; ``baseline_rates`` has an unrounded ``pass_rate``
+    per baseline, which is rounded to four digits before it is compared.
     """
-    counts = regressions.groupBy(*keys).agg(F.count("*").alias("regressions"))
-    rates = baseline_rates.select(*keys, py_round(F.col("pass_rate"), 4).alias("baseline_pass_rate"))
-    joined = summary.join(rates, list(keys), "left").join(counts, list(keys), "left")
-    return apply_gates(joined.withColumn("regressions", F.coalesce(F.col("regressions"), F.lit(0).cast("long"))))
+    rates = baseline_rates.select(*on, py_round(F.col("pass_rate"), 4).alias("baseline_pass_rate"))
+    return apply_gates(summary.join(rates, list(on), "left"))
 
 
 def sweep_gate(runs: DataFrame, compare: bool, keys: Sequence[str] = ()) -> DataFrame:

@@ -7,7 +7,7 @@ that histogram. Latency is a whole number of milliseconds, which bounds the hist
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -23,16 +23,21 @@ RESULT_DIGITS = {"pass_rate": 4, "total_cost_usd": 6, "avg_latency_ms": 1, "p50_
 HISTORY_DIGITS = {"pass_rate": 6, "total_cost_usd": 6, "avg_latency_ms": 2, "p50_latency_ms": 2, "p95_latency_ms": 2}
 
 
-def summarize_runs(cases: DataFrame, keys: Sequence[str] = RUN_KEYS, means: Sequence[str] = ()) -> DataFrame:
+def summarize_runs(
+    cases: DataFrame, keys: Sequence[str] = RUN_KEYS, means: Sequence[str] = (), flags: Mapping[str, str] | None = None
+) -> DataFrame:
     """Counts, pass rate, cost, mean latency, p50 and p95 per run, unrounded.
 
-    ``means`` names score columns to average as well (composite, answer and tool score of agent runs).
+    ``means`` names score columns to average as well (composite, answer and tool score of agent runs); ``flags`` maps
+    boolean columns to the names of their counts, e.g. ``{"regressed": "regressions"}``.
     """
+    flags = flags or {}
     histogram = cases.groupBy(*keys, "latency_ms").agg(
         F.count("*").alias("_n"),
         F.count_if(F.col("passed")).alias("_ok"),
         F.sum("cost_usd").alias("_cost"),
         *[F.sum(m).alias(f"_sum_{m}") for m in means],
+        *[F.count_if(F.col(f)).alias(f"_count_{f}") for f in flags],
     )
     run = W.partitionBy(*keys)
     upto = run.orderBy("latency_ms").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -52,6 +57,7 @@ def summarize_runs(cases: DataFrame, keys: Sequence[str] = RUN_KEYS, means: Sequ
         at_rank("_all div 2").alias("p50_latency_ms"),
         at_rank("_all * 95 div 100").alias("p95_latency_ms"),
         *[(F.sum(f"_sum_{m}") / total).alias(f"avg_{m}") for m in means],
+        *[F.sum(f"_count_{f}").alias(name) for f, name in flags.items()],
     )
 
 

@@ -153,23 +153,16 @@ def rate_bands(spark, sf):
 # --- regressions and gates --------------------------------------------------------------------------------------
 
 
-def _previous_day(cases: DataFrame) -> DataFrame:
-    """The run of the day before, as the baseline of each day's run."""
-    return cases.withColumn("day", F.date_add("day", 1))
-
-
-def _regressions(folded: DataFrame) -> DataFrame:
-    before = _previous_day(folded).select(
-        *DAY_KEYS, "key", F.col("passed").alias("baseline_passed"), F.col("score").alias("baseline_score")
-    )
-    return regress.find_regressions(folded, before, (*DAY_KEYS, "key"))
+def _folded_by_day(spark: SparkSession, sf: str) -> DataFrame:
+    folded = fold.fold_providers(b.raw_results(spark, sf), run_keys=DAY_KEYS)
+    return folded.withColumn("run_no", F.unix_date("day"))
 
 
 def _gated(spark: SparkSession, sf: str, thresholds: F.Column) -> DataFrame:
-    folded = fold.fold_providers(b.raw_results(spark, sf), run_keys=DAY_KEYS)
-    runs = summary.summarize_runs(folded, DAY_KEYS)
-    rates = _previous_day(runs.select(*DAY_KEYS, "pass_rate"))
-    return regress.gate_runs(runs.withColumn("thresholds", thresholds), _regressions(folded), rates, DAY_KEYS)
+    """Each daily run gated against the run of the day before: one scan, one summary."""
+    flagged = regress.flag_against_previous(_folded_by_day(spark, sf))
+    runs = summary.summarize_runs(flagged, (*DAY_KEYS, "run_no"), flags={"regressed": "regressions"})
+    return regress.apply_gates(regress.previous_rates(runs).withColumn("thresholds", thresholds))
 
 
 _REGRESSION_SQL = """,
@@ -179,12 +172,18 @@ regressed as (
   where p.passed and not c.passed)"""
 
 
-def _gates_sql(reasons: str) -> str:
-    return f"""{b.SUMMARY_SQL}{_REGRESSION_SQL},
-counted as (select dataset, day, count(*) n from regressed group by all),
+_DAY_BEFORE = "s.day = p.day + 1"
+_FIRST_DAY = "p.day = date '2024-01-01'"
+
+
+def _gates_sql(reasons: str, baseline: str = _DAY_BEFORE) -> str:
+    return f"""{b.SUMMARY_SQL},
+counted as (
+  select s.dataset, s.day, count(*) n from fold s join fold p on p.dataset = s.dataset and p.key = s.key and {baseline}
+  where p.passed and not s.passed group by all),
 joined as (
   select s.*, {_R('p.pass_rate', 4)} baseline_pass_rate, coalesce(n, 0) regressions
-  from summary s left join summary p on p.dataset = s.dataset and s.day = p.day + 1
+  from summary s left join summary p on p.dataset = s.dataset and {baseline}
   left join counted c on c.dataset = s.dataset and c.day = s.day),
 gated as (select *, list_filter([{reasons}], lambda r: r is not null) reasons from joined)"""
 
@@ -240,11 +239,19 @@ _RUN_GATE_REASONS = """
        then 'p95 latency ' || cast(p95_latency_ms as varchar) || 'ms exceeds threshold 500ms' end"""
 
 
-@query("run_gates", with_(_gates_sql(_RUN_GATE_REASONS), _GATE_SELECT))
+@query("run_gates", with_(_gates_sql(_RUN_GATE_REASONS, _FIRST_DAY), _GATE_SELECT))
 def run_gates(spark, sf):
-    """Gates with the retrieval defaults, one limit set for one dataset and the others off."""
+    """All runs against one baseline per dataset, its first run, with the retrieval defaults as thresholds."""
     limits = threshold_struct(RAG_THRESHOLDS, max_p95_latency_ms=F.when(F.col("dataset") == "ds1", 500))
-    return _gate_report(_gated(spark, sf, limits).withColumn("_delta", F.col("pass_rate_delta")))
+    first = b.raw_results(spark, sf).filter(F.col("day") == "2024-01-01")
+    base = fold.fold_providers(first, run_keys=("dataset",))
+    flagged = regress.flag_regressions(
+        fold.fold_providers(b.raw_results(spark, sf), run_keys=DAY_KEYS), regress.baseline_cases(base)
+    )
+    runs = summary.summarize_runs(flagged, DAY_KEYS, flags={"regressed": "regressions"})
+    rates = summary.summarize_runs(base, ("dataset",))
+    gated = regress.gate_runs(runs.withColumn("thresholds", limits), rates)
+    return _gate_report(gated.withColumn("_delta", F.col("pass_rate_delta")))
 
 
 @query(
@@ -255,10 +262,10 @@ def run_gates(spark, sf):
     ),
 )
 def regressions_llm(spark, sf):
-    folded = fold.fold_providers(b.raw_results(spark, sf), run_keys=DAY_KEYS)
-    return _regressions(folded).select(
-        "dataset", F.col("day").cast("string").alias("day"), "key", "baseline_score",
-        F.col("score").alias("current_score"),
+    """The regressed cases of every daily run, with both scores."""
+    found = regress.flag_against_previous(_folded_by_day(spark, sf)).filter("regressed")
+    return found.select(
+        "dataset", F.col("day").cast("string").alias("day"), "key", "baseline_score", F.col("score").alias("current_score")
     )
 
 
@@ -605,19 +612,14 @@ def bench_percentiles(spark, sf):
     "bench_regression",
     with_(
         b.FOLDL_SQL,
-        """select c.run_no, count(*) regressions, round(sum(p.score - c.score), 4) score_drop
+        """select c.run_no, count(*) regressions, cast(sum(cast(round((p.score - c.score) * 100) as bigint)) as bigint) drop_percent
            from foldl c join foldl p on p.key = c.key and c.run_no = p.run_no + 1
            where p.passed and not c.passed group by c.run_no""",
     ),
 )
 def bench_regression(spark, sf):
     """Monthly runs against the month before."""
-    folded = _folded_large(spark, sf)
-    before = folded.select(
-        (F.col("run_no") + 1).alias("run_no"), "key", F.col("passed").alias("baseline_passed"),
-        F.col("score").alias("baseline_score"),
-    )
-    found = regress.find_regressions(folded, before, ("run_no", "key"))
+    found = regress.flag_against_previous(_folded_large(spark, sf)).filter("regressed")
     return found.groupBy("run_no").agg(
-        F.count("*").alias("regressions"), F.round(F.sum(F.col("baseline_score") - F.col("score")), 4).alias("score_drop")
+        F.count("*").alias("regressions"), F.sum(F.round((F.col("baseline_score") - F.col("score")) * 100).cast("long")).alias("drop_percent")
     )
