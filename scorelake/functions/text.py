@@ -36,9 +36,17 @@ def icontains(hay: Column | str, needle: Column | str) -> Column:
 
 
 def fixed(c: Column, digits: int) -> Column:
-    """Decimal text of a double, rounded half-even on its binary value as Python formatting does."""
+    """Decimal text of a double, rounded half-even on its binary value as Python formatting does.
+
+    Spark's formatter is right everywhere but at half of the last digit itself (0.05 with one digit), which is given.
+    """
     pattern = "0" if digits == 0 else "0." + "0" * digits
-    return F.call_function("format_number", c.cast("double"), F.lit(pattern))
+    value = c.cast("double")
+    half = 0.5 / 10**digits
+    text = F.call_function("format_number", value, F.lit(pattern))
+    for edge in (half, -half):
+        text = F.when(value == edge, f"{edge:.{digits}f}").otherwise(text)
+    return text
 
 
 def percent(c: Column, digits: int = 1) -> Column:

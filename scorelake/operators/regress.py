@@ -110,7 +110,8 @@ def apply_gates(runs: DataFrame) -> DataFrame:
                 F.col("total_cost_usd") > t["max_cost_usd"],
                 F.concat(
                     F.lit("Total cost $"),
-                    fixed(F.col("total_cost_usd"), 4),
+                    # Summation order moves the last bits; six digits are what a result keeps.
+                    fixed(py_round(F.col("total_cost_usd"), 6), 4),
                     F.lit(" exceeds threshold $"),
                     fixed(t["max_cost_usd"], 4),
                 ),

@@ -25,7 +25,8 @@ def _joined(array: str, alias: str) -> Column:
 
 # --- retrieval answers ------------------------------------------------------------------------------------------
 
-_NOT_CONTAINED = "'Answer does not contain expected ground truth: ''' || ground_truth || ''''"
+# The expected text is shown as Python writes it, so a line break in it reads as a backslash and an n.
+_NOT_CONTAINED = r"'Answer does not contain expected ground truth: ''' || replace(ground_truth, chr(10), '\n') || ''''"
 _RAG_UNJUDGED_SQL = f"""select dataset, case_id, hit::double contains_score, 1.0::double faithfulness_score,
   hit::double answer_correctness_score, hit::double composite_score, latency_ms,
   array_to_string(list_filter([

@@ -196,7 +196,7 @@ _GATE_SELECT = f"""select dataset, cast(day as varchar) as day, total, passed, {
   case when baseline_pass_rate is not null then len(reasons) = 0 end gate_passed
 from gated"""
 
-_FLAGSHIP_REASONS = """
+_FLAGSHIP_REASONS = f"""
   case when dataset <> 'ds0' and regressions > 0
        then cast(regressions as varchar) || ' previously-passing case(s) now fail' end,
   case when pass_rate < 0.4
@@ -205,7 +205,7 @@ _FLAGSHIP_REASONS = """
        then 'Pass rate dropped ' || printf('%.1f%%', abs(pass_rate - baseline_pass_rate) * 100)
             || ', exceeds max allowed drop of 10.0%' end,
   case when total_cost_usd > 0.2
-       then 'Total cost $' || printf('%.4f', total_cost_usd) || ' exceeds threshold $0.2000' end,
+       then 'Total cost $' || printf('%.4f', {_R('total_cost_usd', 6)}) || ' exceeds threshold $0.2000' end,
   case when p95_latency_ms > 900
        then 'p95 latency ' || cast(p95_latency_ms as varchar) || 'ms exceeds threshold 900ms' end"""
 
@@ -284,7 +284,7 @@ pair as (
         _RAG_PAIR_SQL,
         """select dataset, case_id, 'case ' || cast(case_id as varchar) description, 1.0::double baseline_score,
            0.0::double current_score,
-           'Answer does not contain expected ground truth: ''' || ground_truth || '''; Answer correctness score 0.00 '
+           'Answer does not contain expected ground truth: ''' || replace(ground_truth, chr(10), '\\n') || '''; Answer correctness score 0.00 '
            || 'below threshold 0.50 (no judge configured; using contains match)' failure_reasons
            from pair where was_ok and not now_ok""",
     ),

@@ -61,7 +61,7 @@ def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
     Each file is read whole by one task, so this is for hand-kept files; large tables use ``read_lines``.
     """
-    raw = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(path)
+    raw = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
     parts = raw.select(
         F.element_at(F.split("_metadata.file_path", "/"), -2).alias("dataset"),
         F.col("_metadata.file_path").alias("file_path"),
@@ -245,7 +245,7 @@ def append_cases(lines: DataFrame, path: str, kind: Column | str = "type", on_er
 
 def read_catalog(spark: SparkSession, glob: str) -> DataFrame:
     """Dataset metadata files found by a glob such as ``root/*/dataset.json``; unreadable ones are left out."""
-    raw = spark.read.option("wholetext", "true").text(glob)
+    raw = spark.read.text(glob, wholetext=True)
     return parse_catalog(raw.select(F.col("value").alias("meta")))
 
 

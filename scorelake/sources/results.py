@@ -174,7 +174,7 @@ def write_json_lines(rows: DataFrame, path: str) -> None:
 
 def read_outputs(spark: SparkSession, path: str) -> DataFrame:
     """Runner output files, one per run: ``run_id`` from the file name, ``dataset`` from the folder, ``json``."""
-    raw = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(path)
+    raw = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
     parts = F.split("_metadata.file_path", "/")
     return raw.select(
         F.regexp_replace(F.element_at(parts, -1), r"\.json$", "").alias("run_id"),
