@@ -132,7 +132,8 @@ def _score_or_reason(score: Column, limit: Column, name: str, why: Column) -> Co
 def score_agent(cases: DataFrame, enforce_tool_score: bool = False) -> DataFrame:
     """Add scores, details and failure reasons of each trajectory.
 
-    Input: ``expected`` (see ``schemas.EXPECTED``), ``steps``, ``final_answer``, ``error`` and ``thresholds``. When
+    Input: ``expected`` (see ``schemas.EXPECTED``), ``final_answer``, ``error``, ``thresholds`` and either ``steps`` or
+    the compact form of a trajectory (``calls``, ``step_count``, ``tool_call_count``; see ``transcripts.compact``). When
     ``answer_judge`` or ``reasoning_judge`` structs (judge_score, judge_reason) are present, judged answers and
     reasoning use them. The minimum tool score fails a case only with ``enforce_tool_score``.
     """
@@ -165,22 +166,19 @@ def score_agent(cases: DataFrame, enforce_tool_score: bool = False) -> DataFrame
         reasoning_score = F.lit(None).cast("double")
         reasoning_reason = F.lit(None).cast("string")
 
-    none = F.array()
+    if "steps" in cases.columns:
+        steps = F.coalesce("steps", F.array().cast(cases.schema["steps"].dataType))
+        cases = cases.withColumns({"step_count": F.size(steps), "calls": tool_calls(steps)}).withColumn(
+            "tool_call_count", F.size("calls")
+        )
+    requirement_type = cases.schema["expected"].dataType["must_call_with"].dataType
     df = cases.withColumns(
         {
-            "step_count": F.size(F.coalesce("steps", F.array().cast(cases.schema["steps"].dataType))),
-            "_calls": tool_calls(F.coalesce("steps", F.array().cast(cases.schema["steps"].dataType))),
             "_must": F.coalesce(e["must_call"], empty),
             "_must_not": F.coalesce(e["must_not_call"], empty),
-        }
-    )
-    requirement_type = cases.schema["expected"].dataType["must_call_with"].dataType
-    df = df.withColumns(
-        {
-            "tool_call_count": F.size("_calls"),
-            "_called": F.array_distinct(F.transform("_calls", lambda c: c["name"])),
+            "_called": F.array_distinct(F.transform("calls", lambda c: c["name"])),
             "_checks": check_calls(
-                F.coalesce(e["must_call_with"], none.cast(requirement_type)), F.col("_calls")
+                F.coalesce(e["must_call_with"], F.array().cast(requirement_type)), F.col("calls")
             ),
         }
     )
@@ -274,7 +272,7 @@ def score_agent(cases: DataFrame, enforce_tool_score: bool = False) -> DataFrame
         }
     )
     return df.withColumn("passed", F.size("failure_reasons") == 0).drop(
-        "_calls", "_called", "_checks", "_must", "_must_not"
+        "calls", "_called", "_checks", "_must", "_must_not"
     )
 
 

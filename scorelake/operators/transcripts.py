@@ -184,6 +184,29 @@ def with_answer_steps(steps: DataFrame, answers: DataFrame, keys: Sequence[str]
     return steps.unionByName(last)
 
 
+def compact(steps: DataFrame, keys: Sequence[str] = ("case_id",)) -> DataFrame:
+    """What scoring needs of each trajectory, without gathering its steps.
+
+    Counts of steps and calls, and the distinct calls (name and arguments): repeated calls cannot change a check. All
+    three combine on the map side, so a trajectory of any length costs its distinct calls.
+    """
+    call = F.col("step.tool_call")
+    distinct = F.collect_set(
+        F.when(
+            call.isNotNull(),
+            F.struct(call["name"].alias("name"), F.array_sort(F.map_entries(call["arguments"])).alias("entries")),
+        )
+    )
+    return steps.groupBy(*keys).agg(
+        F.count("*").cast("int").alias("step_count"),
+        F.count(call["name"]).cast("int").alias("tool_call_count"),
+        F.transform(
+            distinct,
+            lambda c: F.struct(c["name"].alias("name"), F.map_from_entries(c["entries"]).alias("arguments")),
+        ).alias("calls"),
+    )
+
+
 def assemble(steps: DataFrame, keys: Sequence[str] = ("case_id",)) -> DataFrame:
     """One row per case with the ordered ``steps`` array."""
     ordered = F.array_sort(F.collect_list(F.struct("turn", "pos", "step")), _by_position)

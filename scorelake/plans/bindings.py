@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelake.operators.thresholds import threshold_struct
+from scorelake.operators.transcripts import compact
 from scorelake.schemas import AGENT_THRESHOLDS, EXPECTED, RAG_THRESHOLDS, STEP
 
 
@@ -217,56 +218,73 @@ scored as (
   from checked)"""
 )
 
-def trajectory_steps(turns: Column) -> Column:
-    """Steps from the ordered turns of a conversation: system thinks, user calls a tool, assistant thinks or answers."""
-    count = F.size(turns)
-
-    def step(t: Column, i: Column) -> Column:
-        kind = (
-            F.when(t["role"] == "user", "tool_call")
-            .when((t["role"] == "assistant") & (i == count - 1), "answer")
-            .otherwise("thought")
-        )
-        call = F.struct(
-            F.concat(F.lit("t"), (F.length(t["text"]) % 4).cast("string")).alias("name"),
-            F.create_map(F.lit("len"), (F.length(t["text"]) % 3).cast("string")).alias("arguments"),
-            F.length(t["text"]).cast("string").alias("result_json"),
-            F.lit(None).cast("string").alias("error"),
-            F.lit(0).alias("latency_ms"),
-        )
-        return F.struct(
-            kind.alias("type"),
-            t["text"].alias("content"),
-            F.when(t["role"] == "user", call).alias("tool_call"),
-            F.lit(0).alias("latency_ms"),
-            F.lit(0).alias("tokens"),
-            F.lit(0.0).alias("cost_usd"),
-        ).cast(STEP)
-
-    return F.transform(turns, step)
+def _turn_step(turn: Column, kind: Column) -> Column:
+    """A conversation turn as a trajectory step; a user turn is a tool call named by its length."""
+    size = F.length(turn["text"])
+    call = F.struct(
+        F.concat(F.lit("t"), (size % 4).cast("string")).alias("name"),
+        F.create_map(F.lit("len"), (size % 3).cast("string")).alias("arguments"),
+        size.cast("string").alias("result_json"),
+        F.lit(None).cast("string").alias("error"),
+        F.lit(0).alias("latency_ms"),
+    )
+    return F.struct(
+        kind.alias("type"),
+        turn["text"].alias("content"),
+        F.when(turn["role"] == "user", call).alias("tool_call"),
+        F.lit(0).alias("latency_ms"),
+        F.lit(0).alias("tokens"),
+        F.lit(0.0).alias("cost_usd"),
+    ).cast(STEP)
+
+
+def step_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps of conversations as rows: system turns think, user turns call a tool, assistant turns think."""
+    c = table(spark, sf_dir, "conversations")
+    turn = F.struct("turn", "role", "text")
+    kind = F.when(F.col("role") == "user", "tool_call").otherwise("thought")
+    return c.select("conv_id", "turn", F.lit(0).alias("pos"), _turn_step(turn, kind).alias("step"))
 
 
 def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per conversation. A trajectory is one value of a case, so its turns are gathered into its row."""
+    """One row per conversation with its ordered steps, for what is one text or one trace per conversation anyway.
+
+    As ``step_rows``, and an assistant turn that ends the conversation is its answer.
+    """
     c = table(spark, sf_dir, "conversations")
     turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    grouped = c.groupBy("conv_id").agg(turns.alias("turns"))
+    count = F.size("turns")
+
+    def step(t: Column, i: Column) -> Column:
+        last_reply = (t["role"] == "assistant") & (i == count - 1)
+        return _turn_step(t, F.when(t["role"] == "user", "tool_call").when(last_reply, "answer").otherwise("thought"))
+
     replies = F.filter("turns", lambda t: t["role"] == "assistant")
     asks = F.filter("turns", lambda t: t["role"] == "user")
-    chars = F.aggregate("turns", F.lit(0).cast("long"), lambda n, t: n + F.length(t["text"]))
-    return grouped.select(
+    return c.groupBy("conv_id").agg(turns.alias("turns")).select(
         "conv_id",
-        F.concat(F.lit("agent"), (F.col("conv_id") % 3).cast("string")).alias("dataset"),
-        trajectory_steps(F.col("turns")).alias("steps"),
+        F.transform("turns", step).alias("steps"),
         F.try_element_at(asks, F.lit(1))["text"].alias("task"),
         F.try_element_at(replies, F.lit(-1))["text"].alias("final_answer"),
+    )
+
+
+def compact_trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What scoring needs per conversation, aggregated without gathering turns."""
+    c = table(spark, sf_dir, "conversations")
+    role, chars = F.col("role"), F.sum(F.length("text"))
+    facts = c.groupBy("conv_id").agg(
+        F.min_by(F.when(role == "user", F.col("text")), F.when(role == "user", F.col("turn"))).alias("task"),
+        F.max_by(F.when(role == "assistant", F.col("text")), F.when(role == "assistant", F.col("turn"))).alias("final_answer"),
         (chars % 5000).cast("int").alias("latency_ms"),
         (chars / 1000000).alias("cost_usd"),
     )
+    return compact(step_rows(spark, sf_dir), ("conv_id",)).join(facts, "conv_id")
 
 
-def agent_cases(spark: SparkSession, sf_dir: str, crashes: bool = False) -> DataFrame:
-    t = trajectories(spark, sf_dir)
+def agent_cases(spark: SparkSession, sf_dir: str, crashes: bool = False, with_steps: bool = False) -> DataFrame:
+    t = (trajectories if with_steps else compact_trajectories)(spark, sf_dir)
+    t = t.withColumn("dataset", F.concat(F.lit("agent"), (F.col("conv_id") % 3).cast("string")))
     n = F.col("conv_id")
     word = F.split_part("task", F.lit(" "), F.lit(1))
     answer = (

@@ -375,14 +375,15 @@ def answer_match_modes(spark, sf):
     with_(
         b.EXP_SQL,
         """select conv_id, array_to_string(missing_tools, '|') missing_tools, array_to_string(forbidden, '|') forbidden_tools,
-           array_to_string(list_sort(list_distinct(calls)), '|') called, len(calls) tool_call_count from scored""",
+           array_to_string(list_sort(list_distinct(calls)), '|') called, cast(len(calls) as int) tool_call_count from scored""",
     ),
 )
 def tool_checks(spark, sf):
-    called = F.array_sort(agent.called_tools(F.col("steps")))
-    return _agent(spark, sf).select(
+    cases = b.agent_cases(spark, sf)
+    called = F.array_sort(F.array_distinct(F.transform("calls", lambda c: c["name"])))
+    return agent.score_agent(cases.withColumn("called", called)).select(
         "conv_id", _joined("missing_tools", "missing_tools"), _joined("forbidden_tools_found", "forbidden_tools"),
-        F.array_join(called, "|").alias("called"), F.col("tool_call_count").cast("long").alias("tool_call_count"),
+        _joined("called", "called"), "tool_call_count",
     )
 
 
@@ -455,7 +456,7 @@ def agent_scores(spark, sf):
     "agent_crash",
     with_(
         b.EXP_SQL,
-        f"""select conv_id, step_count, len(calls) tool_call_count,
+        f"""select conv_id, step_count, cast(len(calls) as int) tool_call_count,
             case when conv_id % 13 = 0 then 0.0 else answer_score end::double answer_score,
             case when conv_id % 13 = 0 then 0.0 else tool_score end::double tool_score,
             case when conv_id % 13 = 0 then 1.0 else round(efficiency, 9) end::double efficiency_score,
@@ -468,7 +469,7 @@ def agent_scores(spark, sf):
 def agent_crash(spark, sf):
     first = F.try_element_at("failure_reasons", F.lit(1))
     return _agent(spark, sf, crashes=True).select(
-        "conv_id", "step_count", F.col("tool_call_count").cast("long").alias("tool_call_count"), "answer_score", "tool_score",
+        "conv_id", "step_count", "tool_call_count", "answer_score", "tool_score",
         F.round("efficiency_score", 9).alias("efficiency_score"), F.round("composite_score", 9).alias("composite_score"),
         "passed", F.when(F.startswith(first, F.lit("Agent error")), first).alias("crash"),
     )
@@ -625,17 +626,19 @@ def _mocks() -> Column:
 
 @query(
     "resolve_tool_calls",
-    """select conv_id, cast(row_number() over (partition by conv_id order by turn) - 1 as int) pos,
-       't' || cast(length(text) % 4 as varchar) tool,
+    """select conv_id, turn, 't' || cast(length(text) % 4 as varchar) tool,
        case length(text) % 4 when 0 then '{"r": 0}' when 2 then 'null' end result_json,
        case length(text) % 4 when 1 then 'denied'
          when 3 then 'Tool ''t3'' is not defined in this test case. Available: [''t0'', ''t1'', ''t2'']' end error
        from conversations where role = 'user'""",
 )
 def resolve_tool_calls(spark, sf):
-    resolved = agent.resolve_tool_calls(F.col("steps"), _mocks())
-    calls = b.trajectories(spark, sf).select("conv_id", F.posexplode(agent.tool_calls(resolved)).alias("pos", "c"))
-    return calls.select("conv_id", "pos", F.col("c.name").alias("tool"), F.col("c.result_json").alias("result_json"), F.col("c.error").alias("error"))
+    """Every tool call looked up in the mocks of its case, one row per call."""
+    steps = b.step_rows(spark, sf).filter(F.col("step.tool_call").isNotNull())
+    call = agent.resolve_tool_calls(F.array("step"), _mocks())[0]["tool_call"]
+    return steps.select("conv_id", "turn", call.alias("c")).select(
+        "conv_id", "turn", F.col("c.name").alias("tool"), F.col("c.result_json").alias("result_json"), F.col("c.error").alias("error")
+    )
 
 
 _TRAJECTORY_TEXT_SQL = """
@@ -996,7 +999,7 @@ _AGENT_PROMPT_SQL = " union all ".join(
     ),
 )
 def prompts_agent_judge(spark, sf):
-    return prompts.agent_judge_prompts(b.agent_cases(spark, sf)).select("conv_id", "metric", "prompt")
+    return prompts.agent_judge_prompts(b.agent_cases(spark, sf, with_steps=True)).select("conv_id", "metric", "prompt")
 
 
 _MIX_SQL = " || chr(10) || ".join(

@@ -273,3 +273,20 @@ def test_tool_catalog(spark):
 def test_unsafe_patterns_are_listed(spark):
     rows = [(0, [], None, None, want(answer=r"(?P<x>a)", answer_match="regex")), (1, [], None, None, want(answer="ok", answer_match="regex"))]
     assert [r["case_id"] for r in agent.bad_patterns(spark.createDataFrame(rows, TRAJECTORY)).collect()] == [0]
+
+
+def test_compact_trajectories_score_the_same(spark):
+    from scorelake.operators.transcripts import compact
+
+    rng = random.Random(6)
+    rows, steps = [], []
+    for i in range(40):
+        path = [call(rng.choice("abc"), n=rng.randrange(2), m=None) if rng.random() < 0.7 else say("thought", "t") for _ in range(rng.randrange(1, 12))]
+        need = want(must_call=["a", "z"], must_not_call=["b"], must_call_with=[{"tool": "c", "args": {"n": "1", "m": None}}], max_steps=6, max_tool_calls=4)
+        rows.append((i, path, "x", None, need))
+        steps += [(i, j, 0, s) for j, s in enumerate(path)]
+    full = spark.createDataFrame(rows, TRAJECTORY).withColumn("thresholds", threshold_struct(AGENT_THRESHOLDS))
+    short = compact(spark.createDataFrame(steps, f"case_id int, turn int, pos int, step {STEPS[6:-1]}")).join(full.drop("steps"), "case_id")
+    kept = ("case_id", "step_count", "tool_call_count", "tool_score", "composite_score", "failure_reasons", "passed")
+    a, b = (agent.score_agent(d).select(*kept).orderBy("case_id").collect() for d in (full, short))
+    assert a == b
