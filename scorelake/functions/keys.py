@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scorelake.functions.staging import let
 from scorelake.functions.text import json_quote
 
 
@@ -32,11 +33,9 @@ def json_map_text(json_map: Column) -> Column:
 def canonical_json(text: Column) -> Column:
     """Sorted JSON text of an object given as JSON.
 
-    An object of plain strings, the usual case, is rewritten in the JVM. Only texts with numbers, lists or
-    objects inside are handed to Python; all others reach it as nulls.
+    Strings, whole numbers, booleans and nulls, the usual values, are written in the JVM. Only objects with fractions,
+    lists or objects inside are handed to Python; all others reach it as nulls.
     """
-    plain = vars_json(F.from_json(text, "map<string,string>"))
-    compact = F.to_json(F.try_parse_json(text))
 
     @F.pandas_udf("string")
     def sort_keys(texts: pd.Series) -> pd.Series:
@@ -44,8 +43,20 @@ def canonical_json(text: Column) -> Column:
             lambda t: None if t is None else json.dumps(json.loads(t), sort_keys=True, ensure_ascii=False)
         )
 
-    is_plain = F.coalesce(compact == F.to_json(F.try_parse_json(plain)), F.lit(False))
-    return F.when(is_plain, plain).otherwise(sort_keys(F.when(~is_plain, text)))
+    def write(value: Column) -> Column:
+        kind = F.schema_of_variant(value)
+        return F.when(kind == "STRING", json_quote(value.cast("string"))).when(
+            kind.isin("BIGINT", "BOOLEAN", "VOID"), F.to_json(value)
+        )
+
+    values = F.map_entries(F.transform_values(F.try_parse_json(text).cast("map<string,variant>"), lambda _, v: write(v)))
+    simple = let(
+        F.array_sort(values),
+        lambda entries: F.when(
+            F.forall(entries, lambda e: e["value"].isNotNull()), _object_text(entries, lambda v: v)
+        ),
+    )
+    return F.coalesce(simple, sort_keys(F.when(simple.isNull(), text)))
 
 
 def short_hash(canonical_text: Column) -> Column:

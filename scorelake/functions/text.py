@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scorelake.functions.staging import let
+
 # The characters that str.strip() removes.
 WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 "
@@ -71,15 +73,19 @@ def split_list(c: Column | str, drop_empty: bool = True) -> Column:
 
 def json_quote(c: Column) -> Column:
     """A string as JSON text, non-ASCII characters kept, control characters in lower-case hex."""
-    packed = F.to_json(F.array(c))
-    quoted = F.substring(packed, F.lit(2), F.length(packed) - 2)
-    # Spark writes \u001F where Python writes \u001f; only texts that hold such a mark are rewritten.
-    lowered = quoted
-    for digit in "ABCDEF":
-        lowered = F.regexp_replace(
-            lowered, rf"(?<!\\)((?:\\\\)*)\\u00([01]){digit}", rf"$1\\u00$2{digit.lower()}"
-        )
-    return F.when(quoted.rlike(r"\\u00[01][A-F]"), lowered).otherwise(quoted)
+
+    def escaped(packed: Column) -> Column:
+        quoted = F.substring(packed, F.lit(2), F.length(packed) - 2)
+        # Spark writes \u001F where Python writes \u001f; only texts that hold such a mark are rewritten.
+        lowered = quoted
+        for digit in "ABCDEF":
+            lowered = F.regexp_replace(
+                lowered, rf"(?<!\\)((?:\\\\)*)\\u00([01]){digit}", rf"$1\\u00$2{digit.lower()}"
+            )
+        return F.when(quoted.rlike(r"\\u00[01][A-F]"), lowered).otherwise(quoted)
+
+    plain = F.concat(F.lit('"'), c, F.lit('"'))
+    return F.when(c.rlike(r'["\\\x00-\x1F]'), let(F.to_json(F.array(c)), escaped)).otherwise(plain)
 
 
 def ascii_json(c: Column) -> Column:
@@ -142,20 +148,30 @@ def repr_list(items: Column) -> Column:
 
 def strip_fence(c: Column | str) -> Column:
     """Remove a leading code-fence line and, if the text then ends with a fence, that one too."""
-    text = strip(c)
-    cut = F.locate("\n", text)
-    body = F.when(cut == 0, F.lit("")).otherwise(F.substring(text, cut + 1, F.length(text)))
-    open_end = F.when(
-        F.endswith(body, F.lit("```")), strip(F.substring(body, F.lit(1), F.length(body) - 3))
-    ).otherwise(body)
-    return F.when(F.startswith(text, F.lit("```")), open_end).otherwise(text)
+
+    def inner(text: Column) -> Column:
+        cut = F.locate("\n", text)
+        body = F.when(cut == 0, F.lit("")).otherwise(F.substring(text, cut + 1, F.length(text)))
+        return let(
+            body,
+            lambda b: F.when(
+                F.endswith(b, F.lit("```")), strip(F.substring(b, F.lit(1), F.length(b) - 3))
+            ).otherwise(b),
+        )
+
+    return let(strip(c), lambda t: F.when(F.startswith(t, F.lit("```")), inner(t)).otherwise(t))
 
 
 def strip_fence_lines(c: Column | str) -> Column:
     """Remove a leading fence line and a last line that is only a fence."""
-    text = strip(c)
-    lines = F.split(text, r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x85  ]")
-    last_is_fence = strip(F.element_at(lines, -1)) == "```"
-    count = F.size(lines) - F.when(last_is_fence, 2).otherwise(1)
-    body = F.array_join(F.slice(lines, F.lit(2), F.greatest(count, F.lit(0))), "\n")
-    return F.when(F.startswith(text, F.lit("```")), body).otherwise(text)
+
+    def inner(lines: Column) -> Column:
+        last_is_fence = strip(F.element_at(lines, -1)) == "```"
+        count = F.size(lines) - F.when(last_is_fence, 2).otherwise(1)
+        return F.array_join(F.slice(lines, F.lit(2), F.greatest(count, F.lit(0))), "\n")
+
+    breaks = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x85  ]"
+    return let(
+        strip(c),
+        lambda t: F.when(F.startswith(t, F.lit("```")), let(F.split(t, breaks), inner)).otherwise(t),
+    )

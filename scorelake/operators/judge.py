@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelake.functions.scales import METRIC_SCALES, Scale
+from scorelake.functions.staging import stage
 from scorelake.functions.text import strip, strip_fence
 
 # The metrics of each judge, in the order of the combined reason, with their names there.
@@ -34,8 +35,7 @@ def parse_replies(replies: DataFrame, scales: Mapping[str, Sequence[str]] = METR
     A reply that is no JSON object, or whose label fits nothing, gets the middle of the scale. Rows of unknown metrics
     get nulls. Only row-wise expressions: no shuffle.
     """
-    parsed = F.try_parse_json(strip_fence("raw_text"))
-    staged = replies.withColumn("_obj", parsed).withColumn(
+    staged = stage(replies, "_obj", F.try_parse_json(strip_fence("raw_text"))).withColumn(
         "_is_obj", F.coalesce(F.startswith(F.schema_of_variant("_obj"), F.lit("OBJECT")), F.lit(False))
     )
     staged = staged.withColumn(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scorelake.functions.staging import stage
 from scorelake.functions.text import strip_fence_lines
 from scorelake.schemas import CALL_REQUIREMENT
 
@@ -20,8 +21,7 @@ _AGENT_ITEM = (
 
 
 def _items(replies: DataFrame) -> tuple[DataFrame, Column]:
-    body = strip_fence_lines("raw_text")
-    staged = replies.withColumn("_doc", F.try_parse_json(body))
+    staged = stage(replies, "_doc", F.try_parse_json(strip_fence_lines("raw_text")))
     shape = F.schema_of_variant("_doc")
     return staged, F.coalesce(F.startswith(shape, F.lit("ARRAY")), F.lit(False))
 
@@ -34,7 +34,7 @@ def _explode(staged: DataFrame, is_array: Column, item: str) -> DataFrame:
         F.posexplode(elements).alias("item_no", "_v"),
     )
     objects = exploded.filter(F.startswith(F.schema_of_variant("_v"), F.lit("OBJECT")))
-    return objects.withColumn("_item", F.from_json(F.to_json("_v"), item)).drop("_v")
+    return stage(objects, "_item", F.from_json(F.to_json("_v"), item)).drop("_v")
 
 
 def reply_errors(replies: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scorelake.functions.staging import stage
 from scorelake.functions.text import strip
 from scorelake.operators.agent import resolve_tool_calls
 from scorelake.schemas import STEP, TOOL_CALL
@@ -60,7 +61,8 @@ def transcript_steps(turns: DataFrame, keys: Sequence[str] = ("case_id",)) -> Da
     kept = turns.join(first, list(keys), "left").filter(F.col("_stop").isNull() | (F.col("turn") <= F.col("_stop")))
     text, latency = F.col("text"), F.col("latency_ms")
     thought, call_text, answer = (_tagged(text, t) for t in ("thought", "tool_call", "answer"))
-    parsed = F.try_parse_json(call_text)
+    kept = stage(stage(kept, "_call_text", call_text), "_call", F.try_parse_json("_call_text"))
+    parsed = F.col("_call")
     is_object = F.coalesce(F.startswith(F.schema_of_variant(parsed), F.lit("OBJECT")), F.lit(False))
     name = F.coalesce(F.try_variant_get(parsed, "$.name", "string"), F.lit(""))
     arguments = F.transform_values(
@@ -74,8 +76,9 @@ def transcript_steps(turns: DataFrame, keys: Sequence[str] = ("case_id",)) -> Da
         F.lit(None).cast("string").alias("error"),
         F.lit(0).alias("latency_ms"),
     )
-    staged = kept.withColumns({"_thought": thought, "_call_text": call_text, "_answer": answer, "_ok": is_object})
-    staged = staged.withColumn(
+    staged = kept.withColumns({"_thought": thought, "_answer": answer, "_ok": is_object})
+    staged = stage(
+        staged,
         "_called",
         F.when(
             F.col("_ok"),
@@ -99,7 +102,8 @@ def transcript_steps(turns: DataFrame, keys: Sequence[str] = ("case_id",)) -> Da
             F.when(F.col("_answer").isNotNull(), _step("answer", F.col("_answer"), latency=latency)),
         )
     )
-    return staged.select(*keys, "turn", F.posexplode(steps).alias("pos", "step"))
+    rows = stage(staged, "_steps", steps)
+    return rows.select(*keys, "turn", F.posexplode("_steps").alias("pos", "step"))
 
 
 def transcript_outcomes(turns: DataFrame, max_iterations: int, keys: Sequence[str] = ("case_id",)) -> DataFrame:
@@ -132,13 +136,13 @@ def event_log_steps(events: DataFrame, keys: Sequence[str] = ("case_id",)) -> Da
     A rationale is a thought, an action input a tool call, an action output an observation; one event can hold all
     three, in that order.
     """
-    event = F.try_parse_json("event")
+    trace = F.try_variant_get(F.try_parse_json("event"), "$.trace.trace.orchestrationTrace", "variant")
+    staged = stage(events.select(*keys, F.col("ord").alias("turn"), "event"), "_trace", trace)
 
     def at(path: str, kind: str = "string") -> Column:
-        return F.try_variant_get(event, f"$.trace.trace.orchestrationTrace.{path}", kind)
+        return F.try_variant_get("_trace", f"$.{path}", kind)
 
-    def filled(path: str) -> Column:
-        shape = F.schema_of_variant(at(path, "variant"))
+    def filled(shape: Column) -> Column:
         return F.coalesce(F.startswith(shape, F.lit("OBJECT")) & (shape != "OBJECT<>"), F.lit(False))
 
     action, output = "invocationInput.actionGroupInvocationInput", "observation.actionGroupInvocationOutput"
@@ -160,20 +164,30 @@ def event_log_steps(events: DataFrame, keys: Sequence[str] = ("case_id",)) -> Da
                 at("rationale", "variant").isNotNull(),
                 _step("thought", F.coalesce(at("rationale.text"), F.lit(""))),
             ),
-            F.when(filled(action), _step("tool_call", F.concat(F.lit("Invoking "), name), call)),
-            F.when(filled(output), _step("observation", F.coalesce(at(f"{output}.text"), F.lit("")))),
+            F.when(
+                filled(F.schema_of_variant(at(action, "variant"))),
+                _step("tool_call", F.concat(F.lit("Invoking "), name), call),
+            ),
+            F.when(
+                filled(F.schema_of_variant(at(output, "variant"))),
+                _step("observation", F.coalesce(at(f"{output}.text"), F.lit(""))),
+            ),
         )
     )
-    return events.select(*keys, F.col("ord").alias("turn"), F.posexplode(steps).alias("pos", "step"))
+    rows = stage(staged.filter(F.col("_trace").isNotNull()), "_steps", steps)
+    return rows.select(*keys, "turn", F.posexplode("_steps").alias("pos", "step"))
 
 
 def event_log_answers(events: DataFrame, keys: Sequence[str] = ("case_id",)) -> DataFrame:
-    """Final answer per case: its text chunks joined in order, null when they are empty."""
-    chunk = F.try_variant_get(F.try_parse_json("event"), "$.chunk.bytes", "string")
-    chunks = events.select(*keys, "ord", chunk.alias("_chunk")).filter(F.col("_chunk") != "")
-    parts = F.array_sort(F.collect_list(F.struct("ord", "_chunk")))
-    joined = chunks.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda p: p["_chunk"]), "").alias("final_answer"))
-    return events.select(*keys).distinct().join(joined, list(keys), "left")
+    """Final answer per case: its text chunks joined in order, null when they are empty. One aggregation."""
+    chunks = stage(
+        events.select(*keys, "ord", "event"),
+        "_chunk",
+        F.try_variant_get(F.try_parse_json("event"), "$.chunk.bytes", "string"),
+    )
+    parts = F.array_sort(F.collect_list(F.when(F.col("_chunk") != "", F.struct("ord", "_chunk"))))
+    text = F.array_join(F.transform(parts, lambda p: p["_chunk"]), "")
+    return chunks.groupBy(*keys).agg(F.nullif(text, F.lit("")).alias("final_answer"))
 
 
 def with_answer_steps(steps: DataFrame, answers: DataFrame, keys: Sequence[str] = ("case_id",)) -> DataFrame:

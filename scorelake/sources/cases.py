@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelake.functions.keys import canonical_args
+from scorelake.functions.staging import stage
 from scorelake.functions.text import strip
 from scorelake.schemas import EXPECTED, MOCKS
 
@@ -156,7 +157,7 @@ def case_errors(doc: Column, kind: Column) -> Column:
 def validate_cases(lines: DataFrame, kind: Column | str = "type") -> DataFrame:
     """Add ``errors`` and ``valid`` to lines. Row-wise, no shuffle."""
     kind = F.col(kind) if isinstance(kind, str) else kind
-    staged = lines.withColumn("_doc", F.try_parse_json("line"))
+    staged = stage(lines, "_doc", F.try_parse_json("line"))
     return staged.withColumn("errors", case_errors(F.col("_doc"), kind)).drop("_doc").withColumn(
         "valid", F.size("errors") == 0
     )
@@ -165,8 +166,7 @@ def validate_cases(lines: DataFrame, kind: Column | str = "type") -> DataFrame:
 def parse_cases(valid_lines: DataFrame, kind: Column | str = "type") -> DataFrame:
     """Typed cases with their defaults from valid lines. A case without an id gets one derived from its line."""
     kind = F.col(kind) if isinstance(kind, str) else kind
-    case = F.from_json("line", _CASE)
-    staged = valid_lines.withColumn("_c", case)
+    staged = stage(valid_lines, "_c", F.from_json("line", _CASE))
     prefix = F.coalesce(*[F.when(kind == k, F.lit(p)) for k, p in ID_PREFIX.items()], F.lit("tc"))
     names = F.array().cast("array<string>")
     e = F.col("_c.expected")
@@ -262,7 +262,7 @@ _META = (
 
 def parse_catalog(metas: DataFrame) -> DataFrame:
     """Typed dataset rows from metadata JSON in ``meta``, sorted by name."""
-    staged = metas.withColumn("_m", F.from_json("meta", _META)).withColumn("_v", F.try_parse_json("meta"))
+    staged = stage(stage(metas, "_m", F.from_json("meta", _META)), "_v", F.try_parse_json("meta"))
     ok = F.coalesce(_kind_of(F.col("_v"), "name") == "STRING", F.lit(False))
     named_kind = _kind_of(F.col("_v"), "type").isNull() | F.col("_m.type").isin(*KINDS)
     rest = [c for c in metas.columns if c != "meta"]

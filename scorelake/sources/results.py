@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelake.functions.keys import canonical_json, short_hash
+from scorelake.functions.staging import stage
 from scorelake.functions.text import py_round, strip
 from scorelake.operators.display import provider_id
 from scorelake.operators.summary import RESULT_DIGITS, rounded
@@ -20,15 +21,15 @@ def parse_results(outputs: DataFrame) -> DataFrame:
     Accepts ``{results: {results: [..]}}``, ``{results: [..]}`` and a bare list. Missing fields get their defaults: not
     passed, score 1 or 0 by success, no latency, no cost.
     """
-    doc = F.try_parse_json("json")
     items = F.coalesce(
-        F.try_variant_get(doc, "$.results.results", "array<variant>"),
-        F.try_variant_get(doc, "$.results", "array<variant>"),
-        F.try_variant_get(doc, "$", "array<variant>"),
+        F.try_variant_get("_doc", "$.results.results", "array<variant>"),
+        F.try_variant_get("_doc", "$.results", "array<variant>"),
+        F.try_variant_get("_doc", "$", "array<variant>"),
     )
     keys = [c for c in outputs.columns if c != "json"]
-    rows = outputs.select(*keys, F.posexplode(items).alias("ord", "_v"))
-    rows = rows.withColumn("_i", F.from_json(F.to_json("_v"), _ITEM))
+    staged = stage(outputs.select(*keys, F.try_parse_json("json").alias("_doc")), "_items", items)
+    rows = staged.select(*keys, F.posexplode("_items").alias("ord", "_v"))
+    rows = stage(rows, "_i", F.from_json(F.to_json("_v"), _ITEM)).drop("_v")
     success = F.coalesce(F.col("_i.success"), F.lit("false")) == "true"
     vars_json = canonical_json(F.coalesce(F.col("_i.vars"), F.lit("{}")))
     return rows.select(
@@ -66,7 +67,7 @@ STEP_TYPES = ("thought", "tool_call", "observation", "answer")
 
 def validate_traces(lines: DataFrame) -> DataFrame:
     """Add ``error`` to trace lines: null for a valid one."""
-    staged = lines.withColumn("_v", F.try_parse_json("line")).withColumn("_t", F.from_json("line", _TRACE))
+    staged = stage(lines, "_v", F.try_parse_json("line"))
     kind = lambda path: F.schema_of_variant(F.try_variant_get("_v", f"$.{path}", "variant"))
     steps = F.try_variant_get("_v", "$.steps", "array<variant>")
     known = F.forall(
@@ -81,15 +82,14 @@ def validate_traces(lines: DataFrame) -> DataFrame:
         .when(~known, "steps: unknown step type or content")
         .when(~F.coalesce(kind("final_answer"), F.lit("VOID")).isin("STRING", "VOID"), "final_answer: not a string")
     )
-    return staged.withColumn("error", error).drop("_v", "_t")
+    return staged.withColumn("error", error).drop("_v")
 
 
 def parse_traces(lines: DataFrame) -> DataFrame:
     """Typed traces from valid lines. Tool results stay JSON text; an absent result is null."""
-    trace = F.from_json("line", _TRACE)
-    raw_steps = F.try_variant_get(F.try_parse_json("line"), "$.steps", "array<variant>")
+    lines = stage(lines, "_raw", F.try_variant_get(F.try_parse_json("line"), "$.steps", "array<variant>"))
     steps = F.transform(
-        raw_steps,
+        "_raw",
         lambda s: F.struct(
             F.try_variant_get(s, "$.type", "string").alias("type"),
             F.coalesce(F.try_variant_get(s, "$.content", "string"), F.lit("")).alias("content"),
@@ -97,9 +97,9 @@ def parse_traces(lines: DataFrame) -> DataFrame:
             F.nullif(F.to_json(F.try_variant_get(s, "$.result", "variant")), F.lit("null")).alias("result_json"),
         ),
     )
-    staged = lines.withColumns({"_t": trace, "steps": steps})
+    staged = stage(lines, "_t", F.from_json("line", _TRACE)).withColumn("steps", steps)
     return staged.select(
-        *[c for c in lines.columns if c not in ("line", "error")],
+        *[c for c in lines.columns if c not in ("line", "error", "_raw")],
         F.col("_t.task").alias("task"),
         "steps",
         F.col("_t.final_answer").alias("final_answer"),
