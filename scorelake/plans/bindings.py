@@ -98,15 +98,32 @@ def raw_results_large(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# --- retrieval cases from conversations -------------------------------------------------------------------------
+# --- conversations cut into talks of bounded length --------------------------------------------------------------
+
+# A talk is at most 64 turns of a conversation, so what is gathered per talk is bounded. The factor leaves the same
+# remainders as the conversation id for all small divisors.
+TALK_TURNS = 64
+TALK_FACTOR = 27721
+TALKS = (
+    f"(select conv_id * {TALK_FACTOR} + turn // {TALK_TURNS} as conv_id, turn, role, text from conversations) talks"
+)
+
+
+def talks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = F.floor(F.col("turn") / TALK_TURNS)
+    talk = (F.col("conv_id") * TALK_FACTOR + part).alias("conv_id")
+    return table(spark, sf_dir, "conversations").select(talk, "turn", "role", "text")
+
+
+# --- retrieval cases from """ + TALKS + """ -------------------------------------------------------------------------
 
 RAG_SQL = """
 rag_cases as (
   select 'conv' || cast(conv_id % 3 as varchar) dataset, conv_id case_id, arg_min(text, turn) query
-  from conversations where role = 'user' group by conv_id),
+  from """ + TALKS + """ where role = 'user' group by conv_id),
 rag_responses as (
   select conv_id case_id, arg_max(text, turn) answer, cast(sum(length(text)) % 900 as int) latency_ms
-  from conversations where role = 'assistant' group by conv_id),
+  from """ + TALKS + """ where role = 'assistant' group by conv_id),
 rag as (
   select dataset, case_id, query, split_part(query, ' ', 1) ground_truth, answer,
          coalesce(latency_ms, 0) latency_ms, case when answer is null then 'no response' end error
@@ -114,7 +131,7 @@ rag as (
 
 
 def rag_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    users = table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    users = talks(spark, sf_dir).filter(F.col("role") == "user")
     cases = users.groupBy("conv_id").agg(F.min_by("text", "turn").alias("query"))
     return cases.select(
         F.concat(F.lit("conv"), (F.col("conv_id") % 3).cast("string")).alias("dataset"),
@@ -125,7 +142,7 @@ def rag_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rag_responses(spark: SparkSession, sf_dir: str, newest: bool = True) -> DataFrame:
-    replies = table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
+    replies = talks(spark, sf_dir).filter(F.col("role") == "assistant")
     pick = F.max_by if newest else F.min_by
     return replies.groupBy("conv_id").agg(
         pick("text", "turn").alias("answer"), (F.sum(F.length("text")) % 900).cast("int").alias("latency_ms")
@@ -143,7 +160,7 @@ marked as (
   select conv_id, turn, text,
          min(case when role = 'user' then turn end) over (partition by conv_id) first_user,
          max(case when role = 'assistant' then turn end) over (partition by conv_id) last_reply
-  from conversations),
+  from """ + TALKS + """),
 contexts as (
   select conv_id case_id, list(text order by turn) contexts
   from marked where turn is distinct from first_user and turn is distinct from last_reply group by conv_id)"""
@@ -151,7 +168,7 @@ contexts as (
 
 def rag_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The turns of a conversation that are neither its query nor its answer, as the contexts of its case row."""
-    c = table(spark, sf_dir, "conversations")
+    c = talks(spark, sf_dir)
     ends = c.groupBy("conv_id").agg(
         F.min(F.when(F.col("role") == "user", F.col("turn"))).alias("first_user"),
         F.max(F.when(F.col("role") == "assistant", F.col("turn"))).alias("last_reply"),
@@ -165,7 +182,7 @@ def rag_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# --- agent trajectories from conversations ----------------------------------------------------------------------
+# --- agent trajectories from """ + TALKS + """ ----------------------------------------------------------------------
 
 TRJ_SQL = """
 trj as (
@@ -175,7 +192,7 @@ trj as (
          coalesce(list('t' || cast(length(text) % 4 as varchar) order by turn) filter (role = 'user'), []) calls,
          coalesce(list(cast(length(text) % 3 as varchar) order by turn) filter (role = 'user'), []) args,
          cast(sum(length(text)) % 5000 as int) latency_ms, sum(length(text)) / 1000000 cost_usd
-  from conversations group by conv_id)"""
+  from """ + TALKS + """ group by conv_id)"""
 
 EXP_SQL = (
     TRJ_SQL
@@ -240,7 +257,7 @@ def _turn_step(turn: Column, kind: Column) -> Column:
 
 def step_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps of conversations as rows: system turns think, user turns call a tool, assistant turns think."""
-    c = table(spark, sf_dir, "conversations")
+    c = talks(spark, sf_dir)
     turn = F.struct("turn", "role", "text")
     kind = F.when(F.col("role") == "user", "tool_call").otherwise("thought")
     return c.select("conv_id", "turn", F.lit(0).alias("pos"), _turn_step(turn, kind).alias("step"))
@@ -251,7 +268,7 @@ def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     As ``step_rows``, and an assistant turn that ends the conversation is its answer.
     """
-    c = table(spark, sf_dir, "conversations")
+    c = talks(spark, sf_dir)
     turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
     count = F.size("turns")
 
@@ -271,7 +288,7 @@ def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def compact_trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What scoring needs per conversation, aggregated without gathering turns."""
-    c = table(spark, sf_dir, "conversations")
+    c = talks(spark, sf_dir)
     role, chars = F.col("role"), F.sum(F.length("text"))
     facts = c.groupBy("conv_id").agg(
         F.min_by(F.when(role == "user", F.col("text")), F.when(role == "user", F.col("turn"))).alias("task"),

@@ -80,69 +80,34 @@ def page_links(spark, sf):
 
 @query(
     "crawl",
-    """with site as (
-         select r_regionkey r, null::bigint n, null::bigint c, null::bigint o, 'http://shop.test/s/r' || r_regionkey url, 0 as depth from region
+    """with recursive shop as (select o_orderkey k from orders where o_orderkey % 7 <> 3),
+       reach as (
+         select r_regionkey + 1 seed, r_regionkey + 1 k, 0 as depth from region join shop on k = r_regionkey + 1
          union all
-         select n_regionkey, n_nationkey, null, null, 'http://shop.test/s/n' || n_nationkey, 1 from nation
-         union all
-         select n_regionkey, n_nationkey, c_custkey, null, 'http://shop.test/s/c' || c_custkey, 2
-         from customer join nation on c_nationkey = n_nationkey
-         union all
-         select n_regionkey, n_nationkey, c_custkey, o_orderkey, 'http://shop.test/s/o' || o_orderkey, 3
-         from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey
-         where o_orderkey % 4 <> 0)
-       select 'http://shop.test/s/r' || r seed, url, cast(depth as int) as level, cast(pos as int) as position from (
-         select *, row_number() over (partition by r order by depth, n, c, o) - 1 pos from site)
-       where pos < 600""",
+         select seed, shop.k, depth + 1 from reach join (select unnest([1, 2, 3, 4]) i) on true
+         join shop on shop.k = 4 * reach.k + i)
+       select 'http://shop.test/s/' || seed seed, 'http://shop.test/s/' || k url, cast(depth as int) as level,
+              cast(pos as int) as position
+       from (select *, row_number() over (partition by seed order by depth, k) - 1 pos from reach) where pos < 600""",
 )
 def crawl_shop(spark, sf):
-    """Crawl a site made of regions, nations, customers and orders, one crawl per region.
+    """Crawl a site with a page per order, from one seed per region.
 
-    Pages link down and back up; every fourth order is linked but has no page.
+    Order k links to the orders 4k + 1 to 4k + 4, to itself and out of the site; every seventh order has no
+    page.
     """
-    region, nation, customer, orders = (b.table(spark, sf, t) for t in ("region", "nation", "customer", "orders"))
-
-    def links(prefix: str, ids: Column) -> Column:
-        return F.array_join(
-            F.transform(F.array_sort(ids), lambda k: F.concat(F.lit(f'<a href="{prefix}'), k.cast("string"), F.lit('">x</a>'))), " "
-        )
-
-    def page(prefix: str, key: Column, body: Column) -> list[Column]:
-        return [
-            F.concat(F.lit(f"http://shop.test/s/{prefix}"), key.cast("string")).alias("url"),
-            F.concat(F.lit("<html><body>"), F.coalesce(body, F.lit("")), F.lit("</body></html>")).alias("html"),
-        ]
-
-    nations = nation.groupBy("n_regionkey").agg(F.collect_list("n_nationkey").alias("ids"))
-    customers = customer.groupBy("c_nationkey").agg(F.collect_list("c_custkey").alias("ids"))
-    bought = orders.groupBy("o_custkey").agg(F.collect_list("o_orderkey").alias("ids"))
-    home = F.lit('<a href="https://other.test/">out</a> <a href="/">home</a> ')
-    pages = (
-        region.join(nations, region["r_regionkey"] == nations["n_regionkey"], "left")
-        .select(*page("r", F.col("r_regionkey"), F.concat(home, links("../s/./n", F.col("ids")))))
-        .unionByName(
-            nation.join(customers, nation["n_nationkey"] == customers["c_nationkey"], "left").select(
-                *page("n", F.col("n_nationkey"), F.concat(
-                    F.lit('<a href="r'), F.col("n_regionkey").cast("string"), F.lit('">up</a> '),
-                    F.coalesce(links("/s/c", F.col("ids")), F.lit("")),
-                ))
-            )
-        )
-        .unionByName(
-            customer.join(bought, customer["c_custkey"] == bought["o_custkey"], "left").select(
-                *page("c", F.col("c_custkey"), links("http://shop.test/s/o", F.col("ids")))
-            )
-        )
-        .unionByName(
-            orders.filter(F.col("o_orderkey") % 4 != 0).select(
-                *page("o", F.col("o_orderkey"), F.concat(F.lit("<a href='c"), F.col("o_custkey").cast("string"), F.lit("'>c</a>")))
-            )
-        )
-    )
-    seeds = region.select(
-        F.concat(F.lit("http://shop.test/s/r"), F.col("r_regionkey").cast("string")).alias("url")
+    orders, region = b.table(spark, sf, "orders"), b.table(spark, sf, "region")
+    k = F.col("o_orderkey")
+    text = lambda c: c.cast("string")
+    html = F.concat(
+        F.lit('<html><a href="https://other.test/">out</a> <a href="/">home</a> <a href="'), text(k),
+        F.lit('">self</a> <a href="./'), text(4 * k + 1), F.lit("\">1</a> <a HREF='../s/"), text(4 * k + 2),
+        F.lit("#top'>2</a> <a href=\"/s/"), text(4 * k + 3), F.lit('">3</a> <a href="http://shop.test/s/'), text(4 * k + 4),
+        F.lit('">4</a></html>'),
     )
-    return crawl.crawl(pages, seeds, 600)
+    url = lambda c: F.concat(F.lit("http://shop.test/s/"), text(c))
+    pages = orders.filter(k % 7 != 3).select(url(k).alias("url"), html.alias("html"))
+    return crawl.crawl(pages, region.select(url(F.col("r_regionkey") + 1).alias("url")), 600)
 
 
 # --- chunks and quotas ------------------------------------------------------------------------------------------

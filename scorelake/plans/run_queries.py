@@ -271,7 +271,7 @@ def regressions_llm(spark, sf):
 
 _RAG_PAIR_SQL = b.RAG_SQL + """,
 first_replies as (
-  select conv_id case_id, arg_min(text, turn) first_answer from conversations where role = 'assistant' group by 1),
+  select conv_id case_id, arg_min(text, turn) first_answer from """ + b.TALKS + """ where role = 'assistant' group by 1),
 pair as (
   select r.*, contains(lower(coalesce(answer, '')), lower(ground_truth)) now_ok,
          contains(lower(first_answer), lower(ground_truth)) was_ok
