@@ -6,6 +6,7 @@ that fail are rows with their reasons, never lost.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -218,13 +219,36 @@ def agent_expected(expected: Column) -> Column:
 
 
 class InvalidCases(ValueError):
-    """Raised by a strict append; ``errors`` is the table of failing lines."""
+    """Raised by a strict append or load; ``errors`` is the table of failing lines."""
 
     def __init__(self, errors: DataFrame, count: int):
-        super().__init__(f"{count} validation error(s) — no cases were added")
+        super().__init__(f"{count} validation error(s)")
         self.errors = errors
 
 
+def load_cases(spark: SparkSession, path: str, kind: str, first_only: bool = False) -> DataFrame:
+    """Typed cases of hand-kept files, refusing invalid ones by line number. A missing path is an empty set.
+
+    ``first_only`` stops at the first bad line, as for the plain kinds; otherwise the error carries all of them, as for
+    retrieval and agent cases.
+    """
+    empty = "dataset string, file_path string, line_no int, item_no int, line string"
+    try:
+        numbered = read_numbered_lines(spark, path)
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        numbered = spark.createDataFrame([], empty)
+    checked = validate_cases(numbered, F.lit(kind))
+    bad = checked.filter(~F.col("valid")).drop("valid")
+    first = bad.orderBy("file_path", "line_no").limit(1).collect()
+    if first and first_only:
+        raise ValueError(f"invalid case on line {first[0]['line_no']} of {first[0]['file_path']}: {'; '.join(first[0]['errors'])}")
+    if first:
+        raise InvalidCases(bad, bad.count())
+    return parse_cases(checked, F.lit(kind))
+
+
 def append_cases(lines: DataFrame, path: str, kind: Column | str = "type", on_error: str = "fail") -> DataFrame:
     """Append lines to the case table at ``path`` and return the written and skipped counts per dataset.
 

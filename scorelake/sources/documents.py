@@ -19,7 +19,7 @@ def _suffix(path: Column) -> Column:
 def read_documents(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """Documents below a path: ``content``, ``filename`` and ``source``.
 
-    ``path`` may be a file, a folder or an object-store URI. Files with other suffixes are passed over by the listing,
+    ``path`` may be a file, a folder or an object-store path (see ``object_store_path``). Files with other suffixes are passed over by the listing,
     their content is never read. Bytes that are not UTF-8 become replacement characters. Rows are not sorted: ``source``
     is the order, and the operators that need one (quotas) sort narrow columns by it rather than whole documents.
     """
@@ -29,7 +29,7 @@ def read_documents(spark: SparkSession, path: str, recursive: bool = True) -> Da
         .option("pathGlobFilter", "*.{[tT][xX][tT],[mM][dD]}")
         .load(path)
     )
-    source = F.regexp_replace("path", r"^file:(?://)?(?=/)", "")
+    source = F.regexp_replace(F.regexp_replace("path", r"^file:(?://)?(?=/)", ""), r"^s3[an]://", "s3://")
     return files.filter(_suffix(F.col("path")).isin(*SUFFIXES)).select(
         strip(F.make_valid_utf8(F.col("content").cast("string"))).alias("content"),
         F.substring_index("path", "/", -1).alias("filename"),
@@ -37,6 +37,14 @@ def read_documents(spark: SparkSession, path: str, recursive: bool = True) -> Da
     )
 
 
+def object_store_path(uri: str) -> str:
+    """Reader path for ``s3://bucket/prefix``: every key that starts with the prefix."""
+    if not uri.startswith("s3://"):
+        raise ValueError(f"an object-store URI starts with s3://: {uri!r}")
+    bucket, _, prefix = uri.removeprefix("s3://").partition("/")
+    return f"s3a://{bucket}/{prefix}*"
+
+
 def require_documents(documents: DataFrame, path: str) -> DataFrame:
     """Fail when nothing was found."""
     if documents.isEmpty():

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scorelake.operators import crawl, documents
-from scorelake.sources.documents import check_source, read_documents, require_documents
+from scorelake.sources.documents import check_source, object_store_path, read_documents, require_documents
 
 
 @pytest.mark.parametrize(
@@ -33,7 +33,7 @@ def test_links_resolve_like_urllib(spark):
     hrefs = [
         "/x", "x", "./x", "../x", "../../x", "../../../../x", "/a/../b", "/a/./b/", "?q", "http://o.com/p?q", "//o.com/p",
         "mailto:a@b", "HTTP://O.com/x", "x/y/", "x//y", "//o", "a/..", "a/.", "..", ".", "/..", "x?y=/../z", "x;p?q",
-        "/x//y", "http:foo", "x:y", "a/b/../../c/", "/", "ftp://x/y", "http://o.com/../x", "a///../b",
+        "/x//y", "http:foo", "x:y", "a/b/../../c/", "/", "ftp://x/y", "http://o.com/../x", "a///../b", "/x?", "x?", "http://o.com?", "https://o.com/a?b?", "/a?b=/../c",
     ]
     df = spark.createDataFrame([(b, h) for b in bases for h in hrefs], "b string, h string")
     for r in df.select("b", "h", documents.resolve_url(F.col("b"), F.col("h")).alias("u")).collect():
@@ -177,3 +177,9 @@ def test_read_documents(spark, tmp_path):
     (tmp_path / "only" / "x.json").write_text("{}")
     with pytest.raises(ValueError):
         require_documents(read_documents(spark, str(tmp_path / "only")), "only")
+
+
+def test_object_store_paths():
+    assert object_store_path("s3://b/docs/x") == "s3a://b/docs/x*" and object_store_path("s3://b") == "s3a://b/*"
+    with pytest.raises(ValueError):
+        object_store_path("/tmp/x")

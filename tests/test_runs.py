@@ -43,6 +43,9 @@ def test_matrix_has_nulls_for_missing_cases_and_needs_two_providers(spark):
     got = {r["key"]: r for r in fold.provider_matrix(rows, ["p", "q"]).collect()}
     assert got["k"]["p_passed"] is True and got["k"]["q_passed"] is None and got["m"]["q_latency_ms"] == 2
     assert fold.provider_matrix(rows, ["p"]).count() == 0
+    assert fold.list_providers(rows) == ["p", "q"]
+    with pytest.raises(ValueError):
+        fold.list_providers(rows, at_most=1)
 
 
 def test_percentiles_are_nearest_rank(spark):

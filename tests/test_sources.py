@@ -79,6 +79,19 @@ def test_numbered_lines_count_blanks_and_not(spark, tmp_path):
     assert cases.read_lines(spark, str(tmp_path)).count() == 2
 
 
+def test_loading_names_the_line(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "cases.jsonl").write_text(f"{json.dumps(QA)}\n\nbad\n{{}}\n")
+    with pytest.raises(ValueError, match="line 3"):
+        cases.load_cases(spark, str(tmp_path / "d"), "qa", first_only=True)
+    with pytest.raises(cases.InvalidCases) as refused:
+        cases.load_cases(spark, str(tmp_path / "d"), "qa")
+    assert sorted(r["line_no"] for r in refused.value.errors.collect()) == [3, 4]
+    (tmp_path / "d" / "cases.jsonl").write_text(f"{json.dumps(QA)}\n")
+    assert [r["case_id"] for r in cases.load_cases(spark, str(tmp_path / "d"), "qa").collect()] == ["a"]
+    assert cases.load_cases(spark, str(tmp_path / "none"), "qa").count() == 0
+
+
 def test_strict_append_adds_nothing_and_lenient_skips(spark, tmp_path):
     path = str(tmp_path / "cases")
     cases.append_cases(lines(spark, QA), path)
