@@ -5,10 +5,10 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.functions.staging import let
+from scorelake.functions.staging import let, stage
 from scorelake.functions.text import json_quote
 
 
@@ -30,18 +30,8 @@ def json_map_text(json_map: Column) -> Column:
     return _object_text(F.map_entries(json_map), lambda v: F.coalesce(v, F.lit("null")))
 
 
-def canonical_json(text: Column) -> Column:
-    """Sorted JSON text of an object given as JSON.
-
-    Strings, whole numbers, booleans and nulls, the usual values, are written in the JVM. Only objects with fractions,
-    lists or objects inside are handed to Python; all others reach it as nulls.
-    """
-
-    @F.pandas_udf("string")
-    def sort_keys(texts: pd.Series) -> pd.Series:
-        return texts.map(
-            lambda t: None if t is None else json.dumps(json.loads(t), sort_keys=True, ensure_ascii=False)
-        )
+def _plain_json(text: Column) -> Column:
+    """Sorted JSON text of an object of strings, whole numbers, booleans and nulls; null for any other."""
 
     def write(value: Column) -> Column:
         kind = F.schema_of_variant(value)
@@ -50,13 +40,30 @@ def canonical_json(text: Column) -> Column:
         )
 
     values = F.map_entries(F.transform_values(F.try_parse_json(text).cast("map<string,variant>"), lambda _, v: write(v)))
-    simple = let(
+    return let(
         F.array_sort(values),
         lambda entries: F.when(
             F.forall(entries, lambda e: e["value"].isNotNull()), _object_text(entries, lambda v: v)
         ),
     )
-    return F.coalesce(simple, sort_keys(F.when(simple.isNull(), text)))
+
+
+def with_canonical_json(df: DataFrame, name: str, text: Column) -> DataFrame:
+    """Add the sorted JSON text of an object given as JSON.
+
+    The usual objects are written in the JVM. Only those with fractions, lists or objects inside are handed to Python;
+    all others reach it as nulls.
+    """
+
+    @F.pandas_udf("string")
+    def sort_keys(texts: pd.Series) -> pd.Series:
+        return texts.map(
+            lambda t: None if t is None else json.dumps(json.loads(t), sort_keys=True, ensure_ascii=False)
+        )
+
+    staged = stage(df, "_plain", _plain_json(text))
+    rest = sort_keys(F.when(F.col("_plain").isNull(), text))
+    return staged.withColumn(name, F.coalesce("_plain", rest)).drop("_plain")
 
 
 def short_hash(canonical_text: Column) -> Column:

@@ -74,8 +74,7 @@ def page_documents(spark, sf):
          group by page_id, link)""",
 )
 def page_links(spark, sf):
-    links = documents.page_links(F.col("html"), F.col("url"))
-    return b.table(spark, sf, "pages").select("page_id", F.posexplode(links).alias("pos", "link"))
+    return documents.link_rows(b.table(spark, sf, "pages"), ("page_id",))
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.functions.keys import canonical_json, short_hash
+from scorelake.functions.keys import short_hash, with_canonical_json
 from scorelake.functions.staging import stage
 from scorelake.functions.text import py_round, strip
 from scorelake.operators.display import provider_id
@@ -31,17 +31,18 @@ def parse_results(outputs: DataFrame) -> DataFrame:
     rows = staged.select(*keys, F.posexplode("_items").alias("ord", "_v"))
     rows = stage(rows, "_i", F.from_json(F.to_json("_v"), _ITEM)).drop("_v")
     success = F.coalesce(F.col("_i.success"), F.lit("false")) == "true"
-    vars_json = canonical_json(F.coalesce(F.col("_i.vars"), F.lit("{}")))
+    rows = with_canonical_json(rows, "_vars", F.coalesce(F.col("_i.vars"), F.lit("{}")))
     return rows.select(
         *keys,
         F.col("ord").cast("long").alias("ord"),
         provider_id(F.coalesce("_i.provider", F.lit(""))).alias("provider"),
-        vars_json.alias("vars_json"),
+        F.col("_vars").alias("vars_json"),
+        short_hash(F.col("_vars")).alias("key"),
         success.alias("success"),
         F.coalesce("_i.score", F.when(success, 1.0).otherwise(0.0)).alias("score"),
         F.coalesce(F.col("_i.latencyMs").cast("int"), F.lit(0)).alias("latency_ms"),
         F.coalesce("_i.cost", F.lit(0.0)).alias("cost_usd"),
-    ).withColumn("key", short_hash(F.col("vars_json")))
+    )
 
 
 def parse_token_stats(outputs: DataFrame) -> DataFrame:

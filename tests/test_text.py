@@ -68,8 +68,8 @@ def test_keys_ignore_key_order_and_match_python(spark):
 
 
 def test_canonical_json_of_any_values(spark):
-    texts = ['{"b":"x","a":"y"}', '{"a":1,"b":[1,2.0],"c":{"z":null, "d": true}}', "{}", '{"q":"1"}', '{"é": "ü", "a": "\\n"}']
-    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", keys.canonical_json(F.col("t")).alias("c"))
+    texts = ['{"b":"x","a":"y"}', '{"a":1,"b":[1,2.0],"c":{"z":null, "d": true}}', "{}", '{"q":"1"}', '{"é": "ü", "a": "\\n"}', '{"n": null, "t": true, "i": -5, "big": 123456789012345678901, "f": 1.50, "e": 1e5}']
+    rows = keys.with_canonical_json(spark.createDataFrame([(t,) for t in texts], "t string"), "c", F.col("t"))
     for r in rows.collect():
         assert r["c"] == json.dumps(json.loads(r["t"]), sort_keys=True, ensure_ascii=False)
 
