@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelake.functions.keys import short_hash, with_canonical_json
-from scorelake.functions.staging import stage
-from scorelake.functions.text import py_round, strip
+from scorelake.functions.staging import let, stage
+from scorelake.functions.text import lstrip, py_round, strip
 from scorelake.operators.display import provider_id
 from scorelake.operators.summary import RESULT_DIGITS, rounded
 
@@ -21,15 +21,14 @@ def parse_results(outputs: DataFrame) -> DataFrame:
     Accepts ``{results: {results: [..]}}``, ``{results: [..]}`` and a bare list. Missing fields get their defaults: not
     passed, score 1 or 0 by success, no latency, no cost.
     """
-    items = F.coalesce(
-        F.try_variant_get("_doc", "$.results.results", "array<variant>"),
-        F.try_variant_get("_doc", "$.results", "array<variant>"),
-        F.try_variant_get("_doc", "$", "array<variant>"),
+    text = F.when(F.startswith(lstrip("json"), F.lit("[")), F.col("json")).otherwise(
+        F.coalesce(F.get_json_object("json", "$.results.results"), F.get_json_object("json", "$.results"))
     )
     keys = [c for c in outputs.columns if c != "json"]
-    staged = stage(outputs.select(*keys, F.try_parse_json("json").alias("_doc")), "_items", items)
-    rows = staged.select(*keys, F.posexplode("_items").alias("ord", "_v"))
-    rows = stage(rows, "_i", F.from_json(F.to_json("_v"), _ITEM)).drop("_v")
+    # An object in place of the list holds no results; from_json would take it for a list of one.
+    listed = let(lstrip(text), lambda t: F.when(F.startswith(t, F.lit("[")), t))
+    staged = stage(outputs, "_items", F.from_json(listed, f"array<{_ITEM}>"))
+    rows = staged.select(*keys, F.posexplode("_items").alias("ord", "_i")).filter(F.col("_i").isNotNull())
     success = F.coalesce(F.col("_i.success"), F.lit("false")) == "true"
     rows = with_canonical_json(rows, "_vars", F.coalesce(F.col("_i.vars"), F.lit("{}")))
     return rows.select(

@@ -189,14 +189,14 @@ def test_versions(spark, tmp_path):
 
 def test_runner_output_shapes_and_defaults(spark):
     item = '{"vars": {"q": "a"}, "success": true, "latencyMs": 12, "provider": {"id": "p"}}'
-    docs = [("a", f'{{"results": {{"results": [{item}], "stats": {{"tokenUsage": {{"total": 9}}}}}}}}'), ("b", f'{{"results": [{item}, {{"vars": {{"q": "b"}}}}]}}'), ("c", f"[{item}]"), ("e", "{}")]
+    docs = [("a", f'{{"results": {{"results": [{item}], "stats": {{"tokenUsage": {{"total": 9}}}}}}}}'), ("b", f'{{"results": [{item}, {{"vars": {{"q": "b"}}}}]}}'), ("c", f" [{item}]"), ("e", "{}"), ("f", '{"results": {"stats": {}}}'), ("g", "bad")]
     df = spark.createDataFrame(docs, "run_id string, json string")
     got = results.parse_results(df).orderBy("run_id", "ord").collect()
     assert [(r["run_id"], r["ord"], r["provider"], r["success"], r["score"], r["latency_ms"]) for r in got] == [
         ("a", 0, "p", True, 1.0, 12), ("b", 0, "p", True, 1.0, 12), ("b", 1, "unknown", False, 0.0, 0), ("c", 0, "p", True, 1.0, 12),
     ]
     assert got[0]["key"] == got[3]["key"] != got[2]["key"]
-    assert {r["run_id"]: r["total_tokens"] for r in results.parse_token_stats(df).collect()} == {"a": 9, "b": 0, "c": 0, "e": 0}
+    assert {r["run_id"]: r["total_tokens"] for r in results.parse_token_stats(df).collect()} == {"a": 9, "b": 0, "c": 0, "e": 0, "f": 0, "g": 0}
 
 
 TRACE = {
@@ -315,3 +315,12 @@ def test_output_files_one_per_run(spark, tmp_path):
     (tmp_path / "d" / "run_1.json").write_text('{"results": [\n{"vars": {"q": "a"},\n "success": true}\n]}\n')
     got = results.parse_results(results.read_outputs(spark, str(tmp_path))).collect()
     assert [(r["run_id"], r["dataset"], r["success"]) for r in got] == [("run_1", "d", True)]
+
+
+def test_runner_output_keys_keep_number_spelling(spark):
+    import hashlib
+
+    given = {"b": 1.0, "a": [1, {"z": None}], "c": "é"}
+    df = spark.createDataFrame([("a", json.dumps([{"vars": given}]))], "run_id string, json string")
+    want = hashlib.sha256(json.dumps(given, sort_keys=True, ensure_ascii=False).encode()).hexdigest()[:16]
+    assert results.parse_results(df).first()["key"] == want
