@@ -12,8 +12,17 @@ from scorelake.functions.text import fixed, icontains, py_repr
 CASE_KEYS = ("dataset", "case_id")
 
 
-def join_responses(cases: DataFrame, responses: DataFrame, on: Sequence[str] = CASE_KEYS) -> DataFrame:
-    """Every case with its answer. A case nobody answered is a failed call with the error ``no response``."""
+def join_responses(
+    cases: DataFrame, responses: DataFrame, on: Sequence[str] = CASE_KEYS, runs: DataFrame | None = None
+) -> DataFrame:
+    """Every case with its answer. A case nobody answered is a failed call with the error ``no response``.
+
+    For answers of many runs at once, ``runs`` lists them (``run_id``, ``dataset``): each run is then held to every case
+    of its dataset.
+    """
+    if runs is not None:
+        cases = cases.join(runs.select("run_id", "dataset"), "dataset")
+        on = ("run_id", *on)
     answered = responses.withColumn("_answered", F.lit(True))
     joined = cases.join(answered, list(on), "left")
     missing = F.col("_answered").isNull()
@@ -45,7 +54,10 @@ def score_rag(cases: DataFrame) -> DataFrame:
     df = cases.withColumns({"answer": answer, "contains_score": icontains(answer, "ground_truth").cast("double")})
 
     if has_judge:
-        judged = ~failed_call & F.col("faithfulness").isNotNull() & F.col("answer_correctness").isNotNull()
+        df = df.withColumns(
+            {m: F.when(~failed_call, F.col(m)) for m in ("faithfulness", "answer_correctness")}
+        )
+        judged = F.col("faithfulness").isNotNull() & F.col("answer_correctness").isNotNull()
         faith, correct = F.col("faithfulness"), F.col("answer_correctness")
         both = F.concat(
             F.lit("Faithfulness: "), faith["reason"], F.lit(" | Answer Correctness: "), correct["reason"]

@@ -171,11 +171,7 @@ def rag_case_details(spark, sf):
     cases = b.rag_cases(spark, sf).withColumns({"thresholds": b.rag_thresholds(), "cost_usd": F.lit(0.0)})
     answered = rag.join_responses(cases, b.rag_responses(spark, sf), ("case_id",))
     judged = judge.pivot_metrics(judge.parse_replies(_rag_replies(spark, sf)), judge.RAG_METRICS, ("case_id",))
-    # A failed call is never judged, whatever replies there are.
-    open_only = rag.join_judge(answered, judged, ("case_id",)).withColumns(
-        {m: F.when(F.col("error").isNull(), F.col(m)) for m in judge.RAG_METRICS}
-    )
-    details = results.rag_case_details(rag.score_rag(open_only))
+    details = results.rag_case_details(rag.score_rag(rag.join_judge(answered, judged, ("case_id",))))
     return details.select(
         "case_id", "passed", "contains_score", F.col("faithfulness.raw").alias("f_raw"),
         F.col("faithfulness.label").alias("f_label"), F.col("answer_correctness.raw").alias("c_raw"),

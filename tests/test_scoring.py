@@ -220,6 +220,14 @@ def test_cases_without_response_fail(spark):
     assert got[1]["passed"] is True and got[2]["failure_reasons"][0] == "Model call failed: no response"
 
 
+def test_every_run_is_held_to_every_case(spark):
+    cases = spark.createDataFrame([("d", 1, "x"), ("d", 2, "x")], "dataset string, case_id int, ground_truth string").withColumn("thresholds", threshold_struct(RAG_THRESHOLDS))
+    runs = spark.createDataFrame([("r1", "d"), ("r2", "d")], "run_id string, dataset string")
+    answers = spark.createDataFrame([("r1", "d", 1, "x", None), ("r1", "d", 2, "x", None), ("r2", "d", 2, "y", None)], "run_id string, dataset string, case_id int, answer string, error string")
+    got = {(r["run_id"], r["case_id"]): r["passed"] for r in rag.score_rag(rag.join_responses(cases, answers, runs=runs)).collect()}
+    assert got == {("r1", 1): True, ("r1", 2): True, ("r2", 1): False, ("r2", 2): False}
+
+
 def test_assertions(spark):
     schema = (
         "type string, input struct<query:string,text:string,instruction:string,document:string>, "
