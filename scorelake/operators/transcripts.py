@@ -17,6 +17,12 @@ from scorelake.operators.agent import resolve_tool_calls
 from scorelake.schemas import STEP, TOOL_CALL
 
 
+# Wording of steps made from transcripts and event logs.
+CALLING, INVOKING, ERROR = "Calling ", "Invoking ", "Error: "
+BAD_CALL = "[parse error in tool call: not a JSON object]"
+NO_ANSWER = "Reached max iterations ({n}) without producing an answer"
+
+
 def _tagged(text: Column, tag: str) -> Column:
     """Content of the first ``<tag>`` block, stripped; null without one."""
     pattern = f"(?s)<{tag}>(.*?)</{tag}>"
@@ -82,12 +88,12 @@ def transcript_steps(turns: DataFrame, keys: Sequence[str] = ("case_id",)) -> Da
         "_called",
         F.when(
             F.col("_ok"),
-            resolve_tool_calls(F.array(_step("tool_call", F.concat(F.lit("Calling "), name), bare_call)), F.col("tools"))[0],
+            resolve_tool_calls(F.array(_step("tool_call", F.concat(F.lit(CALLING), name), bare_call)), F.col("tools"))[0],
         ),
     )
     called = F.col("_called")
     failed = called["tool_call"]["error"].isNotNull()
-    seen = F.when(failed, F.concat(F.lit("Error: "), called["tool_call"]["error"])).otherwise(
+    seen = F.when(failed, F.concat(F.lit(ERROR), called["tool_call"]["error"])).otherwise(
         called["tool_call"]["result_json"]
     )
     steps = F.array_compact(
@@ -97,7 +103,7 @@ def transcript_steps(turns: DataFrame, keys: Sequence[str] = ("case_id",)) -> Da
             F.when(called.isNotNull(), _step("observation", seen)),
             F.when(
                 F.col("_call_text").isNotNull() & ~F.col("_ok"),
-                _step("thought", F.lit("[parse error in tool call: not a JSON object]")),
+                _step("thought", F.lit(BAD_CALL)),
             ),
             F.when(F.col("_answer").isNotNull(), _step("answer", F.col("_answer"), latency=latency)),
         )
@@ -124,7 +130,7 @@ def transcript_outcomes(turns: DataFrame, max_iterations: int, keys: Sequence[st
             "total_latency_ms",
             F.when(
                 F.col("_first").isNull(),
-                F.lit(f"Reached max iterations ({max_iterations}) without producing an answer"),
+                F.lit(NO_ANSWER.replace("{n}", str(max_iterations))),
             ).alias("error"),
         )
     )
@@ -166,7 +172,7 @@ def event_log_steps(events: DataFrame, keys: Sequence[str] = ("case_id",)) -> Da
             ),
             F.when(
                 filled(F.schema_of_variant(at(action, "variant"))),
-                _step("tool_call", F.concat(F.lit("Invoking "), name), call),
+                _step("tool_call", F.concat(F.lit(INVOKING), name), call),
             ),
             F.when(
                 filled(F.schema_of_variant(at(output, "variant"))),

@@ -116,6 +116,33 @@ def _enum_error(doc: Column, path: str, allowed: tuple[str, ...], nullable: bool
     return F.when(kind.isNotNull() & wrong, F.lit(f"{path}: not one of {', '.join(allowed)}"))
 
 
+def _calls_error(doc: Column, path: str) -> Column:
+    """Call requirements are objects with a tool name and, if given, arguments as an object."""
+    items = F.try_variant_get(doc, f"$.{path}", "array<variant>")
+
+    def fine(item: Column) -> Column:
+        kind = lambda p: F.schema_of_variant(F.try_variant_get(item, f"$.{p}", "variant"))
+        named = F.coalesce(kind("tool") == "STRING", F.lit(False))
+        return named & F.startswith(F.coalesce(kind("args"), F.lit("OBJECT")), F.lit("OBJECT"))
+
+    good = F.coalesce(F.forall(items, fine), F.lit(False))
+    return F.when(_kind_of(doc, path).isNotNull() & ~good, F.lit(f"{path}: not a list of tool calls"))
+
+
+def _mocks_error(doc: Column, path: str) -> Column:
+    """Mocks map tool names to objects whose error, if any, is a text."""
+    mocks = F.map_values(F.try_variant_get(doc, f"$.{path}", "map<string,variant>"))
+
+    def fine(mock: Column) -> Column:
+        error = F.schema_of_variant(F.try_variant_get(mock, "$.error", "variant"))
+        is_object = F.startswith(F.schema_of_variant(mock), F.lit("OBJECT"))
+        return is_object & F.coalesce(error, F.lit("VOID")).isin("STRING", "VOID")
+
+    kind = _kind_of(doc, path)
+    good = F.startswith(kind, F.lit("OBJECT")) & F.coalesce(F.forall(mocks, fine), F.lit(False))
+    return F.when(kind.isNotNull() & ~good, F.lit(f"{path}: not an object of mock responses"))
+
+
 def case_errors(doc: Column, kind: Column) -> Column:
     """What is wrong with a case, as a list of texts; empty for a valid one. ``doc`` is a parsed variant."""
     common = [
@@ -138,7 +165,8 @@ def case_errors(doc: Column, kind: Column) -> Column:
         if name == "agent":
             checks += [
                 _object_error(doc, "expected"),
-                _object_error(doc, "tools"),
+                _mocks_error(doc, "tools"),
+                _calls_error(doc, "expected.must_call_with"),
                 _object_error(doc, "input.context"),
                 _text_error(doc, "expected.answer", False, True),
                 _text_error(doc, "expected.rubric", False, True),

@@ -7,6 +7,7 @@ import re
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from scorelake.functions.text import py_round
 from scorelake.operators.summary import HISTORY_DIGITS, rounded
@@ -26,10 +27,17 @@ def _overwrite(df: DataFrame, path: str, *partitions: str) -> None:
     ).parquet(path)
 
 
-def _existing(spark: SparkSession, path: str) -> DataFrame | None:
+def read_table(spark: SparkSession, path: str, *partitions: str) -> DataFrame:
+    """A partitioned table with its partition columns as text, so that a dataset named 007 keeps its name."""
+    found = spark.read.parquet(path).schema
+    fields = [StructField(f.name, StringType()) if f.name in partitions else f for f in found]
+    return spark.read.schema(StructType(fields)).parquet(path)
+
+
+def _existing(spark: SparkSession, path: str, *partitions: str) -> DataFrame | None:
     """The table at a path, or None before its first write."""
     try:
-        return spark.read.parquet(path)
+        return read_table(spark, path, *partitions)
     except AnalysisException as exc:
         if exc.getCondition() == "PATH_NOT_FOUND":
             return None
@@ -97,7 +105,7 @@ def record_runs(runs: DataFrame, cases: DataFrame, path: str) -> None:
     """
     spark = runs.sparkSession
     new = runs.select(*_names(RUNS))
-    old = _existing(spark, f"{path}/runs")
+    old = _existing(spark, f"{path}/runs", "dataset")
     if old is not None:
         touched = new.select("dataset").distinct()
         kept = migrate_runs(old).join(touched, "dataset", "left_semi").join(new.select("run_id"), "run_id", "left_anti")
@@ -107,7 +115,7 @@ def record_runs(runs: DataFrame, cases: DataFrame, path: str) -> None:
 
 
 def load_history(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    runs = migrate_runs(spark.read.parquet(f"{path}/runs"))
+    runs = migrate_runs(read_table(spark, f"{path}/runs", "dataset"))
     return runs.select(*_names(RUNS)), spark.read.schema(CASE_RESULTS).parquet(f"{path}/case_results")
 
 
@@ -119,8 +127,8 @@ def save_baselines(runs: DataFrame, cases: DataFrame, path: str) -> None:
 
 def load_baselines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
     """Baseline runs and cases, or None when nothing was saved yet."""
-    runs = _existing(spark, f"{path}/runs")
-    return None if runs is None else (runs, spark.read.parquet(f"{path}/cases"))
+    runs = _existing(spark, f"{path}/runs", "dataset")
+    return None if runs is None else (runs, read_table(spark, f"{path}/cases", "dataset"))
 
 
 def check_version(version: str) -> str:
@@ -146,7 +154,7 @@ def tag_version(
             raise ValueError(f"version '{version}' already exists for {', '.join(names)}")
     snapshot = cases.withColumn("version", F.lit(version))
     snapshot.hint("rebalance", "dataset").write.mode("append").partitionBy("dataset", "version").parquet(f"{path}/case_versions")
-    written = spark.read.parquet(f"{path}/case_versions").filter(F.col("version") == version)
+    written = read_table(spark, f"{path}/case_versions", "dataset", "version").filter(F.col("version") == version)
     info = written.join(cases.select("dataset").distinct(), "dataset", "left_semi").groupBy("dataset", "version").agg(
         F.count("*").alias("case_count")
     ).withColumns({"created_at": F.lit(created_at), "description": F.lit(description)})
@@ -169,7 +177,7 @@ def list_versions(spark: SparkSession, path: str, semantic: bool = False) -> Dat
 
 def read_version(spark: SparkSession, path: str, version: str, dataset: str | None = None) -> DataFrame:
     """Cases of a snapshot; only its partitions are read."""
-    cases = spark.read.parquet(f"{path}/case_versions").filter(F.col("version") == check_version(version))
+    cases = read_table(spark, f"{path}/case_versions", "dataset", "version").filter(F.col("version") == check_version(version))
     return cases if dataset is None else cases.filter(F.col("dataset") == dataset)
 
 

@@ -53,6 +53,12 @@ def test_question_cases(spark, change, error):
         ("agent", {"input": {"task": "t"}, "expected": {"answer_match": "fuzzy"}}, False),
         ("agent", {"input": {"task": "t"}, "expected": {"max_steps": 4.5}}, False),
         ("agent", {"input": {"task": "t"}, "expected": {"max_steps": 4}, "tools": {"a": {"response": 1}}}, True),
+        ("agent", {"input": {"task": "t"}, "tools": {"a": 1}}, False),
+        ("agent", {"input": {"task": "t"}, "tools": {"a": {"error": 5}}}, False),
+        ("agent", {"input": {"task": "t"}, "tools": {}}, True),
+        ("agent", {"input": {"task": "t"}, "expected": {"must_call_with": [{"tool": "a", "args": {"k": 1}}, {"tool": "b"}]}}, True),
+        ("agent", {"input": {"task": "t"}, "expected": {"must_call_with": [{"args": {}}]}}, False),
+        ("agent", {"input": {"task": "t"}, "expected": {"must_call_with": []}}, True),
         ("agent", {"expected": {}}, False),
         ("qa", "nonsense", False),
         ("qa", "[1]", False),
@@ -142,6 +148,18 @@ def test_recording_replaces_by_run(spark, tmp_path):
     assert {r["run_id"]: r["count"] for r in rows.groupBy("run_id").count().collect()} == {"r1": 4, "r2": 2, "r3": 1}
 
 
+def test_numeric_names_stay_text(spark, tmp_path):
+    path, work = str(tmp_path / "v"), str(tmp_path / "w")
+    recorded(spark, "r1", "007", 0.5, 2, path)
+    recorded(spark, "r2", "007", 0.5, 2, path)
+    runs, rows = history.load_history(spark, path)
+    assert {r["dataset"] for r in runs.collect()} == {r["dataset"] for r in rows.collect()} == {"007"} and runs.count() == 2
+    cases_ = spark.createDataFrame([("007", 1), ("7", 2)], "dataset string, n int")
+    history.tag_version(cases_, path, "v1.0.0", "t")
+    history.restore_version(spark, path, "v1.0.0", work)
+    assert {r["dataset"] for r in history.read_table(spark, work, "dataset").collect()} == {"007", "7"}
+
+
 def test_old_runs_get_a_type(spark):
     old = spark.createDataFrame([("r",)], "run_id string")
     typed = spark.createDataFrame([("s", "rag"), ("t", None)], "run_id string, run_type string")
