@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.functions.text import fixed, icontains, py_repr, strip
+from scorelake.functions.text import fixed, icontains, py_repr, repr_list, strip
 
 
 def tool_calls(steps: Column) -> Column:
@@ -298,14 +298,12 @@ def resolve_tool_calls(steps: Column, mocks: Column) -> Column:
         call = step["tool_call"]
         mock = F.try_element_at(mocks, call["name"])
         known = F.array_contains(names, call["name"])
-        listed = F.concat(
-            F.lit("["), F.array_join(F.transform(names, py_repr), ", "), F.lit("]")
-        )
         error = (
             F.when(
                 ~known,
                 F.concat(
-                    F.lit("Tool '"), call["name"], F.lit("' is not defined in this test case. Available: "), listed
+                    F.lit("Tool '"), call["name"], F.lit("' is not defined in this test case. Available: "),
+                    repr_list(names),
                 ),
             )
             .when(mock["error"] != "", mock["error"])

@@ -1070,3 +1070,12 @@ def case_mix(spark, sf):
 )
 def rounded_scores(spark, sf):
     return _agent(spark, sf).select("conv_id", py_round(F.col("composite_score"), 4).alias("composite_score"))
+
+
+@query(
+    "called_tools",
+    with_(b.TRJ_SQL, "select conv_id, array_to_string(list_sort(list_distinct(calls)), '|') called from trj"),
+)
+def called_tools(spark, sf):
+    called = F.array_sort(agent.called_tools(F.col("steps")))
+    return b.trajectories(spark, sf).select("conv_id", F.array_join(called, "|").alias("called"))

@@ -660,3 +660,18 @@ def document_files(spark, sf):
     found = require_documents(read_documents(spark, root), root)
     lang = F.regexp_extract("source", "/lang=([^/]+)/", 1)
     return found.groupBy(lang.alias("lang")).agg(F.sum(F.length(F.regexp_replace("content", r"\s", ""))).alias("chars"))
+
+
+@query("first_cases", "select doc_id, lang from documents order by doc_id limit 50")
+def first_cases(spark, sf):
+    """The requested number of cases, first in order."""
+    return documents.first_cases(b.table(spark, sf, "documents").select("doc_id", "lang"), 50, ["doc_id"])
+
+
+@query(
+    "display_times",
+    "select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') shown from events",
+)
+def display_times(spark, sf):
+    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return b.table(spark, sf, "events").select("event_id", display.display_time(iso).alias("shown"))

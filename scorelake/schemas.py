@@ -14,16 +14,6 @@ EXPECTED = (
     f"must_call_with:array<{CALL_REQUIREMENT}>,max_steps:int,max_tool_calls:int>"
 )
 
-RAW_RESULTS = (
-    "run_id string, dataset string, ord long, provider string, vars_json string, key string, "
-    "success boolean, score double, latency_ms int, cost_usd double"
-)
-
-TRAJECTORIES = (
-    "run_id string, dataset string, case_id string, "
-    f"steps {STEPS}, final_answer string, total_tokens int, total_cost_usd double, total_latency_ms int, error string"
-)
-
 RUNS = (
     "run_id string, dataset string, ran_at string, providers string, total_cases int, passed int, failed int, "
     "pass_rate double, total_cost_usd double, total_tokens long, prompt_tokens long, completion_tokens long, "

@@ -39,7 +39,7 @@ def _existing(spark: SparkSession, path: str, *partitions: str) -> DataFrame | N
     try:
         return read_table(spark, path, *partitions)
     except AnalysisException as exc:
-        if exc.getCondition() == "PATH_NOT_FOUND":
+        if exc.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
         raise
 
