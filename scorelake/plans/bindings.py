@@ -340,7 +340,7 @@ def agent_cases(spark: SparkSession, sf_dir: str, crashes: bool = False, with_st
 CASES_SQL = """
 plain_cases as (
   select d.doc_id, ['qa', 'classification', 'instruction'][d.doc_id % 3 + 1] as kind, d.text answer,
-         substr(d.text, 1, 40) query, split_part(b.text, ' ', 2) ground_truth, cast(l.quality as varchar) label,
+         d.text query, split_part(b.text, ' ', 2) ground_truth, cast(l.quality as varchar) label,
          case when d.doc_id % 2 = 0 then d.source end document, 'Covers ' || d.lang rubric,
          length(d.text) % 2 = 0 rubric_passed
   from documents d
@@ -356,7 +356,7 @@ def plain_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
         lab.select("doc_id", "quality"), "doc_id", "left"
     )
     kinds = F.array(F.lit("qa"), F.lit("classification"), F.lit("instruction"))
-    head = F.substring("text", 1, 40)
+    head = F.col("text")
     return joined.select(
         "doc_id",
         "lang",

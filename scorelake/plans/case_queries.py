@@ -660,14 +660,14 @@ def _turns(spark: SparkSession, sf: str) -> DataFrame:
     """Assistant turns wrapped as tagged model output; what a turn holds depends on its text length."""
     c = b.talks(spark, sf).filter(F.col("role") == "assistant")
     size = F.length("text")
-    head = F.concat(F.lit("<thought> "), F.substring("text", 1, 30), F.lit("\n</thought>"))
+    head = F.concat(F.lit("<thought> "), "text", F.lit("\n</thought>"))
     call = F.when(size % 5 == 0, F.lit("<tool_call>{oops</tool_call>")).otherwise(
         F.concat(
             F.lit('\n<tool_call>{"name": "t'), (size % 4).cast("string"), F.lit('", "arguments": {"len": '),
             size.cast("string"), F.lit("}}</tool_call>"),
         )
     )
-    answer = F.concat(F.lit("<answer>"), F.substring("text", 1, 20), F.lit("</answer> <answer>later</answer>"))
+    answer = F.concat(F.lit("<answer>"), "text", F.lit("</answer> <answer>later</answer>"))
     text = F.concat(
         F.when(size % 7 != 0, head).otherwise(""), F.when(size % 2 == 0, call).otherwise(""),
         F.when(size % 3 == 0, answer).otherwise(""),
@@ -689,7 +689,7 @@ kept as (select * from replies where stop is null or turn <= stop)"""
     with_(
         _TURNS_SQL + f""",
 parts as (
-  select case_id, turn, 1 as o, 'thought' as type, trim(substr(text, 1, 30), {_WS}) as content, null as tool, n % 100 as latency_ms
+  select case_id, turn, 1 as o, 'thought' as type, trim(text, {_WS}) as content, null as tool, n % 100 as latency_ms
   from kept where n % 7 <> 0
   union all
   select case_id, turn, 2, 'tool_call', 'Calling t' || (n % 4), 't' || (n % 4), 0 from kept where n % 2 = 0 and n % 5 <> 0
@@ -699,7 +699,7 @@ parts as (
   union all
   select case_id, turn, 4, 'thought', '[parse error in tool call: not a JSON object]', null, 0 from kept where n % 2 = 0 and n % 5 = 0
   union all
-  select case_id, turn, 5, 'answer', trim(substr(text, 1, 20), {_WS}), null, n % 100 from kept where n % 3 = 0)""",
+  select case_id, turn, 5, 'answer', trim(text, {_WS}), null, n % 100 from kept where n % 3 = 0)""",
         """select case_id, turn, cast(row_number() over (partition by case_id, turn order by o) - 1 as int) pos, type, content,
            tool, cast(latency_ms as int) latency_ms from parts""",
     ),
@@ -716,7 +716,7 @@ def transcript_steps(spark, sf):
     "transcript_outcomes",
     with_(
         _TURNS_SQL,
-        f"""select case_id, max(case when turn = stop then trim(substr(text, 1, 20), {_WS}) end) final_answer,
+        f"""select case_id, max(case when turn = stop then trim(text, {_WS}) end) final_answer,
             cast(sum(n % 100) as bigint) total_latency_ms,
             case when max(stop) is null then 'Reached max iterations (10) without producing an answer' end error
             from kept group by case_id""",
@@ -865,18 +865,18 @@ def vars_keys_text(spark, sf):
     "case_labels",
     """select doc_id, case when doc_id % 4 = 3 then substr('{''doc'': ''' || doc_id || '''}', 1, 60)
        else case when length(s) > 60 then substr(s, 1, 60) || '…' else s end end as label
-       from (select doc_id, case when doc_id % 4 = 0 then trim(replace(substr(text, 1, 200), chr(10), ' '))
-                                 else replace(substr(text, 1, 50 + doc_id % 30), chr(10), ' ') end s from documents)""",
+       from (select doc_id, case when doc_id % 4 = 0 then trim(replace(text, chr(10), ' '))
+                                 when doc_id % 4 = 1 then replace(text, chr(10), ' ') else lang || ' ' || source end s from documents)""",
 )
 def case_labels(spark, sf):
     d = b.table(spark, sf, "documents")
     n = F.col("doc_id")
-    asked = F.concat(F.lit("Context\nQuestion: "), F.substring("text", 1, 200))
-    plain = F.substring(F.col("text"), F.lit(1), (50 + n % 30).cast("int"))
+    asked = F.concat(F.lit("Context\nQuestion: "), "text")
+    short = F.concat("lang", F.lit("\n"), "source")
     pairs = (
         F.when(n % 4 == 0, F.create_map(F.lit("query"), asked))
-        .when(n % 4 == 1, F.create_map(F.lit("text"), plain))
-        .when(n % 4 == 2, F.create_map(F.lit("query"), F.lit(""), F.lit("text"), plain))
+        .when(n % 4 == 1, F.create_map(F.lit("text"), F.col("text")))
+        .when(n % 4 == 2, F.create_map(F.lit("query"), F.lit(""), F.lit("text"), short))
         .otherwise(F.create_map(F.lit("doc"), n.cast("string")))
     )
     return d.select("doc_id", display.case_label(pairs).alias("label"))

@@ -79,7 +79,7 @@ def page_links(spark, sf):
 
 @query(
     "crawl",
-    """with recursive shop as (select o_orderkey k from orders where o_orderkey % 7 <> 3),
+    """with recursive shop as (select o_orderkey k from orders where o_orderstatus <> 'P'),
        reach as (
          select r_regionkey + 1 seed, r_regionkey + 1 k, 0 as depth from region join shop on k = r_regionkey + 1
          union all
@@ -92,8 +92,8 @@ def page_links(spark, sf):
 def crawl_shop(spark, sf):
     """Crawl a site with a page per order, from one seed per region.
 
-    Order k links to the orders 4k + 1 to 4k + 4, to itself and out of the site; every seventh order has no
-    page.
+    Order k links to the orders 4k + 1 to 4k + 4, to itself and out of the site; orders in status P have
+    no page.
     """
     orders, region = b.table(spark, sf, "orders"), b.table(spark, sf, "region")
     k = F.col("o_orderkey")
@@ -105,7 +105,7 @@ def crawl_shop(spark, sf):
         F.lit('">4</a></html>'),
     )
     url = lambda c: F.concat(F.lit("http://shop.test/s/"), text(c))
-    pages = orders.filter(k % 7 != 3).select(url(k).alias("url"), html.alias("html"))
+    pages = orders.filter(F.col("o_orderstatus") != "P").select(url(k).alias("url"), html.alias("html"))
     return crawl.crawl(pages, region.select(url(F.col("r_regionkey") + 1).alias("url")), 600)
 
 
@@ -188,7 +188,7 @@ def _quoted(text: Column) -> Column:
 def _generated(spark: SparkSession, sf: str) -> DataFrame:
     """One reply per document: a list with a full, a bare and an incomplete element; some fenced, some broken."""
     n = F.col("doc_id")
-    excerpt = _quoted(F.substring("text", 1, 30))
+    excerpt = _quoted(F.col("text"))
     items = F.concat(
         F.lit('[{"description": "d'), n.cast("string"), F.lit('", "input": {"query": '), excerpt,
         F.lit('}, "expected": {"ground_truth": "'), "lang", F.lit('"}, "tags": ["a", "'), "source",
@@ -205,9 +205,9 @@ def _generated(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "parse_generated",
-    """select doc_id, 0 item_no, 'd' || doc_id description, '{"query":' || to_json(substr(text, 1, 30))::varchar || '}' as input,
+    """select doc_id, 0 item_no, 'd' || doc_id description, '{"query":' || to_json(text)::varchar || '}' as input,
        '{"ground_truth":"' || lang || '"}' expected, 'a|' || source tags, 'hard' difficulty, 'negation' case_type,
-       substr(text, 1, 30) source_excerpt from documents where doc_id % 7 <> 0
+       text source_excerpt from documents where doc_id % 7 <> 0
        union all
        select doc_id, 1, '', '{"query":"q"}', '{"ground_truth":"g"}', '', 'medium', 'factual', '' from documents where doc_id % 7 <> 0""",
 )
@@ -285,7 +285,7 @@ _KINDS = ("qa", "classification", "instruction", "rag", "agent")
 def _case_lines(spark: SparkSession, sf: str) -> DataFrame:
     """One case line per document, its kind by id; some lines break a rule."""
     n = F.col("doc_id")
-    head = _quoted(F.substring("text", 1, 25))
+    head = _quoted(F.col("text"))
     kind = F.element_at(F.array(*[F.lit(k) for k in _KINDS]), (n % 5).cast("int") + 1)
     body = (
         F.when(kind == "qa", F.concat(F.lit('"input": {"query": '), head, F.lit('}, "expected": {"ground_truth": "x"}')))
@@ -335,7 +335,7 @@ def validate_cases(spark, sf):
     with_(
         _LINES_SQL,
         """select doc_id, case_id, kind as type, text, difficulty, must_call, max_steps from (
-             select e.doc_id, 'c' || e.doc_id case_id, kind, substr(d.text, 1, 25) as text, 'easy' difficulty,
+             select e.doc_id, 'c' || e.doc_id case_id, kind, d.text as text, 'easy' difficulty,
                     case when kind = 'agent' then 't' else '' end must_call, cast(case when kind = 'agent' then 4 end as int) max_steps, errors
              from errs e join documents d using (doc_id)) where len(errors) = 0""",
     ),
@@ -380,7 +380,7 @@ def append_lenient(spark, sf):
 def append_strict(spark, sf):
     """A strict append of lines with errors adds nothing and reports them."""
     path = new_table_path(spark, "cases")
-    good = _named_lines(spark, sf).limit(0)
+    good = _named_lines(spark, sf).filter(F.lit(False))
     cases.append_cases(good, path)
     try:
         cases.append_cases(_named_lines(spark, sf), path)
@@ -423,14 +423,14 @@ catalog as (select * from named where n % 10 not in (3, 4))"""
     with_(
         _CATALOG_SQL,
         """select name, 'qa' as type, lang tags, 'about ' || lang description, 0.5::double pass_rate, c.n case_count, b.rate baseline_pass_rate
-           from catalog left join (select source, count(*) n from documents where doc_id % 3 = 0 group by source) c on c.source = name
+           from catalog left join (select source, count(*) n from documents group by source) c on c.source = name
            left join (select source, """ + rounded("avg(quality)", 4) + """ rate from labels join documents using (doc_id) group by source) b on b.source = name""",
     ),
 )
 def catalog_counts(spark, sf):
     """The catalog with case counts and baseline rates; unreadable metadata is left out."""
     d = b.table(spark, sf, "documents").withColumnRenamed("source", "dataset")
-    counts = summary.case_counts(d.filter(F.col("doc_id") % 3 == 0))
+    counts = summary.case_counts(d)
     base = b.table(spark, sf, "labels").join(d, "doc_id").groupBy("dataset").agg(
         F.avg("quality").alias("pass_rate"), F.count_if(F.col("quality") == 1).alias("passed"), F.count("*").alias("total")
     )
@@ -466,12 +466,12 @@ def metadata_update(spark, sf):
 
 @query(
     "comma_lists",
-    """select doc_id, array_to_string(list_filter(list_transform(string_split(substr(text, 1, 120), ','),
+    """select doc_id, array_to_string(list_filter(list_transform(string_split(text, ','),
        lambda t: trim(t, chr(32) || chr(10) || chr(9) || chr(13))), lambda t: t <> ''), '|') items from documents""",
 )
 def comma_lists(spark, sf):
     return b.table(spark, sf, "documents").select(
-        "doc_id", F.array_join(split_list(F.substring("text", 1, 120)), "|").alias("items")
+        "doc_id", F.array_join(split_list("text"), "|").alias("items")
     )
 
 
@@ -479,9 +479,13 @@ def _versioned(spark: SparkSession, sf: str) -> DataFrame:
     return b.table(spark, sf, "documents").select(F.col("lang").alias("dataset"), "doc_id", "text")
 
 
+def _labelled(spark: SparkSession, sf: str) -> DataFrame:
+    return _versioned(spark, sf).join(b.table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
+
+
 _VERSIONS_SQL = """select lang dataset, version, case when version = 'v1.2.0' then n1 else n2 end case_count,
-  case when version = 'v1.2.0' then 'all' else 'even' end description, 'qa' as type
-  from (select lang, count(*) n1, count(*) filter (doc_id % 2 = 0) n2 from documents group by lang),
+  case when version = 'v1.2.0' then 'all' else 'labelled' end description, 'qa' as type
+  from (select lang, count(*) n1, count(*) filter (doc_id in (select doc_id from labels)) n2 from documents group by lang),
        (select unnest(['v1.10.0', 'v1.2.0']) version)"""
 
 
@@ -492,7 +496,7 @@ def version_tag(spark, sf):
     rows = _versioned(spark, sf)
     meta = rows.select("dataset").distinct().withColumn("type", F.lit("qa"))
     history.tag_version(rows, path, "v1.2.0", "2024-01-01T00:00:00+00:00", "all", meta)
-    history.tag_version(rows.filter("doc_id % 2 = 0"), path, "v1.10.0", "2024-01-02T00:00:00+00:00", "even", meta)
+    history.tag_version(_labelled(spark, sf), path, "v1.10.0", "2024-01-02T00:00:00+00:00", "labelled", meta)
     try:
         history.tag_version(rows, path, "v1.2.0", "2024-01-03T00:00:00+00:00", "again", meta)
     except ValueError:
@@ -509,7 +513,7 @@ def version_restore(spark, sf):
     path, working = new_table_path(spark, "versions"), new_table_path(spark, "cases")
     rows = _versioned(spark, sf)
     history.tag_version(rows, path, "v1.0.0", "2024-01-01T00:00:00+00:00")
-    rows.filter("doc_id % 3 = 0").write.partitionBy("dataset").parquet(working)
+    _labelled(spark, sf).write.partitionBy("dataset").parquet(working)
     history.restore_version(spark, path, "v1.0.0", working)
     return spark.read.parquet(working).groupBy("dataset").agg(
         F.count("*").alias("cases"), F.sum(F.length("text")).alias("chars")
@@ -592,7 +596,7 @@ def token_scan(spark, sf):
 
 def _trace_lines(spark: SparkSession, sf: str) -> DataFrame:
     n = F.col("doc_id")
-    head = _quoted(F.substring("text", 1, 20))
+    head = _quoted(F.col("text"))
     good = F.concat(
         F.lit('{"task": '), head, F.lit(', "steps": [{"type": "thought", "content": "t"}, {"type": "tool_call", "tool": "s'),
         (n % 3).cast("string"), F.lit('", "arguments": {"a": 1}, "result": {"r": '), n.cast("string"),
@@ -612,7 +616,7 @@ def _trace_lines(spark: SparkSession, sf: str) -> DataFrame:
     "trace_scan",
     """select doc_id, case doc_id % 10 when 1 then 'steps: unknown step type or content' when 2 then 'task: not a string'
          when 3 then 'steps: not a list' when 4 then 'not a JSON object' end error,
-       case when doc_id % 10 not in (1, 2, 3, 4) then substr(text, 1, 20) end answer,
+       case when doc_id % 10 not in (1, 2, 3, 4) then text end answer,
        case when doc_id % 10 not in (1, 2, 3, 4) then '{"r":' || doc_id || '}' end result,
        case when doc_id % 10 not in (1, 2, 3, 4) then 5 end::int max_steps from documents""",
 )
