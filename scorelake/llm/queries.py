@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.llm import bpe, common, decontaminate, langid, pii, simhash
+from scorelake.llm import bpe, common, decontaminate, langid, pii, quality, simhash, tokencount, wavelet
+from scorelake.session import new_table_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +30,11 @@ def pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(common.table(spark, sf_dir, "documents"))
 
 
+@query("op3_token_counts")
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.counts(common.table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query("op4_byte_bpe")
 def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
@@ -52,7 +58,25 @@ def language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out, "lang_pred", "score", "rejected")
 
 
+@query("op8_wavelet_shards")
+def wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_table_path(spark, "wavelet-shards")
+    wavelet.write(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path)
+    return wavelet.read_documents(spark, path)
+
+
 @query("op9_simhash")
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.grouped(common.table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query("op10_quality")
+def quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    learned = docs.where(F.coalesce(common.id_remainder("doc_id", 5) != 0, F.lit(False)))
+    labels = common.table(spark, sf_dir, "labels").select("doc_id", "quality")
+    model = quality.fit(learned.join(labels, "doc_id"))
+    held_out = common.is_remainder("doc_id", 5, 0).alias("held_out")
+    predicted = (F.col("score") >= 0.3).cast("int").alias("predicted")
+    return quality.score(docs, model).select("doc_id", held_out, "score", predicted, "raw")
