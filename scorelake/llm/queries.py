@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.llm import bpe, common, decontaminate, langid, pii, quality, simhash, tokencount, wavelet
+from scorelake.llm import bpe, common, decontaminate, langid, mtree, pii, quality, simhash, tokencount, wavelet
 from scorelake.session import new_table_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,11 @@ def decontaminate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
 
+@query("op6_mtree_search")
+def mtree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def language_model(docs: DataFrame) -> langid.Model:
     return langid.fit(docs.where(F.coalesce(common.id_remainder("doc_id", 5) != 0, F.lit(False))))
 
@@ -80,3 +85,15 @@ def quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = common.is_remainder("doc_id", 5, 0).alias("held_out")
     predicted = (F.col("score") >= 0.3).cast("int").alias("predicted")
     return quality.score(docs, model).select("doc_id", held_out, "score", predicted, "raw")
+
+
+ORACLES["op6_mtree_search"] = """
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) v from embeddings
+           where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+     q as (select * from v where vec_id % 50 = 0),
+     s as (select q.vec_id query_id, v.vec_id,
+                  list_sum(list_transform(list_zip(q.v, v.v), lambda z: cast(z[1] as hugeint) * z[2])) score
+           from q join v on q.vec_id <> v.vec_id and len(q.v) = len(v.v)),
+     r as (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from s)
+select cast(query_id as bigint) query_id, cast(rank as int) rank, cast(vec_id as bigint) vec_id, cast(score as bigint) score
+from r where rank <= 5"""
