@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.llm import bpe, common, decontaminate, langid, mtree, pii, quality, simhash, tokencount, wavelet
+from scorelake.llm import bpe, common, decontaminate, langid, mtree, pii, ppm, quality, simhash, tokencount, wavelet
 from scorelake.session import new_table_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,14 @@ def query(name: str) -> Callable[[Query], Query]:
     return register
 
 
+@query("op1_ppm_scores")
+def ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    held_out = common.is_remainder("doc_id", 7, 2)
+    found = ppm.scores(docs, ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query("op2_pii_anchors")
 def pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(common.table(spark, sf_dir, "documents"))
