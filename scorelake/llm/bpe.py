@@ -6,8 +6,8 @@ marks the buckets in use; find-first-set on it gives the lowest rank, whose buck
 Entries of pairs that are gone are skipped. Each merge costs two bucket entries, so a match of a million bytes takes time
 in proportion to its length (times the logarithm of a bucket) where a scan for the best pair would take its square.
 
-Texts are cut ahead of the pattern at blanks that stand alone between other characters: a match always begins there, so
-the pieces are encoded as within the text. Pieces recur, so a worker remembers a bounded number of them.
+Texts are cut ahead of the pattern at blanks with no white space behind them: a match always begins there, so
+the pieces are encoded as within the text. Pieces and matches recur, so a worker remembers a bounded number of them.
 
 Defined results: null counts as the empty text, which has no ids. Texts of any length are encoded whole; bytes are UTF-8, so
 decoding gives back exactly the text. Ids without a token raise an error in decoding.
@@ -17,9 +17,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
-import re
 from collections.abc import Callable, Iterator
+from heapq import heappop, heappush
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -30,129 +30,112 @@ from pyspark.sql import types as T
 
 from scorelake.llm import common
 
-ALONE = re.compile(r"(?<=\S) (?=\S)")
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 LONG = 64
+BIT = [1 << i for i in range(256)]
 
 #: Tokenizers of this worker process, by name of the file and pattern.
 LOADED: dict[tuple[str, str], Tokenizer] = {}
 
 
-class RankQueue:
-    """Buckets by rank under a bitmap of two levels of 256 bits. All buckets are empty between two texts."""
-
-    def __init__(self, ranks: int) -> None:
-        self.leaf = [0] * (ranks // 256 + 1)
-        self.top = 0
-        self.bucket: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        entries = self.bucket.get(rank)
-        if entries is None:
-            self.bucket[rank] = [position]
-            self.leaf[rank >> 8] |= 1 << (rank & 255)
-            self.top |= 1 << (rank >> 8)
-        else:
-            heapq.heappush(entries, position)
-
-    def first(self) -> int:
-        """The lowest rank in use, or -1."""
-        if not self.top:
-            return -1
-        high = (self.top & -self.top).bit_length() - 1
-        low = self.leaf[high]
-        return high << 8 | (low & -low).bit_length() - 1
-
-    def pop(self, rank: int) -> int:
-        entries = self.bucket[rank]
-        if len(entries) > 1:
-            return heapq.heappop(entries)
-        del self.bucket[rank]
-        left = self.leaf[rank >> 8] & ~(1 << (rank & 255))
-        self.leaf[rank >> 8] = left
-        if not left:
-            self.top &= ~(1 << (rank >> 8))
-        return entries[0]
-
-
 class Tokenizer:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks = ranks
         self.split = regex.compile(pattern).findall
-        self.queue = RankQueue(max(ranks.values(), default=0) + 1)
-        self.tokens: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
+        size = max(ranks.values(), default=-1) + 1
+        self.tokens: list[bytes | None] = [None] * size
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        self.known: dict[str, bytes] = {}
+        # the rank queue; it is empty between two matches
+        self.bucket: list[list[int] | None] = [None] * size
+        self.leaf = [0] * (size // 256 + 1)
+        self.merged: dict[bytes, bytes] = {}
+        self.encode = common.PieceEncoder(self.pieces)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one match of the pattern."""
-        ranks, queue = self.ranks, self.queue
-        whole = ranks.get(piece)
+        ranks, bucket, leaf = self.ranks, self.bucket, self.leaf
+        get = ranks.get
+        whole = get(piece)
         if whole is not None:
             return [whole]
         n = len(piece)
         after = list(range(1, n + 2))  # start of the next symbol; symbol i is piece[i:after[i]]
         before = list(range(-1, n))
         pair = [-1] * (n + 1)  # rank of symbol i with the next, -1 for none or a symbol that is gone
-        get = ranks.get
+        top = 0  # bit h: leaf h has a bit; bit l of leaf h: bucket 256 h + l has entries
         for i in range(n - 1):
-            rank = get(piece[i : i + 2], -1)
-            if rank >= 0:
+            rank = get(piece[i : i + 2])
+            if rank is not None:
                 pair[i] = rank
-                queue.push(rank, i)
-        while (rank := queue.first()) >= 0:
-            i = queue.pop(rank)
+                entries = bucket[rank]
+                if entries is None:
+                    bucket[rank] = [i]
+                    leaf[rank >> 8] |= BIT[rank & 255]
+                    top |= 1 << (rank >> 8)
+                else:
+                    entries.append(i)  # ascending, so a heap
+        while top:
+            high = (top & -top).bit_length() - 1
+            bits = leaf[high]
+            low = bits & -bits
+            rank = high << 8 | low.bit_length() - 1
+            entries = bucket[rank]
+            if len(entries) > 1:
+                i = heappop(entries)
+            else:
+                i = entries[0]
+                bucket[rank] = None
+                leaf[high] = bits ^ low
+                if bits == low:
+                    top &= top - 1
             if pair[i] != rank:
                 continue  # stale
             j = after[i]
-            k = after[j]
-            after[i] = k
+            k = after[i] = after[j]
             before[k] = i
-            pair[j] = -1
+            pair[j] = pair[i] = -1
             left = before[i]
-            new = get(piece[i : after[k]], -1) if k < n else -1
-            pair[i] = new
-            if new >= 0:
-                queue.push(new, i)
-            if left >= 0:
-                new = get(piece[left:k], -1)
-                pair[left] = new
-                if new >= 0:
-                    queue.push(new, left)
+            for at, end in ((i, after[k] if k < n else 0), (left, k if left >= 0 else 0)):
+                if end:
+                    rank = get(piece[at:end])
+                    if rank is None:
+                        pair[at] = -1
+                        continue
+                    pair[at] = rank
+                    entries = bucket[rank]
+                    if entries is None:
+                        bucket[rank] = [at]
+                        leaf[rank >> 8] |= BIT[rank & 255]
+                        top |= 1 << (rank >> 8)
+                    else:
+                        heappush(entries, at)
         out, i = [], 0
         while i < n:
-            out.append(ranks[piece[i : after[i]]])
-            i = after[i]
+            k = after[i]
+            out.append(ranks[piece[i:k]])
+            i = k
         return out
 
-    def piece(self, text: str) -> bytes:
-        """Ids of a text, as little-endian 32-bit integers, match by match."""
-        ids: list[int] = []
-        for match in self.split(text):
-            ids += self.merge(match.encode())
-        return np.array(ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """Ids of a whole text, as little-endian 32-bit integers."""
-        head, *rest = text.split(" ")
-        known = self.known
-        try:
-            return self.piece(head) + b"".join([known[x] for x in rest])
-        except KeyError:
-            pass
-        head, *rest = ALONE.split(text)
-        out = [self.piece(head)]
-        for x in rest:
-            ids = known.get(x)
-            if ids is None:
-                ids = self.piece(" " + x)
-                if len(x) <= LONG and " " not in x and not x[0].isspace() and not x[-1].isspace():
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[x] = ids
-            out.append(ids)
-        return b"".join(out)
+    def pieces(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, as little-endian 32-bit integers, match by match. Matches recur; a bounded number is remembered."""
+        merged, split = self.merged, self.split
+        out = []
+        for text in texts:
+            found = []
+            for match in split(text):
+                piece = match.encode()
+                ids = merged.get(piece)
+                if ids is None:
+                    own = self.merge(piece)
+                    ids = pack(f"<{len(own)}I", *own)
+                    if len(piece) <= LONG:
+                        if len(merged) >= REMEMBERED:
+                            merged.clear()
+                        merged[piece] = ids
+                found.append(ids)
+            out.append(found[0] if len(found) == 1 else b"".join(found))
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))

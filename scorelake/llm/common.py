@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -71,3 +72,42 @@ def segment_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
         inside = cuts[:-1] if cuts[-1] == len(values) else cuts
         out[some] = np.add.reduceat(values, inside, axis=0, dtype=np.float64)[::2]
     return out
+
+
+#: A blank alone between other characters.
+ALONE = re.compile(r"(?<=\S) (?=\S)")
+
+
+class PieceEncoder:
+    """Encodes texts piece by piece, and remembers pieces.
+
+    Tokenizers of the byte-level kind begin a match at a blank that has no white space behind it, whatever is ahead of it. So
+    a text may be cut there, and the ids of a text are those of its pieces, each with its blank. ``encode`` gives the ids of
+    pieces, in any form that ``b"".join`` takes. A bounded number of pieces of bounded length is remembered; forgetting
+    costs time and nothing else.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 400_000, longest: int = 64) -> None:
+        self.encode, self.most, self.longest = encode, most, longest
+        self.known: dict[str, bytes] = {}
+
+    def __call__(self, text: str) -> bytes:
+        known = self.known
+        head, *rest = text.split(" ")
+        missing = set(rest).difference(known)
+        if missing and any(not x or x[0].isspace() for x in missing):
+            head, *rest = ALONE.split(text)
+            missing = set(rest).difference(known)
+        if missing:
+            if len(known) + len(missing) > self.most:
+                known.clear()
+                missing = set(rest)
+            new = list(missing)
+            known.update(zip(new, self.encode([" " + x for x in new]), strict=True))
+        out = b"".join([*self.encode([head]), *map(known.__getitem__, rest)])
+        for x in missing:
+            if len(x) > self.longest:
+                del known[x]
+        if len(known) > self.most:  # more than that in one text
+            known.clear()
+        return out

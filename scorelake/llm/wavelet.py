@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -40,10 +39,6 @@ MAGIC = b"WMX1"
 BLOCK = 512  # bits between two counts
 SHARD_TOKENS = 1 << 20
 
-ALONE = re.compile(r"(?<=\S) (?=\S)")
-REMEMBERED = 300_000
-LONG = 64
-
 
 class WaveletMatrix:
     """Planes of packed bits with counts; made from ids or from a file."""
@@ -162,37 +157,16 @@ class WaveletMatrix:
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library; pieces between lone blanks recur, and a bounded number is remembered.
-
-    The tokenizer's split never reaches across a blank that stands alone between other characters, so the ids of a text
-    are those of its pieces, each with its blank.
-    """
+    """Ids of texts, as little-endian 32-bit integers, by the tokenizers library."""
 
     def __init__(self, definition: str) -> None:
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.encode = common.PieceEncoder(self.ids)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian 32-bit integers."""
-        head, *rest = text.split(" ")
-        known = self.known
-        try:
-            return b"".join([*self.ids([head]), *[known[x] for x in rest]])
-        except KeyError:
-            pass
-        head, *rest = ALONE.split(text)
-        new = list({x for x in rest if x not in known})
-        own = dict(zip(new, self.ids([" " + x for x in new]), strict=True))
-        out = b"".join([*self.ids([head]), *[own[x] if x in own else known[x] for x in rest]])
-        if len(known) + len(own) > REMEMBERED:
-            known.clear()
-        known.update((x, y) for x, y in own.items() if len(x) <= LONG and " " not in x and not x[0].isspace() and not x[-1].isspace())
-        return out
-
 
 #: Encoder of this worker process, by the definition's digest.
 LOADED: dict[str, Encoder] = {}
