@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text a task works on at once. A longer text is a slice of its own.
@@ -32,6 +32,17 @@ def is_remainder(doc_id: str, n: int, value: int) -> Column:
     return F.coalesce(id_remainder(doc_id, n) == value, F.lit(False))
 
 
+def bounded_sample(rows: DataFrame, label: str, most: int) -> DataFrame:
+    """At most ``most`` of the distinct (h, label, text) rows of each label, those of the lowest h.
+
+    Texts stay out of the ranking; the chosen keys, at most ``most`` a label, are broadcast to fetch them.
+    """
+    keyed = rows.withColumn("t", F.xxhash64("text"))
+    rank = F.row_number().over(Window.partitionBy(label).orderBy("h", "t"))
+    chosen = keyed.select("h", "t", label).distinct().withColumn("rank", rank).where(F.col("rank") <= most).drop("rank")
+    return keyed.join(F.broadcast(chosen), ["h", "t", label], "left_semi").dropDuplicates(["h", "t", label]).drop("t")
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of each piece hold at most ``limit`` bytes, or one row."""
     for batch in batches:

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,15 +63,6 @@ def bag(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return rows, (counts / counts.sum()).astype(np.float32)
 
 
-def training_rows(labelled: DataFrame, doc_id: str, text: str, lang: str, per_language: int) -> DataFrame:
-    """The bounded sample: of each language the rows whose id hashes lowest."""
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
-        F.xxhash64(doc_id).alias("h"), F.col(lang).alias("lang"), F.col(text).alias("text")
-    )
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= per_language).select("h", "lang", "text")
-
-
 def fit(
     labelled: DataFrame,
     doc_id: str = "doc_id",
@@ -95,7 +86,9 @@ def fit(
                 ["h", "lang", "rows", "shares"],
             )
 
-    sample = training_rows(labelled, doc_id, text, lang, per_language)
+    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull())
+    rows = rows.select(F.xxhash64(doc_id).alias("h"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    sample = common.bounded_sample(rows, "lang", per_language)
     found = sample.mapInArrow(bags, "h long, lang string, rows array<int>, shares array<float>").toArrow()
     order = np.lexsort((found["h"].to_numpy(), found["lang"].to_numpy(zero_copy_only=False).astype(str)))
     names = found["lang"].to_pylist()

@@ -3,7 +3,7 @@
 The model is a trie of byte contexts of up to ``ORDER`` bytes. Level k holds the strings of k + 1 bytes met in training (k bytes of
 context and the byte after them) with their counts; a text is coded byte by byte, with an end mark after it. A byte that the
 longest context has seen is coded there; otherwise an escape goes to the context one byte shorter. Escapes are estimated by method
-C (as likely as the number of distinct bytes seen in the context), and bytes that the longer context offers are excluded from the
+D (half a count for each distinct byte that the context has seen, taken off that byte's own count), and bytes that the longer context offers are excluded from the
 shorter one. Below order 0 the bytes left over are equally likely. A context never met is passed without an escape.
 
 Every position of a text depends on its last ORDER + 1 bytes only, so a text's log probability is a sum over its grams of ORDER + 1
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from scorelake.llm import common
 
-ORDER = 4
+ORDER = 5
 BLOCK_BYTES = 24 << 20
 LEAST_BLOCKS = 48
 #: Bytes that no UTF-8 text holds: ahead of a text, and its end.
@@ -138,10 +138,10 @@ def log_chances(code: np.ndarray, n: np.ndarray, pairs: np.ndarray) -> np.ndarra
         sum_, kinds = (np.where(there, total[c], 0), np.where(there, distinct[c], 0)) if len(contexts) else (0 * n, 0 * n)
         left, new = sum_ - offered_in, kinds - offered
         hit = open_ & (own > 0)
-        chance[hit] *= own[hit] / (left + new)[hit]
+        chance[hit] *= (own[hit] - 0.5) / left[hit]
         open_ &= ~hit
         miss = open_ & (new > 0)
-        chance[miss] *= new[miss] / (left + new)[miss]
+        chance[miss] *= 0.5 * new[miss] / left[miss]
         offered = kinds
         if k:
             # counts, one level down, of the bytes that each context offers
@@ -278,13 +278,13 @@ def adaptive_text_bits(text: bytes, order: int = ORDER) -> float:
             if not node:
                 continue
             fresh = {s: n for s, n in node.items() if s not in excluded}
-            total = sum(fresh.values()) + len(fresh)
+            total = sum(fresh.values())
             if symbol in fresh:
-                bits -= math.log2(fresh[symbol] / total)
+                bits -= math.log2((fresh[symbol] - 0.5) / total)
                 coded = True
                 break
             if fresh:
-                bits -= math.log2(len(fresh) / total)
+                bits -= math.log2(0.5 * len(fresh) / total)
             excluded |= node.keys()
         if not coded:
             bits += math.log2(ALPHABET - len(excluded))

@@ -77,7 +77,8 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def fit(
-    labelled: DataFrame,
+    docs: DataFrame,
+    labels: DataFrame,
     doc_id: str = "doc_id",
     text: str = "text",
     label: str = "quality",
@@ -87,18 +88,20 @@ def fit(
     penalty: float = 1e-4,
     seed: int = 10,
 ) -> Model:
-    """Learn from rows labelled 0 or 1. Only the features of the bounded sample reach the driver."""
+    """Learn from documents whose id ``labels`` marks 0 or 1. Only the features of the bounded sample reach the driver."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in common.slices(batches, "text"):
             found = [features(x) for x in common.text_bytes(piece.column("text"))]
             yield pa.record_batch([piece.column("h"), piece.column("label"), pa.array(found, pa.list_(pa.float64()))], ["h", "label", "x"])
 
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("h"))
-    known = labelled.where(F.col(label).isin(0, 1)).select(
-        F.xxhash64(doc_id).alias("h"), F.col(label).cast("int").alias("label"), F.col(text).alias("text")
-    )
-    sample = known.withColumn("rank", rank).where(F.col("rank") <= per_label).select("h", "label", "text")
+    # labels are ranked without texts; the chosen ids, at most per_label a label, are broadcast to fetch them
+    known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull())
+    known = known.select(F.col(doc_id).alias("id"), F.xxhash64(doc_id).alias("h"), F.col(label).cast("int").alias("label")).distinct()
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("h", "id"))
+    chosen = known.withColumn("rank", rank).where(F.col("rank") <= per_label).drop("rank")
+    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
+    sample = common.bounded_sample(texts.select("h", "label", "text"), "label", per_label)
     found = sample.mapInArrow(rows, "h long, label int, x array<double>").toArrow()
     order = np.lexsort((found["h"].to_numpy(), found["label"].to_numpy()))
     x = np.array(found["x"].to_pylist(), float).reshape(found.num_rows, -1)[order]

@@ -87,9 +87,8 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_quality")
 def quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    learned = docs.where(F.coalesce(common.id_remainder("doc_id", 5) != 0, F.lit(False)))
-    labels = common.table(spark, sf_dir, "labels").select("doc_id", "quality")
-    model = quality.fit(learned.join(labels, "doc_id"))
+    labels = common.table(spark, sf_dir, "labels").where(F.coalesce(common.id_remainder("doc_id", 5) != 0, F.lit(False)))
+    model = quality.fit(docs, labels)
     held_out = common.is_remainder("doc_id", 5, 0).alias("held_out")
     predicted = (F.col("score") >= 0.3).cast("int").alias("predicted")
     return quality.score(docs, model).select("doc_id", held_out, "score", predicted, "raw")
