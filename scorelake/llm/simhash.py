@@ -33,7 +33,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorelake.llm import common
@@ -67,9 +67,8 @@ def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
     return np.array(found, np.uint64)
 
 
-def fingerprint_of(text: bytes, shingle: int = 3) -> int:
-    """The 64-bit fingerprint as a signed number."""
-    hashes = shingle_hashes(text, shingle)
+def majority(hashes: np.ndarray) -> int:
+    """Bits set in over half of the hashes, as a signed number."""
     ones = np.zeros(64, np.int64)
     for start in range(0, len(hashes), 1 << 16):
         bits = np.unpackbits(hashes[start : start + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -77,6 +76,11 @@ def fingerprint_of(text: bytes, shingle: int = 3) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
+def fingerprint_of(text: bytes, shingle: int = 3) -> int:
+    """The 64-bit fingerprint as a signed number."""
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
     """doc_id and fp (the fingerprint as a signed long) of every row, in one scan."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -219,34 +223,41 @@ def dealt(values: DataFrame, max_bits: int, hot: int) -> DataFrame:
     return seen.select("fp", F.explode(chosen).alias("g")).select("fp", "g.mask", "g.key").distinct()
 
 
+def crowds(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """The groups of two rows or more of batches that are sorted by ``keys`` (numbers). A group may go on in the next batch."""
+    rest: list[pa.RecordBatch] = []
+    last = None
+    whole = lambda parts: parts[0] if len(parts) == 1 else pa.concat_batches(parts)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in keys]
+        cut = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        starts, stops = np.append(0, cut), np.append(cut, batch.num_rows)
+        if rest and last != tuple(c[0] for c in columns):
+            if sum(x.num_rows for x in rest) > 1:
+                yield whole(rest)
+            rest = []
+        if len(starts) > 1:
+            rest.append(batch.slice(0, stops[0]))
+            if sum(x.num_rows for x in rest) > 1:
+                yield whole(rest)
+            rest = []
+            for i in np.flatnonzero(stops[1:-1] - starts[1:-1] > 1) + 1:
+                yield batch.slice(starts[i], stops[i] - starts[i])
+        rest.append(batch.slice(starts[-1]))
+        last = tuple(c[-1] for c in columns)
+    if sum(x.num_rows for x in rest) > 1:
+        yield whole(rest)
+
+
 def links(values: DataFrame, max_bits: int = 2, hot: int = HOT) -> DataFrame:
     """Edges (a, b) between distinct fingerprints that join exactly what all links within ``max_bits`` bits join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest, last = [], None  # the group at the end of a batch may go on in the next
-
-        def edges(group: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            if sum(map(len, group)) > 1:
-                a, b = forest(np.concatenate(group).view(np.uint64), max_bits)
-                yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            fp, mask, key = (batch.column(c).to_numpy() for c in ("fp", "mask", "key"))
-            cut = np.flatnonzero((mask[1:] != mask[:-1]) | (key[1:] != key[:-1])) + 1
-            starts, stops = np.append(0, cut), np.append(cut, len(fp))
-            if last != (mask[0], key[0]):
-                yield from edges(rest)
-                rest = []
-            if len(starts) > 1:
-                yield from edges([*rest, fp[: stops[0]]])
-                rest = []
-                for i in np.flatnonzero(stops[1:-1] - starts[1:-1] > 1) + 1:
-                    yield from edges([fp[starts[i] : stops[i]]])
-            rest.append(fp[starts[-1] :])
-            last = mask[-1], key[-1]
-        yield from edges(rest)
+        for group in crowds(batches, ("mask", "key")):
+            a, b = forest(group.column("fp").to_numpy().view(np.uint64), max_bits)
+            yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
     groups = dealt(values, max_bits, hot).repartition("mask", "key").sortWithinPartitions("mask", "key", "fp")
     return groups.mapInArrow(run, "a long, b long").distinct()
@@ -294,11 +305,140 @@ def fingerprint_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, max_bits: int = 2) -> DataFrame:
-    """One row of each group, that of its smallest id, in the columns of ``docs``.
+# --- groups by similarity -----------------------------------------------------------------------------------------
+
+TABLES = 12
+DEPTHS = (3, 5, 8)
+CROWD = 512
+FAR = 22
+MIX = tuple((0x9E3779B97F4A7C15 * (2 * t + 1) & (1 << 64) - 1) | 1 for t in range(TABLES))
+
+
+def digest(values: np.ndarray) -> int:
+    """A signed 64-bit digest of an array."""
+    return int.from_bytes(xxhash.xxh64_digest(values.tobytes(), SEED), "little", signed=True)
+
+
+def profile(text: bytes, shingle: int) -> tuple[int, int, list[list[int]]]:
+    """Of a text's set of shingles: its digest, its SimHash, and by table the digests of its least 3, 5 and 8 shingles in a mixed order."""
+    hashes = np.unique(shingle_hashes(text, shingle))
+    keys: list[list[int]] = [[] for _ in DEPTHS]
+    for factor in MIX:
+        mixed = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(factor)
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= np.uint64(0xBF58476D1CE4E5B9)
+        least = np.sort(np.partition(mixed, DEPTHS[-1])[: DEPTHS[-1]] if len(mixed) > DEPTHS[-1] else mixed)
+        for at, depth in enumerate(DEPTHS):
+            keys[at].append(digest(least[:depth]))
+    return digest(hashes), majority(hashes), keys
+
+
+def alike(sets: list[np.ndarray], fp: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of places that join what all pairs of at least that Jaccard similarity join.
+
+    Pairs come from the Gray-order index within FAR bits; sets are compared exactly, and only if no pair before joined them.
+    """
+    order = np.argsort(gray_rank(fp), kind="stable")
+    sets = [sets[i] for i in order]
+    parent = list(range(len(sets)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    found = []
+    for a, b in close_pairs(fp[order], FAR):
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+            x, y = root(i), root(j)
+            if x == y:
+                continue
+            small, large = sorted((len(sets[i]), len(sets[j])))
+            if small < similarity * large:
+                continue
+            both = np.intersect1d(sets[i], sets[j], assume_unique=True).size
+            if both >= similarity * (small + large - both):
+                parent[max(x, y)] = min(x, y)
+                found.append((int(order[i]), int(order[j])))
+    return found
+
+
+def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id and component_id of every row with an id: links are pairs of texts whose shingle sets have that Jaccard similarity.
+
+    A SimHash of the whole text differs in about ten of its 64 bits at a similarity of 0.8, more than any exact index can reach
+    at scale. So fingerprints first meet in TABLES tables, by the digest of the three least shingles of a mixed order: texts of
+    similarity s share a table's digest with probability s^3, and miss all of them with (1 - s^3)^12, 2 in 10,000 at 0.8. A group
+    of over CROWD different texts is dealt again by the five and then the eight least; those are many texts of one family, in
+    which each has many links. Within a group the Gray-order index searches the SimHashes within FAR bits (over 4 standard deviations
+    above what 0.8 gives), and what it finds is checked exactly on the sets. Texts with equal sets are one from the start.
+    """
+    rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in common.slices(batches, "text"):
+            found = [profile(x, shingle) for x in common.text_bytes(piece.column("text"))]
+            names = [f"k{d}" for d in DEPTHS]
+            keys = [pa.array([k[at] for _, _, k in found], pa.list_(pa.int64())) for at in range(len(DEPTHS))]
+            own = [pa.array([d for d, _, _ in found], pa.int64()), pa.array([f for _, f, _ in found], pa.int64())]
+            yield pa.record_batch([piece.column("doc_id"), *own, *keys], ["doc_id", "own", "fp", *names])
+
+    known = ", ".join(f"k{d} array<long>" for d in DEPTHS)
+    seen = materialize(rows.mapInArrow(profiles, f"doc_id {kind}, own long, fp long, {known}"))
+    first = seen.groupBy("own").agg(F.min_by(F.struct("doc_id", "fp", *(f"k{d}" for d in DEPTHS)), "doc_id").alias("r"))
+    first = first.select("own", "r.*")
+    dealt_ = first.select("own", "fp", F.explode(F.arrays_zip(*(f"k{d}" for d in DEPTHS), F.sequence(F.lit(1), F.lit(TABLES)).alias("t"))).alias("k"))
+    waiting = dealt_.select("own", "fp", *(F.xxhash64(F.lit(d), "k.t", f"k.k{d}").alias(f"g{d}") for d in DEPTHS))
+    groups = None
+    for d in DEPTHS:
+        sizes = waiting.groupBy(f"g{d}").count().where(F.col("count") > 1)
+        sized = waiting.join(sizes, f"g{d}")
+        last = d == DEPTHS[-1]
+        fits = sized if last else sized.where(F.col("count") <= CROWD)
+        # what is still a crowd under the deepest key is cut by the order of fingerprints
+        spread = F.floor(F.rank().over(Window.partitionBy("g").orderBy("fp")) / CROWD) if last else F.lit(0)
+        fits = fits.select("own", "fp", F.col(f"g{d}").alias("g"))
+        if last:
+            fits = fits.select("own", "fp", F.xxhash64("g", spread).alias("g"))
+        groups = fits if groups is None else groups.unionByName(fits)
+        waiting = sized.where(F.col("count") > CROWD).drop("count")
+    groups = materialize(groups)
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in common.slices(batches, "text"):
+            sets = [np.unique(shingle_hashes(x, shingle)) for x in common.text_bytes(piece.column("text"))]
+            # a row that repeats an id with another text has another set
+            mine = [i for i, (own, s) in enumerate(zip(piece.column("own").to_pylist(), sets, strict=True)) if digest(s) == own]
+            lists = pa.array([sets[i].view(np.int64) for i in mine], pa.list_(pa.int64()))
+            yield pa.record_batch([piece.column("own").take(pa.array(mine, pa.int64())), lists], ["own", "s"])
+
+    wanted = first.select("own", "doc_id").join(groups.select("own").distinct(), "own", "left_semi")
+    sets = rows.join(wanted, "doc_id").mapInArrow(shingles, "own long, s array<long>").dropDuplicates(["own"])
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in crowds(batches, ("g",)):
+            own = group.column("own").to_numpy()
+            lists = [x.values.to_numpy() for x in group.column("s")]
+            pairs = alike(lists, group.column("fp").to_numpy().view(np.uint64), similarity)
+            if pairs:
+                a, b = np.array(pairs).T
+                yield pa.record_batch([pa.array(own[a]), pa.array(own[b])], ["a", "b"])
+
+    met = groups.join(sets, "own").repartition("g").sortWithinPartitions("g", "own")
+    roots = components(met.mapInArrow(verified, "a long, b long"))
+    member = first.select("own", "doc_id").join(roots.withColumnRenamed("node", "own"), "own", "left").withColumn("root", F.coalesce("root", "own"))
+    least = member.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    named = member.select("own", "root").join(least, "root").select("own", "component_id")
+    return seen.select("doc_id", "own").join(named, "own").select("doc_id", "component_id")
+
+
+def keep_representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of each group of similar texts, that of its smallest id, in the columns of ``docs``.
 
     Of rows that repeat an id one stays. Rows without an id can't be told apart from each other and stay.
     """
-    kept = grouped(docs, doc_id, text, shingle, max_bits).where("doc_id = component_id").select(F.col("doc_id").alias(doc_id)).distinct()
+    kept = similar(docs, doc_id, text, shingle, similarity).where("doc_id = component_id").select(F.col("doc_id").alias(doc_id)).distinct()
     named = docs.join(kept, doc_id, "left_semi").dropDuplicates([doc_id])
     return named.unionByName(docs.where(F.col(doc_id).isNull()))
