@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from scorelake.llm import common
 
-REMEMBERED = 500_000
+REMEMBERED = 800_000
 LONG = 64
 BIT = [1 << i for i in range(256)]
 

@@ -98,9 +98,10 @@ class PieceEncoder:
     costs time and nothing else.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 400_000, longest: int = 64) -> None:
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 700_000, longest: int = 64) -> None:
         self.encode, self.most, self.longest = encode, most, longest
         self.known: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
 
     def __call__(self, text: str) -> bytes:
         known = self.known
@@ -115,7 +116,14 @@ class PieceEncoder:
                 missing = set(rest)
             new = list(missing)
             known.update(zip(new, self.encode([" " + x for x in new]), strict=True))
-        out = b"".join([*self.encode([head]), *map(known.__getitem__, rest)])
+        first = self.heads.get(head)
+        if first is None:
+            first = self.encode([head])[0]
+            if len(head) <= self.longest:
+                if len(self.heads) >= self.most // 10:
+                    self.heads.clear()
+                self.heads[head] = first
+        out = b"".join([first, *map(known.__getitem__, rest)])
         for x in missing:
             if len(x) > self.longest:
                 del known[x]

@@ -162,10 +162,21 @@ class Encoder:
     def __init__(self, definition: str) -> None:
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
+        names = self.tokenizer.get_vocab()
+        self.bytes = np.zeros(max(names.values(), default=-1) + 1, np.int64)  # a byte-level token has a character a byte
+        self.bytes[list(names.values())] = list(map(len, names))
         self.encode = common.PieceEncoder(self.ids)
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        """Ids of pieces. Those with a blank ahead are encoded one behind the other, and told apart by their bytes."""
+        if len(texts) == 1 or not all(x[:1] == " " and not x[-1:].isspace() for x in texts):
+            found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            return [np.array(e.ids, "<u4").tobytes() for e in found]
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(texts)], add_special_tokens=False)[0].ids, "<u4")
+        stops = np.cumsum([len(x.encode()) for x in texts])
+        cuts = np.searchsorted(np.cumsum(self.bytes[ids]), stops) + 1
+        data = ids.tobytes()
+        return [data[4 * a : 4 * b] for a, b in zip([0, *cuts.tolist()], cuts.tolist(), strict=False)]
 
 
 #: Encoder of this worker process, by the definition's digest.
