@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 from scorelake.llm import common
 
 ORDER = 5
-BLOCK_BYTES = 24 << 20
-LEAST_BLOCKS = 48
+BLOCK_BYTES = 32 << 20
+LEAST_BLOCKS = 16
 #: Bytes that no UTF-8 text holds: ahead of a text, and its end.
 AHEAD, END = 0xFE, 0xFF
 ALPHABET = 256
@@ -200,7 +200,7 @@ def block_scores(docs: pa.Table, answers: pa.Table) -> pa.Table:
     value = dict(zip(words, np.log10(1.0 + answers.column("n").to_numpy()[is_word]).tolist(), strict=True))
     code = answers.column("gram").filter(pa.array(~is_word)).to_numpy()
     order = np.argsort(code)
-    code, chance = code[order], answers.column("chance").to_numpy()[~is_word][order]
+    code, chance = code[order], answers.column("chance").to_numpy()[~is_word][order].astype(float)
     out = []
     for piece in common.slices(docs.combine_chunks().to_batches(), "text"):
         values = common.text_bytes(piece.column("text"))
@@ -234,19 +234,22 @@ def scores(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "
     same = Window.partitionBy("word")
     words = words.select("block", "word", "n", F.sum("n").over(same).alias("c"), F.row_number().over(same.orderBy("block")).alias("nth"))
 
-    asked = by_block.applyInArrow(block_grams, "block long, gram long, n long").repartition("gram")
-    trie = asked.groupBy("gram").agg(F.sum("n").alias("n")).repartition(F.shiftright("gram", 8).bitwiseAND(0xFFFF))
+    # both uses below take the same rows and columns, so that Spark shuffles the grams once
+    asked = by_block.applyInArrow(block_grams, "block long, gram long, n long").where(F.col("gram").isNotNull()).repartition("gram")
+    trie = asked.groupBy("gram").agg(F.sum("n").alias("n"), F.count("block").alias("blocks"))
+    trie = trie.repartition(F.shiftright("gram", 8).bitwiseAND(0xFFFF))
 
     def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = [(b.column("gram").to_numpy(), b.column("n").to_numpy()) for b in batches]
         if own:
             code, n = merged(own)
-            yield pa.record_batch([pa.array(code), pa.array(log_chances(code, n, pairs.value))], ["gram", "chance"])
+            chance = log_chances(code, n, pairs.value).astype(np.float32)
+            yield pa.record_batch([pa.array(code), pa.array(chance)], ["gram", "chance"])
 
-    priced = asked.join(trie.mapInArrow(price, "gram long, chance double"), "gram")
+    priced = asked.join(trie.mapInArrow(price, "gram long, chance float"), "gram")
     none = lambda kind: F.lit(None).cast(kind)
-    answers = words.select("block", "word", none("long").alias("gram"), F.col("c").alias("n"), none("double").alias("chance")).unionByName(
-        priced.select("block", none("binary").alias("word"), "gram", none("long").alias("n"), "chance")
+    answers = words.select("block", "word", none("long").alias("gram"), F.col("c").alias("n"), none("float").alias("chance")).unionByName(
+        priced.select("block", none("binary").alias("word"), "gram", "n", "chance")
     )
     kind = rows.schema["doc_id"].dataType.simpleString()
     found = by_block.cogroup(answers.groupBy("block")).applyInArrow(
