@@ -404,7 +404,10 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle
             fits = fits.select("own", "fp", F.xxhash64("g", spread).alias("g"))
         groups = fits if groups is None else groups.unionByName(fits)
         waiting = sized.where(F.col("count") > CROWD).drop("count")
-    groups = materialize(groups)
+    # tables often bring the same texts together: one group of each set of texts goes on
+    same = groups.groupBy("g").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("own")).alias("x"), F.min("own").alias("a"), F.max("own").alias("b"))
+    once = same.where("n > 1").groupBy("n", "x", "a", "b").agg(F.min("g").alias("g")).select("g")
+    groups = materialize(groups.join(once, "g", "left_semi"))
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in common.slices(batches, "text"):
