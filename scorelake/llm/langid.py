@@ -71,7 +71,7 @@ def fit(
     per_language: int = 400,
     epochs: int = 6,
     reject_share: float = 0.001,
-    reject_most: float = 0.5,
+    reject_most: float = 0.35,
     seed: int = 7,
 ) -> Model:
     """Train on the sample. Its bags, bounded in number and size by the bucket count, are all that reaches the driver."""
@@ -131,7 +131,7 @@ def train(bags: list, languages: tuple, epochs: int, reject_share: float, reject
     logits = np.stack([shares @ scores[rows] + bias for rows, shares, _ in kept_back])
     labels = np.array([b[2] for b in kept_back])
     at = np.arange(len(labels))
-    heats = np.geomspace(0.05, 20, 80)
+    heats = np.geomspace(1e-3, 1e3, 240)
     # smoothed labels keep the temperature finite when every text is named rightly
     logs = [np.log(np.maximum(softmax(logits / t), 1e-12)) for t in heats]
     loss = [-(0.99 * x[at, labels] + 0.01 * x.mean(axis=1)).mean() for x in logs]

@@ -30,6 +30,7 @@ from scorelake.llm import common
 #: Classes of bytes: lower case, upper case, digit, blank, line end, sentence marks, other marks, control, beyond ASCII.
 LOWER, UPPER, DIGIT, BLANK, LINE, SENTENCE, MARK, CONTROL, OTHER = range(9)
 CLASSES = 9
+WIDTH = CLASSES * CLASSES + 11
 KINDS = np.array(
     [
         LOWER if 97 <= c <= 122 else UPPER if 65 <= c <= 90 else DIGIT if 48 <= c <= 57 else LINE if c in (10, 13)
@@ -54,7 +55,7 @@ def features(text: bytes) -> np.ndarray:
     """Pair shares of byte classes, then the features of words and lines."""
     data = np.frombuffer(text, np.uint8)
     n = len(data)
-    out = np.zeros(CLASSES * CLASSES + 11)
+    out = np.zeros(WIDTH)
     if not n:
         return out
     kinds = KINDS[data]
@@ -104,12 +105,12 @@ def fit(
     sample = common.bounded_sample(texts.select("h", "label", "text"), "label", per_label)
     found = sample.mapInArrow(rows, "h long, label int, x array<double>").toArrow()
     order = np.lexsort((found["h"].to_numpy(), found["label"].to_numpy()))
-    x = np.array(found["x"].to_pylist(), float).reshape(found.num_rows, -1)[order]
+    x = np.array(found["x"].to_pylist(), float).reshape(found.num_rows, WIDTH)[order]
     return train(x, found["label"].to_numpy()[order], pairs, epochs, penalty, seed)
 
 
 def train(x: np.ndarray, y: np.ndarray, pairs: int, epochs: int, penalty: float, seed: int) -> Model:
-    width = CLASSES * CLASSES + 11
+    width = WIDTH
     if len(set(y.tolist())) < 2:
         share = float(y.mean()) if len(y) else 0.5
         return Model(np.zeros(width), np.ones(width), np.zeros(width), 0.0, float(np.log((share + 1e-9) / (1 - share + 1e-9))))
@@ -146,7 +147,7 @@ def train(x: np.ndarray, y: np.ndarray, pairs: int, epochs: int, penalty: float,
 
 def chances(model: Model, values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Bradley-Terry score and chance of label 1 of each text."""
-    x = np.array([features(v) for v in values], float).reshape(len(values), -1)
+    x = np.array([features(v) for v in values], float).reshape(len(values), WIDTH)
     raw = ((x - model.mean) / model.scale) @ model.weights if len(values) else np.zeros(0)
     return raw, sigmoid(model.slope * raw + model.intercept)
 

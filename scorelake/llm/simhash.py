@@ -17,7 +17,7 @@ How the links are found, exactly and without pairs of all rows:
    the factored bits add up; a pair of groups is left as soon as the sum exceeds max_bits.
 4. What a group found leaves the task as a forest, at most one edge a fingerprint, and of bounded degree, so no row of
    the graph gets more than a few dozen edges.
-5. Components come from rounds of hooking each node to its smallest neighbour and contracting, as joins and
+5. Components come from rounds of hooking each node to a neighbour and contracting, as joins and
    aggregations over the linked fingerprints only. Each round is checkpointed in the shared folder.
 
 Defined results: null and wordless texts have fingerprint zero and are linked like any other; a text of fewer words than
@@ -269,15 +269,19 @@ def links(values: DataFrame, max_bits: int = 2, hot: int = HOT) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node and root (one member for the whole component) of every node that has an edge.
 
-    Each round hooks every node to its smallest neighbour, follows two hooks, and goes on with the edges between what is
-    left. Nodes that have no edge any more keep their root.
+    Each round hooks every node to the least of itself and its neighbours, in an order that a hash draws anew every round, follows two
+    hooks, and goes on with the edges between what is left. Whatever the shape of a component, a round leaves a fraction of its nodes, so
+    that rounds grow with the logarithm of the largest one. Nodes that have no edge any more keep their root.
     """
+    number = 0
     edges = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
     roots = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("root"))
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("up"))
+        drawn = lambda c, number=number: F.struct(F.xxhash64(F.lit(number), c).alias("h"), F.col(c).alias("up"))
+        hook = both.groupBy("a").agg(F.min(drawn("b")).alias("least")).select("a", F.least(drawn("a"), F.col("least"))["up"].alias("up"))
         hook = materialize(hook)
+        number += 1
         far = hook.select(F.col("a").alias("up"), F.col("up").alias("top"))
         hook = materialize(hook.join(far, "up").select(F.col("a").alias("node"), F.col("top").alias("up")))
         roots = materialize(

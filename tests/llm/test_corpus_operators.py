@@ -225,9 +225,7 @@ def test_grouped_rows(spark):
     assert simhash.grouped(frame(spark, rows).limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("crowd", [simhash.CROWD, 4])
-def test_similar_texts_equal_brute_force(spark, monkeypatch, crowd):
-    monkeypatch.setattr(simhash, "CROWD", crowd)
+def test_similar_texts_equal_brute_force(spark):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
     rows = []
@@ -250,6 +248,20 @@ def test_similar_texts_equal_brute_force(spark, monkeypatch, crowd):
     assert kept.where("doc_id is null").count() == 1 and kept.columns == ["doc_id", "text", "own"]
 
 
+def test_a_crowd_of_copies_is_dealt_again_and_stays_one_group(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWD", 30)
+    rng = random.Random(15)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    rows = []
+    for i in range(200):
+        copy = list(base)
+        copy[rng.randrange(150)] = f"c{i}"
+        rows.append((i, " ".join(copy)))
+    rows += [(1000 + i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))) for i in range(20)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(frame(spark, rows)).collect()}
+    assert all(got[i] == 0 for i in range(200)) and all(got[i] == i for i in range(1000, 1020))
+
+
 # --- search -------------------------------------------------------------------------------------------------------
 
 
