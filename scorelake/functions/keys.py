@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scorelake.functions.json_values import json_value
 from scorelake.functions.staging import let, stage
 from scorelake.functions.text import json_quote
 
@@ -39,7 +40,7 @@ def _plain_json(text: Column) -> Column:
             kind.isin("BIGINT", "BOOLEAN", "VOID"), F.to_json(value)
         )
 
-    values = F.map_entries(F.transform_values(F.try_parse_json(text).cast("map<string,variant>"), lambda _, v: write(v)))
+    values = F.map_entries(F.transform_values(json_value(text).cast("map<string,variant>"), lambda _, v: write(v)))
     return let(
         F.array_sort(values),
         lambda entries: F.when(
@@ -81,6 +82,6 @@ def canonical_args(arguments: Column) -> Column:
     Numbers lose their spelling (1.0 prints as 1), so equal arguments have equal text.
     """
     return F.transform_values(
-        F.try_parse_json(arguments).cast("map<string,variant>"),
+        json_value(arguments).cast("map<string,variant>"),
         lambda _, v: F.nullif(F.to_json(v), F.lit("null")),
     )

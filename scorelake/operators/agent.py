@@ -1,11 +1,15 @@
 """Score agent trajectories: answer, tool calls, limits, efficiency, reasoning and the composite.
 
-A case row carries its trajectory as an array of steps. All checks are higher-order array expressions on that row, so
-scoring needs no explode and no shuffle.
+A case row carries its trajectory as an array of steps. Checks are higher-order array expressions on that row, so scoring
+needs no explode and no shuffle; only regex expectations go through Python, whose dialect they are in.
 """
 
 from __future__ import annotations
 
+import re
+from functools import cache
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,15 +26,44 @@ def called_tools(steps: Column) -> Column:
     return F.array_distinct(F.transform(tool_calls(steps), lambda c: c["name"]))
 
 
-def match_answer(expected: Column, match: Column, answer: Column) -> Column:
+@cache
+def compiled(pattern: str) -> tuple[re.Pattern | None, str | None]:
+    """A pattern, or why it is none."""
+    try:
+        return re.compile(pattern), None
+    except re.error as exc:
+        return None, str(exc)
+
+
+def search_pattern(pattern: Column, text: Column) -> Column:
+    """hit and error of a pattern in Python's dialect searched in a text; nulls for a null pattern.
+
+    Patterns are written for Python and Java reads some of them otherwise, or refuses them and ends the job; so this is an
+    Arrow function. A pattern that Python refuses is no hit, with the reason in ``error``.
+    """
+
+    @F.pandas_udf("hit boolean, error string")
+    def search(patterns: pd.Series, texts: pd.Series) -> pd.DataFrame:
+        found = []
+        for p, t in zip(patterns, texts, strict=True):
+            form, error = (None, None) if p is None else compiled(p)
+            found.append((None if p is None else bool(form and form.search(t or "")), error))
+        return pd.DataFrame(found, columns=["hit", "error"])
+
+    return search(pattern, text)
+
+
+def match_answer(expected: Column, match: Column, answer: Column, searched: Column | None = None) -> Column:
     """Score of the deterministic match modes. No expectation counts in full; a judged answer falls to contains.
 
-    The pattern of the regex mode is applied with Java's dialect and searched anywhere; see ``bad_patterns``.
+    ``searched`` is what ``search_pattern`` gave for the rows of the regex mode; without it the pattern is searched here.
     """
     text = F.coalesce(answer, F.lit(""))
+    if searched is None:
+        searched = search_pattern(F.when(match == "regex", expected), text)
     hit = (
         F.when(match == "exact", strip(text) == strip(expected))
-        .when(match == "regex", F.rlike(text, F.when(match == "regex", expected).otherwise("")))
+        .when(match == "regex", searched["hit"])
         .otherwise(icontains(text, expected))
     )
     return F.when(expected.isNull(), 1.0).otherwise(hit.cast("double"))
@@ -144,18 +177,19 @@ def score_agent(cases: DataFrame, enforce_tool_score: bool = False) -> DataFrame
     has_reasoning_judge = "reasoning_judge" in cases.columns
 
     match = F.coalesce(e["answer_match"], F.lit("contains"))
-    plain = match_answer(e["answer"], match, F.col("final_answer"))
+    cases = cases.withColumn("_searched", search_pattern(F.when(match == "regex", e["answer"]), F.col("final_answer")))
+    searched = F.col("_searched")
+    plain = match_answer(e["answer"], match, F.col("final_answer"), searched)
+    bad_pattern = F.concat(F.lit("Invalid regex pattern: "), searched["error"])
     wants_judge = (match == "llm_judge") & e["answer"].isNotNull()
     no_judge_note = F.lit("llm_judge requested but no --judge-model configured; fell back to contains match")
     if has_answer_judge:
         ja = F.col("answer_judge")
         answer_score = F.when(wants_judge & ja.isNotNull(), ja["judge_score"]).otherwise(plain)
-        answer_reason = F.when(
-            wants_judge, F.coalesce(ja["judge_reason"], no_judge_note)
-        ).otherwise("")
+        answer_reason = F.when(wants_judge, F.coalesce(ja["judge_reason"], no_judge_note)).otherwise(F.coalesce(bad_pattern, F.lit("")))
     else:
         answer_score = plain
-        answer_reason = F.when(wants_judge, no_judge_note).otherwise("")
+        answer_reason = F.when(wants_judge, no_judge_note).otherwise(F.coalesce(bad_pattern, F.lit("")))
 
     if has_reasoning_judge:
         jr = F.col("reasoning_judge")
@@ -272,7 +306,7 @@ def score_agent(cases: DataFrame, enforce_tool_score: bool = False) -> DataFrame
         }
     )
     return df.withColumn("passed", F.size("failure_reasons") == 0).drop(
-        "calls", "_called", "_checks", "_must", "_must_not"
+        "calls", "_called", "_checks", "_must", "_must_not", "_searched"
     )
 
 
@@ -281,10 +315,11 @@ def case_latency(total_latency: Column, elapsed: Column) -> Column:
     return F.coalesce(F.nullif(total_latency, F.lit(0)), elapsed, F.lit(0))
 
 
-def bad_patterns(cases: DataFrame, allowed: str = r"^(?!.*\(\?P)[\x20-\x7E]*$") -> DataFrame:
-    """Regex expectations outside a safe form. A pattern Java rejects ends the job, so check before scoring."""
+def bad_patterns(cases: DataFrame) -> DataFrame:
+    """Cases whose regex expectation is no pattern, with the reason in ``pattern_error``. Scoring fails them one by one."""
     e = F.col("expected")
-    return cases.filter((e["answer_match"] == "regex") & e["answer"].isNotNull() & ~e["answer"].rlike(allowed))
+    found = cases.withColumn("_searched", search_pattern(F.when(e["answer_match"] == "regex", e["answer"]), F.lit("")))
+    return found.withColumn("pattern_error", F.col("_searched.error")).drop("_searched").filter(F.col("pattern_error").isNotNull())
 
 
 def resolve_tool_calls(steps: Column, mocks: Column) -> Column:

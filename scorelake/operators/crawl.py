@@ -23,8 +23,8 @@ def crawl(pages: DataFrame, seeds: DataFrame, max_pages: int = 20) -> DataFrame:
 
     The page table is read once: pages below the directory of some seed are kept with their links, one row per url.
     A round then works on at most ``max_pages`` pages per seed and ranks only what these link to; the rank filter limits
-    the candidates of a seed on each task ahead of the shuffle. What was reached is checkpointed in the shared folder
-    after every round, so the plan does not grow with the depth.
+    the candidates of a seed on each task ahead of the shuffle. Each level is checkpointed in the shared folder, once and by
+    itself; the result is the union of the levels.
     """
     starts = seeds.select(F.col("url").alias("seed")).distinct().withColumn("prefix", url_prefix(F.col("seed")))
     areas = starts.select(_site(F.col("seed")).alias("site"), "prefix").distinct()
@@ -38,15 +38,15 @@ def crawl(pages: DataFrame, seeds: DataFrame, max_pages: int = 20) -> DataFrame:
         .groupBy("url")
         .agg(F.min("links").alias("links"))
     )
-    reached = materialize(
+    level = materialize(
         starts.join(known, starts["seed"] == known["url"]).select(
             "seed", "prefix", "url", F.lit(0).alias("level"), F.lit(0).alias("position"), "links"
         )
     )
+    reached = level
     for depth in range(1, max_pages):
         found = (
-            reached.filter(F.col("level") == depth - 1)
-            .select("seed", "prefix", F.col("position").alias("_from"), F.posexplode("links").alias("_ord", "url"))
+            level.select("seed", "prefix", F.col("position").alias("_from"), F.posexplode("links").alias("_ord", "url"))
             .filter(F.startswith("url", F.col("prefix")))
             .groupBy("seed", "prefix", "url")
             .agg(F.min(F.col("_from").cast("long") * F.lit(2**32) + F.col("_ord")).alias("_rank"))
@@ -62,7 +62,8 @@ def crawl(pages: DataFrame, seeds: DataFrame, max_pages: int = 20) -> DataFrame:
             .filter(F.col("position") < max_pages)
             .select("seed", "prefix", "url", F.lit(depth).alias("level"), "position", "links")
         )
-        reached = materialize(reached.unionByName(level))
-        if reached.filter(F.col("level") == depth).isEmpty():
+        level = materialize(level)
+        if level.isEmpty():
             break
+        reached = reached.unionByName(level)
     return reached.drop("links", "prefix")

@@ -62,12 +62,13 @@ def provider_summary(raw: DataFrame, run_keys: Sequence[str] = RUN_KEYS) -> Data
     )
 
 
-def list_providers(raw: DataFrame, at_most: int = 200) -> list[str]:
-    """Providers by first appearance, for ``provider_matrix``. More than ``at_most`` are refused, as each is a column."""
-    seen = raw.groupBy("provider").agg(F.min("ord").alias("first")).orderBy("first", "provider").limit(at_most + 1).collect()
-    if len(seen) > at_most:
-        raise ValueError(f"more than {at_most} providers; compare fewer")
-    return [r["provider"] for r in seen]
+def list_providers(raw: DataFrame) -> list[str]:
+    """Providers by first appearance, for ``provider_matrix``, in which each is a set of columns.
+
+    The names come to the driver. Where they are many, ``provider_cases`` holds the same comparison as rows.
+    """
+    seen = raw.groupBy("provider").agg(F.min("ord").alias("first")).orderBy("first", "provider")
+    return [r["provider"] for r in seen.collect()]
 
 
 def provider_matrix(

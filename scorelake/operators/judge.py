@@ -7,9 +7,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scorelake.functions.json_values import json_value
 from scorelake.functions.scales import METRIC_SCALES, Scale
 from scorelake.functions.staging import stage
-from scorelake.functions.text import strip, strip_fence
+from scorelake.functions.text import py_round, strip, strip_fence
 
 # The metrics of each judge, in the order of the combined reason, with their names there.
 RAG_METRICS = {"faithfulness": "Faithfulness", "answer_correctness": "Answer Correctness"}
@@ -35,7 +36,7 @@ def parse_replies(replies: DataFrame, scales: Mapping[str, Sequence[str]] = METR
     A reply that is no JSON object, or whose label fits nothing, gets the middle of the scale. Rows of unknown metrics
     get nulls. Only row-wise expressions: no shuffle.
     """
-    staged = stage(replies, "_obj", F.try_parse_json(strip_fence("raw_text"))).withColumn(
+    staged = stage(replies, "_obj", json_value(strip_fence("raw_text"))).withColumn(
         "_is_obj", F.coalesce(F.startswith(F.schema_of_variant("_obj"), F.lit("OBJECT")), F.lit(False))
     )
     staged = staged.withColumn(
@@ -71,12 +72,14 @@ def pivot_metrics(parsed: DataFrame, metrics: Mapping[str, str], keys: Sequence[
     """One row per case with a struct column per metric, their mean and the combined reason.
 
     Cases join this once however many metrics there are. A case that lacks one of the metrics is left out, as it was
-    not judged.
+    not judged. Of repeated replies the last counts, if there is a column ``ord`` to tell, else the one that sorts highest.
     """
     wanted = parsed.filter(F.col("metric").isin(list(metrics)))
     value = F.struct("raw", "label", "normalized", "reason")
-    wide = wanted.groupBy(*keys).agg(*[F.max(F.when(F.col("metric") == m, value)).alias(m) for m in metrics])
+    order = F.struct("ord", value) if "ord" in parsed.columns else value
+    pick = lambda m: F.max_by(F.when(F.col("metric") == m, value), F.when(F.col("metric") == m, order)).alias(m)
+    wide = wanted.groupBy(*keys).agg(*map(pick, metrics))
     complete = wide.dropna(subset=list(metrics))
     total = sum((F.col(m)["normalized"] for m in metrics), F.lit(0.0))
     reason = F.concat_ws(" | ", *[F.concat(F.lit(f"{title}: "), F.col(m)["reason"]) for m, title in metrics.items()])
-    return complete.withColumns({"judge_score": F.round(total / len(metrics), 4), "judge_reason": reason})
+    return complete.withColumns({"judge_score": py_round(total / len(metrics), 4), "judge_reason": reason})

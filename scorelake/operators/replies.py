@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.functions.staging import stage
-from scorelake.functions.text import strip_fence_lines
+from scorelake.functions.json_values import json_value
+from scorelake.functions.staging import let, stage
+from scorelake.functions.text import strip, strip_fence_lines
 from scorelake.schemas import CALL_REQUIREMENT
 
 _ITEM = (
@@ -20,26 +21,23 @@ _AGENT_ITEM = (
 )
 
 
-def _items(replies: DataFrame) -> tuple[DataFrame, Column]:
-    staged = stage(replies, "_doc", F.try_parse_json(strip_fence_lines("raw_text")))
-    shape = F.schema_of_variant("_doc")
-    return staged, F.coalesce(F.startswith(shape, F.lit("ARRAY")), F.lit(False))
+def _explode(replies: DataFrame, item: str) -> DataFrame:
+    """One row per element that is an object, with ``item_no`` and the parsed struct ``_item``.
 
-
-def _explode(staged: DataFrame, is_array: Column, item: str) -> DataFrame:
-    """One row per element that is an object, with ``item_no`` and the parsed struct ``_item``."""
-    elements = F.when(is_array, F.try_variant_get("_doc", "$", "array<variant>"))
-    exploded = staged.select(
-        *[c for c in staged.columns if c not in ("_doc", "raw_text")],
-        F.posexplode(elements).alias("item_no", "_v"),
-    )
-    objects = exploded.filter(F.startswith(F.schema_of_variant("_v"), F.lit("OBJECT")))
-    return stage(objects, "_item", F.from_json(F.to_json("_v"), item)).drop("_v")
+    Elements are cut out as text, so that nested values keep their spelling and the order of their keys.
+    """
+    text = strip(strip_fence_lines("raw_text"))
+    listed = let(text, lambda t: F.when(F.startswith(t, F.lit("[")) & F.endswith(t, F.lit("]")), t))
+    staged = stage(replies, "_elements", F.from_json(listed, "array<string>"))
+    kept = [c for c in replies.columns if c != "raw_text"]
+    rows = staged.select(*kept, F.posexplode("_elements").alias("item_no", "_element"))
+    objects = rows.filter(F.startswith("_element", F.lit("{")))
+    return stage(objects, "_item", F.from_json("_element", item)).drop("_element").filter(F.col("_item").isNotNull())
 
 
 def reply_errors(replies: DataFrame) -> DataFrame:
     """Replies that are no JSON, with the first 500 characters of their text."""
-    staged, _ = _items(replies)
+    staged = stage(replies, "_doc", json_value(strip_fence_lines("raw_text")))
     return staged.filter(F.col("_doc").isNull()).select(
         *[c for c in replies.columns if c != "raw_text"],
         F.concat(
@@ -53,8 +51,7 @@ def parse_generated(replies: DataFrame) -> DataFrame:
 
     ``input`` and ``expected`` stay JSON text. Replies that are no JSON give no rows; ``reply_errors`` lists them.
     """
-    staged, is_array = _items(replies)
-    rows = _explode(staged, is_array, _ITEM)
+    rows = _explode(replies, _ITEM)
     item = F.col("_item")
     return rows.filter(item["input"].isNotNull() & item["expected"].isNotNull()).select(
         *[c for c in rows.columns if c != "_item"],
@@ -70,8 +67,7 @@ def parse_generated(replies: DataFrame) -> DataFrame:
 
 def parse_generated_agent(replies: DataFrame) -> DataFrame:
     """Generated agent tasks, one row each. A reply that is no JSON array gives no rows, elements need a task."""
-    staged, is_array = _items(replies)
-    rows = _explode(staged, is_array, _AGENT_ITEM)
+    rows = _explode(replies, _AGENT_ITEM)
     item = F.col("_item")
     steps = F.coalesce(item["max_steps"].try_cast("double").cast("int"), F.lit(6))
     return rows.filter(item["task"].isNotNull()).select(

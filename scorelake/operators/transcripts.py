@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scorelake.functions.json_values import json_value
 from scorelake.functions.staging import stage
 from scorelake.functions.text import strip
 from scorelake.operators.agent import resolve_tool_calls
@@ -31,7 +32,7 @@ def _tagged(text: Column, tag: str) -> Column:
 
 def argument_map(text: Column) -> Column:
     """Tool arguments given as text: a JSON object as canonical values, anything else under ``input``."""
-    parsed = F.try_parse_json(text)
+    parsed = json_value(text)
     is_object = F.coalesce(F.startswith(F.schema_of_variant(parsed), F.lit("OBJECT")), F.lit(False))
     values = F.transform_values(
         F.when(is_object, parsed).cast("map<string,variant>"), lambda _, v: F.nullif(F.to_json(v), F.lit("null"))
@@ -67,7 +68,7 @@ def transcript_steps(turns: DataFrame, keys: Sequence[str] = ("case_id",)) -> Da
     kept = turns.join(first, list(keys), "left").filter(F.col("_stop").isNull() | (F.col("turn") <= F.col("_stop")))
     text, latency = F.col("text"), F.col("latency_ms")
     thought, call_text, answer = (_tagged(text, t) for t in ("thought", "tool_call", "answer"))
-    kept = stage(stage(kept, "_call_text", call_text), "_call", F.try_parse_json("_call_text"))
+    kept = stage(stage(kept, "_call_text", call_text), "_call", json_value("_call_text"))
     parsed = F.col("_call")
     is_object = F.coalesce(F.startswith(F.schema_of_variant(parsed), F.lit("OBJECT")), F.lit(False))
     name = F.coalesce(F.try_variant_get(parsed, "$.name", "string"), F.lit(""))
@@ -142,7 +143,7 @@ def event_log_steps(events: DataFrame, keys: Sequence[str] = ("case_id",)) -> Da
     A rationale is a thought, an action input a tool call, an action output an observation; one event can hold all
     three, in that order.
     """
-    trace = F.try_variant_get(F.try_parse_json("event"), "$.trace.trace.orchestrationTrace", "variant")
+    trace = F.try_variant_get(json_value("event"), "$.trace.trace.orchestrationTrace", "variant")
     staged = stage(events.select(*keys, F.col("ord").alias("turn"), "event"), "_trace", trace)
 
     def at(path: str, kind: str = "string") -> Column:
@@ -189,7 +190,7 @@ def event_log_answers(events: DataFrame, keys: Sequence[str] = ("case_id",)) ->
     chunks = stage(
         events.select(*keys, "ord", "event"),
         "_chunk",
-        F.try_variant_get(F.try_parse_json("event"), "$.chunk.bytes", "string"),
+        F.try_variant_get(json_value("event"), "$.chunk.bytes", "string"),
     )
     parts = F.array_sort(F.collect_list(F.when(F.col("_chunk") != "", F.struct("ord", "_chunk"))))
     text = F.array_join(F.transform(parts, lambda p: p["_chunk"]), "")
@@ -204,8 +205,8 @@ def with_answer_steps(steps: DataFrame, answers: DataFrame, keys: Sequence[str]
     return steps.unionByName(last)
 
 
-def compact(steps: DataFrame, keys: Sequence[str] = ("case_id",)) -> DataFrame:
-    """What scoring needs of each trajectory, without gathering its steps.
+def compact(steps: DataFrame, keys: Sequence[str] = ("case_id",), *more: Column) -> DataFrame:
+    """What scoring needs of each trajectory, without gathering its steps; ``more`` aggregates join the same pass.
 
     Counts of steps and calls, and the distinct calls (name and arguments): repeated calls cannot change a check. All
     three combine on the map side, so a trajectory of any length costs its distinct calls.
@@ -224,6 +225,7 @@ def compact(steps: DataFrame, keys: Sequence[str] = ("case_id",)) -> DataFrame:
             distinct,
             lambda c: F.struct(c["name"].alias("name"), F.map_from_entries(c["entries"]).alias("arguments")),
         ).alias("calls"),
+        *more,
     )
 
 

@@ -16,8 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # --- raw provider results from events ---------------------------------------------------------------------------
 
-PROVIDERS = ("click", "error", "purchase", "signup", "view")
-
 RES_SQL = """
 res as (
   select 'ds' || cast(user_id % 7 as varchar) dataset,
@@ -98,32 +96,15 @@ def raw_results_large(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# --- conversations cut into talks of bounded length --------------------------------------------------------------
-
-# A talk is at most 64 turns of a conversation, so what is gathered per talk is bounded. The factor leaves the same
-# remainders as the conversation id for all small divisors.
-TALK_TURNS = 64
-TALK_FACTOR = 27721
-TALKS = (
-    f"(select conv_id * {TALK_FACTOR} + turn // {TALK_TURNS} as conv_id, turn, role, text from conversations) talks"
-)
-
-
-def talks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = F.floor(F.col("turn") / TALK_TURNS)
-    talk = (F.col("conv_id") * TALK_FACTOR + part).alias("conv_id")
-    return table(spark, sf_dir, "conversations").select(talk, "turn", "role", "text")
-
-
-# --- retrieval cases from """ + TALKS + """ -------------------------------------------------------------------------
+# --- retrieval cases from conversations -------------------------------------------------------------------------
 
 RAG_SQL = """
 rag_cases as (
   select 'conv' || cast(conv_id % 3 as varchar) dataset, conv_id case_id, arg_min(text, turn) query
-  from """ + TALKS + """ where role = 'user' group by conv_id),
+  from conversations where role = 'user' group by conv_id),
 rag_responses as (
   select conv_id case_id, arg_max(text, turn) answer, cast(sum(length(text)) % 900 as int) latency_ms
-  from """ + TALKS + """ where role = 'assistant' group by conv_id),
+  from conversations where role = 'assistant' group by conv_id),
 rag as (
   select dataset, case_id, query, split_part(query, ' ', 1) ground_truth, answer,
          coalesce(latency_ms, 0) latency_ms, case when answer is null then 'no response' end error
@@ -131,7 +112,7 @@ rag as (
 
 
 def rag_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    users = talks(spark, sf_dir).filter(F.col("role") == "user")
+    users = table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
     cases = users.groupBy("conv_id").agg(F.min_by("text", "turn").alias("query"))
     return cases.select(
         F.concat(F.lit("conv"), (F.col("conv_id") % 3).cast("string")).alias("dataset"),
@@ -142,7 +123,7 @@ def rag_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rag_responses(spark: SparkSession, sf_dir: str, newest: bool = True) -> DataFrame:
-    replies = talks(spark, sf_dir).filter(F.col("role") == "assistant")
+    replies = table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
     pick = F.max_by if newest else F.min_by
     return replies.groupBy("conv_id").agg(
         pick("text", "turn").alias("answer"), (F.sum(F.length("text")) % 900).cast("int").alias("latency_ms")
@@ -160,7 +141,7 @@ marked as (
   select conv_id, turn, text,
          min(case when role = 'user' then turn end) over (partition by conv_id) first_user,
          max(case when role = 'assistant' then turn end) over (partition by conv_id) last_reply
-  from """ + TALKS + """),
+  from conversations),
 contexts as (
   select conv_id case_id, list(text order by turn) contexts
   from marked where turn is distinct from first_user and turn is distinct from last_reply group by conv_id)"""
@@ -168,7 +149,7 @@ contexts as (
 
 def rag_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The turns of a conversation that are neither its query nor its answer, as the contexts of its case row."""
-    c = talks(spark, sf_dir)
+    c = table(spark, sf_dir, "conversations")
     ends = c.groupBy("conv_id").agg(
         F.min(F.when(F.col("role") == "user", F.col("turn"))).alias("first_user"),
         F.max(F.when(F.col("role") == "assistant", F.col("turn"))).alias("last_reply"),
@@ -182,7 +163,7 @@ def rag_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# --- agent trajectories from """ + TALKS + """ ----------------------------------------------------------------------
+# --- agent trajectories from conversations ----------------------------------------------------------------------
 
 TRJ_SQL = """
 trj as (
@@ -192,7 +173,7 @@ trj as (
          coalesce(list('t' || cast(length(text) % 4 as varchar) order by turn) filter (role = 'user'), []) calls,
          coalesce(list(cast(length(text) % 3 as varchar) order by turn) filter (role = 'user'), []) args,
          cast(sum(length(text)) % 5000 as int) latency_ms, sum(length(text)) / 1000000 cost_usd
-  from """ + TALKS + """ group by conv_id)"""
+  from conversations group by conv_id)"""
 
 EXP_SQL = (
     TRJ_SQL
@@ -201,7 +182,7 @@ expd as (
   select *,
          case conv_id % 5 when 0 then case when conv_id % 10 = 0 then '  ' || final_answer || chr(10)
                                            else split_part(task, ' ', 1) end
-                          when 2 then '[aeiou]{2}' when 4 then null else split_part(task, ' ', 1) end exp_answer,
+                          when 2 then case conv_id % 15 when 2 then '[' when 7 then '(?P<v>[aeiou])(?P=v)' else '[aeiou]{2}' end when 4 then null else split_part(task, ' ', 1) end exp_answer,
          ['exact', 'contains', 'regex', 'llm_judge', 'contains'][conv_id % 5 + 1] exp_match,
          ['t0', 't' || cast(conv_id % 4 as varchar), 't1'] must_call,
          ['t3', 't' || cast(conv_id % 3 as varchar)] must_not_call,
@@ -220,13 +201,15 @@ checked as (
          case when exp_answer is null then 1.0::double
               when exp_match = 'exact' then case when trim(coalesce(final_answer, ''), chr(32) || chr(10)) =
                    trim(exp_answer, chr(32) || chr(10)) then 1.0 else 0.0 end
-              when exp_match = 'regex' then case when regexp_matches(coalesce(final_answer, ''), exp_answer)
-                   then 1.0 else 0.0 end
+              when exp_match = 'regex' and exp_answer = '[' then 0.0
+              when exp_match = 'regex' then case when regexp_matches(coalesce(final_answer, ''),
+                   case when exp_answer like '(?P%' then 'aa|ee|ii|oo|uu' else exp_answer end) then 1.0 else 0.0 end
               else case when contains(lower(coalesce(final_answer, '')), lower(exp_answer)) then 1.0 else 0.0 end
          end answer_score,
          case when exp_answer is not null and exp_match = 'llm_judge'
               then 'llm_judge requested but no --judge-model configured; fell back to contains match'
-              else '' end answer_reason,
+              when exp_answer = '[' and exp_match = 'regex'
+              then 'Invalid regex pattern: unterminated character set at position 0' else '' end answer_reason,
          case when max_steps > 1 then greatest(0.0, 1.0 - (step_count - 1) / (max_steps - 1)) else 1.0 end efficiency
   from expd),
 scored as (
@@ -257,10 +240,10 @@ def _turn_step(turn: Column, kind: Column) -> Column:
 
 def step_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps of conversations as rows: system turns think, user turns call a tool, assistant turns think."""
-    c = talks(spark, sf_dir)
+    c = table(spark, sf_dir, "conversations")
     turn = F.struct("turn", "role", "text")
     kind = F.when(F.col("role") == "user", "tool_call").otherwise("thought")
-    return c.select("conv_id", "turn", F.lit(0).alias("pos"), _turn_step(turn, kind).alias("step"))
+    return c.select("conv_id", "turn", "role", "text", F.lit(0).alias("pos"), _turn_step(turn, kind).alias("step"))
 
 
 def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -268,7 +251,7 @@ def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     As ``step_rows``, and an assistant turn that ends the conversation is its answer.
     """
-    c = talks(spark, sf_dir)
+    c = table(spark, sf_dir, "conversations")
     turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
     count = F.size("turns")
 
@@ -287,16 +270,16 @@ def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def compact_trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What scoring needs per conversation, aggregated without gathering turns."""
-    c = talks(spark, sf_dir)
-    role, chars = F.col("role"), F.sum(F.length("text"))
-    facts = c.groupBy("conv_id").agg(
-        F.min_by(F.when(role == "user", F.col("text")), F.when(role == "user", F.col("turn"))).alias("task"),
-        F.max_by(F.when(role == "assistant", F.col("text")), F.when(role == "assistant", F.col("turn"))).alias("final_answer"),
+    """What scoring needs per conversation, in one aggregation and without gathering turns."""
+    role, text, turn, chars = F.col("role"), F.col("text"), F.col("turn"), F.sum(F.length("text"))
+    return compact(
+        step_rows(spark, sf_dir),
+        ("conv_id",),
+        F.min_by(F.when(role == "user", text), F.when(role == "user", turn)).alias("task"),
+        F.max_by(F.when(role == "assistant", text), F.when(role == "assistant", turn)).alias("final_answer"),
         (chars % 5000).cast("int").alias("latency_ms"),
         (chars / 1000000).alias("cost_usd"),
     )
-    return compact(step_rows(spark, sf_dir), ("conv_id",)).join(facts, "conv_id")
 
 
 def agent_cases(spark: SparkSession, sf_dir: str, crashes: bool = False, with_steps: bool = False) -> DataFrame:
@@ -306,6 +289,8 @@ def agent_cases(spark: SparkSession, sf_dir: str, crashes: bool = False, with_st
     word = F.split_part("task", F.lit(" "), F.lit(1))
     answer = (
         F.when((n % 5 == 0) & (n % 10 == 0), F.concat(F.lit("  "), "final_answer", F.lit("\n")))
+        .when(n % 15 == 2, "[")
+        .when(n % 15 == 7, "(?P<v>[aeiou])(?P=v)")
         .when(n % 5 == 2, "[aeiou]{2}")
         .when(n % 5 == 4, F.lit(None))
         .otherwise(word)

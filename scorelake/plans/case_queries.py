@@ -85,7 +85,7 @@ def _pick(labels: list[str], n: Column) -> Column:
 
 def _rag_replies(spark: SparkSession, sf: str) -> DataFrame:
     """Two judge replies per answered conversation, made from its id and number of turns."""
-    c = b.talks(spark, sf).groupBy("conv_id").agg(F.count("*").alias("turns"))
+    c = b.table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"))
     n, turns = F.col("conv_id"), F.col("turns")
     why = F.concat(F.lit("r"), n.cast("string"))
     replies = F.array(
@@ -109,7 +109,7 @@ def _scale_sql(label: str, scale: tuple[str, ...]) -> str:
 
 
 _JUDGED_SQL = _scored_rag_sql("error") + f""",
-turn_counts as (select conv_id, count(*) n from {b.TALKS} group by 1),
+turn_counts as (select conv_id, count(*) n from conversations group by 1),
 labels_given as (
   select conv_id case_id, lower(trim({_sql_list(_FAITH)}[(n + conv_id) % {len(_FAITH)} + 1])) fl,
          lower(trim({_sql_list(_CORRECT)}[conv_id % {len(_CORRECT)} + 1])) cl, 'r' || cast(conv_id as varchar) why
@@ -485,7 +485,7 @@ combined as (
 
 
 def _agent_replies(spark: SparkSession, sf: str) -> DataFrame:
-    c = b.talks(spark, sf).select("conv_id").distinct()
+    c = b.table(spark, sf, "conversations").select("conv_id").distinct()
     n = F.col("conv_id")
     replies = [
         F.struct(F.lit(m).alias("metric"), _reply_text(_pick(list(METRIC_SCALES[m]), n + i), F.lit(f"why {m}")).alias("raw_text"))
@@ -512,7 +512,7 @@ def _judged_agent(spark: SparkSession, sf: str) -> DataFrame:
         _AGENT_JUDGE_SQL,
         """select conv_id, a answer_score, jr reasoning_score,
            case when exp_match = 'llm_judge' and exp_answer is not null
-             then 'Correctness: why correctness | Completeness: why completeness | Helpfulness: why helpfulness' else '' end answer_reason,
+             then 'Correctness: why correctness | Completeness: why completeness | Helpfulness: why helpfulness' else answer_reason end answer_reason,
            round((a * 0.4 + tool_score * 0.4 + jr * 0.15 + efficiency * 0.05) / 1.0, 9) composite_score,
            case when jr < 0.5 then 'Reasoning score ' || printf('%.2f', jr)
              || ' below threshold 0.50: Faithfulness: why faithfulness | Coherence: why logical_coherence' end reasoning_failure
@@ -569,7 +569,7 @@ def _traces(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _TRACE_SQL = b.TRJ_SQL + """,
-last_turns as (select conv_id, arg_max(text, turn) last_text, arg_max(role, turn) last_role from """ + b.TALKS + """ group by 1)"""
+last_turns as (select conv_id, arg_max(text, turn) last_text, arg_max(role, turn) last_role from conversations group by 1)"""
 
 
 @query(
@@ -599,7 +599,7 @@ def trace_to_case(spark, sf):
 @query(
     "trace_mocks",
     """select conv_id, 't' || cast(length(text) % 4 as varchar) tool, arg_max(cast(length(text) as varchar), turn) response_json
-       from """ + b.TALKS + """ where role = 'user' group by 1, 2""",
+       from conversations where role = 'user' group by 1, 2""",
 )
 def trace_mocks(spark, sf):
     cases = traces.trace_to_case(_traces(spark, sf))
@@ -626,7 +626,7 @@ def _mocks() -> Column:
        case length(text) % 4 when 0 then '{"r": 0}' when 2 then 'null' end result_json,
        case length(text) % 4 when 1 then 'denied'
          when 3 then 'Tool ''t3'' is not defined in this test case. Available: [''t0'', ''t1'', ''t2'']' end error
-       from """ + b.TALKS + """ where role = 'user'""",
+       from conversations where role = 'user'""",
 )
 def resolve_tool_calls(spark, sf):
     """Every tool call looked up in the mocks of its case, one row per call."""
@@ -640,7 +640,7 @@ def resolve_tool_calls(spark, sf):
 _TRAJECTORY_TEXT_SQL = """
 numbered as (
   select *, row_number() over (partition by conv_id order by turn) i, count(*) over (partition by conv_id) n
-  from """ + b.TALKS + """),
+  from conversations),
 lines as (
   select conv_id, i, case when role = 'user' then 'Step ' || i || ' [tool_call] t' || (length(text) % 4) || '({"len": '
            || (length(text) % 3) || '})' || chr(10) || '  → ' || length(text)
@@ -658,7 +658,7 @@ def trajectory_text(spark, sf):
 
 def _turns(spark: SparkSession, sf: str) -> DataFrame:
     """Assistant turns wrapped as tagged model output; what a turn holds depends on its text length."""
-    c = b.talks(spark, sf).filter(F.col("role") == "assistant")
+    c = b.table(spark, sf, "conversations").filter(F.col("role") == "assistant")
     size = F.length("text")
     head = F.concat(F.lit("<thought> "), "text", F.lit("\n</thought>"))
     call = F.when(size % 5 == 0, F.lit("<tool_call>{oops</tool_call>")).otherwise(
@@ -680,7 +680,7 @@ _TURNS_SQL = """
 replies as (
   select conv_id case_id, turn, text, length(text) n,
          min(case when length(text) % 3 = 0 then turn end) over (partition by conv_id) stop
-  from """ + b.TALKS + """ where role = 'assistant'),
+  from conversations where role = 'assistant'),
 kept as (select * from replies where stop is null or turn <= stop)"""
 
 
@@ -742,7 +742,7 @@ def assembled_trajectories(spark, sf):
 
 
 def _event_log(spark: SparkSession, sf: str) -> DataFrame:
-    """Events as an agent event log: one case per fifty events in order, the kind of entry by event type."""
+    """Events as an agent event log: a case is what a user does on a day, the kind of entry goes by event type."""
     e = b.table(spark, sf, "events")
     n = F.get_json_object("props", "$.k")
     orch = lambda body: F.concat(F.lit('{"trace": {"trace": {"orchestrationTrace": {'), body, F.lit("}}}}"))
@@ -763,13 +763,13 @@ def _event_log(spark: SparkSession, sf: str) -> DataFrame:
         .when(kind == "signup", F.concat(F.lit('{"chunk": {"bytes": "c'), F.col("event_id").cast("string"), F.lit('"}}')))
         .otherwise(orch(F.lit('"invocationInput": {"actionGroupInvocationInput": {}}')))
     )
-    case = F.floor(F.col("event_id") / 50)
+    case = F.concat(F.col("user_id").cast("string"), F.lit("_"), F.to_date("ts").cast("string"))
     return e.select(case.alias("case_id"), F.col("event_id").alias("ord"), event.alias("event"))
 
 
 _LOG_SQL = """
 log as (
-  select event_id // 50 case_id, event_id, event_type,
+  select cast(user_id as varchar) || '_' || cast(ts::date as varchar) case_id, event_id, event_type,
          json_extract_string(props, '$.k') n from events)"""
 _LOG_ANSWERS = """,
 answers as (
@@ -834,7 +834,7 @@ def _echo_agent():
     """select conv_id, case when conv_id % 11 <> 0 then split_part(arg_min(text, turn), ' ', 1) end final_answer,
        cast(case when conv_id % 11 <> 0 then 7 else 0 end as int) latency_ms,
        case when conv_id % 11 = 0 then 'no agent for ' || conv_id end error
-       from """ + b.TALKS + """ where role = 'user' group by conv_id""",
+       from conversations where role = 'user' group by conv_id""",
 )
 def run_batch_query(spark, sf):
     cases = b.rag_cases(spark, sf).select(F.col("case_id").alias("conv_id"), F.col("query").alias("task"))

@@ -80,19 +80,30 @@ def provider_summary(spark, sf):
     )
 
 
-_MATRIX_COLUMNS = ", ".join(
-    f"arg_max({src}, ord) filter (provider = '{p}') {p}_{out}"
-    for p in b.PROVIDERS
-    for src, out in (("success", "passed"), ("score", "score"), ("latency_ms", "latency_ms"))
-)
-
-
 @query(
     "provider_matrix",
-    with_(b.RES_SQL, f"select run_id, key, min(ord) first_ord, {_MATRIX_COLUMNS} from res group by run_id, key"),
+    with_(
+        b.RES_SQL
+        + """,
+cells as (
+  select run_id, key, provider, min(ord) first, arg_max(success, ord) passed, arg_max(score, ord) score,
+         arg_max(latency_ms, ord) latency_ms
+  from res group by all)""",
+        """select run_id, key, min(first) over (partition by run_id, key) first_ord, provider, passed, score, latency_ms
+           from cells""",
+    ),
 )
 def provider_matrix(spark, sf):
-    return fold.provider_matrix(b.raw_results(spark, sf), b.PROVIDERS).drop("dataset")
+    """The matrix of all providers that the table has, compared in its long form."""
+    raw = b.raw_results(spark, sf)
+    found = fold.list_providers(raw)
+    matrix = fold.provider_matrix(raw, found)
+    cells = F.array(*[
+        F.struct(F.lit(p).alias("provider"), *[F.col(f"`{p}_{c}`").alias(c) for c in ("passed", "score", "latency_ms")])
+        for p in found
+    ])
+    rows = matrix.select("run_id", "key", "first_ord", F.explode(cells).alias("c")).select("run_id", "key", "first_ord", "c.*")
+    return rows.filter(F.col("passed").isNotNull())
 
 
 @query(
@@ -271,7 +282,7 @@ def regressions_llm(spark, sf):
 
 _RAG_PAIR_SQL = b.RAG_SQL + """,
 first_replies as (
-  select conv_id case_id, arg_min(text, turn) first_answer from """ + b.TALKS + """ where role = 'assistant' group by 1),
+  select conv_id case_id, arg_min(text, turn) first_answer from conversations where role = 'assistant' group by 1),
 pair as (
   select r.*, contains(lower(coalesce(answer, '')), lower(ground_truth)) now_ok,
          contains(lower(first_answer), lower(ground_truth)) was_ok

@@ -10,10 +10,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scorelake.functions.json_values import json_value
 from scorelake.functions.keys import canonical_args
 from scorelake.functions.staging import stage
 from scorelake.functions.text import strip
 from scorelake.schemas import EXPECTED, MOCKS
+from scorelake.session import materialize
 
 # Allowed words of enumerated fields.
 DIFFICULTIES = ("easy", "medium", "hard")
@@ -130,13 +132,15 @@ def _calls_error(doc: Column, path: str) -> Column:
 
 
 def _mocks_error(doc: Column, path: str) -> Column:
-    """Mocks map tool names to objects whose error, if any, is a text."""
+    """Mocks map tool names to objects whose error, if any, is a text and whose latency, if any, is a whole number."""
     mocks = F.map_values(F.try_variant_get(doc, f"$.{path}", "map<string,variant>"))
 
     def fine(mock: Column) -> Column:
         error = F.schema_of_variant(F.try_variant_get(mock, "$.error", "variant"))
         is_object = F.startswith(F.schema_of_variant(mock), F.lit("OBJECT"))
-        return is_object & F.coalesce(error, F.lit("VOID")).isin("STRING", "VOID")
+        latency = F.try_variant_get(mock, "$.latency_ms", "double")
+        timed = F.schema_of_variant(F.try_variant_get(mock, "$.latency_ms", "variant")).isNull() | F.coalesce(latency == F.floor(latency), F.lit(False))
+        return is_object & timed & F.coalesce(error, F.lit("VOID")).isin("STRING", "VOID")
 
     kind = _kind_of(doc, path)
     good = F.startswith(kind, F.lit("OBJECT")) & F.coalesce(F.forall(mocks, fine), F.lit(False))
@@ -178,15 +182,16 @@ def case_errors(doc: Column, kind: Column) -> Column:
             ]
         per_kind.append(F.when(kind == name, F.array(*checks)))
     not_object = ~F.coalesce(F.startswith(F.schema_of_variant(doc), F.lit("OBJECT")), F.lit(False))
+    unknown = F.array(F.lit(f"type: not one of {', '.join(REQUIRED_TEXT)}"))
     return F.when(not_object, F.array(F.lit("not a JSON object"))).otherwise(
-        F.array_compact(F.concat(F.array(*common), F.coalesce(*per_kind, F.array().cast("array<string>"))))
+        F.array_compact(F.concat(F.array(*common), F.coalesce(*per_kind, unknown)))
     )
 
 
 def validate_cases(lines: DataFrame, kind: Column | str = "type") -> DataFrame:
     """Add ``errors`` and ``valid`` to lines. Row-wise, no shuffle."""
     kind = F.col(kind) if isinstance(kind, str) else kind
-    staged = stage(lines, "_doc", F.try_parse_json("line"))
+    staged = stage(lines, "_doc", json_value("line"))
     return staged.withColumn("errors", case_errors(F.col("_doc"), kind)).drop("_doc").withColumn(
         "valid", F.size("errors") == 0
     )
@@ -280,10 +285,10 @@ def load_cases(spark: SparkSession, path: str, kind: str, first_only: bool = Fal
 def append_cases(lines: DataFrame, path: str, kind: Column | str = "type", on_error: str = "fail") -> DataFrame:
     """Append lines to the case table at ``path`` and return the written and skipped counts per dataset.
 
-    ``fail`` adds nothing when any line is bad; ``skip`` adds the valid ones and fails only when there are none. One
-    aggregation counts both before anything is written.
+    ``fail`` adds nothing when any line is bad; ``skip`` adds the valid ones and fails only when there are none. The lines are
+    checked once, into a checkpoint that the counts, the written rows and the errors are taken from.
     """
-    checked = validate_cases(lines, kind)
+    checked = materialize(validate_cases(lines, kind))
     counts = checked.groupBy("dataset").agg(
         F.count_if("valid").alias("added"), F.count_if(~F.col("valid")).alias("skipped")
     )
@@ -314,7 +319,7 @@ _META = (
 
 def parse_catalog(metas: DataFrame) -> DataFrame:
     """Typed dataset rows from metadata JSON in ``meta``, sorted by name."""
-    staged = stage(stage(metas, "_m", F.from_json("meta", _META)), "_v", F.try_parse_json("meta"))
+    staged = stage(stage(metas, "_m", F.from_json("meta", _META)), "_v", json_value("meta"))
     ok = F.coalesce(_kind_of(F.col("_v"), "name") == "STRING", F.lit(False))
     named_kind = _kind_of(F.col("_v"), "type").isNull() | F.col("_m.type").isin(*KINDS)
     rest = [c for c in metas.columns if c != "meta"]

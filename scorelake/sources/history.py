@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import time
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -98,25 +100,32 @@ def union_histories(*histories: DataFrame) -> DataFrame:
 
 
 def record_runs(runs: DataFrame, cases: DataFrame, path: str) -> None:
-    """Store runs and their cases; a run that is there already is replaced in both tables.
+    """Store runs and their cases; a run that is there already is replaced, under whatever dataset it was.
 
-    Case rows are partitioned by dataset and run, so replacing a run swaps its partition. Run rows are small and
-    partitioned by dataset: the partitions of the given datasets are rewritten with the other runs kept.
+    Both tables only grow. The rows of a call carry its commit, a name that sorts by time. Run rows are written last and say
+    which commit of a run holds; ``load_history`` reads case rows through them. A call that dies in between leaves
+    case rows that no run refers to, and may be repeated.
     """
-    spark = runs.sparkSession
-    new = runs.select(*_names(RUNS))
-    old = _existing(spark, f"{path}/runs", "dataset")
-    if old is not None:
-        touched = new.select("dataset").distinct()
-        kept = migrate_runs(old).join(touched, "dataset", "left_semi").join(new.select("run_id"), "run_id", "left_anti")
-        new = new.unionByName(kept.select(*_names(RUNS)))
-    _overwrite(cases.select(*_names(CASE_RESULTS)), f"{path}/case_results", "dataset", "run_id")
-    _overwrite(new, f"{path}/runs", "dataset")
+    commit = F.lit(f"{time.time_ns():020d}-{uuid.uuid4().hex}")
+    for rows, ddl, name in ((cases, CASE_RESULTS, "case_results"), (runs, RUNS, "runs")):
+        stamped = rows.select(*_names(ddl)).withColumn("commit", commit)
+        stamped.hint("rebalance", "dataset").write.mode("append").partitionBy("dataset").parquet(f"{path}/{name}")
 
 
 def load_history(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    runs = migrate_runs(read_table(spark, f"{path}/runs", "dataset"))
-    return runs.select(*_names(RUNS)), spark.read.schema(CASE_RESULTS).parquet(f"{path}/case_results")
+    """Runs and case rows as last recorded. Rows of before there were commits and run types count as the oldest."""
+    read = lambda ddl, name: spark.read.schema(f"{ddl}, commit string").parquet(f"{path}/{name}")
+    every = migrate_runs(read(RUNS, "runs")).withColumn("commit", F.coalesce("commit", F.lit("")))
+    last = every.groupBy("run_id").agg(F.max_by(F.struct(*every.columns), "commit").alias("r")).select("r.*")
+    rows = read(CASE_RESULTS, "case_results").withColumn("commit", F.coalesce("commit", F.lit("")))
+    held = rows.join(last.select("run_id", "commit"), ["run_id", "commit"], "left_semi")
+    return last.select(*_names(RUNS)), held.select(*_names(CASE_RESULTS))
+
+
+def compact_history(spark: SparkSession, path: str, to: str) -> None:
+    """Write the history as last recorded to another folder, in files of a common size and without replaced rows."""
+    for rows, name in zip(load_history(spark, path), ("runs", "case_results"), strict=True):
+        rows.withColumn("commit", F.lit("")).hint("rebalance", "dataset").write.partitionBy("dataset").parquet(f"{to}/{name}")
 
 
 def save_baselines(runs: DataFrame, cases: DataFrame, path: str) -> None:
@@ -142,18 +151,21 @@ def tag_version(
 ) -> DataFrame:
     """Snapshot the cases of all given datasets under a version; a dataset that has it already is refused.
 
-    Returns the version rows with their case counts. Snapshot partitions are never written twice.
+    Returns the version rows with their case counts. The version row is written last and makes the snapshot count: what a call
+    that died before it has left is overwritten by the next one, and not read until then.
     """
     check_version(version)
     spark = cases.sparkSession
     existing = _existing(spark, f"{path}/versions")
     if existing is not None:
         clash = existing.filter(F.col("version") == version).join(cases.select("dataset").distinct(), "dataset", "left_semi")
-        names = [r["dataset"] for r in clash.select("dataset").orderBy("dataset").limit(5).collect()]
+        named = clash.select("dataset").distinct()
+        names = [r["dataset"] for r in named.orderBy("dataset").limit(5).collect()]
         if names:
-            raise ValueError(f"version '{version}' already exists for {', '.join(names)}")
+            more = named.count() - len(names)
+            raise ValueError(f"version '{version}' already exists for {', '.join(names)}{f' and {more} more' if more else ''}")
     snapshot = cases.withColumn("version", F.lit(version))
-    snapshot.hint("rebalance", "dataset").write.mode("append").partitionBy("dataset", "version").parquet(f"{path}/case_versions")
+    _overwrite(snapshot, f"{path}/case_versions", "dataset", "version")
     written = read_table(spark, f"{path}/case_versions", "dataset", "version").filter(F.col("version") == version)
     info = written.join(cases.select("dataset").distinct(), "dataset", "left_semi").groupBy("dataset", "version").agg(
         F.count("*").alias("case_count")
@@ -176,9 +188,10 @@ def list_versions(spark: SparkSession, path: str, semantic: bool = False) -> Dat
 
 
 def read_version(spark: SparkSession, path: str, version: str, dataset: str | None = None) -> DataFrame:
-    """Cases of a snapshot; only its partitions are read."""
+    """Cases of a snapshot; only its partitions are read, and only of datasets that were tagged."""
     cases = read_table(spark, f"{path}/case_versions", "dataset", "version").filter(F.col("version") == check_version(version))
-    return cases if dataset is None else cases.filter(F.col("dataset") == dataset)
+    cases = cases if dataset is None else cases.filter(F.col("dataset") == dataset)
+    return cases.join(spark.read.parquet(f"{path}/versions").select("dataset", "version"), ["dataset", "version"], "left_semi")
 
 
 def restore_version(spark: SparkSession, path: str, version: str, cases_path: str, dataset: str | None = None) -> DataFrame:

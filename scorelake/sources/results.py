@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scorelake.functions.json_values import json_value
 from scorelake.functions.keys import short_hash, with_canonical_json
 from scorelake.functions.staging import let, stage
 from scorelake.functions.text import lstrip, py_round, strip
@@ -67,27 +68,35 @@ STEP_TYPES = ("thought", "tool_call", "observation", "answer")
 
 def validate_traces(lines: DataFrame) -> DataFrame:
     """Add ``error`` to trace lines: null for a valid one."""
-    staged = stage(lines, "_v", F.try_parse_json("line"))
+    staged = stage(lines, "_v", json_value("line"))
     kind = lambda path: F.schema_of_variant(F.try_variant_get("_v", f"$.{path}", "variant"))
+    part = lambda s, path: F.schema_of_variant(F.try_variant_get(s, f"$.{path}", "variant"))
     steps = F.try_variant_get("_v", "$.steps", "array<variant>")
     known = F.forall(
         steps,
         lambda s: F.coalesce(F.try_variant_get(s, "$.type", "string").isin(*STEP_TYPES), F.lit(False))
-        & (F.coalesce(F.schema_of_variant(F.try_variant_get(s, "$.content", "variant")), F.lit("STRING")) == "STRING"),
+        & (F.coalesce(part(s, "content"), F.lit("STRING")) == "STRING"),
+    )
+    called = F.forall(
+        steps,
+        lambda s: F.coalesce(part(s, "tool"), F.lit("VOID")).isin("STRING", "VOID")
+        & (F.coalesce(part(s, "arguments"), F.lit("VOID")).isin("VOID") | F.startswith(part(s, "arguments"), F.lit("OBJECT"))),
     )
     error = (
         F.when(~F.coalesce(F.startswith(F.schema_of_variant("_v"), F.lit("OBJECT")), F.lit(False)), "not a JSON object")
         .when(F.coalesce(kind("task"), F.lit("")) != "STRING", "task: not a string")
         .when(steps.isNull(), "steps: not a list")
         .when(~known, "steps: unknown step type or content")
+        .when(~F.coalesce(called, F.lit(True)), "steps: tool not a string or arguments not an object")
         .when(~F.coalesce(kind("final_answer"), F.lit("VOID")).isin("STRING", "VOID"), "final_answer: not a string")
+        .when(kind("metadata").isNotNull() & (kind("metadata") != "VOID") & ~F.startswith(kind("metadata"), F.lit("OBJECT")), "metadata: not an object")
     )
     return staged.withColumn("error", error).drop("_v")
 
 
 def parse_traces(lines: DataFrame) -> DataFrame:
     """Typed traces from valid lines. Tool results stay JSON text; an absent result is null."""
-    lines = stage(lines, "_raw", F.try_variant_get(F.try_parse_json("line"), "$.steps", "array<variant>"))
+    lines = stage(lines, "_raw", F.try_variant_get(json_value("line"), "$.steps", "array<variant>"))
     steps = F.transform(
         "_raw",
         lambda s: F.struct(
@@ -108,11 +117,13 @@ def parse_traces(lines: DataFrame) -> DataFrame:
 
 
 def read_traces(lines: DataFrame) -> DataFrame:
-    """Traces from lines, refusing the whole input when one is invalid."""
+    """Traces from lines, refusing the whole input when one is invalid. The first bad line is named, by ``line_no`` if it is there."""
     checked = validate_traces(lines.filter(strip("line") != ""))
-    first = checked.filter(F.col("error").isNotNull()).orderBy("line").limit(1).collect()
+    order = [c for c in ("file_path", "line_no") if c in lines.columns]
+    first = checked.filter(F.col("error").isNotNull()).orderBy(*order, "line").limit(1).collect()
     if first:
-        raise ValueError(f"invalid trace: {first[0]['error']}: {first[0]['line'][:200]}")
+        place = f" on line {first[0]['line_no']}" if "line_no" in order else ""
+        raise ValueError(f"invalid trace{place}: {first[0]['error']}: {first[0]['line'][:200]}")
     return parse_traces(checked)
 
 
@@ -156,15 +167,12 @@ def agent_case_details(scored: DataFrame) -> DataFrame:
 def write_results(runs: DataFrame, cases: DataFrame, path: str) -> None:
     """Write run summaries and case rows as JSON lines below ``path``, by dataset and run.
 
-    A run's cases stay rows beside its summary instead of one nested document: a run may hold any number of them. The
-    rebalance hint splits a large run over files and puts small ones together.
+    A run's cases stay rows beside its summary instead of one nested document: a run may hold any number of them. Writing a
+    run again replaces it; other runs of its dataset stay. The rebalance hint splits a large run over files.
     """
-    rounded(runs, RESULT_DIGITS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        "dataset"
-    ).json(f"{path}/runs")
-    cases.hint("rebalance", "dataset", "run_id").write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy("dataset", "run_id").json(f"{path}/cases")
+    for rows, name in ((cases, "cases"), (rounded(runs, RESULT_DIGITS), "runs")):
+        write = rows.hint("rebalance", "dataset", "run_id").write.mode("overwrite")
+        write.option("partitionOverwriteMode", "dynamic").partitionBy("dataset", "run_id").json(f"{path}/{name}")
 
 
 def write_json_lines(rows: DataFrame, path: str) -> None:

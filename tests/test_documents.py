@@ -183,3 +183,24 @@ def test_object_store_paths():
     assert object_store_path("s3://b/docs/x") == "s3a://b/docs/x*" and object_store_path("s3://b") == "s3a://b/*"
     with pytest.raises(ValueError):
         object_store_path("/tmp/x")
+
+
+def test_chunks_count_characters_and_cut_at_the_edge(spark):
+    texts = ["😀" * 25, "a" * 8 + "\n\n" + "b" * 8, "a" * 9 + "\n\n" + "b" * 8, "\n\n" + "c" * 12, "  x  " * 5, "short \n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, content string")
+    got = {}
+    for r in documents.chunk_documents(df, ("i",), max_chars=10).orderBy("i", "chunk_no").collect():
+        got.setdefault(r["i"], []).append(r["text"])
+    assert got[0] == ["😀" * 10, "😀" * 10, "😀" * 5] and got[1] == ["a" * 8, "b" * 8]
+    assert got[2] == ["a" * 9, "b" * 8] and got[3] == ["c" * 8, "c" * 4] and got[5] == ["short \n"]
+
+
+def test_a_long_conversation_is_one_case(spark, tmp_path):
+    from scorelake.plans import bindings
+
+    rows = [(7, i, "user" if i % 2 == 0 else "assistant", f"word {i}") for i in range(200)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    one = bindings.compact_trajectories(spark, str(tmp_path)).collect()
+    assert len(one) == 1 and one[0]["step_count"] == 200 and one[0]["tool_call_count"] == 100
+    assert (one[0]["task"], one[0]["final_answer"]) == ("word 0", "word 199")
+    assert len(bindings.trajectories(spark, str(tmp_path)).first()["steps"]) == 200

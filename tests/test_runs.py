@@ -44,8 +44,9 @@ def test_matrix_has_nulls_for_missing_cases_and_needs_two_providers(spark):
     assert got["k"]["p_passed"] is True and got["k"]["q_passed"] is None and got["m"]["q_latency_ms"] == 2
     assert fold.provider_matrix(rows, ["p"]).count() == 0
     assert fold.list_providers(rows) == ["p", "q"]
-    with pytest.raises(ValueError):
-        fold.list_providers(rows, at_most=1)
+    many = raw(spark, [("k", i, f"p{i:03d}", True, 1.0, 1, 0.0) for i in range(300)])
+    assert fold.list_providers(many) == [f"p{i:03d}" for i in range(300)]
+    assert fold.provider_cases(many).count() == 300
 
 
 def test_percentiles_are_nearest_rank(spark):

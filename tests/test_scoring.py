@@ -279,8 +279,13 @@ def test_tool_catalog(spark):
 
 
 def test_unsafe_patterns_are_listed(spark):
-    rows = [(0, [], None, None, want(answer=r"(?P<x>a)", answer_match="regex")), (1, [], None, None, want(answer="ok", answer_match="regex"))]
-    assert [r["case_id"] for r in agent.bad_patterns(spark.createDataFrame(rows, TRAJECTORY)).collect()] == [0]
+    patterns = [r"(?P<x>a)(?P=x)", "ok", "[", None]
+    rows = [(i, [], "baab", None, want(answer=p, answer_match="regex")) for i, p in enumerate(patterns)]
+    cases = spark.createDataFrame(rows, TRAJECTORY).withColumn("thresholds", threshold_struct(AGENT_THRESHOLDS))
+    assert [(r["case_id"], r["pattern_error"]) for r in agent.bad_patterns(cases).collect()] == [(2, "unterminated character set at position 0")]
+    got = {r["case_id"]: r for r in agent.score_agent(cases).collect()}
+    assert [got[i]["answer_score"] for i in range(4)] == [1.0, 0.0, 0.0, 1.0]
+    assert got[2]["failure_reasons"] == ["Answer score 0.00 below threshold 0.80: Invalid regex pattern: unterminated character set at position 0"]
 
 
 def test_compact_trajectories_score_the_same(spark):

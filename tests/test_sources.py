@@ -148,6 +148,51 @@ def test_recording_replaces_by_run(spark, tmp_path):
     assert {r["run_id"]: r["count"] for r in rows.groupBy("run_id").count().collect()} == {"r1": 4, "r2": 2, "r3": 1}
 
 
+def test_a_recorded_run_loses_its_old_rows(spark, tmp_path):
+    path, small = str(tmp_path / "h"), str(tmp_path / "c")
+    recorded(spark, "r1", "d", 0.5, 3, path)
+    recorded(spark, "r2", "d", 0.5, 1, path)
+    recorded(spark, "r1", "e", 0.6, 1, path)
+    runs, rows = history.load_history(spark, path)
+    assert {(r["run_id"], r["dataset"]) for r in runs.collect()} == {("r1", "e"), ("r2", "d")}
+    assert sorted((r["run_id"], r["dataset"]) for r in rows.collect()) == [("r1", "e"), ("r2", "d")]
+    recorded(spark, "r1", "e", 0.6, 0, path)
+    runs, rows = history.load_history(spark, path)
+    assert runs.count() == 2 and [r["run_id"] for r in rows.collect()] == ["r2"]
+    history.compact_history(spark, path, small)
+    again, kept = history.load_history(spark, small)
+    assert sorted(again.collect()) == sorted(runs.collect()) and kept.collect() == rows.collect()
+
+
+def test_case_rows_without_their_run_are_not_read(spark, tmp_path):
+    path = str(tmp_path / "h")
+    recorded(spark, "r1", "d", 0.5, 3, path)
+    rows = spark.createDataFrame([(9, "r1", "d", "k9", "{}", True, 1.0, 5, 0.0)], ROW)
+    lost = history.history_cases(rows).withColumn("commit", F.lit("9"))
+    lost.write.mode("append").partitionBy("dataset").parquet(f"{path}/case_results")
+    assert sorted(r["id"] for r in history.load_history(spark, path)[1].collect()) == [0, 1, 2]
+
+
+def test_history_from_before_run_types(spark, tmp_path):
+    path = str(tmp_path / "h")
+    old = spark.createDataFrame([("r0", 0.25)], "run_id string, pass_rate double").withColumn("dataset", F.lit("d"))
+    old.write.partitionBy("dataset").parquet(f"{path}/runs")
+    spark.createDataFrame([(0, "r0", "d")], "id long, run_id string, dataset string").write.partitionBy("dataset").parquet(f"{path}/case_results")
+    recorded(spark, "r1", "d", 0.5, 1, path)
+    runs, rows = history.load_history(spark, path)
+    assert {(r["run_id"], r["run_type"]) for r in runs.collect()} == {("r0", "llm"), ("r1", "llm")} and rows.count() == 2
+
+
+def test_results_of_runs_add_up(spark, tmp_path):
+    path = str(tmp_path / "r")
+    for run, n in (("r1", 3), ("r2", 1), ("r1", 2)):
+        runs = spark.createDataFrame([(run, "d", 3, 2, 1, 0.5, 0.5, 10.0, 9.0, 12.0)], RUN)
+        rows = spark.createDataFrame([(i, run, "d", f"k{i}", "{}", True, 1.0, 5, 0.0) for i in range(n)], ROW)
+        results.write_results(runs, rows, path)
+    assert {r["run_id"] for r in spark.read.json(f"{path}/runs").collect()} == {"r1", "r2"}
+    assert {r["run_id"]: r["count"] for r in spark.read.json(f"{path}/cases").groupBy("run_id").count().collect()} == {"r1": 2, "r2": 1}
+
+
 def test_numeric_names_stay_text(spark, tmp_path):
     path, work = str(tmp_path / "v"), str(tmp_path / "w")
     recorded(spark, "r1", "007", 0.5, 2, path)
@@ -190,7 +235,11 @@ def test_versions(spark, tmp_path):
     for bad in ("1.0.0", "v1.0", "v1.0.0-x"):
         with pytest.raises(ValueError):
             history.tag_version(rows, path, bad, "t")
-    history.tag_version(rows, path, "v1.2.0", "t1", "first")
+    # what a call that died ahead of its version row has left
+    rows.withColumn("version", F.lit("v1.2.0")).write.partitionBy("dataset", "version").parquet(f"{path}/case_versions")
+    tagged = history.tag_version(rows, path, "v1.2.0", "t1", "first")
+    assert {r["dataset"]: r["case_count"] for r in tagged.collect()} == {"d": 5, "e": 1}
+    assert history.read_version(spark, path, "v1.2.0").count() == 6
     history.tag_version(rows.filter("n < 2"), path, "v1.10.0", "t2")
     with pytest.raises(ValueError):
         history.tag_version(rows, path, "v1.2.0", "t3")
@@ -342,3 +391,48 @@ def test_runner_output_keys_keep_number_spelling(spark):
     df = spark.createDataFrame([("a", json.dumps([{"vars": given}]))], "run_id string, json string")
     want = hashlib.sha256(json.dumps(given, sort_keys=True, ensure_ascii=False).encode()).hexdigest()[:16]
     assert results.parse_results(df).first()["key"] == want
+
+
+def test_json_that_models_write(spark):
+    from scorelake.operators import judge
+
+    rows = [
+        ("faithfulness", '{"answer": "unsupported", "answer": "fully_supported", "reasoning": "r"}'),
+        ("faithfulness", '{"answer": "fully_supported", "score": NaN}'),
+        ("faithfulness", "no json"),
+    ]
+    labels = judge.METRIC_SCALES["faithfulness"]
+    rows = [(m, t.replace("unsupported", labels[0]).replace("fully_supported", labels[-1])) for m, t in rows]
+    got = judge.parse_replies(spark.createDataFrame(rows, "metric string, raw_text string")).collect()
+    assert [r["label"] for r in got[:2]] == [labels[-1]] * 2 and got[2]["reason"].startswith("Could not parse judge response")
+
+
+def test_generated_values_keep_their_spelling(spark):
+    text = '[{"input": {"b": 1.0, "a": "x"}, "expected": {"n": 3}, "expected": {"z": null, "n": 2}}, 5, "t", null, {"input": {"q": 1}, "expected": {}, "tags": "odd"}]'
+    rows = replies.parse_generated(spark.createDataFrame([(1, f"```json\n{text}\n```"), (2, "[1"), (3, "{}")], "i int, raw_text string")).collect()
+    assert [(r["i"], r["item_no"], r["input"], r["expected"]) for r in rows] == [
+        (1, 0, '{"b":1.0,"a":"x"}', '{"z":null,"n":2}'), (1, 4, '{"q":1}', "{}"),
+    ]
+
+
+def test_unknown_kinds_and_mock_latency(spark):
+    lines = [("zzz", {"input": {}}), ("agent", {"input": {"task": "t"}, "tools": {"f": {"latency_ms": "soon"}}}), ("agent", {"input": {"task": "t"}, "tools": {"f": {"latency_ms": 5}}})]
+    df = spark.createDataFrame([(k, json.dumps(v)) for k, v in lines], "type string, line string")
+    assert [r["errors"] for r in cases.validate_cases(df).collect()] == [
+        ["type: not one of qa, classification, instruction, rag, agent"], ["tools: not an object of mock responses"], [],
+    ]
+
+
+def test_trace_checks_name_the_line(spark):
+    step = {"type": "tool_call", "tool": "f", "arguments": {}}
+    good = {"task": "t", "steps": [step]}
+    bad = [
+        {"task": "t", "steps": [step | {"arguments": [1]}]}, {"task": "t", "steps": [step | {"tool": 3}]}, good | {"metadata": []},
+    ]
+    lines = [(4, json.dumps(bad[0])), (3, json.dumps(bad[1])), (2, json.dumps(bad[2])), (1, json.dumps(good)), (5, json.dumps(good | {"metadata": None}))]
+    df = spark.createDataFrame(lines, "line_no int, line string")
+    errors = {r["line_no"]: r["error"] for r in results.validate_traces(df).collect()}
+    wrong = "steps: tool not a string or arguments not an object"
+    assert errors == {1: None, 2: "metadata: not an object", 3: wrong, 4: wrong, 5: None}
+    with pytest.raises(ValueError, match="on line 2: metadata"):
+        results.read_traces(df)
