@@ -51,7 +51,8 @@ def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_decontaminate")
 def decontaminate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.report(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+    found = decontaminate.report(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+    return found.drop("longest", "longest_at")
 
 
 @query("op6_mtree_search")
@@ -104,3 +105,23 @@ with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * c
      r as (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from s)
 select cast(query_id as bigint) query_id, cast(rank as int) rank, cast(vec_id as bigint) vec_id, cast(score as bigint) score
 from r where rank <= 5"""
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLES["op5_decontaminate"] = f"""
+with d as (select doc_id, {_WORDS} w from documents),
+     b as (select cast(item_id as varchar) item, {_WORDS} w from benchmark),
+     windows as (
+       select distinct item, least(len(w), 10) n, array_to_string(list_slice(w, j, j + least(len(w), 10) - 1), ' ') k
+       from (select item, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) j from b where len(w) > 0)),
+     places as (
+       select doc_id, n, pos, array_to_string(list_slice(w, pos, pos + n - 1), ' ') k
+       from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) pos from d, (select distinct n from windows) where len(w) >= n)),
+     found as (select doc_id, pos, windows.n, item from places join windows using (n, k)),
+     hits as (select doc_id, count(distinct p) n_hit from (select doc_id, unnest(range(pos, pos + n)) p from found) group by doc_id),
+     items as (
+       select doc_id, count(*) n_items, string_agg(item, ',' order by item) names from (select distinct doc_id, item from found)
+       group by doc_id)
+select doc_id, cast(len(w) as bigint) n_words, cast(coalesce(n_hit, 0) as bigint) n_hit, cast(coalesce(n_items, 0) as bigint) n_items,
+       sha256(coalesce(names, '')) items_sha256, n_hit is not null contaminated
+from d left join hits using (doc_id) left join items using (doc_id)"""
