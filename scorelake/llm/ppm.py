@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from scorelake.llm import common
 
 ORDER = 5
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 24 << 20
 LEAST_BLOCKS = 16
 #: Bytes that no UTF-8 text holds: ahead of a text, and its end.
 AHEAD, END = 0xFE, 0xFF
@@ -166,14 +166,16 @@ def log_chances(code: np.ndarray, n: np.ndarray, pairs: np.ndarray) -> np.ndarra
 def block_words(block: pa.Table) -> pa.Table:
     """Distinct words of a block with their counts in training rows; the end mark is the empty word."""
     counts: Counter[bytes] = Counter()
-    for text, learn in zip(common.text_bytes(block.column("text").combine_chunks()), block.column("learn").to_pylist(), strict=True):
-        words = text.translate(WORD_BYTES).split()
-        if learn:
-            counts.update(words)
-            counts[b""] += 1
-        else:
-            for word in {*words, b""}.difference(counts):
-                counts[word] = 0
+    for piece in common.slices(block.select(["text", "learn"]).to_batches(), "text"):
+        for text, learn in zip(common.text_bytes(piece.column("text")), piece.column("learn").to_pylist(), strict=True):
+            words = text.translate(WORD_BYTES).split()
+            words.append(b"")
+            if learn:
+                counts.update(words)
+            else:
+                for word in words:
+                    if word not in counts:
+                        counts[word] = 0
     key = pa.array(np.full(len(counts), block.column("block")[0].as_py()), pa.int64())
     return pa.table([key, pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["block", "word", "n"])
 
@@ -181,7 +183,7 @@ def block_words(block: pa.Table) -> pa.Table:
 def block_grams(block: pa.Table) -> pa.Table:
     """Distinct grams of a block with their counts in training rows."""
     parts: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    for piece in common.slices(block.select(["text", "learn"]).combine_chunks().to_batches(), "text"):
+    for piece in common.slices(block.select(["text", "learn"]).to_batches(), "text"):
         learn = piece.column("learn").to_pylist()
         values = common.text_bytes(piece.column("text"))
         for used in (True, False):
@@ -202,7 +204,8 @@ def block_scores(docs: pa.Table, answers: pa.Table) -> pa.Table:
     order = np.argsort(code)
     code, chance = code[order], answers.column("chance").to_numpy()[~is_word][order].astype(float)
     out = []
-    for piece in common.slices(docs.combine_chunks().to_batches(), "text"):
+    del answers, words, order, is_word
+    for piece in common.slices(docs.to_batches(), "text"):
         values = common.text_bytes(piece.column("text"))
         data, starts, ends = framed(values)
         own = np.searchsorted(code, grams(data))
