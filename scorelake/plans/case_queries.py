@@ -229,6 +229,25 @@ metric_rows as (
   from placed)"""
 
 
+@query(
+    "judge_own_scale",
+    """select doc_id, raw, ['harsh', 'neutral', 'warm'][raw + 1] as label, raw / 2 normalized
+       from (select doc_id, [0, 1, 2, 1, 2][doc_id % 5 + 1] as raw from documents)""",
+)
+def judge_own_scale(spark, sf):
+    """Replies of a metric with the user's own scale; the fifth repeats its key, of which the last value counts."""
+    said = F.array(*map(F.lit, ('"Harsh"', '"neutral "', '"very warm"', '"odd"', '"harsh", "answer": "warm"')))
+    reply = F.concat(F.lit('{"answer": '), F.element_at(said, (F.col("doc_id") % 5 + 1).cast("int")), F.lit("}"))
+    rows = b.table(spark, sf, "documents").select("doc_id", F.lit("tone").alias("metric"), reply.alias("raw_text"))
+    return judge.parse_replies(rows, {"tone": ("harsh", "neutral", "warm")}).select("doc_id", "raw", "label", "normalized")
+
+
+@query("prompts_own_template", """select doc_id, 'Q: ' || lang || chr(10) || '[1] ' || source as prompt from documents""")
+def prompts_own_template(spark, sf):
+    text = prompts.rag_prompt(F.col("lang"), F.array("source"), "Q: {query}\n{contexts}")
+    return b.table(spark, sf, "documents").select("doc_id", text.alias("prompt"))
+
+
 @query("judge_labels", with_(_REPLIES_SQL, "select * from metric_rows"))
 def judge_labels(spark, sf):
     return judge.parse_replies(_metric_replies(spark, sf)).drop("raw_text")
