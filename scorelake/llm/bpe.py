@@ -173,7 +173,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer()
         for piece in common.slices(batches, text):
-            found = pa.array([own.encode(x) for x in common.texts(piece.column(text))], pa.binary())
+            found = pa.array(own.encode.many(common.texts(piece.column(text))), pa.binary())
             yield pa.record_batch([*piece.columns, found], [*piece.schema.names, ids])
 
     return docs.mapInArrow(run, with_column(docs, ids))
@@ -205,7 +205,7 @@ def digests(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer()
         for piece in common.slices(batches, "text"):
-            ids = [own.encode(x) for x in common.texts(piece.column("text"))]
+            ids = own.encode.many(common.texts(piece.column("text")))
             back = [hashlib.sha256(own.decode(x)).hexdigest() for x in ids]
             columns = [
                 piece.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()),

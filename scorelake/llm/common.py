@@ -104,29 +104,39 @@ class PieceEncoder:
         self.heads: dict[str, bytes] = {}
 
     def __call__(self, text: str) -> bytes:
-        known = self.known
-        head, *rest = text.split(" ")
-        missing = set(rest).difference(known)
-        if missing and any(not x or x[0].isspace() for x in missing):
-            head, *rest = ALONE.split(text)
-            missing = set(rest).difference(known)
-        if missing:
-            if len(known) + len(missing) > self.most:
-                known.clear()
-                missing = set(rest)
-            new = list(missing)
-            known.update(zip(new, self.encode([" " + x for x in new]), strict=True))
-        first = self.heads.get(head)
-        if first is None:
-            first = self.encode([head])[0]
-            if len(head) <= self.longest:
-                if len(self.heads) >= self.most // 10:
-                    self.heads.clear()
-                self.heads[head] = first
-        out = b"".join([first, *map(known.__getitem__, rest)])
-        for x in missing:
+        return self.many([text])[0]
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; new pieces of all of them are encoded in one call."""
+        known, heads = self.known, self.heads
+        cut: list[tuple[str, list[str]]] = []
+        missing: set[str] = set()
+        for text in texts:
+            head, *rest = text.split(" ")
+            new = set(rest).difference(known)
+            if new and any(not x or x[0].isspace() for x in new):
+                head, *rest = ALONE.split(text)
+                new = set(rest).difference(known)
+            missing |= new
+            cut.append((head, rest))
+        if len(known) + len(missing) > self.most:
+            known.clear()
+            missing = {x for _, rest in cut for x in rest}
+        new_pieces = list(missing)
+        if new_pieces:
+            known.update(zip(new_pieces, self.encode([" " + x for x in new_pieces]), strict=True))
+        if len(heads) > self.most // 10:
+            heads.clear()
+        new_heads = list({head for head, _ in cut}.difference(heads))
+        if new_heads:
+            heads.update(zip(new_heads, self.encode(new_heads), strict=True))
+        out = [b"".join([heads[head], *map(known.__getitem__, rest)]) for head, rest in cut]
+        for x in new_pieces:
             if len(x) > self.longest:
                 del known[x]
-        if len(known) > self.most:  # more than that in one text
+        for x in new_heads:
+            if len(x) > self.longest:
+                del heads[x]
+        if len(known) > self.most:  # more than that in these texts
             known.clear()
         return out

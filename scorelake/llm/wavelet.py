@@ -220,9 +220,10 @@ def write(docs: DataFrame, definition_path: str, path: str, doc_id: str = "doc_i
 
         for piece in common.slices(batches, "text"):
             id_type = piece.schema.field("doc_id").type
-            for name, content in zip(piece.column("doc_id").to_pylist(), common.texts(piece.column("text")), strict=True):
+            found = own.encode.many(common.texts(piece.column("text")))
+            for name, encoded in zip(piece.column("doc_id").to_pylist(), found, strict=True):
                 names.append(name)
-                ids.append(own.encode(content) + last)
+                ids.append(encoded + last)
                 size += len(ids[-1]) // 4
                 if size >= shard_tokens:
                     yield shard_row()
