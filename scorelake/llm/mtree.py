@@ -8,7 +8,7 @@ Every task of the scan cuts its vectors into trees of at most ``TREE_ROWS`` and
 vectors around a routing vector, inner nodes over ``FAN`` pages. A node keeps its routing vector, its covering radius, and the
 distance from each entry to the routing vector. The index holds every vector, one row a tree, and is written to the shared folder.
 
-Queries come in blocks of at most ``block`` rows, which are broadcast; a task runs each query best-first through its trees: the
+Queries come in blocks of about ``block`` components at most, which are broadcast; a task runs each query best-first through its trees: the
 node with the least lower bound next, entries ruled out by the stored distances (triangle inequality) before any distance is
 computed, until no bound beats the k-th score so far, which goes on from tree to tree. Scores are exact integers; bounds leave
 room for rounding. Each task gives k rows a query at most, and a rank per query merges them.
@@ -207,17 +207,18 @@ def search(tree: Tree, floats: np.ndarray, query: np.ndarray, own: int, k: int,
                 heapq.heapreplace(best, (score, -name))
 
 
-def query_blocks(queries: DataFrame, block: int) -> Iterator[list]:
-    """The queries in blocks of about half of ``block`` rows by the hash of their id; each block is brought to the driver."""
-    n = queries.count()
+def query_blocks(queries: DataFrame, block: int) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """The queries in blocks of about half of ``block`` components by their hash; one block at a time is at the driver."""
+    n = queries.agg(F.coalesce(F.sum(F.size("v") + 1), F.lit(0)).alias("n")).first()["n"]
     count = max(1, -(-2 * n // block)) if n > block else 1
     for i in range(count):
-        part = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(count)) == i) if count > 1 else queries
-        yield sorted((r["vec_id"], tuple(r["v"])) for r in part.toLocalIterator())
+        part = queries.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(count)) == i) if count > 1 else queries
+        found = [(r["vec_id"], np.array(r["v"], np.int64)) for r in part.toLocalIterator()]
+        yield sorted(found, key=lambda q: (q[0], q[1].tobytes()))
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", scale: float = 256.0,
-          block: int = 16384) -> DataFrame:
+          block: int = 1 << 21) -> DataFrame:
     """query_id, rank, vec_id and score of the k best candidates of every row for which the column ``is_query`` is true."""
     spark = vectors.sparkSession
     path = new_table_path(spark, "mtree-index")
@@ -226,10 +227,10 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", embe
     trees = trees.repartition(max(1, spark.sparkContext.defaultParallelism))
     out = None
     for number, queries in enumerate(query_blocks(integer_vectors(vectors.where(is_query), vec_id, embedding, scale), block)):
-        shared = spark.sparkContext.broadcast(queries)  # at most about ``block`` vectors
+        shared = spark.sparkContext.broadcast(queries)  # about ``block`` integers at most
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            queries = [(own, np.array(v, np.int64)) for own, v in shared.value]
+            queries = shared.value
             best: list[list[tuple[int, int]]] = [[] for _ in queries]
             for batch in batches:
                 for tree in trees_of(batch):

@@ -275,7 +275,7 @@ def plain_top(rows, every, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [16384, 4])
+@pytest.mark.parametrize("block", [1 << 21, 60])
 def test_search_equals_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(mtree, "PAGE", 7)
     monkeypatch.setattr(mtree, "FAN", 3)
