@@ -19,6 +19,7 @@ import base64
 import hashlib
 from collections.abc import Callable, Iterator
 from heapq import heappop, heappush
+from operator import add
 from struct import pack
 
 import numpy as np
@@ -32,7 +33,8 @@ from scorelake.llm import common
 
 REMEMBERED = 800_000
 LONG = 64
-BIT = [1 << i for i in range(256)]
+BIT = [1 << i for i in range(4096)]  # ranks up to a million
+BYTE = [i << 8 for i in range(256)]
 
 #: Tokenizers of this worker process, by name of the file and pattern.
 LOADED: dict[tuple[str, str], Tokenizer] = {}
@@ -49,6 +51,10 @@ class Tokenizer:
         # the rank queue; it is empty between two matches
         self.bucket: list[list[int] | None] = [None] * size
         self.leaf = [0] * (size // 256 + 1)
+        self.of_bytes = [-1] * (1 << 16)  # rank of two bytes
+        for token, rank in ranks.items():
+            if len(token) == 2:
+                self.of_bytes[token[0] << 8 | token[1]] = rank
         self.merged: dict[bytes, bytes] = {}
         self.encode = common.PieceEncoder(self.pieces)
 
@@ -64,17 +70,19 @@ class Tokenizer:
         before = list(range(-1, n))
         pair = [-1] * (n + 1)  # rank of symbol i with the next, -1 for none or a symbol that is gone
         top = 0  # bit h: leaf h has a bit; bit l of leaf h: bucket 256 h + l has entries
-        for i in range(n - 1):
-            rank = get(piece[i : i + 2])
-            if rank is not None:
+        i = 0
+        for rank in map(self.of_bytes.__getitem__, map(add, map(BYTE.__getitem__, piece), piece[1:])):
+            if rank >= 0:
                 pair[i] = rank
                 entries = bucket[rank]
                 if entries is None:
                     bucket[rank] = [i]
-                    leaf[rank >> 8] |= BIT[rank & 255]
-                    top |= 1 << (rank >> 8)
+                    high = rank >> 8
+                    leaf[high] |= BIT[rank & 255]
+                    top |= BIT[high]
                 else:
                     entries.append(i)  # ascending, so a heap
+            i += 1
         while top:
             high = (top & -top).bit_length() - 1
             bits = leaf[high]
@@ -95,21 +103,30 @@ class Tokenizer:
             k = after[i] = after[j]
             before[k] = i
             pair[j] = pair[i] = -1
+            if k < n:
+                rank = get(piece[i : after[k]], -1)
+                if rank >= 0:
+                    pair[i] = rank
+                    entries = bucket[rank]
+                    if entries is None:
+                        bucket[rank] = [i]
+                        high = rank >> 8
+                        leaf[high] |= BIT[rank & 255]
+                        top |= BIT[high]
+                    else:
+                        heappush(entries, i)
             left = before[i]
-            for at, end in ((i, after[k] if k < n else 0), (left, k if left >= 0 else 0)):
-                if end:
-                    rank = get(piece[at:end])
-                    if rank is None:
-                        pair[at] = -1
-                        continue
-                    pair[at] = rank
+            if left >= 0:
+                rank = pair[left] = get(piece[left:k], -1)
+                if rank >= 0:
                     entries = bucket[rank]
                     if entries is None:
-                        bucket[rank] = [at]
-                        leaf[rank >> 8] |= BIT[rank & 255]
-                        top |= 1 << (rank >> 8)
+                        bucket[rank] = [left]
+                        high = rank >> 8
+                        leaf[high] |= BIT[rank & 255]
+                        top |= BIT[high]
                     else:
-                        heappush(entries, at)
+                        heappush(entries, left)
         out, i = [], 0
         while i < n:
             k = after[i]
