@@ -41,6 +41,7 @@ from scorelake.llm import common
 ORDER = 5
 BLOCK_BYTES = 24 << 20
 LEAST_BLOCKS = 16
+GRAM_SLICE = 1 << 20  # bytes of text whose grams, of eight bytes each, are in memory at once
 #: Bytes that no UTF-8 text holds: ahead of a text, and its end.
 AHEAD, END = 0xFE, 0xFF
 ALPHABET = 256
@@ -183,7 +184,7 @@ def block_words(block: pa.Table) -> pa.Table:
 def block_grams(block: pa.Table) -> pa.Table:
     """Distinct grams of a block with their counts in training rows."""
     parts: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    for piece in common.slices(block.select(["text", "learn"]).to_batches(), "text"):
+    for piece in common.slices(block.select(["text", "learn"]).to_batches(), "text", GRAM_SLICE):
         learn = piece.column("learn").to_pylist()
         values = common.text_bytes(piece.column("text"))
         for used in (True, False):
@@ -205,11 +206,12 @@ def block_scores(docs: pa.Table, answers: pa.Table) -> pa.Table:
     code, chance = code[order], answers.column("chance").to_numpy()[~is_word][order].astype(float)
     out = []
     del answers, words, order, is_word
-    for piece in common.slices(docs.to_batches(), "text"):
+    for piece in common.slices(docs.to_batches(), "text", GRAM_SLICE):
         values = common.text_bytes(piece.column("text"))
         data, starts, ends = framed(values)
-        own = np.searchsorted(code, grams(data))
-        scores = common.segment_sums(chance[np.minimum(own, len(code) - 1)], starts, ends)
+        own = np.minimum(np.searchsorted(code, grams(data)), len(code) - 1)
+        scores = common.segment_sums(chance[own], starts, ends)
+        del own, data
         found = [np.fromiter(map(value.__getitem__, [*v.translate(WORD_BYTES).split(), b""]), float) for v in values]
         columns = [
             piece.column("doc_id"), piece.column("learn"),
