@@ -56,7 +56,7 @@ class Tokenizer:
             if len(token) == 2:
                 self.of_bytes[token[0] << 8 | token[1]] = rank
         self.merged: dict[bytes, bytes] = {}
-        self.encode = common.PieceEncoder(self.pieces)
+        self.encode = common.PieceEncoder(self.pieces, lambda pieces: self.pieces([" " + x for x in pieces]))
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one match of the pattern."""

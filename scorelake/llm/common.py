@@ -89,17 +89,23 @@ def segment_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
 ALONE = re.compile(r"(?<=\S) (?=\S)")
 
 
+def oddly_cut(pieces: set[str]) -> bool:
+    """Whether a piece is empty or begins with white space (or, to be cheap, another control character)."""
+    return min(pieces) < "!" or max(pieces) >= "\x80" and any(x[0].isspace() for x in pieces if x >= "\x80")
+
+
 class PieceEncoder:
     """Encodes texts piece by piece, and remembers pieces.
 
     Tokenizers of the byte-level kind begin a match at a blank that has no white space behind it, whatever is ahead of it. So
     a text may be cut there, and the ids of a text are those of its pieces, each with its blank. ``encode`` gives the ids of
-    pieces, in any form that ``b"".join`` takes. A bounded number of pieces of bounded length is remembered; forgetting
-    costs time and nothing else.
+    texts and ``encode_pieces`` those of pieces without their blanks, in any form that ``b"".join`` takes. A bounded number of
+    pieces of bounded length is remembered; forgetting costs time and nothing else.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 700_000, longest: int = 64) -> None:
-        self.encode, self.most, self.longest = encode, most, longest
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], encode_pieces: Callable[[list[str]], list[bytes]],
+                 most: int = 700_000, longest: int = 64) -> None:
+        self.encode, self.encode_pieces, self.most, self.longest = encode, encode_pieces, most, longest
         self.known: dict[str, bytes] = {}
         self.heads: dict[str, bytes] = {}
 
@@ -108,35 +114,37 @@ class PieceEncoder:
 
     def many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; new pieces of all of them are encoded in one call."""
+        if len(self.known) > self.most:
+            self.known.clear()
+        if len(self.heads) > self.most // 10:
+            self.heads.clear()
         known, heads = self.known, self.heads
-        cut: list[tuple[str, list[str]]] = []
         missing: set[str] = set()
+        cut = []
         for text in texts:
             head, *rest = text.split(" ")
-            new = set(rest).difference(known)
-            if new and any(not x or x[0].isspace() for x in new):
+            found = list(map(known.get, rest))
+            gaps = [i for i, ids in enumerate(found) if ids is None] if None in found else []
+            new = {rest[i] for i in gaps}
+            if new and oddly_cut(new):
                 head, *rest = ALONE.split(text)
-                new = set(rest).difference(known)
+                found = list(map(known.get, rest))
+                gaps = [i for i, ids in enumerate(found) if ids is None]
+                new = {rest[i] for i in gaps}
             missing |= new
-            cut.append((head, rest))
-        if len(known) + len(missing) > self.most:
-            known.clear()
-            missing = {x for _, rest in cut for x in rest}
-        new_pieces = list(missing)
-        if new_pieces:
-            known.update(zip(new_pieces, self.encode([" " + x for x in new_pieces]), strict=True))
-        if len(heads) > self.most // 10:
-            heads.clear()
-        new_heads = list({head for head, _ in cut}.difference(heads))
-        if new_heads:
-            heads.update(zip(new_heads, self.encode(new_heads), strict=True))
-        out = [b"".join([heads[head], *map(known.__getitem__, rest)]) for head, rest in cut]
-        for x in new_pieces:
-            if len(x) > self.longest:
-                del known[x]
-        for x in new_heads:
-            if len(x) > self.longest:
-                del heads[x]
-        if len(known) > self.most:  # more than that in these texts
-            known.clear()
+            cut.append((head, found, gaps, [rest[i] for i in gaps]))
+        pieces, starts = list(missing), list({head for head, *_ in cut}.difference(heads))
+        if pieces:
+            known.update(zip(pieces, self.encode_pieces(pieces), strict=True))
+        if starts:
+            heads.update(zip(starts, self.encode(starts), strict=True))
+        out = []
+        for head, found, gaps, new in cut:
+            for i, x in zip(gaps, new, strict=True):
+                found[i] = known[x]
+            out.append(b"".join([heads[head], *found]))
+        for fresh, table in ((pieces, known), (starts, heads)):
+            for x in fresh:
+                if len(x) > self.longest:
+                    del table[x]
         return out

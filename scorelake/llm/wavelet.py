@@ -53,11 +53,11 @@ class WaveletMatrix:
         values = np.ascontiguousarray(ids, np.uint16 if bits <= 16 else np.uint32)
         planes, zeros = [], []
         for bit in range(bits - 1, -1, -1):
-            ones = (values & values.dtype.type(1 << bit)).astype(bool)
+            ones = (values & values.dtype.type(1 << bit)) != 0
             planes.append(np.packbits(ones, bitorder="little"))
-            low = values[~ones]
+            low = values.take(np.flatnonzero(~ones))  # by places: a mask of random bits is slow
             zeros.append(len(low))
-            values = np.concatenate((low, values[ones]))
+            values = np.concatenate((low, values.take(np.flatnonzero(ones))))
         return cls(len(values), planes, zeros)
 
     def to_bytes(self) -> bytes:
@@ -90,8 +90,8 @@ class WaveletMatrix:
         for level in range(self.bits - 1, -1, -1):
             ones = np.unpackbits(self.planes[level], count=self.size, bitorder="little").view(bool)
             before = np.empty(self.size, kind)
-            before[~ones] = values[: self.zeros[level]]
-            before[ones] = values[self.zeros[level] :] | kind(1 << (self.bits - 1 - level))
+            before[np.flatnonzero(~ones)] = values[: self.zeros[level]]
+            before[np.flatnonzero(ones)] = values[self.zeros[level] :] | kind(1 << (self.bits - 1 - level))
             values = before
         return values
 
@@ -165,18 +165,19 @@ class Encoder:
         names = self.tokenizer.get_vocab()
         self.bytes = np.zeros(max(names.values(), default=-1) + 1, np.int64)  # a byte-level token has a character a byte
         self.bytes[list(names.values())] = list(map(len, names))
-        self.encode = common.PieceEncoder(self.ids)
+        self.encode = common.PieceEncoder(self.ids, self.piece_ids)
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        """Ids of pieces. Those with a blank ahead are encoded one behind the other, and told apart by their bytes."""
-        if len(texts) == 1 or not all(x[:1] == " " and not x[-1:].isspace() for x in texts):
-            found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-            return [np.array(e.ids, "<u4").tobytes() for e in found]
-        ids = np.array(self.tokenizer.encode_batch_fast(["".join(texts)], add_special_tokens=False)[0].ids, "<u4")
-        stops = np.cumsum([len(x.encode()) for x in texts])
-        cuts = np.searchsorted(np.cumsum(self.bytes[ids]), stops) + 1
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def piece_ids(self, pieces: list[str]) -> list[bytes]:
+        """Pieces with their blanks are encoded one behind the other, and told apart by their bytes."""
+        text = " " + " ".join(pieces)
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        stops = np.cumsum(np.fromiter(map(len, map(str.encode, pieces)), np.int64, len(pieces)) + 1)
+        cuts = (4 * (np.searchsorted(np.cumsum(self.bytes[ids]), stops) + 1)).tolist()
         data = ids.tobytes()
-        return [data[4 * a : 4 * b] for a, b in zip([0, *cuts.tolist()], cuts.tolist(), strict=False)]
+        return [data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
 
 
 #: Encoder of this worker process, by the definition's digest.

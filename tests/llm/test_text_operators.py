@@ -63,7 +63,7 @@ def test_bpe_of_a_very_long_match_and_forgetting(own, library):
     piece = "".join(rng.choice("abcdef") for _ in range(60_000))
     assert own.merge(piece.encode()) == library.encode_ordinary(piece)
     assert all(b is None for b in own.bucket) and not any(own.leaf)
-    small = common.PieceEncoder(own.pieces, most=3)
+    small = common.PieceEncoder(own.pieces, own.encode.encode_pieces, most=3)
     for text in HARD * 2 + ["a b c d e f g h"]:
         assert small(text) == own.encode(text)
 
