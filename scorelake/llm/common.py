@@ -100,13 +100,15 @@ class PieceEncoder:
     Tokenizers of the byte-level kind begin a match at a blank that has no white space behind it, whatever is ahead of it. So
     a text may be cut there, and the ids of a text are those of its pieces, each with its blank. ``encode`` gives the ids of
     texts and ``encode_pieces`` those of pieces without their blanks, in any form that ``b"".join`` takes. A bounded number of
-    pieces of bounded length is remembered; forgetting costs time and nothing else.
+    pieces of bounded length is remembered, in two generations: a full one is kept as the older one until the next is full, and
+    pieces that come again move over. Forgetting costs time and nothing else.
     """
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], encode_pieces: Callable[[list[str]], list[bytes]],
-                 most: int = 700_000, longest: int = 64) -> None:
+                 most: int = 400_000, longest: int = 64) -> None:
         self.encode, self.encode_pieces, self.most, self.longest = encode, encode_pieces, most, longest
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.heads: dict[str, bytes] = {}
 
     def __call__(self, text: str) -> bytes:
@@ -115,7 +117,7 @@ class PieceEncoder:
     def many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; new pieces of all of them are encoded in one call."""
         if len(self.known) > self.most:
-            self.known.clear()
+            self.known, self.older = {}, self.known
         if len(self.heads) > self.most // 10:
             self.heads.clear()
         known, heads = self.known, self.heads
@@ -133,7 +135,10 @@ class PieceEncoder:
                 new = {rest[i] for i in gaps}
             missing |= new
             cut.append((head, found, gaps, [rest[i] for i in gaps]))
-        pieces, starts = list(missing), list({head for head, *_ in cut}.difference(heads))
+        older = self.older
+        again = missing.intersection(older) if older else ()
+        known.update(zip(again, map(older.__getitem__, again), strict=True))
+        pieces, starts = list(missing.difference(again)), list({head for head, *_ in cut}.difference(heads))
         if pieces:
             known.update(zip(pieces, self.encode_pieces(pieces), strict=True))
         if starts:

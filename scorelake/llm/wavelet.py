@@ -157,25 +157,26 @@ class WaveletMatrix:
 
 
 class Encoder:
-    """Ids of texts, as little-endian 32-bit integers, by the tokenizers library."""
+    """Ids of texts by the tokenizers library, as little-endian integers of ``kind``: 16 bits if the vocabulary fits, else 32."""
 
     def __init__(self, definition: str) -> None:
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
         names = self.tokenizer.get_vocab()
+        self.kind = np.dtype("<u2" if max(names.values(), default=0) < 1 << 16 else "<u4")
         self.bytes = np.zeros(max(names.values(), default=-1) + 1, np.int64)  # a byte-level token has a character a byte
         self.bytes[list(names.values())] = list(map(len, names))
         self.encode = common.PieceEncoder(self.ids, self.piece_ids)
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def piece_ids(self, pieces: list[str]) -> list[bytes]:
         """Pieces with their blanks are encoded one behind the other, and told apart by their bytes."""
         text = " " + " ".join(pieces)
-        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
         stops = np.cumsum(np.fromiter(map(len, map(str.encode, pieces)), np.int64, len(pieces)) + 1)
-        cuts = (4 * (np.searchsorted(np.cumsum(self.bytes[ids]), stops) + 1)).tolist()
+        cuts = (self.kind.itemsize * (np.searchsorted(np.cumsum(self.bytes[ids]), stops) + 1)).tolist()
         data = ids.tobytes()
         return [data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
 
@@ -203,18 +204,18 @@ def write(docs: DataFrame, definition_path: str, path: str, doc_id: str = "doc_i
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("place", F.monotonically_increasing_id())
     rows = rows.repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place").drop("place")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    last = np.array([end], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(shared.value)
+        kind, width = own.kind, own.kind.itemsize
+        last = np.array([end], kind).tobytes()
         part, shard, before = TaskContext.get().partitionId(), 0, 0
         names: list = []
         ids: list[bytes] = []
         size = 0
 
         def shard_row() -> pa.RecordBatch:
-            found = np.frombuffer(b"".join(ids), "<u4")
-            lengths = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
+            found = np.frombuffer(b"".join(ids), kind)
+            lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // width
             values = [[part], [shard], [before], [len(found)], [names], [lengths], [WaveletMatrix.build(found, bits).to_bytes()]]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(id_type), pa.list_(pa.int64()), pa.large_binary()]
             return pa.record_batch([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], list(SHARD))
@@ -225,7 +226,7 @@ def write(docs: DataFrame, definition_path: str, path: str, doc_id: str = "doc_i
             for name, encoded in zip(piece.column("doc_id").to_pylist(), found, strict=True):
                 names.append(name)
                 ids.append(encoded + last)
-                size += len(ids[-1]) // 4
+                size += len(ids[-1]) // width
                 if size >= shard_tokens:
                     yield shard_row()
                     shard, before, names, ids, size = shard + 1, before + size, [], [], 0
