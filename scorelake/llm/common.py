@@ -105,7 +105,7 @@ class PieceEncoder:
     """
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], encode_pieces: Callable[[list[str]], list[bytes]],
-                 most: int = 400_000, longest: int = 64) -> None:
+                 most: int = 500_000, longest: int = 64) -> None:
         self.encode, self.encode_pieces, self.most, self.longest = encode, encode_pieces, most, longest
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}

@@ -37,7 +37,7 @@ from scorelake.llm import common
 
 MAGIC = b"WMX1"
 BLOCK = 512  # bits between two counts
-SHARD_TOKENS = 1 << 20
+SHARD_TOKENS = 1 << 18  # their planes fit in a core's cache
 
 
 class WaveletMatrix:
