@@ -262,6 +262,52 @@ def test_a_crowd_of_copies_is_dealt_again_and_stays_one_group(spark, monkeypatch
     assert all(got[i] == 0 for i in range(200)) and all(got[i] == i for i in range(1000, 1020))
 
 
+def similar_by_force(rows, similarity=0.8):
+    """Smallest id of each row's group, by comparing all pairs that share a shingle."""
+    sets = {i: frozenset(simhash.shingle_hashes(t.encode(), 5).tolist()) for i, t in rows}
+    holders = collections.defaultdict(list)
+    for i, own in sets.items():
+        for s in own:
+            holders[s].append(i)
+    root = {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, own in sets.items():
+        shared = collections.Counter(j for s in own for j in holders[s] if j < i)
+        for j, n in shared.items():
+            if n >= similarity * (len(own) + len(sets[j]) - n) and top(i) != top(j):
+                x, y = top(i), top(j)
+                root[max(x, y)] = min(x, y)
+    return {i: top(i) for i in sets}
+
+
+def test_copies_of_one_base_that_are_not_similar_to_each_other(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWD", 40)
+    rng = random.Random(16)
+    base = [f"w{i}" for i in range(100)]
+    rows = [(7, " ".join(base))]
+    for i in range(400):
+        copy = list(base)
+        for at in rng.sample([10, 30, 50, 70, 90], 2) if i % 2 else (rng.randrange(5, 45), rng.randrange(51, 95)):
+            copy[at] = f"c{i}x{at}"
+        rows.append((100 + i, " ".join(copy)))
+    want = similar_by_force(rows)
+    assert sum(1 for r in want.values() if r == 7) == 401
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(frame(spark, rows)).collect()}
+    assert got == want
+
+
+def test_overlaps_equal_plain_counts():
+    rng = np.random.default_rng(19)
+    sets = [np.unique(rng.integers(0, 60 if i % 3 else 10**6, rng.integers(0, 80))).astype(np.uint64) for i in range(90)]
+    want = np.array([[len({*a.tolist()} & {*b.tolist()}) for b in sets[40:]] for a in sets])
+    assert (simhash.overlaps(sets, sets[40:]) == want).all()
+
+
 # --- search -------------------------------------------------------------------------------------------------------
 
 
