@@ -301,6 +301,24 @@ def test_copies_of_one_base_that_are_not_similar_to_each_other(spark, monkeypatc
     assert got == want
 
 
+def test_pairs_whose_least_shingles_are_in_common_text(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWD", 16)
+    rng = random.Random(17)
+    word = lambda: f"w{rng.randrange(10**8)}"
+    template = [word() for _ in range(110)]
+    rows = []
+    for i in range(300):
+        text = [*template, *(word() for _ in range(50))]
+        copy = list(text)
+        for at in (120, 130, 140):
+            copy[at] = word()
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(copy))]
+    want = similar_by_force(rows)
+    assert len(set(want.values())) == 300
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(frame(spark, rows)).collect()}
+    assert got == want
+
+
 def test_overlaps_equal_plain_counts():
     rng = np.random.default_rng(19)
     sets = [np.unique(rng.integers(0, 60 if i % 3 else 10**6, rng.integers(0, 80))).astype(np.uint64) for i in range(90)]
