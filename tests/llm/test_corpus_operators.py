@@ -319,6 +319,24 @@ def test_pairs_whose_least_shingles_are_in_common_text(spark, monkeypatch):
     assert got == want
 
 
+def test_short_texts_meet_exactly(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWD", 64)
+    rng = random.Random(18)
+    word = lambda: f"w{rng.randrange(10**8)}"
+    line = [word() for _ in range(9)]
+    rows = []
+    for i in range(2000):
+        text = [word() for _ in range(8)]
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join([*text, word()]))]
+    for i in range(200):
+        text = [*line, *(word() for _ in range(rng.randrange(4, 40)))]
+        rows += [(10_000 + 2 * i, " ".join(text)), (10_001 + 2 * i, " ".join([*text, word()]))]
+    want = similar_by_force(rows)
+    assert all(want[2 * i + 1] == 2 * i for i in range(2000))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(frame(spark, rows)).collect()}
+    assert got == want
+
+
 def test_overlaps_equal_plain_counts():
     rng = np.random.default_rng(19)
     sets = [np.unique(rng.integers(0, 60 if i % 3 else 10**6, rng.integers(0, 80))).astype(np.uint64) for i in range(90)]
