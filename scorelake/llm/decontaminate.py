@@ -7,8 +7,10 @@ a window is hit.
 The documents are cut into shards of a bounded size inside the tasks that scan them. Each shard maps its words to the
 numbers of the benchmark's words and keeps only runs of known words that are long enough to hold a window: nothing else
 can match. Over what is kept it builds a suffix array by prefix doubling, and every benchmark suffix is binary-searched in
-it, all at once, one word of depth after another, down to its longest verbatim match. The range of suffixes at window
-depth are the window's places, from which hit words and matched items follow. Documents aren't shuffled.
+it, all at once, one word of depth after another, down to its window's length. The range of suffixes at window depth are
+the window's places, from which hit words and matched items follow. The other way round, every kept position of the
+documents is searched in the suffix array of the benchmark, which gives its longest verbatim match, whatever else is in
+the shard. Documents aren't shuffled.
 
 The benchmark is dealt into blocks of at most ``block_bytes`` bytes of text, by the hash of its items; one block is
 broadcast at a time, and with more blocks the documents flow through one search after another in the same stage. An item
@@ -60,6 +62,7 @@ class Block:
     names: list[str | None]
     depth: np.ndarray  # window length of the window that starts at each position, or 0
     least: int  # the shortest window
+    order: np.ndarray  # suffix array of the words
 
 
 def block_of(items: list[tuple[str | None, bytes]], window: int) -> Block:
@@ -77,8 +80,9 @@ def block_of(items: list[tuple[str | None, bytes]], window: int) -> Block:
         item.append(np.full(n + 1, len(names), np.int32))
         names.append(name)
     flat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int32)
-    depths = flat(depth)
-    return Block(vocabulary, flat(words), flat(item), names, depths, int(depths[depths > 0].min()) if len(names) else 0)
+    depths, every = flat(depth), flat(words)
+    order = suffix_array(every).astype(np.int32)
+    return Block(vocabulary, every, flat(item), names, depths, int(depths[depths > 0].min()) if len(names) else 0, order)
 
 
 def suffix_array(values: np.ndarray) -> np.ndarray:
@@ -101,41 +105,60 @@ def suffix_array(values: np.ndarray) -> np.ndarray:
             return order
 
 
-def search(text: np.ndarray, order: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each benchmark suffix: its suffix-array range at window depth, its longest match and one place of that.
+def bound(text: np.ndarray, order: np.ndarray, first: np.ndarray, last: np.ndarray, word: np.ndarray, depth: int, right: bool) -> np.ndarray:
+    """Where ``word`` begins (or ends) at that depth in each range of the suffix array of ``text``, which has one more value, the least, behind it."""
+    first, last = first.copy(), last.copy()
+    while (first < last).any():
+        middle = (first + last) // 2
+        seen = text[np.minimum(order[np.minimum(middle, len(order) - 1)].astype(np.int64) + depth, len(text) - 1)]
+        go = ((seen <= word) if right else (seen < word)) & (first < last)
+        first, last = np.where(go, middle + 1, first), np.where(go | (first >= last), last, middle)
+    return first
 
-    All suffixes narrow their range by one word at a time; a suffix leaves when its range is empty or its item ends.
+
+def search(text: np.ndarray, order: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """For each benchmark suffix: its suffix-array range at window depth.
+
+    All suffixes narrow their range by one word at a time; a suffix leaves when its range is empty or its window ends.
     """
     m = len(block.words)
     low, high = np.zeros(m, np.int64), np.full(m, len(order), np.int64)
-    best, at = np.zeros(m, np.int64), np.zeros(m, np.int64)
     window_low, window_high = np.zeros(m, np.int64), np.zeros(m, np.int64)
     padded = np.append(text, np.iinfo(np.int64).min)
-
-    def bound(first: np.ndarray, last: np.ndarray, word: np.ndarray, depth: int, right: bool) -> np.ndarray:
-        first, last = first.copy(), last.copy()
-        while (first < last).any():
-            middle = (first + last) // 2
-            seen = padded[np.minimum(order[np.minimum(middle, len(order) - 1)] + depth, len(text))]
-            go = ((seen <= word) if right else (seen < word)) & (first < last)
-            first, last = np.where(go, middle + 1, first), np.where(go | (first >= last), last, middle)
-        return first
-
-    live = np.flatnonzero(block.words > 0)
+    live = np.flatnonzero(block.depth > 0)
     depth = 0
     while len(live):
         word = block.words[live + depth]
-        a = bound(low[live], high[live], word, depth, False)
-        b = bound(a, high[live], word, depth, True)
+        a = bound(padded, order, low[live], high[live], word, depth, False)
+        b = bound(padded, order, a, high[live], word, depth, True)
         some = b > a
         live, a, b = live[some], a[some], b[some]
         low[live], high[live] = a, b
         depth += 1
-        best[live], at[live] = depth, order[a] if len(a) else 0
         full = block.depth[live] == depth
         window_low[live[full]], window_high[live[full]] = a[full], b[full]
-        live = live[block.words[live + depth] > 0]
-    return window_low, window_high, best, at
+        live = live[~full]
+    return window_low, window_high
+
+
+def longest_matches(text: np.ndarray, block: Block) -> np.ndarray:
+    """Words of the longest match of each position of ``text`` with the benchmark; a number that isn't positive ends a run."""
+    best = np.zeros(len(text), np.int64)
+    padded = np.append(block.words.astype(np.int64), -1)
+    live = np.flatnonzero(text > 0)
+    low, high = np.zeros(len(live), np.int64), np.full(len(live), len(block.order), np.int64)
+    depth = 0
+    while len(live):
+        word = text[live + depth]
+        low = bound(padded, block.order, low, high, word, depth, False)
+        high = bound(padded, block.order, low, high, word, depth, True)
+        some = high > low
+        live, low, high = live[some], low[some], high[some]
+        depth += 1
+        best[live] = depth
+        some = text[live + depth] > 0
+        live, low, high = live[some], low[some], high[some]
+    return best
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -167,7 +190,7 @@ def shard_hits(block: Block, docs: list[list[bytes]]) -> tuple[list[np.ndarray],
     behind = np.cumsum(stop - begin + 1) - 1
     text[behind] = -1 - np.arange(len(behind))  # no two runs compare beyond their ends
     order = suffix_array(text - text.min())
-    low, high, best, at = search(text, order, block)
+    low, high = search(text, order, block)
     doc_of = lambda places: np.searchsorted(first, places, side="right") - 1
     # distinct ranges are spread out once, whatever number of items has the window
     windows = np.flatnonzero(high > low)
@@ -192,14 +215,13 @@ def shard_hits(block: Block, docs: list[list[bytes]]) -> tuple[list[np.ndarray],
     hit = np.flatnonzero(np.cumsum(change[:-1]) > 0)
     cuts = np.searchsorted(hit, np.append(first, len(flat)))
     hits = [(hit[a:b] - f).astype(np.int32) for a, b, f in zip(cuts, cuts[1:], first.tolist(), strict=False)]
-    # every range of a longest match counts for all documents in it
     longest, longest_at = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    best = longest_matches(text, block)
     tops = np.flatnonzero(best >= block.least)
-    if len(tops):
-        lows = place[at[tops]]
-        owner = doc_of(lows)
-        by = np.lexsort((-lows, best[tops], owner))
-        longest[owner[by]], longest_at[owner[by]] = best[tops][by], (lows - first[owner])[by]
+    places, best = place[tops], best[tops]
+    owner = doc_of(places)
+    by = np.lexsort((-places, best, owner))
+    longest[owner[by]], longest_at[owner[by]] = best[by], (places - first[owner])[by]
     return hits, listed, longest, longest_at
 
 
@@ -217,8 +239,8 @@ def search_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text",
                      window: int = 10, block_bytes: int = 32 << 20, prefix: str = "__") -> DataFrame:
     """``docs`` with what was found, in columns named ``prefix`` and n_words, hits, items, longest and longest_at.
 
-    hits: positions of hit words, from 0; items: ids with an occurring window; longest: words of the longest verbatim match
-    that the search met in the document (at least a window's), longest_at: the position where it begins.
+    hits: positions of hit words, from 0; items: ids with an occurring window; longest: words of the document's longest
+    verbatim match with an item (of those of a block's shortest window at least), longest_at: the first position where one begins.
     """
     found = T.StructType([T.StructField(prefix + name, kind) for name, kind in FOUND.items()])
     base = docs.drop(*found.names)
@@ -235,13 +257,14 @@ def search_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text",
                 had = [piece.column(prefix + c) for c in ("hits", "items", "longest", "longest_at")]
                 hits = [np.union1d(a.values.to_numpy(), b) if len(a.values) else b for a, b in zip(had[0], hits, strict=True)]
                 items = [sorted({*a.as_py(), *b}) if len(a.values) else sorted(set(b)) for a, b in zip(had[1], items, strict=True)]
-                more = longest > had[2].to_numpy()
+                before, there = had[2].to_numpy(), had[3].to_numpy()
+                more = (longest > before) | (longest == before) & (at < there)
                 new = {
                     "n_words": pa.array([len(w) for w in words], pa.int64()),
                     "hits": pa.array(hits, pa.list_(pa.int32())),
                     "items": pa.array(items, pa.list_(pa.string())),
-                    "longest": pa.array(np.where(more, longest, had[2].to_numpy()), pa.int32()),
-                    "longest_at": pa.array(np.where(more, at, had[3].to_numpy()), pa.int32()),
+                    "longest": pa.array(np.where(more, longest, before), pa.int32()),
+                    "longest_at": pa.array(np.where(more, at, there), pa.int32()),
                 }
                 kept = [c for c in piece.schema.names if c not in found.names]
                 yield pa.record_batch([*map(piece.column, kept), *new.values()], [*kept, *(prefix + c for c in new)])

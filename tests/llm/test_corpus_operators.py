@@ -147,6 +147,23 @@ def test_longest_verbatim_match(spark):
     assert decontaminate.report(docs.limit(0), bench).count() == 0
 
 
+def test_longest_match_of_every_document():
+    rng = random.Random(20)
+    say = lambda n: [rng.choice([b"a", b"b", b"c", b"d"]) for _ in range(n)]
+    items = [say(40) for _ in range(6)] + [say(5)]
+    docs = [[b"X", *items[0][3:30]] for _ in range(5)] + [[*items[0][3:18], b"X"], [*items[0][3:15]], [b"X", *items[1]], [b"X"], []]
+    docs += [[*say(9), *items[2][5 : 5 + n], *say(9)] for n in range(3, 30)]
+    block = decontaminate.block_of([(str(i), b" ".join(x)) for i, x in enumerate(items)], 10)
+    _, _, longest, at = decontaminate.shard_hits(block, docs)
+    held = {tuple(x[i:j]) for x in items for i in range(len(x)) for j in range(i + block.least, len(x) + 1)}
+    want = []
+    for d in docs:
+        found = [(j - i, -i) for i in range(len(d)) for j in range(i + block.least, len(d) + 1) if tuple(d[i:j]) in held]
+        want.append((max(found)[0], -max(found)[1]) if found else (0, 0))
+    assert list(zip(longest.tolist(), at.tolist(), strict=True)) == want
+    assert {x for x, _ in want[:5]} == {27} and want[5][0] == 15 and want[6][0] == 12
+
+
 # --- SimHash ------------------------------------------------------------------------------------------------------
 
 
