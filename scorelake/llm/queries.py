@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.llm import bpe, common, decontaminate, langid, mtree, pii, ppm, quality, simhash, tokencount, wavelet
+from scorelake.llm import bpe, common, decontaminate, langid, mtree, pii, ppm, prefixtree, quality, simhash, tokencount, wavelet
 from scorelake.session import new_table_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,6 +95,11 @@ def quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", held_out, "score", predicted, "raw")
 
 
+@query("op13_prefix_tree")
+def prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtree.tree(prefixtree.forked(prefixtree.turns(common.table(spark, sf_dir, "conversations"))))
+
+
 ORACLES["op6_mtree_search"] = """
 with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) v from embeddings
            where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
@@ -125,3 +130,32 @@ with d as (select doc_id, {_WORDS} w from documents),
 select doc_id, cast(len(w) as bigint) n_words, cast(coalesce(n_hit, 0) as bigint) n_hit, cast(coalesce(n_items, 0) as bigint) n_items,
        sha256(coalesce(names, '')) items_sha256, n_hit is not null contaminated
 from d left join hits using (doc_id) left join items using (doc_id)"""
+
+# CRC-32 of the decimal id, bit by bit; paths as lists of digests; every node under each of its ancestors
+ORACLES["op13_prefix_tree"] = r"""
+with t as (select cast(conv_id as bigint) c, sha256(cast(length(coalesce(role, '')) as varchar) || ':' || coalesce(role, '') || coalesce(text, '')) d,
+                  len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) n,
+                  row_number() over (partition by conv_id order by turn nulls first, d) p from conversations where conv_id is not null),
+     crc as (select c, xor(list_reduce(list_concat([cast(4294967295 as bigint)], list_transform(string_split(cast(c as varchar), ''), lambda x: cast(ascii(x) as bigint))),
+                    lambda a, b: list_reduce(list_concat([xor(a, b)], cast(range(8) as bigint[])),
+                                             lambda v, i: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) % 4 h
+             from (select distinct c from t)),
+     parts as (select crc.c, 0 k, t.p, t.d, t.n from crc join t on t.c = crc.c - crc.c % 20 and t.p <= h
+               union all select crc.c, 1, t.p, t.d, t.n from crc join t on t.c = crc.c and t.p > h),
+     lists as (select c, list(d order by k, p) ds, list(n order by k, p) ns from parts group by c),
+     paths as (select crc.c, coalesce(ds, []) ds, coalesce(ns, []) ns from crc left join lists on lists.c = crc.c),
+     steps as (select c, unnest(range(0, len(ds) + 1)) depth, ds, ns from paths),
+     nodes as (select array_to_string(list_slice(ds, 1, depth), ',') k, depth, min(c) conv_id, count(*) n_convs,
+                      min(array_to_string(list_slice(ds, 1, depth - 1), ',')) up, min(case when depth = 0 then 0 else ns[depth] end) words,
+                      arg_min(ds, c) ds,
+                      sha256(coalesce(string_agg(cast(c as varchar), ',' order by c) filter (where len(ds) = depth), '')) ends_sha256
+               from steps group by 1, 2),
+     kids as (select up, depth - 1 depth, count(*) n from nodes where depth > 0 group by 1, 2),
+     full_nodes as (select nodes.*, coalesce(kids.n, 0) n_children from nodes left join kids on kids.up = nodes.k and kids.depth = nodes.depth),
+     lines as (select n_children, n_convs, words, ds, depth, unnest(range(0, depth + 1)) a from full_nodes),
+     sums as (select array_to_string(list_slice(ds, 1, a), ',') k, a depth, count(*) filter (where n_children = 0) n_leaves,
+                     sum((n_convs - 1) * words) saved from lines group by 1, 2)
+select x.conv_id, cast(x.depth as bigint) depth, y.conv_id parent_conv_id, x.n_convs, cast(x.n_children as bigint) n_children,
+       cast(s.n_leaves as bigint) n_leaves, cast(s.saved as bigint) saved_tokens, x.ends_sha256
+from full_nodes x join sums s on s.k = x.k and s.depth = x.depth
+left join full_nodes y on x.depth > 0 and y.k = x.up and y.depth = x.depth - 1"""
