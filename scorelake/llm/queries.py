@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.llm import bpe, common, decontaminate, langid, mtree, pii, ppm, prefixtree, quality, simhash, tokencount, wavelet
+from scorelake.llm import bond, bpe, common, decontaminate, langid, mtree, pii, ppm, prefixtree, quality, simhash, tokencount, wavelet
 from scorelake.session import new_table_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,6 +95,13 @@ def quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", held_out, "score", predicted, "raw")
 
 
+@query("op12_bond_negatives")
+def bond_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = common.table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return bond.hard_negatives(vectors, label, F.col("vec_id") % 50 == 0)
+
+
 @query("op13_prefix_tree")
 def prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtree.tree(prefixtree.forked(prefixtree.turns(common.table(spark, sf_dir, "conversations"))))
@@ -131,6 +138,20 @@ select doc_id, cast(len(w) as bigint) n_words, cast(coalesce(n_hit, 0) as bigint
        sha256(coalesce(names, '')) items_sha256, n_hit is not null contaminated
 from d left join hits using (doc_id) left join items using (doc_id)"""
 
+ORACLES["op12_bond_negatives"] = """
+with v as (select cast(vec_id as bigint) id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end label,
+                  list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) v from embeddings
+           where vec_id is not null and label is not null and embedding is not null
+             and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+     s as (select a.id a, b.id b, a.label = b.label same,
+                  cast(coalesce(list_sum(list_transform(list_zip(a.v, b.v), lambda z: cast(z[1] as hugeint) * z[2])), 0) as bigint) score
+           from v a join v b on a.id % 50 = 0 and a.id <> b.id and len(a.v) = len(b.v)),
+     p as (select a, b, score from s where same qualify row_number() over (partition by a order by score desc, b) <= 5),
+     n as (select p.a, p.b p, p.score p_score, s.b, s.score, row_number() over (partition by p.a, p.b order by s.score desc, s.b) rank
+           from p join s on s.a = p.a and not s.same and 50 * p.score <= 100 * s.score and 100 * s.score <= 95 * p.score)
+select a anchor_id, p positive_id, cast(rank as int) rank, b negative_id, p_score positive_score, score negative_score
+from n where rank <= 3"""
+
 # CRC-32 of the decimal id, bit by bit; paths as lists of digests; every node under each of its ancestors
 ORACLES["op13_prefix_tree"] = r"""
 with t as (select cast(conv_id as bigint) c, sha256(cast(length(coalesce(role, '')) as varchar) || ':' || coalesce(role, '') || coalesce(text, '')) d,
