@@ -299,244 +299,38 @@ def components(edges: DataFrame) -> DataFrame:
     return roots
 
 
-def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, max_bits: int = 2, hot: int = HOT) -> DataFrame:
-    """doc_id, fp and component_id (smallest id of the component) of every row."""
-    rows = materialize(fingerprints(docs, doc_id, text, shingle))
-    values = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+def named_groups(rows: DataFrame, who: Column, max_bits: int, hot: int) -> DataFrame:
+    """fp and first (the least ``who`` of its component) of every fingerprint of ``rows``."""
+    values = rows.groupBy("fp").agg(F.min(who).alias("least"))
     roots = components(links(values.select("fp"), max_bits, hot))
     member = values.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = member.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def fingerprint_hex(fp: Column) -> Column:
-    return F.lower(F.lpad(F.hex(fp), 16, "0"))
+    least = member.groupBy("root").agg(F.min("least").alias("first"))
+    return member.select("fp", "root").join(least, "root").select("fp", "first")
 
 
-# --- groups by similarity -----------------------------------------------------------------------------------------
-
-TABLES = 12
-LEAST = 3
-#: Texts of at most this many distinct shingles are compared by an exact prefix filter too.
-SHORT = 64
-CROWD = 512
-#: Shingles of one side that are compared at once.
-PIECE = 1 << 20
-MIX = tuple((0x9E3779B97F4A7C15 * (2 * t + 1) & (1 << 64) - 1) | 1 for t in range(TABLES))
-
-
-def digest(values: np.ndarray) -> int:
-    """A signed 64-bit digest of an array."""
-    return int.from_bytes(xxhash.xxh64_digest(values.tobytes(), SEED), "little", signed=True)
+def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, max_bits: int = 2, hot: int = HOT) -> DataFrame:
+    """doc_id, fp and component_id (smallest id of the component) of every row."""
+    rows = materialize(fingerprints(docs, doc_id, text, shingle))
+    named = named_groups(rows, F.col("doc_id"), max_bits, hot)
+    return rows.join(named, "fp").select("doc_id", "fp", F.col("first").alias("component_id"))
 
 
-def profile(text: bytes, shingle: int, similarity: float) -> tuple[int, list[int], np.ndarray]:
-    """Of a text's set of shingles: its digest, by table the digest of its least shingles in a mixed order, and a short text's shingles.
+def keep_representatives(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, max_bits: int = 2, hot: int = HOT
+) -> DataFrame:
+    """One row of each component, in the columns of ``docs``: that of the smallest id, rows without an id last.
 
-    A text that only short texts can be similar to has no tables.
+    Rows are told apart by id and text together, so an id that recurs with another text decides nothing about that text; rows
+    of equal id and text are in one component, and one of them stays. Texts are shuffled once, by a digest of id and text.
     """
-    hashes = np.unique(shingle_hashes(text, shingle))
-    keys: list[int] = []
-    for factor in MIX if len(hashes) > similarity * SHORT else ():
-        mixed = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(factor)
-        mixed ^= mixed >> np.uint64(29)
-        mixed *= np.uint64(0xBF58476D1CE4E5B9)
-        keys.append(digest(np.sort(np.partition(mixed, LEAST)[:LEAST] if len(mixed) > LEAST else mixed)))
-    return digest(hashes), keys, hashes if len(hashes) <= SHORT else hashes[:0]
-
-
-def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Number of values that each set of ``left`` shares with each of ``right``."""
-    a, b = np.concatenate(left), np.concatenate(right)
-    rows = np.repeat(np.arange(len(left)), [len(x) for x in left])
-    columns = np.repeat(np.arange(len(right)), [len(x) for x in right])
-    by = np.argsort(a, kind="stable")
-    a, rows = a[by], rows[by]
-    first, last = np.searchsorted(a, b), np.searchsorted(a, b, side="right")
-    met = last > first
-    first, last, columns, b = first[met], last[met], columns[met], b[met]
-    _, value, times = np.unique(b, return_inverse=True, return_counts=True)
-    wide = (last - first) * times[value] > 64  # values of many sets are multiplied as a matrix, others written out
-    found = np.zeros(len(left) * len(right), np.int64)
-    start, stop, column = first[~wide], last[~wide], columns[~wide]
-    for at in range(0, len(start), PIECE >> 4):
-        part = slice(at, at + (PIECE >> 4))
-        many = stop[part] - start[part]
-        inside = np.repeat(start[part] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
-        np.add.at(found, rows[inside] * len(right) + np.repeat(column[part], many), 1)
-    found = found.reshape(len(left), len(right))
-    heads, place = np.unique(first[wide], return_inverse=True)
-    ends = np.zeros(len(heads), np.int64)
-    ends[place] = last[wide]
-    for at in range(0, len(heads), 4096):
-        x, y = np.zeros((len(left), 4096), np.float32), np.zeros((4096, len(right)), np.float32)
-        many = ends[at : at + 4096] - heads[at : at + 4096]
-        inside = np.repeat(heads[at : at + 4096] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
-        x[rows[inside], np.repeat(np.arange(len(many)), many)] = 1
-        mine = (place >= at) & (place < at + 4096)
-        y[place[mine] - at, columns[wide][mine]] = 1
-        found += (x @ y).astype(np.int64)
-    return found
-
-
-def pieces(sets: list[np.ndarray]) -> list[slice]:
-    """Runs of sets of at most PIECE values each, or one set."""
-    out, start, held = [], 0, 0
-    for i, s in enumerate(sets):
-        if i > start and held + len(s) > PIECE:
-            out.append(slice(start, i))
-            start, held = i, 0
-        held += len(s)
-    return [*out, slice(start, len(sets))]
-
-
-def alike(left: list[np.ndarray], right: list[np.ndarray] | None, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of bounded degree that join what all pairs of at least that Jaccard similarity join: all of the pairs of ``left`` with
-    ``right``, or of ``left`` with itself. Places in ``right`` follow those in ``left``."""
-    every = left if right is None else left + right
-    roots = np.arange(len(every))
-    beyond = 0 if right is None else len(left)
-    for p in pieces(left):
-        for q in pieces(left if right is None else right):
-            if right is None and q.start < p.start:
-                continue
-            a, b = left[p], every[beyond + q.start : beyond + q.stop]
-            if len({*roots[p].tolist(), *roots[beyond + q.start : beyond + q.stop].tolist()}) == 1:
-                continue
-            both = overlaps(a, b)
-            total = np.fromiter(map(len, a), np.int64, len(a))[:, None] + np.fromiter(map(len, b), np.int64, len(b))[None, :]
-            i, j = np.nonzero(both >= similarity * (total - both))
-            roots = roots_after(roots, i + p.start, j + beyond + q.start)
-    return heaps(roots)
-
-
-def short_keys(first: DataFrame, similarity: float) -> DataFrame:
-    """own and each key of the short texts: the shingles that a similar text can't lack all of, common shingles last.
-
-    Of texts of similarity s, each has one of the first n - ceil(s n) + 1 of its n shingles in common with the other, in any order
-    of shingles that all texts share. Those of over CROWD texts are the last, and are broadcast: at most one for CROWD shingles.
-    """
-    every = first.select("own", F.explode("s").alias("w"))
-    common_ = every.groupBy("w").agg(F.count("*").alias("c")).where(F.col("c") > CROWD)
-    ordered = every.join(F.broadcast(common_), "w", "left").select("own", F.struct(F.coalesce("c", F.lit(0)).alias("c"), "w").alias("x"))
-    ordered = ordered.groupBy("own").agg(F.sort_array(F.collect_list("x")).alias("x"))
-    n = F.size("x")
-    prefix = F.slice("x", F.lit(1), n - F.ceil(n * similarity - 1e-9).cast("int") + 1)
-    return ordered.select("own", F.explode(prefix).alias("x")).select("own", F.xxhash64(F.lit(0), "x.w").alias("g"))
-
-
-def blocks_of(count: Column) -> Column:
-    return F.ceil(count / CROWD).cast("int")
+    key = next(name for i in range(len(docs.columns) + 1) if (name := f"row_digest_{i}") not in docs.columns)
+    parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in (doc_id, text)]
+    keyed = docs.withColumn(key, F.unhex(F.md5(F.concat_ws("\0", *parts))))
+    who = F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), F.col(key).alias("key"))
+    rows = materialize(fingerprints(keyed.select(who.alias("who"), F.col(text).alias("text")), "who", "text", shingle))
+    named = named_groups(rows.withColumnRenamed("doc_id", "who"), F.col("who"), max_bits, hot)
+    return keyed.join(named.select(F.col("first.key").alias(key)), key, "left_semi").dropDuplicates([key]).drop(key)
 
 
-def opposed(crowd: DataFrame, roots: DataFrame, among_rest: bool) -> DataFrame:
-    """own, g and side of the blocks of crowds that are still to be compared: side 0 with side 1, or with itself if there is no other.
-
-    crowd: own and g of its members. In each crowd, the largest component is one part and the rest the other. Blocks of the rest meet
-    all blocks of the largest component, and with ``among_rest`` each other too: then every pair that isn't joined yet meets.
-    """
-    member = crowd.join(roots.select(F.col("node").alias("own"), "root"), "own", "left").withColumn("root", F.coalesce("root", "own"))
-    kinds = member.groupBy("g", "root").agg(F.count("*").alias("n"))
-    crowds_ = kinds.groupBy("g").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("kinds"))
-    crowds_ = crowds_.where("kinds > 1").select(
-        "g", F.col("top.root").alias("top"), blocks_of(F.col("top.n")).alias("tops"), blocks_of(F.col("n") - F.col("top.n")).alias("rests")
-    )
-    placed = member.join(crowds_, "g").withColumn("in_top", F.col("root") == F.col("top"))
-    block = F.pmod(F.xxhash64(F.lit(2), "g", "own"), F.when(F.col("in_top"), F.col("tops")).otherwise(F.col("rests"))).cast("int")
-    placed = placed.withColumn("block", block)
-    other = F.when(F.col("in_top"), F.col("rests")).otherwise(F.col("tops"))
-    met = placed.select("own", "g", "in_top", "block", F.explode(F.sequence(F.lit(0), other - 1)).alias("k"))
-    rest = F.when(F.col("in_top"), F.col("k")).otherwise(F.col("block"))
-    top = F.when(F.col("in_top"), F.col("block")).otherwise(F.col("k"))
-    out = met.select("own", F.xxhash64(F.lit("top"), "g", rest, top).alias("g"), F.col("in_top").cast("int").alias("side"))
-    if among_rest:
-        met = placed.where("not in_top").select("own", "g", "block", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("k"))
-        key = F.xxhash64(F.lit("rest"), "g", F.least("block", "k"), F.greatest("block", "k")).alias("g")
-        out = out.unionByName(met.select("own", key, (F.col("block") > F.col("k")).cast("int").alias("side")))
-    return out
-
-
-def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id and component_id of every row with an id: links are pairs of texts whose shingle sets have that Jaccard similarity.
-
-    Texts meet in TABLES tables, by the digest of the LEAST = 3 least shingles of a mixed order: texts of similarity s share a table's
-    digest with probability s^3, and miss all of them with (1 - s^3)^12, 2 in 10,000 at 0.8. That holds whatever else is in the tables.
-    Pairs of at most SHORT shingles each, and so every pair with a text of at most 0.8 SHORT, meet by an exact prefix filter. Within a
-    group all pairs are compared exactly on the sets, without a filter before it; texts with equal sets are one from the start.
-
-    A group of over CROWD texts is cut into blocks of about CROWD by the hash of the text, first compared each in itself. Components of
-    what is found tell which pairs aren't joined yet. Their blocks meet block by block: first the largest component of the crowd with the
-    rest, which joins the copies of one base, then what is still apart with all others.
-    """
-    rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-
-    def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in common.slices(batches, "text"):
-            found = [profile(x, shingle, similarity) for x in common.text_bytes(piece.column("text"))]
-            own = pa.array([d for d, _, _ in found], pa.int64())
-            keys = pa.array([k for _, k, _ in found], pa.list_(pa.int64()))
-            short = pa.array([s.view(np.int64) for _, _, s in found], pa.list_(pa.int64()))
-            yield pa.record_batch([piece.column("doc_id"), own, keys, short], ["doc_id", "own", "k", "s"])
-
-    seen = materialize(rows.mapInArrow(profiles, f"doc_id {kind}, own long, k array<long>, s array<long>"))
-    first = seen.groupBy("own").agg(F.min_by(F.struct("doc_id", "k", "s"), "doc_id").alias("r")).select("own", "r.*")
-    waiting = first.select("own", F.posexplode("k").alias("t", "k")).select("own", F.xxhash64(F.col("t") + 1, "k").alias("g"))
-    waiting = waiting.unionByName(short_keys(first, similarity))
-    # tables often bring the same texts together: one group of each set of texts goes on
-    same = waiting.groupBy("g").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("own")).alias("x"), F.min("own").alias("a"), F.max("own").alias("b"))
-    once = same.where("n > 1").groupBy("n", "x", "a", "b").agg(F.min("g").alias("g")).select("g", "n")
-    groups = materialize(waiting.join(once, "g"))
-    first = materialize(first.select("own", "doc_id"))
-
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in common.slices(batches, "text"):
-            sets = [np.unique(shingle_hashes(x, shingle)) for x in common.text_bytes(piece.column("text"))]
-            # a row that repeats an id with another text has another set
-            mine = [i for i, (own, s) in enumerate(zip(piece.column("own").to_pylist(), sets, strict=True)) if digest(s) == own]
-            lists = pa.array([sets[i].view(np.int64) for i in mine], pa.list_(pa.int64()))
-            yield pa.record_batch([piece.column("own").take(pa.array(mine, pa.int64())), lists], ["own", "s"])
-
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in crowds(batches, ("g",)):
-            side = group.column("side").to_numpy()
-            by = np.argsort(side, kind="stable")
-            own, lists = group.column("own").to_numpy()[by], group.column("s")
-            sets = [lists[i].values.to_numpy() for i in by.tolist()]
-            half = int(np.count_nonzero(side == 0))
-            if half:
-                a, b = alike(sets[:half], sets[half:] if half < len(sets) else None, similarity)
-                yield pa.record_batch([pa.array(own[a]), pa.array(own[b])], ["a", "b"])
-
-    def edges(met: DataFrame) -> DataFrame:
-        wanted = first.join(met.select("own").distinct(), "own", "left_semi")
-        sets = rows.join(wanted, "doc_id").mapInArrow(shingles, "own long, s array<long>").dropDuplicates(["own"])
-        return met.join(sets, "own").repartition("g").sortWithinPartitions("g").mapInArrow(verified, "a long, b long")
-
-    block = F.when(F.col("n") > CROWD, F.pmod(F.xxhash64(F.lit(1), "g", "own"), blocks_of(F.col("n")))).otherwise(F.lit(0))
-    found = materialize(edges(groups.select("own", F.xxhash64("g", block).alias("g"), F.lit(0).alias("side"))).distinct())
-    roots = components(found)
-    crowd = groups.where(F.col("n") > CROWD).select("own", "g")
-    for among_rest in (False, True):
-        met = materialize(opposed(crowd, roots, among_rest))
-        if met.isEmpty():
-            break
-        more = materialize(edges(met).distinct())
-        if not more.isEmpty():
-            found = found.unionByName(more)
-            roots = components(found)
-    member = first.join(roots.withColumnRenamed("node", "own"), "own", "left").withColumn("root", F.coalesce("root", "own"))
-    least = member.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = member.select("own", "root").join(least, "root").select("own", "component_id")
-    return seen.select("doc_id", "own").join(named, "own").select("doc_id", "component_id")
-
-
-def keep_representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row of each group of similar texts, that of its smallest id, in the columns of ``docs``.
-
-    Of rows that repeat an id one stays. Rows without an id can't be told apart from each other and stay.
-    """
-    kept = similar(docs, doc_id, text, shingle, similarity).where("doc_id = component_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    named = docs.join(kept, doc_id, "left_semi").dropDuplicates([doc_id])
-    return named.unionByName(docs.where(F.col(doc_id).isNull()))
+def fingerprint_hex(fp: Column) -> Column:
+    return F.lower(F.lpad(F.hex(fp), 16, "0"))
