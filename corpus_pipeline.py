@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows of the stage before. All but the last return the columns of
 ``documents``. ``run`` writes what a stage returns to the shared folder and reads it back for the next one, so that a lost
-executor costs at most one stage. Null texts and texts without a letter go in the first stage, and rows that repeat an
-id in the second; see the operators for the other cases.
+executor costs at most one stage. Null texts and texts without a letter go in the first stage, rows that repeat both id and
+text in the second; see the operators for the other cases.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-duplicates (five-word shingles, similarity 0.8), that of the smallest id."""
-    return simhash.keep_representatives(docs)
+    """Keep one document of each component of the SimHash operator (three-word shingles, two bits), that of the smallest id."""
+    return simhash.keep_representatives(docs, shingle=3, max_bits=2)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
