@@ -43,6 +43,19 @@ def bounded_sample(rows: DataFrame, label: str, most: int) -> DataFrame:
     return keyed.join(F.broadcast(chosen), ["h", "t", label], "left_semi").dropDuplicates(["h", "t", label]).drop("t")
 
 
+def lowest(keys: DataFrame, label: str, most: int) -> DataFrame:
+    """At most ``most`` rows of each label, those of the lowest hash ``r``; keys: distinct rows.
+
+    Rows beyond twice the hash below which ``most`` of a label are expected never reach the ranking, so one label of most rows is no
+    hot key.
+    """
+    sizes = keys.groupBy(label).agg(F.count("*").alias("size"))  # a row a label
+    share = F.lit(2.0 * most) / F.col("size")
+    near = keys.join(F.broadcast(sizes), label).where((share >= 1) | (F.col("r").cast("double") / 2.0**63 < 2 * share - 1)).drop("size")
+    rank = F.row_number().over(Window.partitionBy(label).orderBy("r"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= most).drop("rank")
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of each piece hold at most ``limit`` bytes, or one row."""
     for batch in batches:

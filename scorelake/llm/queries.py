@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.llm import bond, bpe, common, decontaminate, langid, mtree, pii, ppm, prefixtree, quality, simhash, tokencount, wavelet
+from scorelake.llm import bond, bpe, common, decontaminate, langid, mtree, pii, ppm, prefixtree, quality, simhash, tokencount, toxicity, wavelet
 from scorelake.session import new_table_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,6 +95,15 @@ def quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", held_out, "score", predicted, "raw")
 
 
+@query("op11_toxicity")
+def toxic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = common.table(spark, sf_dir, "labels").where(F.coalesce(common.id_remainder("doc_id", 5) != 0, F.lit(False)))
+    held_out = common.is_remainder("doc_id", 5, 0).alias("held_out")
+    predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
+    return toxicity.score(docs, toxicity.fit(docs, labels)).select("doc_id", held_out, "score", predicted)
+
+
 @query("op12_bond_negatives")
 def bond_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = common.table(spark, sf_dir, "embeddings")
