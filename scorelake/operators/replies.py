@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.functions.json_values import json_value
-from scorelake.functions.staging import let, stage
-from scorelake.functions.text import strip, strip_fence_lines
+from scorelake.functions.json_values import elements, json_value, spelled
+from scorelake.functions.staging import stage
+from scorelake.functions.text import strip_fence_lines
 from scorelake.schemas import CALL_REQUIREMENT
 
 _ITEM = (
@@ -26,13 +26,12 @@ def _explode(replies: DataFrame, item: str) -> DataFrame:
 
     Elements are cut out as text, so that nested values keep their spelling and the order of their keys.
     """
-    text = strip(strip_fence_lines("raw_text"))
-    listed = let(text, lambda t: F.when(F.startswith(t, F.lit("[")) & F.endswith(t, F.lit("]")), t))
-    staged = stage(replies, "_elements", F.from_json(listed, "array<string>"))
+    staged = stage(replies, "_elements", elements(strip_fence_lines("raw_text")))
     kept = [c for c in replies.columns if c != "raw_text"]
     rows = staged.select(*kept, F.posexplode("_elements").alias("item_no", "_element"))
     objects = rows.filter(F.startswith("_element", F.lit("{")))
-    return stage(objects, "_item", F.from_json("_element", item)).drop("_element").filter(F.col("_item").isNotNull())
+    strict = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+    return stage(objects, "_item", F.from_json("_element", item, strict)).drop("_element").filter(F.col("_item").isNotNull())
 
 
 def reply_errors(replies: DataFrame) -> DataFrame:
@@ -49,19 +48,20 @@ def reply_errors(replies: DataFrame) -> DataFrame:
 def parse_generated(replies: DataFrame) -> DataFrame:
     """Generated cases, one row each. Elements without ``input`` or ``expected`` are skipped, gaps get defaults.
 
-    ``input`` and ``expected`` stay JSON text. Replies that are no JSON give no rows; ``reply_errors`` lists them.
+    ``input`` and ``expected`` stay JSON text, NaN and infinities in them included. Replies that are no JSON give no rows;
+    ``reply_errors`` lists exactly those.
     """
     rows = _explode(replies, _ITEM)
     item = F.col("_item")
     return rows.filter(item["input"].isNotNull() & item["expected"].isNotNull()).select(
         *[c for c in rows.columns if c != "_item"],
-        F.coalesce(item["description"], F.lit("")).alias("description"),
-        item["input"].alias("input"),
-        item["expected"].alias("expected"),
-        F.coalesce(item["tags"], F.array().cast("array<string>")).alias("tags"),
-        F.coalesce(item["difficulty"], F.lit("medium")).alias("difficulty"),
-        F.coalesce(item["case_type"], F.lit("factual")).alias("case_type"),
-        F.coalesce(item["source_excerpt"], F.lit("")).alias("source_excerpt"),
+        F.coalesce(spelled(item["description"]), F.lit("")).alias("description"),
+        spelled(item["input"]).alias("input"),
+        spelled(item["expected"]).alias("expected"),
+        F.coalesce(F.transform(item["tags"], spelled), F.array().cast("array<string>")).alias("tags"),
+        F.coalesce(spelled(item["difficulty"]), F.lit("medium")).alias("difficulty"),
+        F.coalesce(spelled(item["case_type"]), F.lit("factual")).alias("case_type"),
+        F.coalesce(spelled(item["source_excerpt"]), F.lit("")).alias("source_excerpt"),
     )
 
 
@@ -72,9 +72,9 @@ def parse_generated_agent(replies: DataFrame) -> DataFrame:
     steps = F.coalesce(item["max_steps"].try_cast("double").cast("int"), F.lit(6))
     return rows.filter(item["task"].isNotNull()).select(
         *[c for c in rows.columns if c != "_item"],
-        item["task"].alias("task"),
-        F.coalesce(item["description"], F.lit("")).alias("description"),
-        item["expected_answer"].alias("expected_answer"),
+        spelled(item["task"]).alias("task"),
+        F.coalesce(spelled(item["description"]), F.lit("")).alias("description"),
+        spelled(item["expected_answer"]).alias("expected_answer"),
         F.coalesce(item["must_call"], F.array().cast("array<string>")).alias("must_call"),
         F.coalesce(item["must_call_with"], F.array().cast(f"array<{CALL_REQUIREMENT}>")).alias("must_call_with"),
         steps.alias("max_steps"),

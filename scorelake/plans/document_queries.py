@@ -224,6 +224,31 @@ def generated_errors(spark, sf):
     return replies.reply_errors(_generated(spark, sf))
 
 
+_MIXED_REPLIES = (
+    '[{"input": {"n": NaN}, "expected": {"b": 1.0, "a": 2}}, {"input": 1, "expected": "x"}]',
+    '[{"input": {"n": 1}, "expected": 2}] see [1]',
+    "[{'input': 1, 'expected': 2}]",
+    '[{"input": "NaN, b", "expected": -Infinity, "tags": ["x"]}, 5, NaN]',
+    '{"input": 1, "expected": 2}',
+    '[{"input": 1, "expected": 2},]',
+)
+
+
+@query(
+    "replies_once",
+    """select doc_id, 'case' kind, c.input, c.expected from documents,
+       (values (0, '{"n":NaN}', '{"b":1.0,"a":2}'), (0, '1', 'x'), (3, 'NaN, b', '-Infinity')) c(r, input, expected) where doc_id % 6 = r
+       union all select doc_id, 'error', null, null from documents where doc_id % 6 in (1, 2, 5)""",
+)
+def replies_once(spark, sf):
+    """A reply gives cases or an error, never both: what Python's JSON reader takes decides."""
+    reply = F.element_at(F.array(*map(F.lit, _MIXED_REPLIES)), (F.col("doc_id") % 6 + 1).cast("int"))
+    rows = b.table(spark, sf, "documents").select("doc_id", reply.alias("raw_text"))
+    cases = replies.parse_generated(rows).select("doc_id", F.lit("case").alias("kind"), "input", "expected")
+    none = F.lit(None).cast("string")
+    return cases.unionByName(replies.reply_errors(rows).select("doc_id", F.lit("error").alias("kind"), none.alias("input"), none.alias("expected")))
+
+
 @query(
     "staged_cases",
     """select doc_id, 'd' || doc_id description, 'hard' difficulty from documents where doc_id % 7 <> 0

@@ -1,4 +1,4 @@
-"""Session helpers: the shared folder for checkpoints and intermediate tables."""
+"""Session helpers: settings, the shared folder for checkpoints and intermediate tables."""
 
 from __future__ import annotations
 
@@ -8,6 +8,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def configure(spark: SparkSession) -> SparkSession:
+    """Settings that the operators' results rest on: a repeated key in JSON keeps its last value, as in Python."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir.
 

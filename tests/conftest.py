@@ -8,6 +8,8 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
+from scorelake.session import configure  # noqa: E402
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -21,5 +23,5 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    yield session
+    yield configure(session)
     session.stop()
