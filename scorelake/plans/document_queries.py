@@ -376,6 +376,29 @@ def case_scan(spark, sf):
     )
 
 
+@query(
+    "numbered_lines",
+    """select 'part=' || doc_id // 500 dataset, doc_id,
+              cast(sum(1 + case when doc_id % 6 = 0 then 1 else 0 end + case when doc_id % 4 = 0 then 1 else 0 end) over w
+                   - case when doc_id % 4 = 0 then 1 else 0 end as bigint) line_no,
+              count(*) over w item_no
+       from (select distinct doc_id from documents) window w as (partition by doc_id // 500 order by doc_id)""",
+)
+def numbered_lines(spark, sf):
+    """Lines of files with blank lines between them, numbered with and without those, over the splits of each file."""
+    path = new_table_path(spark, "lines")
+    n = F.col("doc_id")
+    own = F.array(F.struct(F.lit(1).alias("k"), F.concat(F.lit('{"doc": '), n.cast("string"), F.lit("}")).alias("value")))
+    none = F.array().cast("array<struct<k:int,value:string>>")
+    blank = lambda k, text, when: F.when(when, F.array(F.struct(F.lit(k).alias("k"), F.lit(text).alias("value")))).otherwise(none)
+    rows = F.concat(blank(0, "  ", n % 6 == 0), own, blank(2, "", n % 4 == 0))
+    lines = b.table(spark, sf, "documents").select("doc_id").distinct().select("doc_id", F.floor(n / 500).alias("part"), F.explode(rows).alias("r"))
+    lines = lines.select("part", "doc_id", "r.*").repartition("part").sortWithinPartitions("part", "doc_id", "k")
+    lines.select("part", "value").write.partitionBy("part").text(path)
+    found = cases.read_numbered_lines(spark, path)
+    return found.select("dataset", F.get_json_object("line", "$.doc").cast("long").alias("doc_id"), "line_no", "item_no")
+
+
 def _named_lines(spark: SparkSession, sf: str) -> DataFrame:
     return _case_lines(spark, sf).withColumn("dataset", F.concat(F.lit("case_"), "type"))
 
@@ -615,6 +638,32 @@ def raw_result_scan(spark, sf):
     return results.parse_results(_outputs(spark, sf)).drop("vars_json")
 
 
+@query(
+    "large_result_scan",
+    """with e as (select *, event_id // 1000 run, row_number() over (partition by event_id // 1000 order by event_id) - 1 i from events)
+       select 'run=' || run dataset, i ord, event_type provider,
+              substr(sha256('{"k": ' || json_extract_string(props, '$.k') || ', "user": "' || user_id || '"}'), 1, 16) key,
+              event_id % 2 = 0 success, case when event_id % 2 = 0 then 1.0 else 0.0 end::double score,
+              max(i + 1) over (partition by run) total_tokens from e""",
+)
+def large_result_scan(spark, sf):
+    """Documents of a thousand results each, written as one file a run and read by splits, with their token counts."""
+    path = new_table_path(spark, "outputs")
+    e, n = b.table(spark, sf, "events"), F.col("event_id")
+    item = F.concat(
+        F.lit('{"vars": {"user": "'), F.col("user_id").cast("string"), F.lit('", "k": '), F.get_json_object("props", "$.k"),
+        F.lit('}, "provider": "'), "event_type", F.lit('", "note": "}, [\\" {"'), F.when(n % 2 == 0, ', "success": true').otherwise(""), F.lit("}"),
+    )
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(n.alias("n"), item.alias("item")))), lambda x: x["item"]), ",")
+    # a thousand events a document
+    made = e.groupBy(F.floor(n / 1000).alias("run")).agg(listed.alias("items"), F.count("*").cast("string").alias("size"))
+    shape = F.when(F.col("run") % 2 == 0, F.lit('{"results": {"results": [')).otherwise('{"results": {"x": {"results": [{}]}, "results": [')
+    tail = F.concat(F.lit(']  , "stats": {"tokenUsage": {"total": '), "size", F.lit("}}}}"))
+    made.select("run", F.concat(shape, "items", tail).alias("value")).write.partitionBy("run").text(path)
+    rows, stats = results.load_results(spark, path)
+    return rows.select("dataset", "ord", "provider", "key", "success", "score").join(stats.select("dataset", "total_tokens"), "dataset")
+
+
 @query(
     "token_scan",
     """select event_id run_id, case when event_id % 3 = 0 then cast(json_extract_string(props, '$.k') as bigint) else 0 end total_tokens,

@@ -6,8 +6,13 @@ that fail are rows with their reasons, never lost.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scorelake.functions.json_values import json_value
@@ -63,21 +68,66 @@ def read_lines(spark: SparkSession, path: str, dataset: Column | None = None) ->
 def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """As ``read_lines`` with ``line_no``, counted including blanks, and ``item_no``, counted without them.
 
-    Each file is read whole by one task, so this is for hand-kept files; large tables use ``read_lines``.
+    A large file is read as many splits. A task counts the lines of its splits, and what earlier splits of the file hold, a row a
+    split by byte offset, is added to that.
     """
-    raw = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
-    parts = raw.select(
-        F.element_at(F.split("_metadata.file_path", "/"), -2).alias("dataset"),
-        F.col("_metadata.file_path").alias("file_path"),
-        F.transform(F.split("value", r"\r\n|\r|\n"), lambda v, i: F.struct((i + 1).alias("line_no"), strip(v).alias("line"))).alias("_all"),
-    )
-    kept = F.filter("_all", lambda r: r["line"] != "")
-    return parts.select("dataset", "file_path", F.posexplode(kept).alias("_i", "_r")).select(
-        "dataset", "file_path", F.col("_r.line_no").alias("line_no"), (F.col("_i") + 1).alias("item_no"),
-        F.col("_r.line").alias("line"),
+    raw = spark.read.option("recursiveFileLookup", "true").text(path)
+    where = [F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("split")]
+    split = ["file_path", "split"]
+    held = raw.select(*where, (strip("value") != "").alias("full")).groupBy(*split)
+    held = held.agg(F.count("*").alias("lines"), F.count_if("full").alias("items"))
+    earlier = Window.partitionBy("file_path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    before = held.select(*split, *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("lines", "items")])
+    return _with_offsets(count_in_splits(raw.select(*where, strip("value").alias("line"))), before).select(
+        F.element_at(F.split("file_path", "/"), -2).alias("dataset"),
+        "file_path",
+        (F.col("line_at") + F.col("lines")).alias("line_no"),
+        (F.col("item_at") + F.col("items")).alias("item_no"),
+        "line",
     )
 
 
+#: Splits whose offsets are sent to every task: some 50 MB. Offsets of more splits are joined by a shuffle.
+BROADCAST_SPLITS = 500_000
+
+
+def _with_offsets(rows: DataFrame, before: DataFrame) -> DataFrame:
+    """Rows with what lies before their split."""
+    before = materialize(before)
+    side = F.broadcast(before) if before.count() <= BROADCAST_SPLITS else before
+    return rows.join(side, ["file_path", "split"])
+
+
+def count_in_splits(rows: DataFrame) -> DataFrame:
+    """Non-blank lines of a scan (file_path, split, line) with ``line_at`` and ``item_at``, counted from 1 within their split.
+
+    A task reads its splits one after the other and each in order.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, lines, items = None, 0, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            full = pc.not_equal(batch.column("line"), "").to_numpy(zero_copy_only=False)
+            paths, starts = batch.column("file_path").dictionary_encode(), batch.column("split").to_numpy()
+            codes = paths.indices.to_numpy()
+            cuts = np.flatnonzero((starts[1:] != starts[:-1]) | (codes[1:] != codes[:-1])) + 1
+            begins = np.append(0, cuts)
+            sizes = np.diff(np.append(begins, len(starts)))
+            line_at = np.arange(1, len(starts) + 1) - np.repeat(begins, sizes)
+            total = np.cumsum(full)
+            item_at = total - np.repeat(total[begins] - full[begins], sizes)
+            if (paths.dictionary[int(codes[0])].as_py(), int(starts[0])) == last:
+                line_at[: sizes[0]] += lines
+                item_at[: sizes[0]] += items
+            last, lines, items = (paths.dictionary[int(codes[-1])].as_py(), int(starts[-1])), int(line_at[-1]), int(item_at[-1])
+            kept = batch.append_column("line_at", pa.array(line_at)).append_column("item_at", pa.array(item_at))
+            yield kept.filter(pa.array(full))
+
+    return rows.mapInArrow(run, "file_path string, split long, line string, line_at long, item_at long")
+
+
 def _kind_of(doc: Column, path: str) -> Column:
     return F.schema_of_variant(F.try_variant_get(doc, f"$.{path}", "variant"))
 
@@ -263,16 +313,16 @@ def load_cases(spark: SparkSession, path: str, kind: str, first_only: bool = Fal
     """Typed cases of hand-kept files, refusing invalid ones by line number. A missing path is an empty set.
 
     ``first_only`` stops at the first bad line, as for the plain kinds; otherwise the error carries all of them, as for
-    retrieval and agent cases.
+    retrieval and agent cases. Lines are checked once, into a checkpoint.
     """
-    empty = "dataset string, file_path string, line_no int, item_no int, line string"
+    empty = "dataset string, file_path string, line_no long, item_no long, line string"
     try:
         numbered = read_numbered_lines(spark, path)
     except AnalysisException as exc:
         if exc.getCondition() != "PATH_NOT_FOUND":
             raise
         numbered = spark.createDataFrame([], empty)
-    checked = validate_cases(numbered, F.lit(kind))
+    checked = materialize(validate_cases(numbered, F.lit(kind)))
     bad = checked.filter(~F.col("valid")).drop("valid")
     first = bad.orderBy("file_path", "line_no").limit(1).collect()
     if first and first_only:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelake.functions.json_values import json_value
@@ -11,6 +11,8 @@ from scorelake.functions.staging import let, stage
 from scorelake.functions.text import lstrip, py_round, strip
 from scorelake.operators.display import provider_id
 from scorelake.operators.summary import RESULT_DIGITS, rounded
+from scorelake.session import materialize
+from scorelake.sources.json_splits import BROADCAST_SPLITS, split_documents
 
 _ITEM = "struct<vars:string,success:string,score:double,latencyMs:double,cost:double,provider:string>"
 _STATS = "struct<total:long,prompt:long,completion:long>"
@@ -29,7 +31,11 @@ def parse_results(outputs: DataFrame) -> DataFrame:
     # An object in place of the list holds no results; from_json would take it for a list of one.
     listed = let(lstrip(text), lambda t: F.when(F.startswith(t, F.lit("[")), t))
     staged = stage(outputs, "_items", F.from_json(listed, f"array<{_ITEM}>"))
-    rows = staged.select(*keys, F.posexplode("_items").alias("ord", "_i")).filter(F.col("_i").isNotNull())
+    return _typed_results(staged.select(*keys, F.posexplode("_items").alias("ord", "_i")), keys)
+
+
+def _typed_results(rows: DataFrame, keys: list[str]) -> DataFrame:
+    rows = rows.filter(F.col("_i").isNotNull())
     success = F.coalesce(F.col("_i.success"), F.lit("false")) == "true"
     rows = with_canonical_json(rows, "_vars", F.coalesce(F.col("_i.vars"), F.lit("{}")))
     return rows.select(
@@ -45,6 +51,28 @@ def parse_results(outputs: DataFrame) -> DataFrame:
     )
 
 
+def load_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Raw result rows and token counts of all runner output below a path, however large its files.
+
+    As ``parse_results`` and ``parse_token_stats`` of ``read_outputs``, but a file is read by as many tasks as it has splits. A file that is
+    no JSON, in any of its parts, gives no rows and no counts.
+    """
+    elements, shells = split_documents(spark, path)
+    elements = materialize(stage(elements, "_known", json_value("element").isNotNull()))
+    checked = elements.groupBy("file_path").agg(F.bool_and("_known").alias("_whole"))
+    shells = shells.join(checked, "file_path", "left")
+    fine = F.coalesce(F.col("_whole"), F.lit(True)) & json_value("shell").isNotNull()
+    shells = materialize(shells.select("file_path", "shell", fine.alias("_fine")))
+    broken = shells.filter(~F.col("_fine")).select("file_path")
+    count = broken.count()
+    if count:
+        elements = elements.join(F.broadcast(broken) if count <= BROADCAST_SPLITS else broken, "file_path", "left_anti")
+    objects = elements.filter(F.startswith(lstrip("element"), F.lit("{")))
+    rows = stage(objects.select(*_run_of("file_path"), "ord", "element"), "_i", F.from_json("element", _ITEM))
+    stats = shells.filter("_fine").select(*_run_of("file_path"), F.col("shell").alias("json"))
+    return _typed_results(rows, ["run_id", "dataset"]), parse_token_stats(stats)
+
+
 def parse_token_stats(outputs: DataFrame) -> DataFrame:
     """Token counts of each runner output, zero where absent."""
     usage = F.from_json(F.get_json_object("json", "$.results.stats.tokenUsage"), _STATS)
@@ -180,12 +208,16 @@ def write_json_lines(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
+def _run_of(file_path: str) -> list[Column]:
+    """Run and dataset of a runner output file."""
+    parts = F.split(file_path, "/")
+    return [F.regexp_replace(F.element_at(parts, -1), r"\.json$", "").alias("run_id"), F.element_at(parts, -2).alias("dataset")]
+
+
 def read_outputs(spark: SparkSession, path: str) -> DataFrame:
-    """Runner output files, one per run: ``run_id`` from the file name, ``dataset`` from the folder, ``json``."""
+    """Runner output files, one per run: ``run_id`` from the file name, ``dataset`` from the folder, ``json``.
+
+    A file is one text in one task; ``load_results`` reads large ones.
+    """
     raw = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
-    parts = F.split("_metadata.file_path", "/")
-    return raw.select(
-        F.regexp_replace(F.element_at(parts, -1), r"\.json$", "").alias("run_id"),
-        F.element_at(parts, -2).alias("dataset"),
-        F.col("value").alias("json"),
-    )
+    return raw.select(*_run_of("_metadata.file_path"), F.col("value").alias("json"))

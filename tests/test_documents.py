@@ -204,3 +204,23 @@ def test_a_long_conversation_is_one_case(spark, tmp_path):
     assert len(one) == 1 and one[0]["step_count"] == 200 and one[0]["tool_call_count"] == 100
     assert (one[0]["task"], one[0]["final_answer"]) == ("word 0", "word 199")
     assert len(bindings.trajectories(spark, str(tmp_path)).first()["steps"]) == 200
+
+
+def test_a_level_shuffles_its_candidates_only(spark):
+    links = spark.createDataFrame([(f"u{i}", [f"u{i + 1}"]) for i in range(50)], "url string, links array<string>")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    name = crawl.lay_out(links)
+    try:
+        level = spark.createDataFrame([("s", f"u{i}") for i in range(3)], "seed string, url string")
+        found = spark.createDataFrame([("s", "u", f"u{i % 9}", i) for i in range(20)], "seed string, prefix string, url string, _rank long")
+        fresh = crawl.probe(found, level, spark.table(name))
+        plan = fresh._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
+        assert sorted((r["url"], r["_rank"], r["links"][0]) for r in fresh.collect()) == [(f"u{i}", i, f"u{i + 1}") for i in range(3, 9)]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        spark.sql(f"drop table {name}")
