@@ -8,9 +8,9 @@ The documents are cut into shards of a bounded size inside the tasks that scan t
 numbers of the benchmark's words and keeps only runs of known words that are long enough to hold a window: nothing else
 can match. Over what is kept it builds a suffix array by prefix doubling, and every benchmark suffix is binary-searched in
 it, all at once, one word of depth after another, down to its window's length. The range of suffixes at window depth are
-the window's places, from which hit words and matched items follow. The other way round, every kept position of the
-documents is searched in the suffix array of the benchmark, which gives its longest verbatim match, whatever else is in
-the shard. Documents aren't shuffled.
+the window's places, from which hit words and matched items follow. The parts of the benchmark that occur are then sorted into the shard's
+suffix array, where each kept position has its longest verbatim match beside it, read off as a common prefix, whatever else is in the
+shard and however long the match. Documents aren't shuffled.
 
 The benchmark is dealt into blocks of at most ``block_bytes`` bytes of text, by the hash of its items; one block is
 broadcast at a time, and with more blocks the documents flow through one search after another in the same stage. An item
@@ -62,7 +62,6 @@ class Block:
     names: list[str | None]
     depth: np.ndarray  # window length of the window that starts at each position, or 0
     least: int  # the shortest window
-    order: np.ndarray  # suffix array of the words
 
 
 def block_of(items: list[tuple[str | None, bytes]], window: int) -> Block:
@@ -80,18 +79,19 @@ def block_of(items: list[tuple[str | None, bytes]], window: int) -> Block:
         item.append(np.full(n + 1, len(names), np.int32))
         names.append(name)
     flat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int32)
-    depths, every = flat(depth), flat(words)
-    order = suffix_array(every).astype(np.int32)
-    return Block(vocabulary, every, flat(item), names, depths, int(depths[depths > 0].min()) if len(names) else 0, order)
+    depths = flat(depth)
+    return Block(vocabulary, flat(words), flat(item), names, depths, int(depths[depths > 0].min()) if len(names) else 0)
 
 
-def suffix_array(values: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of ``values`` (numbers from 0) by prefix doubling."""
+def suffix_array(values: np.ndarray, levels: list[np.ndarray] | None = None) -> np.ndarray:
+    """Order of the suffixes of ``values`` (numbers from 0) by prefix doubling; ``levels`` gets the rank of each suffix by its first 1, 2, 4, ... values."""
     n = len(values)
     rank = values.astype(np.int64)
     order = np.argsort(rank, kind="stable")
     step = 1
     while True:
+        if levels is not None:
+            levels.append(rank)
         after = np.zeros(n, np.int64)
         after[: max(0, n - step)] = rank[step:] + 1
         key = rank * (int(rank.max(initial=0)) + 2) + after
@@ -105,6 +105,17 @@ def suffix_array(values: np.ndarray) -> np.ndarray:
             return order
 
 
+def common_prefixes(levels: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Values that the suffixes at ``a`` and ``b`` share from their start, longest power of two first."""
+    a, b, shared = a.copy(), b.copy(), np.zeros(len(a), np.int64)
+    for k in range(len(levels) - 1, -1, -1):
+        same = np.flatnonzero(levels[k][a] == levels[k][b])
+        a[same] += 1 << k
+        b[same] += 1 << k
+        shared[same] += 1 << k
+    return shared
+
+
 def bound(text: np.ndarray, order: np.ndarray, first: np.ndarray, last: np.ndarray, word: np.ndarray, depth: int, right: bool) -> np.ndarray:
     """Where ``word`` begins (or ends) at that depth in each range of the suffix array of ``text``, which has one more value, the least, behind it."""
     first, last = first.copy(), last.copy()
@@ -141,26 +152,57 @@ def search(text: np.ndarray, order: np.ndarray, block: Block) -> tuple[np.ndarra
     return window_low, window_high
 
 
-def longest_matches(text: np.ndarray, block: Block) -> np.ndarray:
-    """Words of the longest match of each position of ``text`` with the benchmark; a number that isn't positive ends a run."""
+def longest_matches(text: np.ndarray, order: np.ndarray, block: Block) -> np.ndarray:
+    """Words of the longest match of each position of ``text`` with the benchmark, where it has ``block.least`` at least; else 0.
+
+    Only the parts of the benchmark go on whose first ``least`` words are somewhere in the text. They join the text in one suffix array:
+    the longest match of a position is with the nearest of them on either side, by common prefixes. A number of the text
+    that isn't positive ends a run, and each is another.
+    """
     best = np.zeros(len(text), np.int64)
-    padded = np.append(block.words.astype(np.int64), -1)
-    live = np.flatnonzero(text > 0)
-    low, high = np.zeros(len(live), np.int64), np.full(len(live), len(block.order), np.int64)
-    depth = 0
-    while len(live):
-        word = text[live + depth]
-        low = bound(padded, block.order, low, high, word, depth, False)
-        high = bound(padded, block.order, low, high, word, depth, True)
+    size = block.least
+    padded = np.append(text, np.iinfo(np.int64).min)
+    left = ranges_left(block.words > 0)
+    live = np.flatnonzero(left >= size)
+    low, high = np.zeros(len(live), np.int64), np.full(len(live), len(order), np.int64)
+    for depth in range(size):
+        word = block.words[live + depth]
+        low = bound(padded, order, low, high, word, depth, False)
+        high = bound(padded, order, low, high, word, depth, True)
         some = high > low
         live, low, high = live[some], low[some], high[some]
-        depth += 1
-        best[live] = depth
-        some = text[live + depth] > 0
-        live, low, high = live[some], low[some], high[some]
+    if not len(live):
+        return best
+    change = np.zeros(len(block.words) + 1, np.int64)
+    np.add.at(change, live, 1)
+    np.add.at(change, live + size, -1)
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], (np.cumsum(change[:-1]) > 0).astype(np.int8), [0]))))
+    begin, stop = edge[::2], edge[1::2]
+    part = block.words[ranges(begin, stop - begin + 1) % len(block.words)].astype(np.int64)
+    part[np.cumsum(stop - begin + 1) - 1] = text.min() - 1 - np.arange(len(begin))  # each part ends by itself too
+    both = np.concatenate((text, part))
+    levels: list[np.ndarray] = []
+    sorted_ = suffix_array(both - both.min(), levels)
+    theirs = sorted_ >= len(text)
+    at = np.arange(len(sorted_))
+    before = np.maximum.accumulate(np.where(theirs, at, -1))
+    after = np.minimum.accumulate(np.where(theirs, at, len(at))[::-1])[::-1]
+    mine = np.flatnonzero(~theirs)
+    for near in (before[mine], after[mine]):
+        some = np.flatnonzero((near >= 0) & (near < len(at)))
+        own = sorted_[mine[some]]
+        best[own] = np.maximum(best[own], common_prefixes(levels, own, sorted_[near[some]]))
+    best[best < size] = 0
     return best
 
 
+def ranges_left(inside: np.ndarray) -> np.ndarray:
+    """How many places from each on lie inside, one after another."""
+    ends = np.flatnonzero(~inside)
+    next_end = np.append(ends, len(inside))[np.searchsorted(ends, np.arange(len(inside)))]
+    return next_end - np.arange(len(inside))
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """starts[i], starts[i] + 1, ... for lengths[i] numbers each, one after another."""
     total = int(lengths.sum())
@@ -216,7 +258,7 @@ def shard_hits(block: Block, docs: list[list[bytes]]) -> tuple[list[np.ndarray],
     cuts = np.searchsorted(hit, np.append(first, len(flat)))
     hits = [(hit[a:b] - f).astype(np.int32) for a, b, f in zip(cuts, cuts[1:], first.tolist(), strict=False)]
     longest, longest_at = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    best = longest_matches(text, block)
+    best = longest_matches(text, order, block)
     tops = np.flatnonzero(best >= block.least)
     places, best = place[tops], best[tops]
     owner = doc_of(places)

@@ -51,8 +51,7 @@ def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_decontaminate")
 def decontaminate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.report(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
-    return found.drop("longest", "longest_at")
+    return decontaminate.report(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
 
 @query("op6_mtree_search")
@@ -142,10 +141,18 @@ with d as (select doc_id, {_WORDS} w from documents),
      hits as (select doc_id, count(distinct p) n_hit from (select doc_id, unnest(range(pos, pos + n)) p from found) group by doc_id),
      items as (
        select doc_id, count(*) n_items, string_agg(item, ',' order by item) names from (select distinct doc_id, item from found)
-       group by doc_id)
+       group by doc_id),
+     doc_words as (select doc_id, unnest(w) word, unnest(range(0, len(w))) p from d),
+     item_words as (select i, unnest(w) word, unnest(range(0, len(w))) q from (select row_number() over () i, w from b)),
+     met as (select doc_id, i, p, p - q shift, p - row_number() over (partition by doc_id, i, p - q order by p) island
+             from doc_words join item_words using (word)),
+     matches as (select doc_id, min(p) s, count(*) n from met group by doc_id, i, shift, island
+                 having count(*) >= (select min(least(len(w), 10)) from b where len(w) > 0)),
+     longest as (select doc_id, max(n) longest, arg_min(s, (-n, s)) longest_at from matches group by doc_id)
 select doc_id, cast(len(w) as bigint) n_words, cast(coalesce(n_hit, 0) as bigint) n_hit, cast(coalesce(n_items, 0) as bigint) n_items,
-       sha256(coalesce(names, '')) items_sha256, n_hit is not null contaminated
-from d left join hits using (doc_id) left join items using (doc_id)"""
+       sha256(coalesce(names, '')) items_sha256, n_hit is not null contaminated, cast(coalesce(longest, 0) as bigint) longest,
+       cast(coalesce(longest_at, 0) as bigint) longest_at
+from d left join hits using (doc_id) left join items using (doc_id) left join longest using (doc_id)"""
 
 ORACLES["op12_bond_negatives"] = """
 with v as (select cast(vec_id as bigint) id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end label,
