@@ -56,7 +56,7 @@ class Tokenizer:
             if len(token) == 2:
                 self.of_bytes[token[0] << 8 | token[1]] = rank
         self.merged: dict[bytes, bytes] = {}
-        self.encode = common.PieceEncoder(self.pieces, lambda pieces: self.pieces([" " + x for x in pieces]))
+        self.encode = common.PieceEncoder(self.ids, self.piece, lambda piece: self.ids(" " + piece))
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one match of the pattern."""
@@ -134,25 +134,27 @@ class Tokenizer:
             i = k
         return out
 
-    def pieces(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, as little-endian 32-bit integers, match by match. Matches recur; a bounded number is remembered."""
-        merged, split = self.merged, self.split
-        out = []
-        for text in texts:
-            found = []
-            for match in split(text):
-                piece = match.encode()
-                ids = merged.get(piece)
-                if ids is None:
-                    own = self.merge(piece)
-                    ids = pack(f"<{len(own)}I", *own)
-                    if len(piece) <= LONG:
-                        if len(merged) >= REMEMBERED:
-                            merged.clear()
-                        merged[piece] = ids
-                found.append(ids)
-            out.append(found[0] if len(found) == 1 else b"".join(found))
-        return out
+    def piece(self, piece: str) -> bytes:
+        """Ids of a piece with its blank."""
+        if not common.surely_cut(piece):
+            raise common.OddlyCut
+        return self.ids(" " + piece)
+
+    def ids(self, text: str) -> bytes:
+        """Ids of a text as little-endian 32-bit integers, match by match. Matches recur; a bounded number is remembered."""
+        merged, found = self.merged, []
+        for match in self.split(text):
+            piece = match.encode()
+            ids = merged.get(piece)
+            if ids is None:
+                own = self.merge(piece)
+                ids = pack(f"<{len(own)}I", *own)
+                if len(piece) <= LONG:
+                    if len(merged) >= REMEMBERED:
+                        merged.clear()
+                    merged[piece] = ids
+            found.append(ids)
+        return found[0] if len(found) == 1 else b"".join(found)
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Callable, Iterator
 
@@ -33,18 +34,17 @@ def is_remainder(doc_id: str, n: int, value: int) -> Column:
 
 
 def bounded_sample(rows: DataFrame, label: str, most: int) -> DataFrame:
-    """At most ``most`` of the distinct (h, label, text) rows of each label, those of the lowest h.
+    """At most ``most`` of the distinct (h, label, text) rows of each label, those of the lowest hash h.
 
     Texts stay out of the ranking; the chosen keys, at most ``most`` a label, are broadcast to fetch them.
     """
     keyed = rows.withColumn("t", F.xxhash64("text"))
-    rank = F.row_number().over(Window.partitionBy(label).orderBy("h", "t"))
-    chosen = keyed.select("h", "t", label).distinct().withColumn("rank", rank).where(F.col("rank") <= most).drop("rank")
+    chosen = lowest(keyed.select(F.col("h").alias("r"), "t", label).distinct(), label, most, "t").withColumnRenamed("r", "h")
     return keyed.join(F.broadcast(chosen), ["h", "t", label], "left_semi").dropDuplicates(["h", "t", label]).drop("t")
 
 
-def lowest(keys: DataFrame, label: str, most: int) -> DataFrame:
-    """At most ``most`` rows of each label, those of the lowest hash ``r``; keys: distinct rows.
+def lowest(keys: DataFrame, label: str, most: int, *then: str) -> DataFrame:
+    """At most ``most`` rows of each label, those of the lowest hash ``r`` (ties by the columns ``then``); keys: distinct rows.
 
     Rows beyond twice the hash below which ``most`` of a label are expected never reach the ranking, so one label of most rows is no
     hot key.
@@ -52,7 +52,7 @@ def lowest(keys: DataFrame, label: str, most: int) -> DataFrame:
     sizes = keys.groupBy(label).agg(F.count("*").alias("size"))  # a row a label
     share = F.lit(2.0 * most) / F.col("size")
     near = keys.join(F.broadcast(sizes), label).where((share >= 1) | (F.col("r").cast("double") / 2.0**63 < 2 * share - 1)).drop("size")
-    rank = F.row_number().over(Window.partitionBy(label).orderBy("r"))
+    rank = F.row_number().over(Window.partitionBy(label).orderBy("r", *then))
     return near.withColumn("rank", rank).where(F.col("rank") <= most).drop("rank")
 
 
@@ -102,67 +102,75 @@ def segment_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
 ALONE = re.compile(r"(?<=\S) (?=\S)")
 
 
-def oddly_cut(pieces: set[str]) -> bool:
-    """Whether a piece is empty or begins with white space (or, to be cheap, another control character)."""
-    return min(pieces) < "!" or max(pieces) >= "\x80" and any(x[0].isspace() for x in pieces if x >= "\x80")
+class OddlyCut(Exception):
+    """A piece that is empty or begins with white space: blanks of the text don't stand alone."""
+
+
+class Remembered(dict):
+    """Ids of pieces, made when they are first asked for; those of an older generation move over."""
+
+    def __init__(self, make: Callable[[str], bytes], longest: int, older: dict[str, bytes]) -> None:
+        super().__init__()
+        self.make, self.longest, self.older = make, longest, older
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.make(piece)
+        if len(piece) <= self.longest:
+            self[piece] = ids
+        return ids
 
 
 class PieceEncoder:
     """Encodes texts piece by piece, and remembers pieces.
 
     Tokenizers of the byte-level kind begin a match at a blank that has no white space behind it, whatever is ahead of it. So
-    a text may be cut there, and the ids of a text are those of its pieces, each with its blank. ``encode`` gives the ids of
-    texts and ``encode_pieces`` those of pieces without their blanks, in any form that ``b"".join`` takes. A bounded number of
+    a text may be cut there, and the ids of a text are those of its pieces, each with its blank. With ``lines`` a single new line is a
+    match of its own too, and the text is also cut ahead of it. ``encode`` gives the ids of a text's first piece, ``encode_piece`` those of
+    another, without its blank or with its new line, as bytes; it raises OddlyCut for what it is not sure of, and
+    ``encode_odd`` gives the ids of any piece that was cut at lone blanks only. A bounded number of
     pieces of bounded length is remembered, in two generations: a full one is kept as the older one until the next is full, and
     pieces that come again move over. Forgetting costs time and nothing else.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], encode_pieces: Callable[[list[str]], list[bytes]],
-                 most: int = 400_000, longest: int = 64) -> None:
-        self.encode, self.encode_pieces, self.most, self.longest = encode, encode_pieces, most, longest
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}
+    def __init__(
+        self, encode: Callable[[str], bytes], encode_piece: Callable[[str], bytes], encode_odd: Callable[[str], bytes],
+        lines: bool = False, most: int = 400_000, longest: int = 64,
+    ) -> None:
+        self.encode, self.encode_piece, self.encode_odd = encode, encode_piece, encode_odd
+        self.lines, self.most, self.longest = lines, most, longest
+        self.known = Remembered(encode_piece, longest, {})
+        self.heads = Remembered(encode, longest, {})
 
     def __call__(self, text: str) -> bytes:
         return self.many([text])[0]
 
     def many(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text; new pieces of all of them are encoded in one call."""
+        """Ids of each text. Nothing here makes a cycle of references, and looking for some costs a third of the time, so that waits."""
         if len(self.known) > self.most:
-            self.known, self.older = {}, self.known
+            self.known.older = {}
+            self.known = Remembered(self.encode_piece, self.longest, self.known)
         if len(self.heads) > self.most // 10:
             self.heads.clear()
-        known, heads = self.known, self.heads
-        missing: set[str] = set()
-        cut = []
-        for text in texts:
-            head, *rest = text.split(" ")
-            found = list(map(known.get, rest))
-            gaps = [i for i, ids in enumerate(found) if ids is None] if None in found else []
-            new = {rest[i] for i in gaps}
-            if new and oddly_cut(new):
-                head, *rest = ALONE.split(text)
-                found = list(map(known.get, rest))
-                gaps = [i for i, ids in enumerate(found) if ids is None]
-                new = {rest[i] for i in gaps}
-            missing |= new
-            cut.append((head, found, gaps, [rest[i] for i in gaps]))
-        older = self.older
-        again = missing.intersection(older) if older else ()
-        known.update(zip(again, map(older.__getitem__, again), strict=True))
-        pieces, starts = list(missing.difference(again)), list({head for head, *_ in cut}.difference(heads))
-        if pieces:
-            known.update(zip(pieces, self.encode_pieces(pieces), strict=True))
-        if starts:
-            heads.update(zip(starts, self.encode(starts), strict=True))
-        out = []
-        for head, found, gaps, new in cut:
-            for i, x in zip(gaps, new, strict=True):
-                found[i] = known[x]
-            out.append(b"".join([heads[head], *found]))
-        for fresh, table in ((pieces, known), (starts, heads)):
-            for x in fresh:
-                if len(x) > self.longest:
-                    del table[x]
-        return out
+        looking = gc.isenabled()
+        gc.disable()
+        try:
+            return list(map(self.one, texts))
+        finally:
+            if looking:
+                gc.enable()
+
+    def one(self, text: str) -> bytes:
+        pieces = (text.replace("\n", " \n") if self.lines else text).split(" ")
+        head = self.heads[pieces.pop(0)]
+        try:
+            return head + b"".join(map(self.known.__getitem__, pieces))
+        except OddlyCut:
+            head, *pieces = ALONE.split(text)
+            return self.heads[head] + b"".join(map(self.encode_odd, pieces))
+
+
+def surely_cut(piece: str) -> bool:
+    """Whether a piece is not empty and doesn't begin with white space (or, to be cheap, another control character)."""
+    return piece >= "!" and not (piece >= "\x80" and piece[0].isspace())

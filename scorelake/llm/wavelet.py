@@ -21,8 +21,10 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -156,29 +158,63 @@ class WaveletMatrix:
         return at
 
 
+#: Marks, without the apostrophe, that are a match of their own between a word and a blank or a new line.
+MARKS = r"!-&(-/:-@\[-`{-~"
+#: Latin letters in any version of Unicode; a word of them is one match of the library's splitter.
+LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u01ba"
+PLAIN = re.compile(rf"(\n)?([{LATIN}]+|[{MARKS}]+)([{MARKS}]+)?")
+#: The character that stands for each byte in a byte-level vocabulary.
+SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARACTERS = {b: chr(b) for b in SHOWN} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)).difference(SHOWN)))}
+BLANK = BYTE_CHARACTERS[32]
+
+
 class Encoder:
-    """Ids of texts by the tokenizers library, as little-endian integers of ``kind``: 16 bits if the vocabulary fits, else 32."""
+    """Ids of texts by the tokenizers library, as little-endian integers of ``kind``: 16 bits if the vocabulary fits, else 32.
+
+    A text that holds a token added to the vocabulary (such as an end mark) is encoded whole by the library, which cuts it there.
+    Other texts go piece by piece. Most pieces are words of Latin letters, with a blank or a new line ahead of them and perhaps
+    a mark behind them: their matches are known from their form, and go to the library's model at once.
+    """
 
     def __init__(self, definition: str) -> None:
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
-        names = self.tokenizer.get_vocab()
-        self.kind = np.dtype("<u2" if max(names.values(), default=0) < 1 << 16 else "<u4")
-        self.bytes = np.zeros(max(names.values(), default=-1) + 1, np.int64)  # a byte-level token has a character a byte
-        self.bytes[list(names.values())] = list(map(len, names))
-        self.encode = common.PieceEncoder(self.ids, self.piece_ids)
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def piece_ids(self, pieces: list[str]) -> list[bytes]:
-        """Pieces with their blanks are encoded one behind the other, and told apart by their bytes."""
-        text = " " + " ".join(pieces)
-        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
-        stops = np.cumsum(np.fromiter(map(len, map(str.encode, pieces)), np.int64, len(pieces)) + 1)
-        cuts = (self.kind.itemsize * (np.searchsorted(np.cumsum(self.bytes[ids]), stops) + 1)).tolist()
-        data = ids.tobytes()
-        return [data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+        size = max(self.tokenizer.get_vocab().values(), default=0)
+        self.kind = np.dtype("<u2" if size < 1 << 16 else "<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.table = str.maketrans({chr(b): c for b, c in BYTE_CHARACTERS.items()})
+        self.model = self.tokenizer.model.tokenize
+        self.line = self.whole("\n")
+        self.marks = common.Remembered(self.word, 3, {})
+        self.pieces = common.PieceEncoder(self.whole, self.piece, lambda piece: self.whole(" " + piece), lines=True)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if self.added is None or not any(map(self.added.search, texts)):
+            return self.pieces.many(texts)
+        return [self.whole(t) if self.added.search(t) else self.pieces(t) for t in texts]
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind).tobytes()
+
+    def word(self, word: str, blank: str = "") -> bytes:
+        """Ids of one match, given as the model takes it: a character for each byte."""
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.table)
+        return array(self.code, [t.id for t in self.model(blank + shown)]).tobytes()
+
+    def piece(self, piece: str) -> bytes:
+        """Ids of a piece with its blank, or with the new line it begins with."""
+        form = PLAIN.fullmatch(piece)
+        if form is not None:
+            line, word, mark = form.groups()
+            ids = self.line + self.word(word) if line else self.word(word, BLANK)
+            return ids + self.marks[mark] if mark else ids
+        if piece[:1] == "\n" and common.surely_cut(piece[1:]):
+            return self.whole(piece)
+        if not common.surely_cut(piece):
+            raise common.OddlyCut
+        return self.whole(" " + piece)
 
 
 #: Encoder of this worker process, by the definition's digest.
@@ -222,7 +258,7 @@ def write(docs: DataFrame, definition_path: str, path: str, doc_id: str = "doc_i
 
         for piece in common.slices(batches, "text"):
             id_type = piece.schema.field("doc_id").type
-            found = own.encode.many(common.texts(piece.column("text")))
+            found = own.encode(common.texts(piece.column("text")))
             for name, encoded in zip(piece.column("doc_id").to_pylist(), found, strict=True):
                 names.append(name)
                 ids.append(encoded + last)

@@ -63,7 +63,7 @@ def test_bpe_of_a_very_long_match_and_forgetting(own, library):
     piece = "".join(rng.choice("abcdef") for _ in range(60_000))
     assert own.merge(piece.encode()) == library.encode_ordinary(piece)
     assert all(b is None for b in own.bucket) and not any(own.leaf)
-    small = common.PieceEncoder(own.pieces, own.encode.encode_pieces, most=3)
+    small = common.PieceEncoder(own.ids, own.piece, own.encode.encode_odd, most=3)
     for text in HARD * 2 + ["a b c d e f g h"]:
         assert small(text) == own.encode(text)
 
@@ -225,6 +225,18 @@ def test_wavelet_matrix_access_rank_select():
         wavelet.WaveletMatrix.from_bytes(b"nothing like it")
 
 
+def test_wavelet_encoder_equals_the_library():
+    own, library = wavelet.Encoder(open(P.path("byte_bpe_50k.json"), encoding="utf-8").read()), Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    rng = random.Random(12)
+    hard = [*HARD, "x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|>b", "<|endoftext", "über, Straße. ça!", "don't we'll I'm, o'.", "a\nb", "a\n\nb", "a \nb", "a\n b", "\nA", "A\n", "x.\nY,", "\n1", "\n\u00a0z", "\u00a0\nz", "a\tb", "a\n\tb", "ĳ Ǆ ǅa ʼn", "ab.\n", "a,b", "word;", "ß:", "é?!", "..", ".", ""]
+    texts = [rng.choice([" ", "  ", "", "\n"]).join(rng.choice(hard) for _ in range(rng.randrange(7))) for _ in range(3000)]
+    kind = own.kind
+    got = [x for at in range(0, len(texts), 70) for x in own.encode(texts[at : at + 70])]
+    for text, ids in zip(texts, got, strict=True):
+        assert np.frombuffer(ids, kind).tolist() == library.encode(text, add_special_tokens=False).ids, text
+    assert np.frombuffer(own.encode(["x <|endoftext|> y"])[0], kind).tolist().count(50256) == 1
+
+
 def test_wavelet_shards(spark, tmp_path):
     definition = P.path("byte_bpe_50k.json")
     rng = random.Random(9)
