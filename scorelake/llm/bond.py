@@ -206,24 +206,28 @@ def within(pages: list[Page], own: int, label: int, query: np.ndarray, windows:
     return found
 
 
-def visited(pages: DataFrame, blocks: DataFrame, visit: Callable[[list[Page], dict], Iterator[tuple]], names: list[str]) -> DataFrame:
-    """What ``visit`` gives for every group of pages and every block (rows of longs): a group takes one block after the other."""
+def visited(
+    pages: DataFrame, blocks: DataFrame, hold: Callable[[dict], object], visit: Callable[[list, dict], Iterator[tuple]], names: list[str], group: int
+) -> DataFrame:
+    """What ``visit`` gives for every group of pages and every block, as rows of longs.
+
+    A task holds the pages of a group, about ``group`` components in the form that ``hold`` gives them, and takes one block after the other.
+    """
     size = pages.agg(F.sum(F.col("dim").cast("long") * F.col("size"))).first()[0] or 0
-    groups = max(pages.sparkSession.sparkContext.defaultParallelism, -(-size // GROUP))
-    more = [c for c in blocks.columns if c not in pages.columns]
-    held = pages.withColumn("g", F.pmod(F.xxhash64("number"), F.lit(groups))).withColumns({"part": F.lit(0)} | {c: F.lit(None) for c in more})
+    groups = max(pages.sparkSession.sparkContext.defaultParallelism, -(-size // group))
+    held = pages.withColumn("g", F.pmod(F.xxhash64("number"), F.lit(groups))).withColumn("part", F.lit(0))
     asked = blocks.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))).withColumn("part", F.lit(1))
-    both = held.unionByName(asked).repartition("g").sortWithinPartitions("g", "part")
+    both = held.unionByName(asked, allowMissingColumns=True).repartition("g").sortWithinPartitions("g", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, own = None, []
+        last, own = None, []
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                if row["g"] != group:
-                    group, own = row["g"], []
+                if row["g"] != last:
+                    last, own = row["g"], []
                 if not row["part"]:
-                    own.append(Page(row))
+                    own.append(hold(row))
                 elif own:
                     columns = list(zip(*visit(own, row), strict=True)) or [[]] * len(names)
                     yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names)
@@ -267,7 +271,7 @@ def hard_negatives(
             for score, other in nearest(own, name, kind, query, positives):
                 yield block["number"], at, name, other, -score
 
-    first = visited(pages, blocks, near, ["number", "at", "anchor_id", "vec_id", "score"])
+    first = visited(pages, blocks, Page, near, ["number", "at", "anchor_id", "vec_id", "score"], GROUP)
     place = F.row_number().over(Window.partitionBy("number", "at").orderBy(F.desc("score"), "vec_id"))
     chosen = first.withColumn("place", place).where(F.col("place") <= positives)
     # at most ``positives`` rows an anchor, and a block has a bounded number of anchors
@@ -288,7 +292,7 @@ def hard_negatives(
                     yield block["number"], at, p["place"], name, p["vec_id"], p["score"], other, -score
 
     names = ["number", "at", "place", "anchor_id", "positive_id", "positive_score", "negative_id", "negative_score"]
-    found = visited(pages, asked, hard, names)
+    found = visited(pages, asked, Page, hard, names, GROUP)
     rank = F.row_number().over(Window.partitionBy("number", "at", "place").orderBy(F.desc("negative_score"), "negative_id"))
     found = found.withColumn("rank", rank).where(F.col("rank") <= negatives)
     return found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")

@@ -8,7 +8,9 @@ Every task of the scan cuts its vectors into trees of at most ``TREE_ROWS`` and
 vectors around a routing vector, inner nodes over ``FAN`` pages. A node keeps its routing vector, its covering radius, and the
 distance from each entry to the routing vector. The index holds every vector, one row a tree, and is written to the shared folder.
 
-Queries come in blocks of about ``block`` components at most, which are broadcast; a task runs each query best-first through its trees: the
+Queries are blocks of about ``block`` components at most in the shared folder, and every group of trees gets every block: a task holds its
+trees and takes one block after the other, so that queries go neither through the driver nor to every machine at once. Each query runs
+best-first through the trees of a task: the
 node with the least lower bound next, entries ruled out by the stored distances (triangle inequality) before any distance is
 computed, until no bound beats the k-th score so far, which goes on from tree to tree. Scores are exact integers; bounds leave
 room for rounding. Each task gives k rows a query at most, and a rank per query merges them.
@@ -30,11 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scorelake.llm import bond
 from scorelake.session import new_table_path
 
 TREE_ROWS = 4096
 PAGE = 128
 FAN = 16
+#: Components of the trees that a task holds.
+GROUP = 1 << 22
 #: Float arithmetic is exact below this.
 EXACT = 1 << 53
 
@@ -120,13 +125,6 @@ def row_of(tree: Tree) -> pa.RecordBatch:
     return pa.record_batch([*fixed, *data], ["dim", "size", "limit", *(name for name, _ in FIELDS)])
 
 
-def trees_of(batch: pa.RecordBatch) -> Iterator[Tree]:
-    for row in batch.to_pylist():
-        parts = {name: np.frombuffer(row[name], kind) for name, kind in FIELDS}
-        parts["vectors"] = parts["vectors"].reshape(row["size"], row["dim"])
-        yield Tree(limit=row["limit"], **parts)
-
-
 def index(rows: DataFrame, path: str) -> None:
     """Write the trees of all rows of ``integer_vectors`` below ``path``."""
 
@@ -207,42 +205,38 @@ def search(tree: Tree, floats: np.ndarray, query: np.ndarray, own: int, k: int,
                 heapq.heapreplace(best, (score, -name))
 
 
-def query_blocks(queries: DataFrame, block: int) -> Iterator[list[tuple[int, np.ndarray]]]:
-    """The queries in blocks of about half of ``block`` components by their hash; one block at a time is at the driver."""
-    n = queries.agg(F.coalesce(F.sum(F.size("v") + 1), F.lit(0)).alias("n")).first()["n"]
-    count = max(1, -(-2 * n // block)) if n > block else 1
-    for i in range(count):
-        part = queries.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(count)) == i) if count > 1 else queries
-        found = [(r["vec_id"], np.array(r["v"], np.int64)) for r in part.toLocalIterator()]
-        yield sorted(found, key=lambda q: (q[0], q[1].tobytes()))
+class Held:
+    """A tree of the index with its vectors as floats."""
+
+    def __init__(self, row: dict) -> None:
+        parts = {name: np.frombuffer(row[name], kind) for name, kind in FIELDS}
+        parts["vectors"] = parts["vectors"].reshape(row["size"], row["dim"])
+        self.tree = Tree(limit=row["limit"], **parts)
+        self.floats = lifted(self.tree.vectors, self.tree.limit)
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", scale: float = 256.0,
-          block: int = 1 << 21) -> DataFrame:
+          block: int = 1 << 17) -> DataFrame:
     """query_id, rank, vec_id and score of the k best candidates of every row for which the column ``is_query`` is true."""
     spark = vectors.sparkSession
-    path = new_table_path(spark, "mtree-index")
-    index(integer_vectors(vectors, vec_id, embedding, scale), path)
-    trees = spark.read.parquet(path)
-    trees = trees.repartition(max(1, spark.sparkContext.defaultParallelism))
-    out = None
-    for number, queries in enumerate(query_blocks(integer_vectors(vectors.where(is_query), vec_id, embedding, scale), block)):
-        shared = spark.sparkContext.broadcast(queries)  # about ``block`` integers at most
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            queries = shared.value
-            best: list[list[tuple[int, int]]] = [[] for _ in queries]
-            for batch in batches:
-                for tree in trees_of(batch):
-                    floats = lifted(tree.vectors, tree.limit)
-                    for (own, v), found in zip(queries, best, strict=True):
-                        if len(v) == tree.vectors.shape[1]:
-                            search(tree, floats, v, own, k, found)
-            rows = [(i, queries[i][0], -name, score) for i, found in enumerate(best) for score, name in found]
-            columns = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["query", "query_id", "vec_id", "score"])
-
-        found = trees.mapInArrow(run, "query long, query_id long, vec_id long, score long").withColumn("block", F.lit(number))
-        out = found if out is None else out.unionByName(found)
-    rank = F.row_number().over(Window.partitionBy("block", "query").orderBy(F.desc("score"), "vec_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    paths = [new_table_path(spark, name) for name in ("mtree-index", "mtree-queries")]
+    index(integer_vectors(vectors, vec_id, embedding, scale), paths[0])
+    queries = integer_vectors(vectors.where(is_query), vec_id, embedding, scale).withColumn("label", F.lit(0).cast("long"))
+    bond.packed(queries, lambda dim: max(1, block // (dim + 1))).write.parquet(paths[1])
+    trees = spark.read.parquet(paths[0]).withColumn("number", F.xxhash64("ids"))
+
+    def visit(own: list[Held], asked: dict) -> Iterator[tuple]:
+        for at, name, _, query in bond.anchors_of(asked):
+            best: list[tuple[int, int]] = []
+            for held in own:
+                if len(query) == held.tree.vectors.shape[1]:
+                    search(held.tree, held.floats, query, name, k, best)
+            for score, other in best:
+                yield asked["number"], at, name, -other, score
+
+    names = ["number", "at", "query_id", "vec_id", "score"]
+    blocks = spark.read.parquet(paths[1]).withColumnsRenamed({"ids": "query_ids", "cells": "query_cells"})
+    blocks = blocks.select("number", "dim", "size", "kind", "labels", "query_ids", "query_cells")
+    found = bond.visited(trees, blocks, Held, lambda own, row: visit(own, row | {"ids": row["query_ids"], "cells": row["query_cells"]}), names, GROUP)
+    rank = F.row_number().over(Window.partitionBy("number", "at").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
