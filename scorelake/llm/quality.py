@@ -22,7 +22,7 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorelake.llm import common
@@ -99,8 +99,7 @@ def fit(
     # labels are ranked without texts; the chosen ids, at most per_label a label, are broadcast to fetch them
     known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull())
     known = known.select(F.col(doc_id).alias("id"), F.xxhash64(doc_id).alias("h"), F.col(label).cast("int").alias("label")).distinct()
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("h", "id"))
-    chosen = known.withColumn("rank", rank).where(F.col("rank") <= per_label).drop("rank")
+    chosen = common.lowest(known.withColumnRenamed("h", "r"), "label", per_label, "id").withColumnRenamed("r", "h")
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
     sample = common.bounded_sample(texts.select("h", "label", "text"), "label", per_label)
     found = sample.mapInArrow(rows, "h long, label int, x array<double>").toArrow()
