@@ -98,6 +98,8 @@ def forward(words: list[str], vocab: Vocabulary) -> dict[str, tuple[int, float]]
 KNOWN: dict[str, tuple[int, float]] = {}
 OWNER: list[int] = [0]
 REMEMBERED = 300_000
+#: Longer pre-tokens are forgotten with their slice of text.
+LONGEST = 64
 
 
 def counts(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -120,6 +122,8 @@ def counts(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "tex
                 KNOWN.clear()
             KNOWN.update(fresh)
             found = [[KNOWN[w] for w in words] for words in split]
+            for w in [w for w in fresh if len(w) > LONGEST]:
+                del KNOWN[w]
             columns = [
                 piece.column("doc_id"),
                 pa.array([len(words) for words in split], pa.int64()),
