@@ -275,10 +275,11 @@ def plain_top(rows, every, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [1 << 21, 60])
+@pytest.mark.parametrize("block", [1 << 17, 60])
 def test_search_equals_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(mtree, "PAGE", 7)
     monkeypatch.setattr(mtree, "FAN", 3)
+    monkeypatch.setattr(mtree, "TREE_ROWS", 64)
     rng = random.Random(10)
     rows = [(i, [rng.gauss(0, 0.3) for _ in range(6)]) for i in range(1, 300)]
     rows += [(i, [0.5, 0.0, 0.0, 0.0, 0.0, 0.0]) for i in range(300, 340)]  # ties
@@ -429,3 +430,67 @@ def test_pipeline_stages(spark, tmp_path):
     assert all(len(r["ids"]) == 4 * r["n_tokens"] for r in last.values())
     whole = pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in whole.collect()} == ids["tokens"] and np.sum([r["n_tokens"] for r in last.values()]) > 0
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(23)
+    text = lambda lang, n=60: " ".join("".join(rng.choice({"en": "thneoras", "de": "üerndschi"}[lang]) for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    rows = [(i, text("en" if i % 2 else "de")) for i in range(60)]
+    same, long = text("en"), text("en", 60_000)
+    odd = [(100, text("en")), (100, text("de")), (101, same), (101, same), (None, text("en")), (None, text("en")), (None, same), (102, long), (103, long + " x"), (104, None), (105, "")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    full = [(i, t, None if t is None else "en" if set(t) & set("to") else "de", "s", len(t or "")) for i, t in rows + odd]
+    spark.createDataFrame([("a", "no such passage anywhere in the documents of this test at all")], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, kept in (("none", []), ("all", full)):
+        spark.createDataFrame(kept, schema).write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.read.parquet(str(tmp_path / "benchmark.parquet")).write.parquet(str(tmp_path / name / "benchmark.parquet"))
+    assert pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    got = pipeline.run(spark, str(tmp_path / "all")).collect()
+    # wholly repeated rows and copies count once, an id that recurs with another text and rows without an id stay
+    assert collections.Counter(r["doc_id"] for r in got) == collections.Counter([*range(60), 100, 100, 101, None, None, 102])
+    sizes = {r["doc_id"]: r["n_tokens"] for r in got}
+    assert sizes[102] > 60_000
+
+
+def test_ties_of_learned_models(spark):
+    rows = [(i, "the same words in every text" if i < 40 else "andere wörter in jedem text") for i in range(80)]
+    docs = frame(spark, rows)
+    train = docs.withColumn("lang", F.when(F.col("doc_id") < 40, "en").otherwise("de"))
+    model = langid.fit(train)
+    named = langid.predict(docs, model).collect()
+    assert {(r["doc_id"] < 40, r["lang_pred"]) for r in named} == {(True, "en"), (False, "de")}
+    assert len({r["score"] for r in named if r["doc_id"] < 40}) == 1
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(80)], "doc_id long, quality int")
+    scores = quality.score(docs, quality.fit(docs, labels)).collect()
+    assert len({r["score"] for r in scores if r["doc_id"] < 40}) == 1
+
+
+def test_models_equal_a_plain_recomputation(spark):
+    """Each text by itself, gram by gram, gives what the batched code gives."""
+    rng = random.Random(24)
+    texts = [prose(rng, rng.choice(["en", "de"])) for _ in range(60)] + ["", "a", "ab", "ÄÖ x", "1 2 3"]
+    rows = list(enumerate(texts))
+    train = frame(spark, rows[:60]).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "en").otherwise("de"))
+    model = langid.fit(train)
+    best, sure = langid.classify(model, [t.encode() for t in texts])
+    for i, t in enumerate(texts):
+        total, count = np.zeros(len(model.languages)), 0
+        for order in langid.ORDERS:
+            data = np.frombuffer(t.encode().translate(common.ASCII_LOWER) + bytes(max(langid.ORDERS)), np.uint8)
+            slots = langid.buckets(data, order)
+            for at in range(max(0, len(t.encode()) - order + 1)):
+                total = total + model.scores[slots[at]]
+                count += 1
+        z = (total / max(1, count) + model.bias) / model.temperature
+        chance = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert best[i] == chance.argmax() and math.isclose(sure[i], chance.max(), rel_tol=1e-4)
+    labels = spark.createDataFrame([(i, int(len(t) % 2)) for i, t in rows], "doc_id long, quality int")
+    judge = quality.fit(frame(spark, rows), labels)
+    raw, chances = quality.chances(judge, [t.encode() for t in texts])
+    for i, t in enumerate(texts):
+        x = quality.features(t.encode())
+        plain = sum((a - m) / s * w for a, m, s, w in zip(x, judge.mean, judge.scale, judge.weights, strict=True))
+        assert math.isclose(raw[i], plain, rel_tol=1e-9, abs_tol=1e-9)
+        assert math.isclose(chances[i], 1 / (1 + math.exp(-(judge.slope * plain + judge.intercept))), rel_tol=1e-9)
