@@ -6,13 +6,11 @@ needs no explode and no shuffle; only regex expectations go through Python, whos
 
 from __future__ import annotations
 
-import re
-from functools import cache
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scorelake.functions import bounded_regex
 from scorelake.functions.text import fixed, icontains, py_repr, repr_list, strip
 
 
@@ -26,31 +24,20 @@ def called_tools(steps: Column) -> Column:
     return F.array_distinct(F.transform(tool_calls(steps), lambda c: c["name"]))
 
 
-@cache
-def compiled(pattern: str) -> tuple[re.Pattern | None, str | None]:
-    """A pattern, or why it is none."""
-    try:
-        return re.compile(pattern), None
-    except re.error as exc:
-        return None, str(exc)
-
-
 def search_pattern(pattern: Column, text: Column) -> Column:
     """hit and error of a pattern in Python's dialect searched in a text; nulls for a null pattern.
 
     Patterns are written for Python and Java reads some of them otherwise, or refuses them and ends the job; so this is an
-    Arrow function. A pattern that Python refuses is no hit, with the reason in ``error``.
+    Arrow function, which gets texts of rows with a pattern only. A pattern that Python refuses, or that no bounded search
+    brings to an end, is no hit, with the reason in ``error``.
     """
 
     @F.pandas_udf("hit boolean, error string")
     def search(patterns: pd.Series, texts: pd.Series) -> pd.DataFrame:
-        found = []
-        for p, t in zip(patterns, texts, strict=True):
-            form, error = (None, None) if p is None else compiled(p)
-            found.append((None if p is None else bool(form and form.search(t or "")), error))
+        found = [(None, None) if p is None else bounded_regex.search(p, t or "") for p, t in zip(patterns, texts, strict=True)]
         return pd.DataFrame(found, columns=["hit", "error"])
 
-    return search(pattern, text)
+    return search(pattern, F.when(pattern.isNotNull(), text))
 
 
 def match_answer(expected: Column, match: Column, answer: Column, searched: Column | None = None) -> Column:
