@@ -9,11 +9,12 @@ from scorelake.functions.keys import json_map_text, vars_json, vars_key
 from scorelake.functions.scales import METRIC_SCALES
 from scorelake.functions.text import icontains, py_round
 from scorelake.operators import agent, assertions, display, judge, prompts, rag, traces, transcripts
-from scorelake.operators.batch import run_batch
+from scorelake.operators.batch import resume_batch, run_batch
 from scorelake.operators.thresholds import threshold_struct
 from scorelake.plans import bindings as b
 from scorelake.plans.registry import query, rounded, with_
 from scorelake.schemas import AGENT_THRESHOLDS
+from scorelake.session import new_table_path
 from scorelake.sources import results
 
 _R = rounded
@@ -860,6 +861,20 @@ def run_batch_query(spark, sf):
     return run_batch(cases, _echo_agent(), "conv_id long").select("conv_id", "final_answer", "latency_ms", "error")
 
 
+@query(
+    "run_batch_resumed",
+    """select conv_id, case when conv_id % 11 <> 0 then split_part(arg_min(text, turn), ' ', 1) end final_answer,
+       case when conv_id % 11 = 0 then 'no agent for ' || conv_id end error
+       from conversations where role = 'user' group by conv_id""",
+)
+def run_batch_resumed(spark, sf):
+    """A run over a third of the cases, and one over all that goes on from it."""
+    path = new_table_path(spark, "batch")
+    cases = b.rag_cases(spark, sf).select(F.col("case_id").alias("conv_id"), F.col("query").alias("task"))
+    resume_batch(cases.filter(F.col("conv_id") % 3 == 0), _echo_agent(), path, "conv_id", "conv_id long", per_task=500)
+    return resume_batch(cases, _echo_agent(), path, "conv_id", "conv_id long", per_task=500).select("conv_id", "final_answer", "error")
+
+
 # --- keys, labels, prompts --------------------------------------------------------------------------------------
 
 

@@ -11,7 +11,7 @@ from scorelake.plans import bindings as b
 from scorelake.plans.registry import query, rounded, with_
 from scorelake.session import new_table_path
 from scorelake.sources import cases, history, results
-from scorelake.sources.documents import check_source, read_documents, require_documents
+from scorelake.sources.documents import check_source, list_documents, object_store_path, read_documents, require_documents
 
 # --- pages ------------------------------------------------------------------------------------------------------
 
@@ -747,6 +747,23 @@ def document_files(spark, sf):
     return found.groupBy(lang.alias("lang")).agg(F.sum(F.length(F.regexp_replace("content", r"\s", ""))).alias("chars"))
 
 
+@query(
+    "object_documents",
+    r"""select lang, count(distinct doc_id // 100) objects, cast(sum(length(regexp_replace(text, '\s', '', 'g'))) as bigint) chars
+        from documents where lang like 'e%' group by lang""",
+)
+def object_documents(spark, sf):
+    """Documents as objects of a tree, a hundred at most in one, and those of a URI's prefix, listed and read."""
+    root = new_table_path(spark, "objects")
+    rows = b.table(spark, sf, "documents").select("lang", F.floor(F.col("doc_id") / 100).alias("part"), "text")
+    rows.repartition("lang", "part").write.partitionBy("lang", "part").text(root)
+    uri = f"{root if '://' in root else 'file://' + root}/lang=e"
+    lang = F.regexp_extract("source", "/lang=([^/]+)/", 1).alias("lang")
+    listed = list_documents(spark, uri).groupBy(lang).agg(F.count("*").alias("objects"))
+    chars = F.sum(F.length(F.regexp_replace("content", r"\s", ""))).alias("chars")
+    return listed.join(read_documents(spark, object_store_path(uri)).groupBy(lang).agg(chars), "lang")
+
+
 @query("first_cases", "select doc_id, lang from documents order by doc_id limit 50")
 def first_cases(spark, sf):
     """The requested number of cases, first in order."""

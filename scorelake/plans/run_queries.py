@@ -16,7 +16,7 @@ from scorelake.plans import bindings as b
 from scorelake.plans.registry import query, rounded, with_
 from scorelake.schemas import LLM_THRESHOLDS, RAG_THRESHOLDS
 from scorelake.session import new_table_path
-from scorelake.sources import history
+from scorelake.sources import history, results
 
 DAY_KEYS = ("dataset", "day")
 
@@ -538,6 +538,49 @@ def history_upsert(spark, sf):
     return stored.select("run_id", "dataset", "total_cases", "pass_rate").join(sums, "run_id")
 
 
+@query(
+    "history_of_runs",
+    with_(
+        _HISTORY_SQL + _CASE_ROWS_SQL,
+        """select r.run_id, r.dataset, r.pass_rate, count(*) case_rows, round(sum(c.score), 6) score_sum
+           from (select * from runs where dataset in ('ds1', 'ds3') qualify row_number() over (partition by dataset order by run_id desc) <= 2) r
+           join case_rows c using (run_id) group by all""",
+    ),
+)
+def history_of_runs(spark, sf):
+    """Record every dataset by itself, one of them twice, and read four runs: only the commits that hold them are opened."""
+    path = new_table_path(spark, "history")
+    runs, cases = _history(spark, sf), _case_rows(spark, sf)
+    history.record_runs(runs.withColumn("pass_rate", F.lit(-1.0)), cases.limit(0), path)
+    for own in (F.col("dataset").isin("ds1"), F.col("dataset").isin("ds3"), ~F.col("dataset").isin("ds1", "ds3")):
+        history.record_runs(runs.filter(own), cases.filter(own), path)
+    last = runs.filter(F.col("dataset").isin("ds1", "ds3")).withColumn("_n", F.row_number().over(W.partitionBy("dataset").orderBy(F.desc("run_id"))))
+    names = [r["run_id"] for r in last.filter("_n <= 2").select("run_id").collect()]
+    stored, rows = history.load_history(spark, path, names)
+    sums = rows.groupBy("run_id").agg(F.count("*").alias("case_rows"), F.round(F.sum("score"), 6).alias("score_sum"))
+    return stored.select("run_id", "dataset", "pass_rate").join(sums, "run_id")
+
+
+@query(
+    "result_table",
+    with_(
+        b.SUMMARY_SQL,
+        f"""select s.run_id, s.total, {_R('pass_rate', 4)} pass_rate, n cases from summary s
+            join (select run_id, count(*) n from fold group by 1) using (run_id)""",
+    ),
+)
+def result_table(spark, sf):
+    """Results of all runs in one clustered table, half of the runs written again; read back as last written."""
+    path = new_table_path(spark, "results")
+    folded = _folded(spark, sf)
+    half = F.col("run_id").substr(-1, 1).isin("1", "3", "5", "7", "9")
+    results.write_result_table(summary.summarize_runs(folded), folded.unionByName(folded.filter(half)), path)
+    results.write_result_table(summary.summarize_runs(folded).filter(half), folded.filter(half), path)
+    schemas = "run_id string, total long, pass_rate double, dataset string", "key long, run_id string, dataset string"
+    runs, rows = results.read_result_table(spark, path, *schemas)
+    return runs.select("run_id", "total", "pass_rate").join(rows.groupBy("run_id").agg(F.count("*").alias("cases")), "run_id")
+
+
 @query(
     "baseline_reload",
     with_(

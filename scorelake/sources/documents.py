@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,33 +19,72 @@ def _suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"[^/.][^/]*?(\.[^./]+)$", 1))
 
 
-def read_documents(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """Documents below a path: ``content``, ``filename`` and ``source``.
-
-    ``path`` may be a file, a folder or an object-store path (see ``object_store_path``). Files with other suffixes are passed over by the listing,
-    their content is never read. Bytes that are not UTF-8 become replacement characters. Rows are not sorted: ``source``
-    is the order, and the operators that need one (quotas) sort narrow columns by it rather than whole documents.
-    """
+def _files(spark: SparkSession, path: str | list[str], recursive: bool = True) -> DataFrame:
+    """Files below a path that are documents by their name, as Spark's reader lists them: in parallel, without opening any."""
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", str(recursive).lower())
         .option("pathGlobFilter", "*.{[tT][xX][tT],[mM][dD]}")
         .load(path)
     )
-    source = F.regexp_replace(F.regexp_replace("path", r"^file:(?://)?(?=/)", ""), r"^s3[an]://", "s3://")
-    return files.filter(_suffix(F.col("path")).isin(*SUFFIXES)).select(
+    return files.filter(_suffix(F.col("path")).isin(*SUFFIXES))
+
+
+def _source() -> Column:
+    return F.regexp_replace(F.regexp_replace("path", r"^file:(?://)?(?=/)", ""), r"^s3[an]://", "s3://")
+
+
+def _documents(files: DataFrame) -> DataFrame:
+    return files.select(
         strip(F.make_valid_utf8(F.col("content").cast("string"))).alias("content"),
         F.substring_index("path", "/", -1).alias("filename"),
-        source.alias("source"),
+        _source().alias("source"),
     )
 
 
+def read_documents(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
+    """Documents below a path: ``content``, ``filename`` and ``source``.
+
+    ``path`` may be a file, a folder or an object-store path (see ``object_store_path``). Files with other suffixes are passed over by the listing,
+    their content is never read. Bytes that are not UTF-8 become replacement characters. Rows are not sorted: ``source``
+    is the order, and the operators that need one (quotas) sort narrow columns by it rather than whole documents.
+    """
+    return _documents(_files(spark, path, recursive))
+
+
 def object_store_path(uri: str) -> str:
-    """Reader path for ``s3://bucket/prefix``: every key that starts with the prefix."""
-    if not uri.startswith("s3://"):
-        raise ValueError(f"an object-store URI starts with s3://: {uri!r}")
-    bucket, _, prefix = uri.removeprefix("s3://").partition("/")
-    return f"s3a://{bucket}/{prefix}*"
+    """Reader path for a URI such as ``s3://bucket/prefix``: every key that starts with the prefix."""
+    scheme, mark, rest = uri.partition("://")
+    if not mark or not re.fullmatch(r"[A-Za-z][A-Za-z0-9+.-]*", scheme):
+        raise ValueError(f"an object-store URI starts with a scheme, such as s3://: {uri!r}")
+    place, _, prefix = rest.partition("/")
+    return f"{'s3a' if scheme == 's3' else scheme}://{place}/{_escaped(prefix)}*"
+
+
+def list_documents(spark: SparkSession, uri: str) -> DataFrame:
+    """Keys below a URI: ``source``, ``path``, ``bytes`` and ``modified``. No object is opened; an unknown prefix has none."""
+    try:
+        files = _files(spark, object_store_path(uri))
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "source string, path string, bytes long, modified timestamp")
+    return files.select(_source().alias("source"), "path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+
+
+def next_documents(spark: SparkSession, uri: str, after: str = "", limit: int = 1000) -> DataFrame:
+    """The next page of a URI's documents: the ``limit`` first by key behind the ``source`` that a page ended with.
+
+    Keys are ranked on the tasks that list them; only the page's paths, ``limit`` at most, reach the driver, and only its objects are opened.
+    """
+    keys = list_documents(spark, uri).filter(F.col("source") > after).orderBy("source").limit(limit)
+    paths = [_escaped(r["path"]) for r in keys.select("path").collect()]
+    return _documents(_files(spark, paths)) if paths else spark.createDataFrame([], DOCUMENTS)
+
+
+def _escaped(path: str) -> str:
+    """A path as a glob of itself."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
 
 
 def require_documents(documents: DataFrame, path: str) -> DataFrame:

@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import re
-import time
-import uuid
+from collections.abc import Collection
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +13,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from scorelake.functions.text import py_round
 from scorelake.operators.summary import HISTORY_DIGITS, rounded
 from scorelake.schemas import CASE_RESULTS, RUNS
+from scorelake.sources import commits
 
 # Fixed value: form of a version name.
 VERSION = re.compile(r"^v\d+\.\d+\.\d+$")
@@ -102,30 +102,43 @@ def union_histories(*histories: DataFrame) -> DataFrame:
 def record_runs(runs: DataFrame, cases: DataFrame, path: str) -> None:
     """Store runs and their cases; a run that is there already is replaced, under whatever dataset it was.
 
-    Both tables only grow. The rows of a call carry its commit, a name that sorts by time. Run rows are written last and say
-    which commit of a run holds; ``load_history`` reads case rows through them. A call that dies in between leaves
-    case rows that no run refers to, and may be repeated.
+    Both tables only grow, by a commit a call (see ``commits``), whose names sort by time; the newest commit of a run holds. A call that
+    dies before its manifest row changes nothing that is read, and may be repeated.
     """
-    commit = F.lit(f"{time.time_ns():020d}-{uuid.uuid4().hex}")
-    for rows, ddl, name in ((cases, CASE_RESULTS, "case_results"), (runs, RUNS, "runs")):
-        stamped = rows.select(*_names(ddl)).withColumn("commit", commit)
-        stamped.hint("rebalance", "dataset").write.mode("append").partitionBy("dataset").parquet(f"{path}/{name}")
+    tables = {name: rows.select(*_names(ddl)) for rows, ddl, name in ((cases, CASE_RESULTS, "case_results"), (runs, RUNS, "runs"))}
+    commits.write_commit(path, tables)
 
 
-def load_history(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Runs and case rows as last recorded. Rows of before there were commits and run types count as the oldest."""
-    read = lambda ddl, name: spark.read.schema(f"{ddl}, commit string").parquet(f"{path}/{name}")
-    every = migrate_runs(read(RUNS, "runs")).withColumn("commit", F.coalesce("commit", F.lit("")))
+def _recorded(spark: SparkSession, path: str, name: str, ddl: str, runs: Collection[str] | None) -> DataFrame:
+    """Rows of all commits, and those of a table from before there were commits, which count as the oldest."""
+    found = commits.read_commits(spark, path, name, ddl, runs)
+    try:
+        old = spark.read.schema(f"{ddl}, commit string").parquet(f"{path}/{name}")
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        old = None if found is not None else spark.createDataFrame([], f"{ddl}, commit string")
+    if old is not None and runs is not None:
+        old = old.filter(F.col("run_id").isin(sorted(set(runs))))
+    every = [x.select(*_names(ddl), F.coalesce("commit", F.lit("")).alias("commit")) for x in (found, old) if x is not None]
+    return every[0] if len(every) == 1 else every[0].unionByName(every[1])
+
+
+def load_history(spark: SparkSession, path: str, runs: Collection[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Runs and case rows as last recorded, of all runs or of the given ones, whose commits alone are then read.
+
+    Rows of before there were commits and run types count as the oldest.
+    """
+    every = migrate_runs(_recorded(spark, path, "runs", RUNS, runs))
     last = every.groupBy("run_id").agg(F.max_by(F.struct(*every.columns), "commit").alias("r")).select("r.*")
-    rows = read(CASE_RESULTS, "case_results").withColumn("commit", F.coalesce("commit", F.lit("")))
+    rows = _recorded(spark, path, "case_results", CASE_RESULTS, runs)
     held = rows.join(last.select("run_id", "commit"), ["run_id", "commit"], "left_semi")
     return last.select(*_names(RUNS)), held.select(*_names(CASE_RESULTS))
 
 
 def compact_history(spark: SparkSession, path: str, to: str) -> None:
-    """Write the history as last recorded to another folder, in files of a common size and without replaced rows."""
-    for rows, name in zip(load_history(spark, path), ("runs", "case_results"), strict=True):
-        rows.withColumn("commit", F.lit("")).hint("rebalance", "dataset").write.partitionBy("dataset").parquet(f"{to}/{name}")
+    """Write the history as last recorded to another folder, as one commit without replaced rows."""
+    record_runs(*load_history(spark, path), to)
 
 
 def save_baselines(runs: DataFrame, cases: DataFrame, path: str) -> None:
@@ -134,10 +147,13 @@ def save_baselines(runs: DataFrame, cases: DataFrame, path: str) -> None:
     _overwrite(rounded(runs), f"{path}/runs", "dataset")
 
 
-def load_baselines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
-    """Baseline runs and cases, or None when nothing was saved yet."""
+def load_baselines(spark: SparkSession, path: str, datasets: Collection[str] | None = None) -> tuple[DataFrame, DataFrame] | None:
+    """Baseline runs and cases, or None when nothing was saved yet. Of given datasets, only their folders are read."""
     runs = _existing(spark, f"{path}/runs", "dataset")
-    return None if runs is None else (runs, read_table(spark, f"{path}/cases", "dataset"))
+    if runs is None:
+        return None
+    both = runs, read_table(spark, f"{path}/cases", "dataset")
+    return both if datasets is None else tuple(x.filter(F.col("dataset").isin(sorted(set(datasets)))) for x in both)
 
 
 def check_version(version: str) -> str:

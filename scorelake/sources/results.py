@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from scorelake.functions.text import lstrip, py_round, strip
 from scorelake.operators.display import provider_id
 from scorelake.operators.summary import RESULT_DIGITS, rounded
 from scorelake.session import materialize
+from scorelake.sources import commits
 from scorelake.sources.json_splits import BROADCAST_SPLITS, split_documents
 
 _ITEM = "struct<vars:string,success:string,score:double,latencyMs:double,cost:double,provider:string>"
@@ -196,13 +199,36 @@ def write_results(runs: DataFrame, cases: DataFrame, path: str) -> None:
     """Write run summaries and case rows as JSON lines below ``path``, by dataset and run.
 
     A run's cases stay rows beside its summary instead of one nested document: a run may hold any number of them. Writing a
-    run again replaces it; other runs of its dataset stay. The rebalance hint splits a large run over files.
+    run again replaces it; other runs of its dataset stay. The rebalance hint splits a large run over files. Each run is a folder that
+    other programs can read by itself; where runs are many, ``write_result_table`` keeps them together.
     """
     for rows, name in ((cases, "cases"), (rounded(runs, RESULT_DIGITS), "runs")):
         write = rows.hint("rebalance", "dataset", "run_id").write.mode("overwrite")
         write.option("partitionOverwriteMode", "dynamic").partitionBy("dataset", "run_id").json(f"{path}/{name}")
 
 
+def write_result_table(runs: DataFrame, cases: DataFrame, path: str) -> None:
+    """Add runs and their case rows to a table of results, for any number of runs; a run written again is replaced.
+
+    Rows are clustered by dataset and run: a call leaves as many files as it has tasks, each with a range of runs (see ``commits``).
+    """
+    commits.write_commit(path, {"cases": cases, "runs": rounded(runs, RESULT_DIGITS)})
+
+
+def read_result_table(spark: SparkSession, path: str, runs_schema: str, cases_schema: str, runs: Collection[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Run summaries and case rows as last written, of all runs or of the given ones.
+
+    Of given runs only the commits that may hold one are opened, and of those the row groups whose statistics hold one.
+    """
+    parts = []
+    for name, schema in (("runs", runs_schema), ("cases", cases_schema)):
+        found = commits.read_commits(spark, path, name, schema, runs)
+        parts.append(spark.createDataFrame([], f"{schema}, commit string") if found is None else found)
+    every, rows = parts
+    last = every.groupBy("run_id").agg(F.max_by(F.struct(*every.columns), "commit").alias("r")).select("r.*")
+    return last.drop("commit"), rows.join(last.select("run_id", "commit"), ["run_id", "commit"], "left_semi").drop("commit")
+
+
 def write_json_lines(rows: DataFrame, path: str) -> None:
     """Write staged cases or an assertion table as JSON lines; null fields are left out."""
     rows.write.mode("overwrite").json(path)
