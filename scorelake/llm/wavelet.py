@@ -188,7 +188,7 @@ class Encoder:
         self.model = self.tokenizer.model.tokenize
         self.line = self.whole("\n")
         self.marks = common.Remembered(self.word, 3, {})
-        self.pieces = common.PieceEncoder(self.whole, self.piece, lambda piece: self.whole(" " + piece), lines=True)
+        self.pieces = common.PieceEncoder(self.whole, self.piece, lambda piece: self.whole(" " + piece), lines=True, most=600_000)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.added is None or not any(map(self.added.search, texts)):
