@@ -41,6 +41,7 @@ from scorelake.session import materialize
 
 SEED = 42
 HOT = 4096
+MANY = 10_000
 LEAF = 16
 FAN = 8
 
@@ -300,19 +301,26 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def named_groups(rows: DataFrame, who: Column, max_bits: int, hot: int) -> DataFrame:
-    """fp and first (the least ``who`` of its component) of every fingerprint of ``rows``."""
-    values = rows.groupBy("fp").agg(F.min(who).alias("least"))
+    """fp, its number of rows, and first (the least ``who`` of its component) of every fingerprint of ``rows``."""
+    values = rows.groupBy("fp").agg(F.min(who).alias("least"), F.count("*").alias("rows"))
     roots = components(links(values.select("fp"), max_bits, hot))
     member = values.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = member.groupBy("root").agg(F.min("least").alias("first"))
-    return member.select("fp", "root").join(least, "root").select("fp", "first")
+    return member.select("fp", "rows", "root").join(least, "root").select("fp", "rows", "first")
 
 
 def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, max_bits: int = 2, hot: int = HOT) -> DataFrame:
     """doc_id, fp and component_id (smallest id of the component) of every row."""
     rows = materialize(fingerprints(docs, doc_id, text, shingle))
-    named = named_groups(rows, F.col("doc_id"), max_bits, hot)
-    return rows.join(named, "fp").select("doc_id", "fp", F.col("first").alias("component_id"))
+    named = materialize(named_groups(rows, F.col("doc_id"), max_bits, hot))
+    # fingerprints of more than one row in MANY, so at most as many, are sent to every task; no other key of the join is hot
+    many = rows.count() // MANY
+    crowded = named.where(F.col("rows") > many).select("fp", F.struct("first").alias("crowd"))
+    found = rows.join(F.broadcast(crowded), "fp", "left")
+    key = F.when(F.col("crowd").isNull(), F.col("fp")).otherwise(F.xxhash64("doc_id"))
+    rest = named.where(F.col("rows") <= many).select(F.col("fp").alias("key"), F.struct("first").alias("rest"))
+    found = found.withColumn("key", key).join(rest, "key", "left")
+    return found.select("doc_id", "fp", F.coalesce("crowd", "rest")["first"].alias("component_id"))
 
 
 def keep_representatives(

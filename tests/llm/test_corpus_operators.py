@@ -225,7 +225,9 @@ def plain_fingerprint(text):
     return sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in hashes) > len(hashes))
 
 
-def test_grouped_rows(spark):
+@pytest.mark.parametrize("many", [simhash.MANY, 1, 5])
+def test_grouped_rows(spark, monkeypatch, many):
+    monkeypatch.setattr(simhash, "MANY", many)
     rng = random.Random(8)
     long = [rng.choice("abcdefghij") * rng.randrange(1, 5) for _ in range(600)]
     texts = [" ".join(long), " ".join([*long[:300], "q", *long[301:]]), " ".join(long).upper(), "a b", "A\tb", "c", None, "", " \n", "x y z w"]
