@@ -303,7 +303,7 @@ def bench_contains(spark, sf):
     )
 
 
-_ASSERTIONS_SQL = b.CASES_SQL + """,
+ASSERTIONS_SQL = b.CASES_SQL + """,
 asserted as (
   select *, case kind
     when 'qa' then [{'t': 'icontains', 'v': ground_truth},
@@ -316,7 +316,7 @@ asserted as (
 @query(
     "assertions",
     with_(
-        _ASSERTIONS_SQL,
+        ASSERTIONS_SQL,
         """select doc_id, kind as type, array_to_string(list_transform(asserts, lambda a: a.t || '=' || coalesce(a.v, '')), '|') asserts,
            case kind when 'qa' then '{"query": ' || to_json(query)::varchar || '}'
              when 'classification' then '{"text": ' || to_json(query)::varchar || '}'
@@ -334,7 +334,7 @@ def assertion_table(spark, sf):
 @query(
     "assertion_scores",
     with_(
-        _ASSERTIONS_SQL + """,
+        ASSERTIONS_SQL + """,
 verdicts as (
   select doc_id, list_transform(asserts, lambda a: case when a.t = 'icontains'
            then contains(lower(answer), lower(coalesce(a.v, ''))) else rubric_passed end) checks from asserted)""",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scorelake.functions.text import split_list
 from scorelake.operators import assertions, catalog, crawl, display, documents, replies, summary, traces
 from scorelake.plans import bindings as b
+from scorelake.plans.case_queries import ASSERTIONS_SQL
 from scorelake.plans.registry import query, rounded, with_
 from scorelake.session import new_table_path
 from scorelake.sources import cases, history, results
@@ -408,20 +409,22 @@ def _named_lines(spark: SparkSession, sf: str) -> DataFrame:
     with_(
         _LINES_SQL,
         """select dataset, count(*) filter (len(errors) = 0) added, count(*) filter (len(errors) > 0) skipped,
-           count(*) filter (len(errors) = 0) stored from errs group by dataset""",
+           count(*) filter (len(errors) = 0) stored, cast(sum(doc_id) filter (len(errors) = 0) as bigint) ids from errs group by dataset""",
     ),
 )
 def append_lenient(spark, sf):
     path = new_table_path(spark, "cases")
     counts = cases.append_cases(_named_lines(spark, sf), path, on_error="skip")
-    return counts.join(summary.case_counts(spark.read.parquet(path)).withColumnRenamed("case_count", "stored"), "dataset")
+    stored = spark.read.parquet(path)
+    ids = stored.groupBy("dataset").agg(F.sum("doc_id").alias("ids"))
+    return counts.join(summary.case_counts(stored).withColumnRenamed("case_count", "stored"), "dataset").join(ids, "dataset")
 
 
 @query(
     "append_strict",
     with_(
         _LINES_SQL,
-        """select dataset, count(*) filter (len(errors) > 0) bad, 0::bigint stored from errs group by dataset
+        """select dataset, count(*) filter (len(errors) > 0) bad, cast(sum(doc_id) filter (len(errors) > 0) as bigint) ids, 0::bigint stored from errs group by dataset
            having count(*) filter (len(errors) > 0) > 0""",
     ),
 )
@@ -433,7 +436,7 @@ def append_strict(spark, sf):
     try:
         cases.append_cases(_named_lines(spark, sf), path)
     except cases.InvalidCases as refused:
-        bad = refused.errors.groupBy("dataset").agg(F.count("*").alias("bad"))
+        bad = refused.errors.groupBy("dataset").agg(F.count("*").alias("bad"), F.sum("doc_id").alias("ids"))
         schema = "dataset string, doc_id long, source string, type string, line string"
         stored = spark.read.schema(schema).parquet(path).groupBy("dataset").agg(F.count("*").alias("_n"))
         return bad.join(stored, "dataset", "left").withColumn("stored", F.coalesce("_n", F.lit(0).cast("long"))).drop("_n")
@@ -590,17 +593,18 @@ def version_meta(spark, sf):
 @query(
     "assertion_export",
     with_(
-        b.CASES_SQL,
-        "select kind as type, count(*) tests, cast(sum(case kind when 'qa' then 2 else 1 end) as bigint) asserts from plain_cases group by kind",
+        ASSERTIONS_SQL,
+        """select doc_id, kind as type, array_to_string(list_transform(asserts, lambda a: a.t || '=' || coalesce(a.v, '')), '|') asserts from asserted""",
     ),
 )
 def assertion_export(spark, sf):
-    """Write the assertion table as JSON lines and count what was written."""
+    """Write the assertion table as JSON lines and read it back."""
     path = new_table_path(spark, "tests")
     built = assertions.build_assertions(b.plain_cases(spark, sf))
     results.write_json_lines(built.select("type", F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("description"), "vars", "assertions"), path)
-    written = spark.read.schema("type string, assertions array<struct<type:string,value:string>>").json(path)
-    return written.groupBy("type").agg(F.count("*").alias("tests"), F.sum(F.size("assertions")).cast("long").alias("asserts"))
+    written = spark.read.schema("type string, description string, assertions array<struct<type:string,value:string>>").json(path)
+    shown = F.transform("assertions", lambda a: F.concat(a["type"], F.lit("="), F.coalesce(a["value"], F.lit(""))))
+    return written.select(F.substring("description", 5, 20).cast("long").alias("doc_id"), "type", F.array_join(shown, "|").alias("asserts"))
 
 
 # --- raw result and trace scans ---------------------------------------------------------------------------------
@@ -734,7 +738,8 @@ def result_files(spark, sf):
 
 @query(
     "document_files",
-    r"""select lang, cast(sum(length(regexp_replace(text, '\s', '', 'g'))) as bigint) chars from documents group by lang""",
+    r"""select lang, cast(sum(length(regexp_replace(text, '\s', '', 'g'))) as bigint) chars,
+        cast(sum(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S')))) as bigint) lines from documents group by lang""",
 )
 def document_files(spark, sf):
     """Write documents as text files by language, beside files of another suffix, and scan the folder."""
@@ -744,7 +749,10 @@ def document_files(spark, sf):
     rows.select("lang").distinct().write.json(f"{root}/other")
     found = require_documents(read_documents(spark, root), root)
     lang = F.regexp_extract("source", "/lang=([^/]+)/", 1)
-    return found.groupBy(lang.alias("lang")).agg(F.sum(F.length(F.regexp_replace("content", r"\s", ""))).alias("chars"))
+    full = F.filter(F.split("content", "\n"), lambda x: x.rlike(r"\S"))
+    return found.groupBy(lang.alias("lang")).agg(
+        F.sum(F.length(F.regexp_replace("content", r"\s", ""))).alias("chars"), F.sum(F.size(full)).alias("lines")
+    )
 
 
 @query(
