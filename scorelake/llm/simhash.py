@@ -8,7 +8,7 @@ How the links are found, exactly and without pairs of all rows:
 1. Only distinct fingerprints take part; copies of a text are one row whatever their number.
 2. The 64 bits are cut into max_bits + 2 parts. Fingerprints within max_bits agree on at least two of them, so every
    distinct fingerprint is dealt once to each pair of parts, by the value of those parts. A value that over ``hot``
-   fingerprints share is dealt again by three agreeing parts of the bits that are left, so a group is bounded by the bits
+   fingerprints share is dealt again by each pair of parts of the bits that are left, so a group is bounded by the bits
    that remain free, and a large group of near copies is spread over many tasks. This loses no pair (the same counting
    argument holds on the remaining bits).
 3. A task sorts each of its groups by Gray rank, so that neighbours differ in few bits, and builds a hierarchy over the
