@@ -24,8 +24,13 @@ _SPELLED = r'"\\u0007number (NaN|-?Infinity)"'
 _DECODED = "^\x07number (NaN|-?Infinity)$"
 
 
+def _named(text: Column) -> Column:
+    """Whether a number that is none may be in a text: a quick look ahead of the pattern."""
+    return F.contains(text, F.lit("NaN")) | F.contains(text, F.lit("Infinity"))
+
+
 def _replace_numbers(text: Column, by: str) -> Column:
-    return F.when(text.rlike("NaN|Infinity"), F.regexp_replace(text, _TO_NUMBER, by)).otherwise(text)
+    return F.when(_named(text), F.regexp_replace(text, _TO_NUMBER, by)).otherwise(text)
 
 
 def _single(text: Column) -> Column:
@@ -38,7 +43,7 @@ def _single(text: Column) -> Column:
 def json_value(text: Column | str) -> Column:
     """A JSON text as a variant, null for other texts. NaN and infinities, which a variant has no name for, are JSON nulls in it."""
     text = F.col(text) if isinstance(text, str) else text
-    return _single(_replace_numbers(text, "$1null"))
+    return let(let(text, lambda t: _replace_numbers(t, "$1null")), _single)
 
 
 def elements(text: Column) -> Column:
@@ -48,12 +53,15 @@ def elements(text: Column) -> Column:
     ``spelled`` is applied to what is finally kept.
     """
     options = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
-    kind = F.schema_of_variant(json_value(text))
-    listed = F.when(F.startswith(kind, F.lit("ARRAY")), _replace_numbers(text, rf'$1"\{_NAMED}$2"'))
-    return F.from_json(listed, "array<string>", options)
+
+    def listed(t: Column) -> Column:
+        is_list = F.startswith(F.ltrim(t, F.lit(" \t\r\n")), F.lit("["))
+        return F.when(is_list & json_value(t).isNotNull(), _replace_numbers(t, rf'$1"\{_NAMED}$2"'))
+
+    return F.from_json(let(text, listed), "array<string>", options)
 
 
 def spelled(text: Column) -> Column:
     """Text from ``elements``, or a field of one, with numbers that are none spelled as they were."""
     back = F.regexp_replace(F.regexp_replace(text, _SPELLED, "$1"), _DECODED, "$1")
-    return F.when(text.rlike("NaN|Infinity"), back).otherwise(text)
+    return F.when(_named(text), back).otherwise(text)
