@@ -164,10 +164,15 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double, raw double")
 
 
-def select_top(scored: DataFrame, share: float, column: str = "raw", accuracy: int = 100_000) -> DataFrame:
-    """The rows at or above the (1 - share) quantile of ``column`` over all rows, nulls left out.
+def mark_top(scored: DataFrame, share: float, column: str = "raw", accuracy: int = 100_000) -> DataFrame:
+    """``scored`` with ``selected``: whether a row is at or above the (1 - share) quantile of ``column`` over all rows; not for a null.
 
-    The quantile is Spark's percentile_approx, whose relative rank error is 1 / accuracy.
+    The quantile is Spark's percentile_approx, whose relative rank error is 1 / accuracy. ``scored`` is read twice, so it should be kept.
     """
     cut = scored.agg(F.percentile_approx(column, 1 - share, accuracy).alias("cut")).first()["cut"]
-    return scored.where(F.col(column) >= F.lit(cut))
+    return scored.withColumn("selected", F.coalesce(F.col(column) >= F.lit(cut), F.lit(False)))
+
+
+def select_top(scored: DataFrame, share: float, column: str = "raw", accuracy: int = 100_000) -> DataFrame:
+    """The rows that ``mark_top`` selects."""
+    return mark_top(scored, share, column, accuracy).where("selected").drop("selected")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelake.llm import bond, bpe, common, decontaminate, langid, mtree, pii, ppm, prefixtree, quality, simhash, tokencount, toxicity, wavelet
-from scorelake.session import new_table_path
+from scorelake.session import materialize, new_table_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -91,7 +91,8 @@ def quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.fit(docs, labels)
     held_out = common.is_remainder("doc_id", 5, 0).alias("held_out")
     predicted = (F.col("score") >= 0.3).cast("int").alias("predicted")
-    return quality.score(docs, model).select("doc_id", held_out, "score", predicted, "raw")
+    scored = quality.mark_top(materialize(quality.score(docs, model)), share=0.7)
+    return scored.select("doc_id", held_out, "score", predicted, "raw", "selected")
 
 
 @query("op11_toxicity")

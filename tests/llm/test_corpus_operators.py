@@ -349,6 +349,9 @@ def test_quality_on_held_out_rows(spark):
     assert all(0 <= s <= 1 for s in got.values()) and len(got) == 404
     top = quality.select_top(scored, 0.25)
     assert 0.2 * 404 < top.count() < 0.3 * 404
+    marked = {r["doc_id"]: (r["raw"], r["selected"]) for r in quality.mark_top(scored, 0.25).where("doc_id < 400").collect()}
+    assert min(x for x, s in marked.values() if s) > max(x for x, s in marked.values() if not s)
+    assert quality.mark_top(scored.limit(0), 0.25).count() == 0
     for only in (labels.limit(0), labels.where("quality = 1")):
         flat = quality.fit(docs, only)
         assert len({r["score"] for r in quality.score(docs, flat).collect()}) == 1
