@@ -26,6 +26,13 @@ def strip(c: Column | str) -> Column:
     return F.btrim(_col(c), F.lit(WHITESPACE))
 
 
+def strip_long(c: Column | str) -> Column:
+    """As ``strip`` for long texts, most of which have nothing to trim: trimming looks at every character, this at two."""
+    c = _col(c)
+    edge = lambda t, at: F.contains(F.lit(WHITESPACE), F.substring(t, at, 1))
+    return let(c, lambda t: F.when(edge(t, 1) | edge(t, -1), strip(t)).otherwise(t))
+
+
 def lstrip(c: Column | str) -> Column:
     return F.ltrim(_col(c), F.lit(WHITESPACE))
 
@@ -159,7 +166,7 @@ def strip_fence(c: Column | str) -> Column:
             ).otherwise(b),
         )
 
-    return let(strip(c), lambda t: F.when(F.startswith(t, F.lit("```")), inner(t)).otherwise(t))
+    return let(strip_long(c), lambda t: F.when(F.startswith(t, F.lit("```")), inner(t)).otherwise(t))
 
 
 def strip_fence_lines(c: Column | str) -> Column:
@@ -172,6 +179,6 @@ def strip_fence_lines(c: Column | str) -> Column:
 
     breaks = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x85  ]"
     return let(
-        strip(c),
+        strip_long(c),
         lambda t: F.when(F.startswith(t, F.lit("```")), let(F.split(t, breaks), inner)).otherwise(t),
     )
