@@ -18,5 +18,8 @@ def stage(df: DataFrame, name: str, value: Column) -> DataFrame:
 
     Filters on what derives from a plain column are pushed below it, with the expression copied into each place that
     uses it; parsed JSON would be parsed again for every field. Nothing is pushed below a generator, here of one row.
+    The value is a column before the generator too: Spark's estimate of a table's size does not count what a generator adds, and takes off
+    what is dropped later, so that without it a large table would be estimated at nothing, and broadcast.
     """
-    return df.select("*", F.explode(F.array(value)).alias(name))
+    own = f"{name}__value"
+    return df.select("*", value.alias(own)).select("*", F.explode(F.array(own)).alias(name)).drop(own)

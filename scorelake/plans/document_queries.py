@@ -707,11 +707,12 @@ def trace_scan(spark, sf):
     """Trace lines validated, and the valid ones turned into test cases."""
     checked = results.validate_traces(_trace_lines(spark, sf))
     made = traces.trace_to_case(results.parse_traces(checked.filter(F.col("error").isNull())))
-    e = F.col("expected")
+    e, none = F.col("expected"), F.lit(None).cast("string")
     found = made.select(
-        "doc_id", e["answer"].alias("answer"), F.map_values("tools")[0]["response_json"].alias("result"), e["max_steps"].alias("max_steps")
-    )
-    return checked.select("doc_id", "error").join(found, "doc_id", "left")
+        "doc_id", none.alias("error"), e["answer"].alias("answer"), F.map_values("tools")[0]["response_json"].alias("result"),
+        e["max_steps"].alias("max_steps"),
+    )
+    return found.unionByName(checked.filter(F.col("error").isNotNull()).select("doc_id", "error"), allowMissingColumns=True)
 
 
 @query(
