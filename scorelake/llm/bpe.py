@@ -6,6 +6,9 @@ marks the buckets in use; find-first-set on it gives the lowest rank, whose buck
 Entries of pairs that are gone are skipped. Each merge costs two bucket entries, so a match of a million bytes takes time
 in proportion to its length (times the logarithm of a bucket) where a scan for the best pair would take its square.
 
+The new matches of some pieces are merged in one queue, by the same order of ranks and then positions; no pair lies across two of them, so
+each comes out as if it were alone, and the work on a bucket and on the bitmap is shared.
+
 Texts are cut ahead of the pattern at blanks with no white space behind them: a match always begins there, so
 the pieces are encoded as within the text. Pieces and matches recur, so a worker remembers a bounded number of them.
 
@@ -19,7 +22,6 @@ import base64
 import hashlib
 from collections.abc import Callable, Iterator
 from heapq import heappop, heappush
-from operator import add
 from struct import pack
 
 import numpy as np
@@ -34,7 +36,10 @@ from scorelake.llm import common
 REMEMBERED = 800_000
 LONG = 64
 BIT = [1 << i for i in range(4096)]  # ranks up to a million
-BYTE = [i << 8 for i in range(256)]
+#: Pieces whose matches are merged together. More would only make the lists of a queue too large for a processor's near memory.
+TOGETHER = 1000
+#: Marks of what is no symbol: a place between two matches; a byte without a token.
+GAP, ABSENT = -2, -3
 
 #: Tokenizers of this worker process, by name of the file and pattern.
 LOADED: dict[tuple[str, str], Tokenizer] = {}
@@ -51,88 +56,134 @@ class Tokenizer:
         # the rank queue; it is empty between two matches
         self.bucket: list[list[int] | None] = [None] * size
         self.leaf = [0] * (size // 256 + 1)
-        self.of_bytes = [-1] * (1 << 16)  # rank of two bytes
+        self.of_byte = np.array([ranks.get(bytes([b]), ABSENT) for b in range(256)], np.int32)
+        self.of_bytes = np.full(1 << 16, -1, np.int32)  # rank of two bytes
         for token, rank in ranks.items():
             if len(token) == 2:
                 self.of_bytes[token[0] << 8 | token[1]] = rank
         self.merged: dict[bytes, bytes] = {}
-        self.encode = common.PieceEncoder(self.ids, self.piece, lambda piece: self.ids(" " + piece))
+        self.encode = common.PieceEncoder(self.ids, self.piece, lambda piece: self.ids(" " + piece), ahead=self.ahead)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one match of the pattern."""
-        ranks, bucket, leaf = self.ranks, self.bucket, self.leaf
-        get = ranks.get
-        whole = get(piece)
-        if whole is not None:
-            return [whole]
-        n = len(piece)
-        after = list(range(1, n + 2))  # start of the next symbol; symbol i is piece[i:after[i]]
-        before = list(range(-1, n))
-        pair = [-1] * (n + 1)  # rank of symbol i with the next, -1 for none or a symbol that is gone
+        return np.frombuffer(next(self.whole([piece]))[1], "<u4").tolist()
+
+    def merged_together(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of matches of the pattern, as little-endian 32-bit integers. They share the queue and no pair, so each is merged as if alone.
+
+        A pair that a merge makes holds more bytes than its bucket's token. If its rank is lower, the queue is asked again.
+        """
+        get, bucket, leaf = self.ranks.get, self.bucket, self.leaf
+        text = b"\0".join([b"", *pieces, b""])  # a gap before and behind every match
+        data = np.frombuffer(text, np.uint8)
+        n = len(data)
+        gaps = np.append(0, np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1))
+        ids = self.of_byte[data]
+        pair = np.append(self.of_bytes[data[:-1].astype(np.int32) << 8 | data[1:]], np.int32(-1))  # rank of a symbol with the next, or -1
+        ids[gaps], pair[gaps], pair[gaps[1:] - 1] = GAP, GAP, -1
+        pair[gaps] = GAP
+        order = np.argsort(pair, kind="stable")
+        ranked = pair[order]
+        cuts = np.append(np.flatnonzero((ranked >= 0) & (np.diff(ranked, prepend=GAP) > 0)), n).tolist()
+        places, ids, pair = order.tolist(), ids.tolist(), pair.tolist()
         top = 0  # bit h: leaf h has a bit; bit l of leaf h: bucket 256 h + l has entries
-        i = 0
-        for rank in map(self.of_bytes.__getitem__, map(add, map(BYTE.__getitem__, piece), piece[1:])):
-            if rank >= 0:
-                pair[i] = rank
-                entries = bucket[rank]
-                if entries is None:
-                    bucket[rank] = [i]
-                    high = rank >> 8
-                    leaf[high] |= BIT[rank & 255]
-                    top |= BIT[high]
-                else:
-                    entries.append(i)  # ascending, so a heap
-            i += 1
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            rank = pair[places[a]]
+            bucket[rank] = places[a:b]  # ascending, so a heap
+            leaf[rank >> 8] |= BIT[rank & 255]
+            top |= BIT[rank >> 8]
+        after = list(range(1, n + 1))  # start of the next symbol
+        before = list(range(-1, n))
         while top:
             high = (top & -top).bit_length() - 1
             bits = leaf[high]
             low = bits & -bits
-            rank = high << 8 | low.bit_length() - 1
+            rank = lowest = high << 8 | low.bit_length() - 1
             entries = bucket[rank]
-            if len(entries) > 1:
+            while entries and lowest == rank:
                 i = heappop(entries)
-            else:
-                i = entries[0]
+                if pair[i] != rank:
+                    continue  # stale
+                j = after[i]
+                k = after[i] = after[j]
+                before[k] = i
+                ids[i] = rank
+                ids[j] = pair[j] = pair[i] = -1
+                if ids[k] != GAP:
+                    new = get(text[i : after[k]], -1)
+                    if new >= 0:
+                        pair[i] = new
+                        if bucket[new]:
+                            heappush(bucket[new], i)
+                        else:
+                            bucket[new] = [i]
+                            leaf[new >> 8] |= BIT[new & 255]
+                            top |= BIT[new >> 8]
+                        if new < lowest:
+                            lowest = new
+                left = before[i]
+                if ids[left] != GAP:
+                    new = pair[left] = get(text[left:k], -1)
+                    if new >= 0:
+                        if bucket[new]:
+                            heappush(bucket[new], left)
+                        else:
+                            bucket[new] = [left]
+                            leaf[new >> 8] |= BIT[new & 255]
+                            top |= BIT[new >> 8]
+                        if new < lowest:
+                            lowest = new
+            if not entries:
                 bucket[rank] = None
-                leaf[high] = bits ^ low
-                if bits == low:
-                    top &= top - 1
-            if pair[i] != rank:
-                continue  # stale
-            j = after[i]
-            k = after[i] = after[j]
-            before[k] = i
-            pair[j] = pair[i] = -1
-            if k < n:
-                rank = get(piece[i : after[k]], -1)
-                if rank >= 0:
-                    pair[i] = rank
-                    entries = bucket[rank]
-                    if entries is None:
-                        bucket[rank] = [i]
-                        high = rank >> 8
-                        leaf[high] |= BIT[rank & 255]
-                        top |= BIT[high]
-                    else:
-                        heappush(entries, i)
-            left = before[i]
-            if left >= 0:
-                rank = pair[left] = get(piece[left:k], -1)
-                if rank >= 0:
-                    entries = bucket[rank]
-                    if entries is None:
-                        bucket[rank] = [left]
-                        high = rank >> 8
-                        leaf[high] |= BIT[rank & 255]
-                        top |= BIT[high]
-                    else:
-                        heappush(entries, left)
-        out, i = [], 0
-        while i < n:
-            k = after[i]
-            out.append(ranks[piece[i:k]])
-            i = k
-        return out
+                leaf[high] ^= low
+                if not leaf[high]:
+                    top ^= BIT[high]
+        found = np.array(ids, np.int32)
+        if (found == ABSENT).any():
+            raise KeyError("a byte without a token")
+        kept = found >= 0
+        flat = found[kept].astype("<u4").tobytes()
+        ends = (np.cumsum(kept)[gaps] * 4).tolist()
+        return [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+    def ahead(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Pieces with the ids of each, its blank included. Their new matches are merged many at a time; pieces that ``piece`` refuses are left out.
+
+        No piece holds a blank, and a match begins at each blank that is put between them.
+        """
+        pieces = list(filter(common.surely_cut, pieces))
+        for at in range(0, len(pieces), TOGETHER):
+            own = pieces[at : at + TOGETHER]
+            found = self.split(" " + " ".join(own))
+            matches = list(map(str.encode, found))
+            if len(self.merged) + len(matches) > REMEMBERED:
+                self.merged.clear()
+            self.merged.update(self.whole([m for m in set(matches) if m not in self.merged]))
+            ids = list(map(self.merged.__getitem__, matches))
+            if len(own) < len(ids):
+                starts = [k for k, match in enumerate(found) if match[0] == " "]
+                ids = [b"".join(ids[a:b]) for a, b in zip(starts, [*starts[1:], len(ids)], strict=True)]
+            yield from zip(own, ids, strict=True)
+
+    def whole(self, matches: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Matches with their ids: those of matches that are a token, and of the others by merging."""
+        ranks = [self.ranks.get(m) for m in matches]
+        merged = iter(self.merged_together([m for m, r in zip(matches, ranks, strict=True) if r is None]))
+        return ((m, next(merged) if r is None else pack("<I", r)) for m, r in zip(matches, ranks, strict=True))
+
+    def joined(self, matches: list[bytes]) -> bytes:
+        """Ids of matches one after the other. Matches recur; a bounded number is remembered."""
+        merged, found = self.merged, []
+        for match in matches:
+            ids = merged.get(match)
+            if ids is None:
+                ids = next(self.whole([match]))[1]
+                if len(match) <= LONG:
+                    if len(merged) >= REMEMBERED:
+                        merged.clear()
+                    merged[match] = ids
+            found.append(ids)
+        return found[0] if len(found) == 1 else b"".join(found)
 
     def piece(self, piece: str) -> bytes:
         """Ids of a piece with its blank."""
@@ -141,20 +192,8 @@ class Tokenizer:
         return self.ids(" " + piece)
 
     def ids(self, text: str) -> bytes:
-        """Ids of a text as little-endian 32-bit integers, match by match. Matches recur; a bounded number is remembered."""
-        merged, found = self.merged, []
-        for match in self.split(text):
-            piece = match.encode()
-            ids = merged.get(piece)
-            if ids is None:
-                own = self.merge(piece)
-                ids = pack(f"<{len(own)}I", *own)
-                if len(piece) <= LONG:
-                    if len(merged) >= REMEMBERED:
-                        merged.clear()
-                    merged[piece] = ids
-            found.append(ids)
-        return found[0] if len(found) == 1 else b"".join(found)
+        """Ids of a text as little-endian 32-bit integers, match by match."""
+        return self.joined(list(map(str.encode, self.split(text))))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))

@@ -87,6 +87,19 @@ def test_bpe_with_ranks_out_of_order():
         assert own.merge(piece) == plain(piece)
 
 
+def test_bpe_of_many_matches_in_one_queue(own, library):
+    """As if each were alone: across matches no pair, also where a rank is below that of its parts."""
+    rng = random.Random(7)
+    pieces = ["".join(rng.choice("abetho,s12é😀\n") for _ in range(rng.randrange(1, 40))) for _ in range(3000)] + ["the", "a" * 300, "x"]
+    got = own_tokenizer()
+    assert dict(got.ahead(pieces)) == {p: own.ids(" " + p) for p in pieces if common.surely_cut(p)}
+    assert all(b is None for b in got.bucket) and not any(got.leaf)
+    assert np.frombuffer(got.encode(" ".join(pieces)), "<u4").tolist() == library.encode_ordinary(" ".join(pieces))
+    odd = bpe.Tokenizer({bytes([c]): 300 + c for c in range(256)} | {b"bc": 20, b"abc": 5, b"ab": 30, b"cb": 40, b"\0a": 1}, r"[\s\S]+")
+    words = [bytes(rng.choice(b"abc\0") for _ in range(rng.randrange(1, 30))) for _ in range(500)]
+    assert odd.merged_together(words) == [odd.merged_together([w])[0] for w in words]
+
+
 ROWS = [(1, "a b"), (2, None), (3, ""), (3, ""), (4, "x" * 5000), (None, "né 1")]
 
 
