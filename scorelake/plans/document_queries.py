@@ -186,6 +186,12 @@ def _quoted(text: Column) -> Column:
     return F.substring(packed, F.lit(2), F.length(packed) - 2)
 
 
+def _dealt(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents dealt out over all cores: a file's row group is one task's, and parsing replies built from it is costly."""
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return b.table(spark, sf, "documents").select("doc_id", "text", "lang", "source").repartition(tasks)
+
+
 def _generated(spark: SparkSession, sf: str) -> DataFrame:
     """One reply per document: a list with a full, a bare and an incomplete element; some fenced, some broken."""
     n = F.col("doc_id")
@@ -201,7 +207,7 @@ def _generated(spark: SparkSession, sf: str) -> DataFrame:
         .when(n % 2 == 0, F.concat(F.lit("```json\n"), items, F.lit("\n```")))
         .otherwise(items)
     )
-    return b.table(spark, sf, "documents").select("doc_id", text.alias("raw_text"))
+    return _dealt(spark, sf).select("doc_id", text.alias("raw_text"))
 
 
 @query(

@@ -37,3 +37,9 @@ def test_traces_with_their_texts_are_not_broadcast(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "Broadcast" not in plan
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="the shared tables are not here")
+def test_replies_of_one_row_group_are_parsed_by_several_tasks(spark):
+    made = queries()["parse_generated"](spark, str(DATA))
+    assert made.select(F.spark_partition_id().alias("task")).distinct().count() > 1
