@@ -12,7 +12,7 @@ from scorelake.plans.case_queries import ASSERTIONS_SQL
 from scorelake.plans.registry import query, rounded, with_
 from scorelake.session import new_table_path
 from scorelake.sources import cases, history, results
-from scorelake.sources.documents import check_source, list_documents, object_store_path, read_documents, require_documents
+from scorelake.sources.documents import check_source, read_documents, require_documents, scan_objects
 
 # --- pages ------------------------------------------------------------------------------------------------------
 
@@ -774,9 +774,10 @@ def object_documents(spark, sf):
     rows.repartition("lang", "part").write.partitionBy("lang", "part").text(root)
     uri = f"{root if '://' in root else 'file://' + root}/lang=e"
     lang = F.regexp_extract("source", "/lang=([^/]+)/", 1).alias("lang")
-    listed = list_documents(spark, uri).groupBy(lang).agg(F.count("*").alias("objects"))
+    keys, found = scan_objects(spark, uri)
+    listed = keys.groupBy(lang).agg(F.count("*").alias("objects"))
     chars = F.sum(F.length(F.regexp_replace("content", r"\s", ""))).alias("chars")
-    return listed.join(read_documents(spark, object_store_path(uri)).groupBy(lang).agg(chars), "lang")
+    return listed.join(found.groupBy(lang).agg(chars), "lang")
 
 
 @query("first_cases", "select doc_id, lang from documents order by doc_id limit 50")

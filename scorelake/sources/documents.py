@@ -69,9 +69,22 @@ def list_documents(spark: SparkSession, uri: str) -> DataFrame:
         if exc.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], "source string, path string, bytes long, modified timestamp")
+    return _listed(files)
+
+
+def _listed(files: DataFrame) -> DataFrame:
     return files.select(_source().alias("source"), "path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
 
 
+def scan_objects(spark: SparkSession, uri: str) -> tuple[DataFrame, DataFrame]:
+    """Keys below a URI, as ``list_documents`` gives them, and their documents, as ``read_documents`` does: the store is listed once for both.
+
+    An unknown prefix is an error.
+    """
+    files = _files(spark, object_store_path(uri))
+    return _listed(files), _documents(files)
+
+
 def next_documents(spark: SparkSession, uri: str, after: str = "", limit: int = 1000) -> DataFrame:
     """The next page of a URI's documents: the ``limit`` first by key behind the ``source`` that a page ended with.
 

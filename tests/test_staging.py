@@ -43,3 +43,13 @@ def test_traces_with_their_texts_are_not_broadcast(spark):
 def test_replies_of_one_row_group_are_parsed_by_several_tasks(spark):
     made = queries()["parse_generated"](spark, str(DATA))
     assert made.select(F.spark_partition_id().alias("task")).distinct().count() > 1
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="the shared tables are not here")
+def test_objects_are_listed_once(spark, monkeypatch):
+    from scorelake.sources import documents
+
+    listed, files = [], documents._files
+    monkeypatch.setattr(documents, "_files", lambda spark, path, *more: listed.append(path) or files(spark, path, *more))
+    rows = queries()["object_documents"](spark, str(DATA)).collect()
+    assert len(listed) == 1 and sum(r["objects"] for r in rows) > 1
