@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelake.llm import common
-from scorelake.session import materialize
+from scorelake.session import materialize, settle
 
 SEED = 42
 HOT = 4096
@@ -280,23 +280,24 @@ def components(edges: DataFrame) -> DataFrame:
     that rounds grow with the logarithm of the largest one. Nodes that have no edge any more keep their root.
     """
     number = 0
-    edges = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    edges = settle(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     roots = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("root"))
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         drawn = lambda c, number=number: F.struct(F.xxhash64(F.lit(number), c).alias("h"), F.col(c).alias("up"))
         hook = both.groupBy("a").agg(F.min(drawn("b")).alias("least")).select("a", F.least(drawn("a"), F.col("least"))["up"].alias("up"))
-        hook = materialize(hook)
+        hook = settle(hook, "hook")
         number += 1
         far = hook.select(F.col("a").alias("up"), F.col("up").alias("top"))
-        hook = materialize(hook.join(far, "up").select(F.col("a").alias("node"), F.col("top").alias("up")))
-        roots = materialize(
+        hook = settle(hook.join(far, "up").select(F.col("a").alias("node"), F.col("top").alias("up")), "hook")
+        roots = settle(
             roots.join(hook.withColumnRenamed("node", "root"), "root", "left")
-            .select("node", F.coalesce("up", "root").alias("root"))
+            .select("node", F.coalesce("up", "root").alias("root")),
+            "roots",
         )
         ends = edges.join(hook.select(F.col("node").alias("a"), F.col("up").alias("x")), "a")
         ends = ends.join(hook.select(F.col("node").alias("b"), F.col("up").alias("y")), "b").where("x <> y")
-        edges = materialize(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        edges = settle(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
     return roots
 
 

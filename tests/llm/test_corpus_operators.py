@@ -216,6 +216,14 @@ def test_long_chain_is_one_component(spark):
     assert simhash.components(edges.limit(0)).count() == 0
 
 
+def test_size_estimates_do_not_grow_with_the_rounds_of_components(spark):
+    # a path takes many rounds; five digits of an estimate are 25 after a round, 125 after the next, and so on
+    edges = spark.range(400).select(F.xxhash64("id").alias("a"), F.xxhash64(F.col("id") + 1).alias("b"))
+    roots = simhash.components(edges)
+    assert roots._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 40
+    assert roots.count() == 401 and roots.select("root").distinct().count() == 1
+
+
 def plain_fingerprint(text):
     import xxhash
 
